@@ -63,3 +63,18 @@ def sha256(data: bytes) -> str:
 def spans_text(spans: list[tuple[int, int, str]]) -> str:
     """kind:start:end, comma-joined, of spans that are in order."""
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows as files that every executor can read; the folder is the session's own if it names one."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        import tempfile
+
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of what a plan reads; it grows with the files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

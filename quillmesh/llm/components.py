@@ -1,0 +1,30 @@
+"""Connected components of a graph that is never on one machine."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillmesh.llm.common import checkpointed
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for the nodes of links (a, b): root is the smallest node that can be reached.
+
+    Each round gives every node the smallest label among its neighbours' labels, then the label of that label, so the
+    labels' distance from the root about halves. Minima are taken before rows are dealt out, so a node of very many
+    links is no burden, and each round is written to the shared folder.
+    """
+    both = links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = checkpointed(both)
+    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")))
+    while True:
+        heard = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("heard"))
+        near = labels.join(heard, labels.node == heard.a, "left").select("node", "root", F.least("root", F.coalesce("heard", "root")).alias("near"))
+        near = checkpointed(near)
+        up = labels.select(F.col("node").alias("via"), F.col("root").alias("far"))
+        jumped = near.join(up, near.near == up.via, "left").select("node", F.least("near", F.coalesce("far", "near")).alias("root"), F.col("root").alias("was"))
+        jumped = checkpointed(jumped)
+        if jumped.where("root <> was").isEmpty():
+            return jumped.select("node", "root")
+        labels = jumped.select("node", "root")
