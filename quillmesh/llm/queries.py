@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import bpe, decontaminate, quality, secrets, simhash
+from quillmesh.llm import bpe, decontaminate, phrases, quality, secrets, simhash
 from quillmesh.llm.common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -27,9 +27,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op9_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.without_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op4_quality, op5_secrets, op6_simhash, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op3_bpe, op4_quality, op5_secrets, op6_simhash, op9_phrases, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
