@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import bpe, decontaminate, phrases, quality, secrets, simhash
+from quillmesh.llm import bpe, decontaminate, phrases, quality, secrets, simhash, suffixes
 from quillmesh.llm.common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_passages(table(spark, sf_dir, "documents"), digests=True, changed_only=True)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE), digests=True)
 
@@ -35,5 +39,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op4_quality, op5_secrets, op6_simhash, op9_phrases, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_suffixes, op3_bpe, op4_quality, op5_secrets, op6_simhash, op9_phrases, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
