@@ -24,11 +24,11 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about `chars` bytes of `column`, so that few Python strings live at once."""
+def slices(batch: pa.RecordBatch, column: int = 1, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about `chars` bytes of a column, so that few Python strings live at once."""
     if not batch.num_rows:
         return
-    mean = max(1, batch.column(batch.schema.get_field_index(column)).nbytes // batch.num_rows)
+    mean = max(1, batch.column(column).nbytes // batch.num_rows)
     step = max(1, chars // mean)
     for i in range(0, batch.num_rows, step):
         yield batch.slice(i, step)

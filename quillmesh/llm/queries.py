@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import bpe, decontaminate, phrases, quality, secrets, simhash, suffixes
+from quillmesh.llm import bpe, decontaminate, extract, phrases, quality, secrets, simhash, suffixes, toxicity
 from quillmesh.llm.common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -31,6 +31,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def op9_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.without_repeats(table(spark, sf_dir, "documents"), digests=True)
 
@@ -39,5 +48,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffixes, op3_bpe, op4_quality, op5_secrets, op6_simhash, op9_phrases, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_suffixes, op3_bpe, op4_quality, op5_secrets, op6_simhash, op7_toxicity, op8_extract, op9_phrases, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
