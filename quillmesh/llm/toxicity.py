@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples.
 
-Examples are a bounded sample of labelled rows. Terms are lower-cased words and their stems (first four, five and six
-letters); the terms that tell the labels apart best on the examples are kept, weighted by TF-IDF, and every vector has
+Examples are a bounded sample of labelled rows. Terms are lower-cased words, and stems (the first four, five or six
+letters of words) that at least one, two, three, five or eight different words of a text share; the terms that tell the labels apart best on the examples are kept, weighted by TF-IDF, and every vector has
 length one. An inverted index holds, for each term, its examples in blocks, and for each block the term's largest weight.
 A text's terms give every block an upper bound; blocks are scored in the order of their bounds until no bound exceeds the
 k-th best cosine, so the nearest are exact. Votes are weighted by closeness, corrected for how often each label was
@@ -36,10 +36,23 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
-def terms_of(word: str) -> list[str]:
-    """Of a word in lower case, with what stands around it."""
-    w = word.strip(".,;:!?\"'()[]{}*#$%&|<>-_")
-    return [w, *(f"{w[:n]}~" for n in (4, 5, 6) if len(w) >= n)] if w else []
+#: Lengths of stems, and how many different words of a text must share one for each of its terms.
+STEMS, LEVELS = (4, 5, 6), (1, 2, 3, 5, 8)
+
+
+def bare(word: str) -> str:
+    """A word in lower case without what stands around it."""
+    return word.strip(".,;:!?\"'()[]{}*#$%&|<>-_")
+
+
+def terms_of(text: str) -> Counter[str]:
+    words: Counter[str] = Counter()
+    for word, n in Counter(text.lower().split()).items():
+        words[bare(word)] += n
+    del words[""]
+    stems = Counter(w[:n] for w in words for n in STEMS if len(w) >= n)
+    words.update({f"{x}~{n}": 1 for x, many in stems.items() for n in LEVELS if n <= many})
+    return words
 
 
 @dataclass
@@ -107,13 +120,7 @@ def fit(ids: list[int], texts: list[str], labels: list[int], totals: dict[int, i
     """totals: how many rows of each label there were to sample from."""
     if not ids:
         return Model({}, np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), 0.0)
-    y, counted, known = np.array(labels), [], {}
-    for text in texts:
-        c: Counter[str] = Counter()
-        for word, n in Counter(text.lower().split()).items():
-            for t in known.setdefault(word, terms_of(word)):
-                c[t] += n
-        counted.append(c)
+    y, counted = np.array(labels), [terms_of(text) for text in texts]
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     with_term = Counter(), Counter()
     for c, label in zip(counted, labels, strict=True):
@@ -124,16 +131,16 @@ def fit(ids: list[int], texts: list[str], labels: list[int], totals: dict[int, i
         if a + b >= 5:
             p = (a + b) / (n1 + n0)
             z = (a / n1 - b / n0) / math.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-            if abs(z) > 4.5:
+            if abs(z) > 6:
                 gain.append((-abs(z), t))
     chosen = [t for _, t in sorted(gain)[:TERMS]]
     terms = {t: i for i, t in enumerate(chosen)}
     idf = np.array([math.log((1 + len(y)) / (1 + with_term[0][t] + with_term[1][t])) + 1 for t in chosen])
     bags = [{terms[t]: n for t, n in c.items() if t in terms} for c in counted]
     weight = np.where(y == 1, totals.get(1, n1) / n1, totals.get(0, n0) / n0)
-    bare = np.array([not b for b in bags])
+    empty = np.array([not b for b in bags])
     prior = float((weight * y).sum() / weight.sum())
-    none = float(((weight * y)[bare].sum() + prior) / (weight[bare].sum() + 1))
+    none = float(((weight * y)[empty].sum() + prior) / (weight[empty].sum() + 1))
     model = Model(terms, idf, y, np.array(ids, np.int64), weight, none)
     blocks = -(-len(y) // BLOCK)
     model.most = np.zeros((len(terms), blocks), np.float32)
@@ -154,20 +161,40 @@ def fit(ids: list[int], texts: list[str], labels: list[int], totals: dict[int, i
 
 
 class Scorer:
+    """Counts of a text's terms, looking at each different word once."""
+
     def __init__(self, model: Model):
         self.model, self.memo = model, {}
+        self.levels: dict[str, list[tuple[int, int]]] = {}
+        for term, i in model.terms.items():
+            stem, mark, level = term.rpartition("~")
+            if mark and level.isdigit():
+                self.levels.setdefault(stem, []).append((int(level), i))
+
+    def known(self, word: str) -> tuple[str, int, tuple[str, ...]] | None:
+        """Of a word that has a term or a stem that has one: itself, its term or -1, and those stems."""
+        w = bare(word)
+        i, stems = self.model.terms.get(w, -1), tuple(w[:n] for n in STEMS if len(w) >= n and w[:n] in self.levels)
+        return (w, i, stems) if w and (i >= 0 or stems) else None
 
     def counts(self, text: str) -> dict[int, int]:
         out: dict[int, int] = {}
-        memo, terms = self.memo, self.model.terms
+        memo, sharing = self.memo, {}
         if len(memo) > MEMO:
             memo.clear()
         for word, n in Counter(text.lower().split()).items():
-            known = memo.get(word)
-            if known is None:
-                known = memo[word] = tuple(terms[t] for t in terms_of(word) if t in terms)
-            for t in known:
-                out[t] = out.get(t, 0) + n
+            if word in memo:
+                found = memo[word]
+            else:
+                found = memo[word] = self.known(word)
+            if found:
+                w, i, stems = found
+                if i >= 0:
+                    out[i] = out.get(i, 0) + n
+                for stem in stems:
+                    sharing.setdefault(stem, set()).add(w)
+        for stem, words in sharing.items():
+            out.update((i, 1) for level, i in self.levels[stem] if level <= len(words))
         return out
 
 
