@@ -21,7 +21,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from quillmesh.llm.common import id_text, map_texts, sha256
+from quillmesh.llm.common import append_texts, id_text, map_texts, sha256
 
 #: Pieces of up to so many bytes are merged in groups; a wider piece has its own tree.
 GROUP_BYTES = 64
@@ -225,3 +225,21 @@ def encoded(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN
         return kernel
 
     return map_texts(id_text(docs), make, f"doc_id long, n_tokens long, {tail}")
+
+
+def tokenised(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """The documents with ids in place of the text, each text having been decoded again and found the same."""
+
+    def make():
+        encoder = Encoder(path, pattern)
+
+        def kernel(ids, texts):
+            coded = encoder.encode(texts)
+            for text, c in zip(texts, coded, strict=True):
+                if encoder.decode(c) != text.encode("utf-8", "replace"):
+                    raise ValueError("ids do not decode to their text")
+            return [[len(c) // 4 for c in coded], [np.frombuffer(c, "<i4") for c in coded]]
+
+        return kernel
+
+    return append_texts(docs, make, "n_tokens long, ids array<int>").drop("text")

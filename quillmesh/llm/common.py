@@ -56,6 +56,23 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], list[list
     return df.mapInArrow(run, spark_schema)
 
 
+def append_texts(docs: DataFrame, make: Callable[[], Callable[[list, list], list[list]]], ddl: str) -> DataFrame:
+    """All columns of the documents, and those of `ddl` that a kernel makes of the texts (null: empty); no shuffle."""
+    _, arrow = schema_of(ddl)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel = make()
+        for batch in batches:
+            for part in slices(batch, at):
+                own = part.column(at)
+                columns = kernel([None] * len(own), ["" if t is None else t for t in own.to_pylist()])
+                made = [pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *arrow.names])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *schema_of(ddl)[0].fields]))
+
+
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

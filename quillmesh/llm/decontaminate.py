@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import id_text, map_texts, sha256
+from quillmesh.llm.common import append_texts, id_text, map_texts, sha256
 
 WINDOW = 10
 #: Bytes of windows in one automaton.
@@ -138,5 +138,21 @@ def _scanned(docs: DataFrame, held, keyed: bool) -> DataFrame:
     return map_texts(id_text(docs), make, "doc_id long, n_words long, runs array<struct<a:long,b:long>>, item_ids array<long>, spans array<struct<start:long,end:long>>, text_key string")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The documents that hold no window of the benchmark."""
+    sc, items = docs.sparkSession.sparkContext, benchmark.select(F.col("item_id").cast("long"), "text")
+    for windows in shards(((r[0], r[1]) for r in items.toLocalIterator()), shard_bytes):
+        docs = append_texts(docs, _hits(sc.broadcast(windows)), "_hit boolean").where("not _hit").drop("_hit")
+    return docs
+
+
+def _hits(held):
+    def make():
+        machine = automaton(held.value)
+        return lambda ids, texts: [[bool(scan(t, machine)[1]) for t in texts]]
+
+    return make
+
+
 def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")

@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import bpe, decontaminate, extract, phrases, quality, secrets, simhash, suffixes, toxicity
+from quillmesh.llm import bpe, decontaminate, extract, phrases, pii, quality, secrets, simhash, suffixes, toxicity
 from quillmesh.llm.common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_passages(table(spark, sf_dir, "documents"), digests=True, changed_only=True)
 
@@ -48,5 +52,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffixes, op3_bpe, op4_quality, op5_secrets, op6_simhash, op7_toxicity, op8_extract, op9_phrases, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_suffixes, op3_bpe, op4_quality, op5_secrets, op6_simhash, op7_toxicity, op8_extract, op9_phrases, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}

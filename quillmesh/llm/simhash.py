@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillmesh.llm.common import checkpointed, id_text, map_texts
 from quillmesh.llm.components import components
@@ -176,27 +177,42 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, print (64 bits as a signed integer)."""
+    """doc_id, print (64 bits as a signed integer), text_key (a hash of the text)."""
 
     def make():
-        return lambda ids, texts: [ids, np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)]
+        return lambda keys, texts: [[k["doc_id"] for k in keys], np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64), [k["text_key"] for k in keys]]
 
-    return map_texts(id_text(docs), make, "doc_id long, print long")
+    own = id_text(docs)
+    return map_texts(own.select(F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("of"), "text"), make, "doc_id long, print long, text_key long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, print, component_id: the smallest doc_id among the documents that links reach, itself included."""
+def grouped(docs: DataFrame, shingle: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of the documents; and (print, least, root) for each fingerprint: its smallest doc_id, and its component."""
     own = checkpointed(fingerprints(docs, shingle))
     nodes = checkpointed(own.groupBy("print").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes))
-    grouped = nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    least = grouped.where("root <> print").groupBy("root").agg(F.min("least").alias("below"))
-    named = grouped.join(least, "root", "left")
-    # the root's own documents count too: a second look at the nodes, which hold the root once
-    named = named.join(nodes.select(F.col("print").alias("root"), F.col("least").alias("at_root")), "root", "left")
-    named = named.select(F.col("print").alias("of"), F.least("at_root", "below").alias("component_id"))
+    return own, nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """doc_id, print, component_id: the smallest doc_id among the documents that links reach, itself included."""
+    own, nodes = grouped(docs, shingle)
+    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = nodes.join(least, "root").select(F.col("print").alias("of"), "component_id")
     return own.join(named, own["print"] == named["of"], "left").select("doc_id", "print", "component_id")
 
 
+def one_of_each(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """The documents without those whose component has one of a smaller doc_id (a null one is the largest), or, ids being equal, of a smaller hash of the text."""
+    own, nodes = grouped(docs, shingle)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    first = own.groupBy("print").agg(F.min(rank).alias("first")).join(nodes, "print").groupBy("root").agg(F.min("first").alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("_kept_id"), F.col("first.text_key").alias("_kept_key"))
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key")), "left_semi")
+    order = Window.partitionBy("doc_id", "_key").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)])
+    return keyed.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row", "_key")
+
+
 def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")

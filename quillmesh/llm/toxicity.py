@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import map_texts
+from quillmesh.llm.common import append_texts, map_texts
 
 #: Most labelled rows of either label that are examples; most terms; nearest examples that vote; examples in a block.
 EXAMPLES_OF_LABEL, TERMS, NEAREST, BLOCK = 2000, 4096, 15, 64
@@ -230,3 +230,14 @@ def scored(docs: DataFrame, model: Model, evidence: bool = False) -> DataFrame:
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return map_texts(own, make, f"doc_id long, held_out boolean, score double, predicted int{tail}")
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents that are not predicted toxic."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        scorer = Scorer(held.value)
+        return lambda ids, texts: [[held.value.score(scorer.counts(t))[0] >= THRESHOLD for t in texts]]
+
+    return append_texts(docs, make, "_toxic boolean").where("not _toxic").drop("_toxic")
