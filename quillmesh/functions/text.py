@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,14 +77,15 @@ def description(*lines: Column) -> Column:
     return F.concat_ws("\n", *lines)
 
 
-@F.pandas_udf("double")
-def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity, in Arrow batches; no built-in function has it."""
-    from difflib import SequenceMatcher
-
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
+def matching_ratio(a: Column, b: Column) -> Column:
+    """Ratcliff-Obershelp similarity, in Arrow batches; no built-in function has it."""
+    return F.pandas_udf(_ratio, "double")(a, b)
+
+
 def label_score(text: Column, alias: Column) -> Column:
     """1 if equal after folding, 0.95 if an alias of three letters or more is contained, else the matching ratio."""
     t, a = fold_confusions(norm(text)), fold_confusions(norm(alias))

@@ -1 +1 @@
-"""Part of the engine; see the README for what lives where."""
+"""Arrival-ordered batches of detections, as micro-batches of Structured Streaming."""
