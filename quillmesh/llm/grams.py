@@ -115,15 +115,22 @@ def windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(out[:m].copy()), words.row[:m] == words.row[n - 1 :]
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Small 64-bit integers byte plane by byte plane, so that codecs find the zeros."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplanes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
+
+
 def pack(x: np.ndarray) -> bytes:
-    """Sorted or small 64-bit integers as differences, byte plane by byte plane, so that codecs find the zeros."""
-    x = x.astype(np.uint64, copy=False)
-    return np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Sorted 64-bit integers as differences, in planes."""
+    return planes(np.diff(x.astype(np.uint64, copy=False), prepend=np.uint64(0)))
 
 
 def unpack(b: bytes) -> np.ndarray:
-    planes = np.frombuffer(b, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
+    return np.cumsum(unplanes(b).view(np.uint64), dtype=np.uint64)
 
 
 def bucket_edges(sorted_hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillmesh.llm.common import sha256
-from quillmesh.llm.grams import block_rows, bucket_edges, in_blocks, layout, least_of_equal, pack, removed, runs, unpack, windows
+from quillmesh.llm.grams import block_rows, bucket_edges, in_blocks, layout, least_of_equal, pack, planes, runs, unpack, unplanes, windows
 
 WINDOW = 13
 _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("least", pa.binary())])
@@ -42,13 +42,13 @@ def send(table: pa.Table, window: int, buckets: int) -> pa.Table:
     head = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
     h, doc = h[head], doc[head]
     block = table["block"][0].as_py()
-    rows = [(b, block, pack(h[i:j]), pack(doc[i:j].view(np.uint64))) for b, i, j in bucket_edges(h, buckets)]
+    rows = [(b, block, pack(h[i:j]), planes(doc[i:j])) for b, i, j in bucket_edges(h, buckets)]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT) if rows else _SENT.empty_table()
 
 
 def confirm(table: pa.Table) -> pa.Table:
     """Of a bucket: to each block the hashes that a smaller doc_id of another block has."""
-    hashes, least = [unpack(x) for x in table["hashes"].to_pylist()], [unpack(x).view(np.int64) for x in table["least"].to_pylist()]
+    hashes, least = [unpack(x) for x in table["hashes"].to_pylist()], [unplanes(x) for x in table["least"].to_pylist()]
     origin = np.repeat(np.arange(len(hashes), dtype=np.int32), [len(x) for x in hashes])
     h, doc = np.concatenate(hashes), np.concatenate(least)
     del hashes, least

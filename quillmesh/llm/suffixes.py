@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillmesh.llm.grams import Words, block_rows, bucket_edges, in_blocks, layout, least_of_equal, mix, pack, removed, unpack, windows
+from quillmesh.llm.grams import Words, block_rows, bucket_edges, in_blocks, layout, least_of_equal, mix, pack, planes, removed, unpack, unplanes, windows
 from quillmesh.llm.phrases import out_schema, outputs
 
 WINDOW, GRAM = 50, 10
@@ -73,12 +73,12 @@ def count(table: pa.Table, window: int, gram: int, buckets: int) -> pa.Table:
     pairs = np.unique(np.stack([g, ids[words.row[place]].view(np.uint64)], 1), axis=0) if len(g) else np.zeros((0, 2), np.uint64)
     h, n = np.unique(pairs[:, 0], return_counts=True)
     block = table["block"][0].as_py()
-    return _table([(b, block, pack(h[i:j]), pack(n[i:j].astype(np.uint64))) for b, i, j in bucket_edges(h, buckets)], _COUNTED)
+    return _table([(b, block, pack(h[i:j]), planes(n[i:j].astype(np.int64))) for b, i, j in bucket_edges(h, buckets)], _COUNTED)
 
 
 def share(table: pa.Table) -> pa.Table:
     """To each block, which of its minimisers several documents have, apart by whether very many have."""
-    hashes, counts = [unpack(x) for x in table["hashes"].to_pylist()], np.concatenate([unpack(x) for x in table["documents"].to_pylist()])
+    hashes, counts = [unpack(x) for x in table["hashes"].to_pylist()], np.concatenate([unplanes(x) for x in table["documents"].to_pylist()])
     origin, h = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes]), np.concatenate(hashes)
     _, at = np.unique(h, return_inverse=True)
     total = np.bincount(at, counts.astype(np.float64))[at]
