@@ -1,46 +1,84 @@
-"""Order-dependent selection inside one image: candidates are relational, only the greedy step is a grouped kernel."""
+"""Order-dependent selection inside one image: candidates are relational, only the greedy step is a kernel.
+
+Rows are dealt out by group and sorted by Spark; a task then streams through them in Arrow batches, group after group, so
+small groups cost no call each and a task holds one group at most.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+
+
+def select_in_groups(df: DataFrame, by: list[str], order: list[Column], columns: list[str], choose: Callable[..., list[int]]) -> DataFrame:
+    """The rows that `choose` takes of each group: it gets the group's values of `columns`, in order, and returns places."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def taken(table: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+            values, keep, start = [table[c].to_pylist() for c in columns], [], 0
+            for end in ends.tolist():
+                keep += [start + k for k in choose(*(v[start:end] for v in values))]
+                start = end
+            yield from table.take(pa.array(keep, pa.int64())).to_batches()
+
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            if not held.num_rows:
+                continue
+            change = np.zeros(held.num_rows - 1, bool)
+            for k in by:
+                v = np.asarray(held[k])
+                change |= v[1:] != v[:-1]
+            ends = np.flatnonzero(change) + 1
+            if len(ends):  # the last group may go on in the next batch
+                cut = int(ends[-1])
+                yield from taken(held.slice(0, cut), ends)
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield from taken(held, np.array([held.num_rows]))
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, df.schema).select(*names)
 
 
-def _iou(box: np.ndarray, others: np.ndarray) -> np.ndarray:
-    w = np.clip(np.minimum(box[2], others[:, 2]) - np.maximum(box[0], others[:, 0]), 0, None)
-    h = np.clip(np.minimum(box[3], others[:, 3]) - np.maximum(box[1], others[:, 1]), 0, None)
-    area = lambda b: np.clip(b[..., 2] - b[..., 0], 0, None) * np.clip(b[..., 3] - b[..., 1], 0, None)
-    union = area(box) + area(others) - w * h
-    return np.divide(w * h, union, out=np.zeros_like(union), where=union > 0)
+def _iou(a: tuple, b: tuple) -> float:
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    if w <= 0 or h <= 0:
+        return 0.0
+    return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h)
 
 
 def non_maximum_suppression(boxes: DataFrame, by: list[str], limit: float = 0.5, tie: str = "n") -> DataFrame:
     """The boxes of each group, best score first, that overlap no kept one by more than `limit`; ties by `tie`."""
 
-    def keep(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["score", tie], ascending=[False, True])
-        xy, alive, out = g[["x0", "y0", "x1", "y1"]].to_numpy(float), np.ones(len(g), bool), []
-        for i in range(len(g)):
-            if alive[i]:
-                out.append(i)
-                alive[i + 1 :] &= _iou(xy[i], xy[i + 1 :]) <= limit
-        return g.iloc[out]
+    def keep(*sides: list[float]) -> list[int]:
+        out: list[int] = []
+        all_boxes = list(zip(*sides, strict=True))
+        for k, box in enumerate(all_boxes):
+            if all(_iou(all_boxes[j], box) <= limit for j in out):
+                out.append(k)
+        return out
 
-    return boxes.groupBy(*by).applyInPandas(keep, boxes.schema)
+    return select_in_groups(boxes, by, [boxes["score"].desc(), boxes[tie].asc()], ["x0", "y0", "x1", "y1"], keep)
 
 
 def assign_greedily(candidates: DataFrame, image: str, detection: str, target: str, conf: str, overlap: str) -> DataFrame:
     """Of each image's candidate pairs: detections by falling confidence take their best target that is still free."""
 
-    def choose(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([conf, detection, overlap, target], ascending=[False, True, False, True])
-        used, out, done = set(), [], set()
-        for i, d, t in zip(range(len(g)), g[detection], g[target], strict=True):
+    def choose(detections: list, targets: list) -> list[int]:
+        used, done, out = set(), set(), []
+        for k, (d, t) in enumerate(zip(detections, targets, strict=True)):
             if d not in done and t not in used:
                 done.add(d)
                 used.add(t)
-                out.append(i)
-        return g.iloc[out]
+                out.append(k)
+        return out
 
-    return candidates.groupBy(image).applyInPandas(choose, candidates.schema)
+    c = candidates
+    return select_in_groups(c, [image], [c[conf].desc(), c[detection].asc(), c[overlap].desc(), c[target].asc()], [detection, target], choose)
