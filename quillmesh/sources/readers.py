@@ -65,6 +65,6 @@ def image_rows(images: DataFrame) -> DataFrame:
     return images.select(F.coalesce("guid", F.concat(F.lit("img_"), "position")).alias("guid"), *[at(k) for k in "xyz"])
 
 
-def representation(images: DataFrame) -> Column:
+def representation() -> Column:
     """Which picture of an image is taken: spherical, then pinhole, then cylindrical; JPEG before PNG."""
     return F.coalesce(*[F.col(f"{kind}.{coding}") for kind in ("spherical", "pinhole", "cylindrical") for coding in ("jpeg", "png")])
