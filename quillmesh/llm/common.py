@@ -73,6 +73,13 @@ def append_texts(docs: DataFrame, make: Callable[[], Callable[[list, list], list
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *schema_of(ddl)[0].fields]))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
@@ -93,5 +100,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of what a plan reads; it grows with the files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes that a plan reads: the sizes of its files, or, where it starts from something else, of its texts."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size < 1 << 60:
+        return size
+    return df.agg(F.sum(F.octet_length("text"))).first()[0] or 0

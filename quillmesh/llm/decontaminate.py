@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import append_texts, id_text, map_texts, sha256
+from quillmesh.llm.common import append_texts, id_text, map_texts, sha256, unused
 
 WINDOW = 10
 #: Bytes of windows in one automaton.
@@ -142,7 +142,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES)
     """The documents that hold no window of the benchmark."""
     sc, items = docs.sparkSession.sparkContext, benchmark.select(F.col("item_id").cast("long"), "text")
     for windows in shards(((r[0], r[1]) for r in items.toLocalIterator()), shard_bytes):
-        docs = append_texts(docs, _hits(sc.broadcast(windows)), "_hit boolean").where("not _hit").drop("_hit")
+        hit = unused(docs, "_hit")
+        docs = append_texts(docs, _hits(sc.broadcast(windows)), f"{hit} boolean").where(~F.col(hit)).drop(hit)
     return docs
 
 

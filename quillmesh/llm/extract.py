@@ -119,7 +119,7 @@ def features(page: list[Block]) -> np.ndarray:
 def labelled_table() -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of blocks by rule: every mix of some lengths, densities, neighbours and surroundings.
 
-    Labelled content: what stands in an article and neither in boilerplate nor in comments, unless it is mostly links;
+    Labelled content: what stands in an article and neither in boilerplate nor in comments, but for short lists of links;
     outside an article, long text of few links, and short text or headings beside such text.
     """
     rows, labels = [], []
@@ -130,7 +130,7 @@ def labelled_table() -> tuple[np.ndarray, np.ndarray]:
                     for heading, boiler, comment, article in ((0, 0, 0, 0), (1, 0, 0, 0), (0, 1, 0, 0), (0, 0, 1, 0), (0, 0, 0, 1), (1, 0, 0, 1), (0, 1, 0, 1), (0, 0, 1, 1)):
                         beside = (before >= 15 and before_density <= 0.3) + (after >= 15 and after_density <= 0.3)
                         free = density <= 0.35 and (words >= 15 or (heading and after >= 15 and after_density <= 0.3) or beside == 2)
-                        inside = density <= 0.35 or (density <= 0.75 and words >= 15) or (article and words < 15 and beside == 2)
+                        inside = density <= 0.75 or words >= 15 or beside == 2
                         rows.append((words, density, before, before_density, after, after_density, heading, boiler, comment, article))
                         labels.append(not boiler and not comment and (inside if article else free))
     return np.array(rows, np.float64), np.array(labels)

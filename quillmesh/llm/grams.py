@@ -144,7 +144,7 @@ def bucket_edges(sorted_hashes: np.ndarray, buckets: int) -> list[tuple[int, int
 def layout(docs: DataFrame) -> tuple[int, int]:
     """Numbers of blocks of documents and of buckets of hashes, in proportion to the input."""
     size = input_bytes(docs)
-    return max(1, -(-size // BLOCK_BYTES)), min(MOST_BUCKETS, max(1, -(-size // BUCKET_BYTES)))
+    return min(1 << 30, max(1, -(-size // BLOCK_BYTES))), min(MOST_BUCKETS, max(1, -(-size // BUCKET_BYTES)))
 
 
 def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import append_texts, id_text, map_texts, sha256, spans_text
+from quillmesh.llm.common import append_texts, id_text, map_texts, sha256, spans_text, unused
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, and from one to the next. A span of up to LENGTH - STRIDE characters lies whole in some window.
@@ -395,5 +395,6 @@ def redacted(docs: DataFrame) -> DataFrame:
         model = held.value
         return lambda ids, texts: [[masked(t, every) for t, (_, every) in zip(texts, found(texts, model), strict=True)]]
 
-    out = append_texts(docs, make, "_masked string").withColumn("text", F.col("_masked")).drop("_masked")
+    new = unused(docs, "_masked")
+    out = append_texts(docs, make, f"{new} string").withColumn("text", F.col(new)).drop(new)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -33,7 +33,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}", _FLAGS)
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}", _FLAGS)
 _HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+", _FLAGS)
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}", _FLAGS)
-_WORDS = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])|[0-9]{1,4}", _FLAGS)
+_WORDS = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{3,}(?![a-z])", _FLAGS)
 
 
 @lru_cache(maxsize=2)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmesh.llm.common import checkpointed, id_text, map_texts
+from quillmesh.llm.common import checkpointed, id_text, map_texts, unused
 from quillmesh.llm.components import components
 from quillmesh.llm.fingerprint import fingerprint
 
@@ -207,11 +207,12 @@ def one_of_each(docs: DataFrame, shingle: int = 4) -> DataFrame:
     own, nodes = grouped(docs, shingle)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     first = own.groupBy("print").agg(F.min(rank).alias("first")).join(nodes, "print").groupBy("root").agg(F.min("first").alias("first"))
-    kept = first.select(F.col("first.doc_id").alias("_kept_id"), F.col("first.text_key").alias("_kept_key"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    keyed = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key")), "left_semi")
-    order = Window.partitionBy("doc_id", "_key").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)])
-    return keyed.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row", "_key")
+    key, row, at_id, at_key = (unused(docs, n) for n in ("_key", "_row", "_kept_id", "_kept_key"))
+    kept = first.select(F.col("first.doc_id").alias(at_id), F.col("first.text_key").alias(at_key))
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(at_id)) & (F.col(key) == F.col(at_key)), "left_semi")
+    order = Window.partitionBy("doc_id", key).orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)])
+    return keyed.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).drop(row, key)
 
 
 def digests(found: DataFrame) -> DataFrame:

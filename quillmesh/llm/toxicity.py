@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import append_texts, map_texts
+from quillmesh.llm.common import append_texts, map_texts, unused
 
 #: Most labelled rows of either label that are examples; most terms; nearest examples that vote; examples in a block.
 EXAMPLES_OF_LABEL, TERMS, NEAREST, BLOCK = 2000, 4096, 15, 64
@@ -240,4 +240,5 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         scorer = Scorer(held.value)
         return lambda ids, texts: [[held.value.score(scorer.counts(t))[0] >= THRESHOLD for t in texts]]
 
-    return append_texts(docs, make, "_toxic boolean").where("not _toxic").drop("_toxic")
+    toxic = unused(docs, "_toxic")
+    return append_texts(docs, make, f"{toxic} boolean").where(~F.col(toxic)).drop(toxic)

@@ -1,0 +1,418 @@
+"""The training-data operators against plain versions, round trips and held-out accuracy, with awkward rows in every table."""
+
+import base64
+import hashlib
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+import regex
+import tiktoken
+import xxhash
+
+from quillmesh.llm import bpe, components, decontaminate, extract, grams, phrases, pii, quality, secrets, simhash, suffixes, toxicity
+from quillmesh.llm.fingerprint import fingerprint
+
+PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: A clash with names that operators make, and rows that are null, empty, of white space, long, repeated, or have no id.
+EXTRA = "doc_id long, text string, block int, print long, _key string"
+
+
+def awkward(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+    r = random.Random(4)
+    long = " ".join(r.choice(words) for _ in range(3000))
+    rows = [(1, None), (2, ""), (3, " \n\t "), (4, long), (5, "same text of some few words"), (6, "same text of some few words"), (6, "same text of some few words"), (None, "no id here"), (7, long[:400] + "é" + long[400:]), (8, "x" * 5000)]
+    return spark.createDataFrame([(i, t, 1, 2, "k") for i, t in rows], EXTRA)
+
+
+def empty(spark):
+    return spark.createDataFrame([], EXTRA)
+
+
+def documents(sf):
+    import pyarrow.parquet as pq
+
+    return pq.read_table(f"{sf}/documents.parquet").select(["doc_id", "text"]).to_pydict()
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return bpe.Encoder(PATH, public_tokenizers.PATTERN)
+
+
+@pytest.fixture(scope="module")
+def library():
+    with open(PATH, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_equals_the_library(encoder, library, sf):
+    r = random.Random(1)
+    odd = ["", " ", "  a  b ", "foo \n bar\n baz", "日本語 ½ １２", "😀's we'll", "x" * 2000, "ab" * 700, " \n", "a b  c"]
+    odd += ["".join(r.choice(" \n\tab'1.é½日s") for _ in range(40)) for _ in range(500)] + documents(sf)["text"]
+    for text, ids in zip(odd, encoder.encode(odd), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
+        assert encoder.decode(ids) == text.encode()
+
+
+def test_bpe_trees_agree(encoder):
+    r = random.Random(2)
+    pieces = [bytes(r.choice(b"abcdehinorst") for _ in range(r.randint(1, 64))) for _ in range(300)]
+    grouped = bpe.merge_group(pieces, 64, encoder.v)
+    assert grouped == [bpe.merge_one(p, encoder.v) for p in pieces]
+
+
+def test_bpe_forgets_without_changing(sf):
+    small = bpe.Encoder(PATH, public_tokenizers.PATTERN, memo=50)
+    texts = documents(sf)["text"][:40]
+    assert small.encode(texts) == bpe.Encoder(PATH, public_tokenizers.PATTERN).encode(texts)
+
+
+def test_secret_bases_and_random_strings():
+    e = secrets.tokens(PATH, public_tokenizers.PATTERN)
+    text = 'Password = "hunter22" api_key:abc TOKEN=x1y2z3 AKIA' + "A" * 16 + " AKIA1 " + "0123456789abcdef" * 2 + " é deadbeef"
+    found = [(text[a:b], k) for a, b, k in secrets.ordered(secrets.base_spans(text))]
+    assert found == [('Password = "hunter22', "assign"), ("TOKEN=x1y2z3", "assign"), ("AKIA" + "A" * 16, "access"), ("0123456789abcdef" * 2, "hex")]
+    r = random.Random(3)
+    keys = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32)) for _ in range(50)]
+    assert sum(bool(secrets.random_spans(f"the {k} end", e)) for k in keys) >= 47
+    for plain in ("internationalisation", "some_long_snake_case_name", "CamelCaseIdentifierName", "123e4567-e89b-12d3-a456-426614174000", "d41d8cd98f00b204e9800998ecf8427e", "1234567890123456789012"):
+        assert not secrets.random_spans(plain, e), plain
+
+
+def brute_repeat_words(words, n=5):
+    seen = {}
+    for i in range(len(words) - n + 1):
+        seen.setdefault(tuple(words[i : i + n]), []).append(i)
+    return len({j for at in seen.values() if len(at) > 1 for i in at for j in range(i, i + n)})
+
+
+def test_quality_counts(sf):
+    texts = [*documents(sf)["text"][:80], "", " ", "a b\na b\n\n \na b", "one " * 30, "é#* ü x"]
+    for text in texts:
+        c, words = quality.count(text), re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (len(c.words), c.word_chars, c.n_symbols) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)))
+        assert c.n_dup_lines == len(lines) - len(set(lines)) and c.n_repeat_words == brute_repeat_words(words)
+
+
+def test_cascade_order_does_not_change_verdicts(sf):
+    counts = [quality.count(t) for t in documents(sf)["text"]]
+    cascade = quality.Cascade(sample_rows=30)
+    assert [bool(cascade.rejects(c)) for c in counts] == [any(test(c) for _, test in quality.RULES) for c in counts]
+
+
+def test_quality_keeps_good_and_drops_bad(sf):
+    import pyarrow.parquet as pq
+
+    of = pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pydict()
+    label, docs = dict(zip(of["doc_id"], of["quality"], strict=True)), documents("/root/testdata/sf0.01")
+    kept = {0: [], 1: []}
+    for i, t in zip(docs["doc_id"], docs["text"], strict=True):
+        c = quality.count(t)
+        if i in label and not quality.base_failed(c):
+            kept[label[i]].append(not quality.Cascade(sample_rows=0).rejects(c))
+    assert np.mean(kept[1]) > 0.98 and np.mean(kept[0]) < 0.3
+
+
+def brute_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+def test_fingerprints(sf):
+    for text in [*documents(sf)["text"][:40], "", "a", "A b C", "a b c d", "Ä b  c\td e"]:
+        assert fingerprint(text) == brute_fingerprint(text)
+
+
+def brute_components(prints, distance=4):
+    root = list(range(len(prints)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i in range(len(prints)):
+        for j in np.flatnonzero(np.bitwise_count(prints[i] ^ prints[i + 1 :]) <= distance).tolist():
+            a, b = sorted((find(i), find(i + 1 + j)))
+            root[b] = a
+    return [find(i) for i in range(len(prints))]
+
+
+@pytest.mark.parametrize("group", [1024, 5])
+def test_ring_links_lose_nothing(spark, monkeypatch, group):
+    r = np.random.default_rng(6)
+    centres = r.integers(0, 1 << 63, 12, np.uint64)
+    prints = set(centres.tolist()) | {0}
+    for c in centres.tolist():
+        for _ in range(14):
+            prints.add(c ^ sum(1 << int(b) for b in r.choice(64, r.integers(1, 7), replace=False)))
+    prints = np.array(sorted(prints), np.uint64)
+    monkeypatch.setattr(simhash, "GROUP", group)
+    df = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "print long")
+    got = {x.node: x.root for x in components.components(simhash.links(df)).collect()}
+    expected, by = brute_components(prints), {}
+    for p, root in zip(prints.view(np.int64).tolist(), expected, strict=True):
+        by.setdefault(root, []).append(p)
+    for members in by.values():
+        assert {got.get(p, p) for p in members} == {min(members)}
+
+
+def test_ring_keys_cover_all_close_pairs():
+    r = np.random.default_rng(8)
+    a = r.integers(0, 1 << 63, 4000, np.uint64)
+    b = np.array([int(x) ^ sum(1 << int(k) for k in r.choice(64, n % 5, replace=False)) for n, x in enumerate(a)], np.uint64)
+    assert ((simhash.ring_keys(a) == simhash.ring_keys(b)).any(1)).all()
+
+
+def test_long_chain_of_components(spark):
+    links = [(i, i + 1) for i in range(150)] + [(500, 501), (9, 9)]
+    got = {x.node: x.root for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(151), 0), 500: 500, 501: 500}
+
+
+def test_near_duplicates_of_awkward_rows(spark):
+    docs = awkward(spark)
+    rows = [r.asDict() for r in simhash.near_duplicates(docs).collect()]
+    assert len(rows) == docs.count()
+    by = {(r["doc_id"], r["print"]): r["component_id"] for r in rows}
+    assert {v for (i, p), v in by.items() if p == 0} == {1} and {by[i, p] for i, p in by if i in (5, 6)} == {5}
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=lambda v: (v is None, v)) == sorted({v for v in by.values() if v is not None}) + [None]
+    assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.one_of_each(empty(spark)).count() == 0
+
+
+def brute_windows(ids, texts, n):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    first = {}
+    key = [float("inf") if i is None else i for i in ids]
+    for i, w in zip(key, words, strict=True):
+        for k in range(len(w) - n + 1):
+            first[tuple(w[k : k + n])] = min(first.get(tuple(w[k : k + n]), i), i)
+    out = []
+    for i, shown, w in zip(key, ids, words, strict=True):
+        gone = [False] * len(w)
+        for k in range(len(w) - n + 1):
+            if first[tuple(w[k : k + n])] < i:
+                gone[k : k + n] = [True] * n
+        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out.append((shown, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def passages(seed, n_docs=60):
+    r = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    shared = [[r.choice(vocabulary) for _ in range(r.randint(8, 140))] for _ in range(12)]
+    texts = []
+    for _ in range(n_docs):
+        parts = []
+        for _ in range(r.randint(0, 6)):
+            p = r.choice(shared) if r.random() < 0.5 else [r.choice(vocabulary) for _ in range(r.randint(1, 60))]
+            cut = r.randint(0, len(p) // 3)
+            parts += p[cut:] if r.random() < 0.5 else p
+        texts.append("".join(w + r.choice((" ", "  ", "\n", " \t")) for w in parts))
+    ids = [r.randint(0, 50) if r.random() < 0.9 else None for _ in texts]
+    return ids, [*texts[:-1], None]
+
+
+@pytest.mark.parametrize("blocks", [(1, 1), (7, 5)])
+def test_phrases_match_brute_force(spark, monkeypatch, blocks):
+    monkeypatch.setattr(phrases, "layout", lambda docs: blocks)
+    ids, texts = passages(1)
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in phrases.without_repeats(df, digests=True).collect()]
+    assert sorted(got, key=repr) == brute_windows(ids, texts, 13)
+
+
+@pytest.mark.parametrize(("blocks", "hot"), [((1, 1), 64), ((7, 5), 64), ((7, 5), 3)])
+def test_suffixes_match_brute_force(spark, monkeypatch, blocks, hot):
+    monkeypatch.setattr(suffixes, "layout", lambda docs: blocks)
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    ids, texts = passages(2)
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in suffixes.without_passages(df, digests=True).collect()]
+    expected = brute_windows(ids, texts, 50)
+    assert sorted(got, key=repr) == expected and any(e[2] for e in expected)
+    changed = suffixes.without_passages(df, digests=True, changed_only=True)
+    assert sorted(((r.doc_id, r.n_removed) for r in changed.collect()), key=repr) == sorted(((e[0], e[2]) for e in expected if e[2]), key=repr)
+
+
+def test_dedup_of_awkward_rows(spark):
+    for f in (phrases.without_repeats, suffixes.without_passages):
+        got = [(r.doc_id, r.n_words, r.n_removed) for r in f(awkward(spark)).collect()]
+        assert len(got) == 10 and (4, 3000, 0) in got and (7, 3000, 0) not in got and (1, 0, 0) in got
+        assert f(empty(spark)).count() == 0
+
+
+def test_word_hashes_do_not_depend_on_place(spark):
+    import pyarrow as pa
+
+    texts = pa.array(["", "b a", "a  b\nlonger-word", " a", "xé é"])
+    w = grams.words_of(texts)
+    assert [w.text(i, i + 1)[0].decode() for i in range(len(w.hash))] == ["b", "a", "a", "b", "longer-word", "a", "xé", "é"]
+    assert w.row.tolist() == [1, 1, 2, 2, 2, 3, 4, 4] and w.hash[1] == w.hash[2] == w.hash[5] and w.hash[0] == w.hash[3] and len(set(w.hash.tolist())) == 5
+    again = grams.words_of(texts.slice(2, 2))
+    assert again.hash.tolist() == w.hash[2:6].tolist()
+    x = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 50, np.uint64))
+    assert (grams.unpack(grams.pack(x)) == x).all()
+
+
+def brute_hits(text, items):
+    low = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in s or ""))
+    w, hit, found = low(text), set(), set()
+    for item, t in items:
+        v = low(t)
+        n = min(10, len(v))
+        for k in range(len(v) - n + 1) if v else ():
+            for j in range(len(w) - n + 1):
+                if w[j : j + n] == v[k : k + n]:
+                    hit |= set(range(j, j + n))
+                    found.add(item)
+    return len(w), len(hit), sorted(map(str, found))
+
+
+@pytest.mark.parametrize("shard", [8 << 20, 60])
+def test_decontamination_matches_brute_force(spark, shard):
+    items = [(1, "One two, three four five six seven eight nine ten eleven twelve"), (2, "short ITEM"), (10, "short item"), (3, None), (4, "!!"), (5, "é-x Ünder 7"), (None, "no id")]
+    docs = [(1, "say: one TWO three-four five six seven eight nine ten eleven... end"), (2, "a short item, short item"), (3, None), (4, ""), (5, "É-x é x Ünder 7 ünder"), (6, "shortitem one two three"), (7, "a short item, short item")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.overlaps(d, b, shard).collect()}
+    for i, text in docs:
+        assert (got[i].n_words, got[i].n_hit, got[i].item_ids) == brute_hits(text, [x for x in items if x[0] is not None]), i
+    assert docs[0][1][got[1].spans[0].start : got[1].spans[0].end] == "one TWO three-four five six seven eight nine ten eleven"
+    assert {r.doc_id for r in decontaminate.clean(d, b, shard).collect()} == {3, 4, 6}
+    assert decontaminate.overlaps(awkward(spark), b.where("false")).where("contaminated").count() == 0
+    assert decontaminate.overlaps(empty(spark), b).count() == 0
+
+
+def test_toxicity_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    rows = toxicity.scored(docs, model, evidence=True).join(labels, "doc_id").where("held_out").collect()
+    toxic, clean = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
+    assert np.mean([r.predicted for r in toxic]) > 0.85 and np.mean([r.predicted for r in clean]) < 0.03
+    assert all(e.cosine <= 1 + 1e-9 and not toxicity.held_out(e.doc_id) for r in toxic for e in r.evidence)
+    some = {r.doc_id: r for r in rows}
+    texts = {r.doc_id: r.text for r in docs.where(docs.doc_id.isin([r.doc_id for r in toxic[:25]])).collect()}
+    everything = np.zeros((len(model.labels), len(model.terms)))
+    for i, lists in enumerate(model.rows):
+        for b, (at, w) in enumerate(lists):
+            everything[b * toxicity.BLOCK + at, i] = w
+    for i, text in texts.items():  # block-max search against all examples
+        counts = toxicity.Scorer(model).counts(text)
+        if counts:
+            t, w = model.vector(counts)
+            cosines = everything[:, t] @ w
+            order = np.lexsort((np.arange(len(cosines)), -cosines))[: toxicity.NEAREST]
+            assert np.allclose([c for _, c in model.nearest(counts)], [cosines[k] for k in order if cosines[k] > 0])
+            assert [e.cosine for e in some[i].evidence] == [c for _, c in model.nearest(counts)]
+
+
+def test_toxicity_edges(spark):
+    none = toxicity.train(empty(spark), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert {r.score for r in toxicity.scored(awkward(spark), none).collect()} == {0.0}
+    x, y = toxicity.monotone(np.array([0.1, 0.2, 0.2, 0.9]), np.array([0.0, 1.0, 0.0, 1.0]), np.ones(4))
+    assert (np.diff(y) >= 0).all() and (np.diff(x) >= 0).all()
+    assert toxicity.accepted(awkward(spark), none).columns == awkward(spark).columns
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><a href=/>Home</a> Site</header><nav><ul><li><a href="/a">A</a></li></ul></nav>
+<div class="cookie-notice">We use cookies on this site to make it work well for you and all of your friends.</div><article><h1>The  Title</h1><p>First &amp; <b>bold</b>
+words of the &eacute; article.<p>Second.<script>var x = "</p>";</script><form><label>Name</label><input name="n"></form><ul><li>Point one <a href=x>with link</a> here</li></ul></article>
+<section id="comments"><p>A reader writes a long comment about all of this, with many words in it, to be sure it is long.</p></section><aside class="sidebar"><p>Side</p></aside><footer>&copy; me</footer>"""
+
+
+def test_extraction():
+    assert extract.main_text(PAGE) == "The Title\nFirst & bold words of the é article.\nSecond.\nPoint one with link here"
+    assert extract.main_text("") == "" and extract.main_text("<nav><a href=x>y</a></nav>") == "" and extract.main_text("<!-- open <p>a") == ""
+    plain = "<div><p>" + "word " * 40 + "</p><p>" + "more " * 30 + "</p></div>"
+    assert extract.main_text(plain).count("\n") == 1
+    x, y = extract.labelled_table()
+    assert np.mean([extract.is_content(extract.tree(), row) == label for row, label in zip(x.tolist(), y.tolist(), strict=True)]) > 0.97
+
+
+def test_extraction_of_the_given_pages(spark, sf):
+    for r in extract.extracted(spark.read.parquet(f"{sf}/pages.parquet")).join(spark.read.parquet(f"{sf}/pages.parquet"), "page_id").collect():
+        article = regex.search("<article>(.*?)</article>", r.html, regex.DOTALL)[1]
+        plain = [" ".join(extract.html.unescape(re.sub(r"<br>|</?b>", " ", p)).split()) for p in re.split(r"</?p>|</?h1>", article)]
+        assert r.text == "\n".join(p for p in plain if p) and r.n_chars == len(r.text)
+    rows = spark.createDataFrame([(1, None, None), (1, "u", "<p>x"), (None, "u", "")], "page_id long, url string, html string")
+    assert {r.text for r in extract.extracted(rows).collect()} == {""}
+
+
+def test_pii_bases():
+    kinds = [k for _, _, k in pii.ordered(pii.base_spans("+1 (202) 555-0143, 4111 1111 1111 1111; 1.2.3.4 q@w.de"))]
+    assert kinds == ["phone", "card", "ip", "email"]
+    assert pii.base_spans("256.1.1.1 4111111111111112 x@y +12 3") == []
+
+
+def test_pii_gradients():
+    tagger = pii.Tagger(3)
+    tagger.p = {k: v.astype(np.float64) for k, v in tagger.p.items()}
+    text, spans = pii.labelled_text(1, 30)
+    x, y, at = pii.classes(text), pii.tags_of(len(text), spans), np.array([[0], [40]]) + np.arange(20)
+    _, grads = tagger.loss(x[at], y[at])
+    for k, g in grads.items():
+        i = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old, out = tagger.p[k][i], []
+        for d in (1e-4, -1e-4):
+            tagger.p[k][i] = old + d
+            out.append(tagger.loss(x[at], y[at])[0])
+        tagger.p[k][i] = old
+        assert abs((out[0] - out[1]) / 2e-4 - g[i]) < 2e-3, k
+
+
+def test_pii_on_held_out_text(spark):
+    model = pii.tagger()
+    text, spans = pii.labelled_text(4242, 600)
+    found = set(pii.predicted([text], model)[0])
+    assert len(found & set(spans)) / len(found) > 0.95 and len(found & set(spans)) / len(spans) > 0.8
+    assert pii.predicted(["no digits at all " * 50, ""], model) == [[], []]
+    out = pii.personal_data(awkward(spark)).collect()
+    assert len(out) == 10 and all(r.n_added == 0 for r in out)
+    base, every = pii.found(["mail a.b@c.de or ring +1 (202) 555-0143 now"], model)[0]
+    assert [k for *_, k in base] == ["email", "phone"] and set(base) <= set(every)
+    assert pii.masked("ab 1.2.3.4 c", [(3, 10, "ip")]) == "ab [IP] c" and pii.reconcile([(0, 5, "ip", 1.0), (3, 9, "card", 3.0), (9, 12, "ip", 1.0)]) == [(3, 9, "card"), (9, 12, "ip")]
+
+
+def test_windows_overlap_and_hold_every_trigger():
+    text = "x" * 70 + "1" + "x" * 300 + "@" + "y" * 20
+    starts = pii.window_starts(text)
+    for i in (70, 371):
+        assert any(a <= i < a + pii.LENGTH for a in starts)
+    assert all(a % pii.STRIDE == 0 for a in starts) and pii.window_starts("abc") == [] and pii.window_starts("a1") == [0]
+
+
+def test_bpe_and_secrets_and_quality_of_awkward_rows(spark, library):
+    docs = awkward(spark)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in bpe.encoded(docs, PATH).collect():
+        assert r.ids == library.encode_ordinary(texts[r.doc_id]) and r.decoded == texts[r.doc_id]
+    for f in (lambda d: bpe.encoded(d, PATH), lambda d: secrets.secrets(d, PATH, public_tokenizers.PATTERN), quality.quality, pii.redacted, lambda d: bpe.tokenised(d, PATH)):
+        assert f(docs).count() == 10 and f(empty(spark)).count() == 0
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    start = {r.doc_id for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = stage(spark, docs, sf)
+        if name != "bpe":
+            assert docs.columns == before.columns, name
+        docs = docs.checkpoint()
+    ran = corpus_pipeline.run(spark, sf)
+    assert ran.columns == docs.columns and sorted(r.doc_id for r in ran.collect()) == sorted(r.doc_id for r in docs.collect())
+    assert 0.5 * len(start) < docs.count() < len(start)
