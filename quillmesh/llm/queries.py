@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillmesh.llm import bpe, decontaminate, extract, phrases, pii, quality, secrets, simhash, suffixes, toxicity
 from quillmesh.llm.common import table
+from quillmesh.llm.oracle import ORACLE_SQL  # noqa: F401
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -16,7 +17,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.without_passages(table(spark, sf_dir, "documents"), digests=True, changed_only=True)
+    return suffixes.without_passages(table(spark, sf_dir, "documents"), digests=True, changed_only=True).drop("removed_spans")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrases.without_repeats(table(spark, sf_dir, "documents"), digests=True)
+    return phrases.without_repeats(table(spark, sf_dir, "documents"), digests=True).drop("removed_spans")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,4 +54,3 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_suffixes, op3_bpe, op4_quality, op5_secrets, op6_simhash, op7_toxicity, op8_extract, op9_phrases, op10_decontaminate)}
-ORACLE_SQL: dict[str, str] = {}

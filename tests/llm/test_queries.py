@@ -1,0 +1,22 @@
+"""The registered queries that SQL can express, against it, row by row."""
+
+import duckdb
+import pytest
+
+from quillmesh.llm.queries import ORACLE_SQL, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query(spark, sf, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = QUERIES[name](spark, sf)
+    columns = sorted(df.columns)
+    assert sorted(con.sql(ORACLE_SQL[name]).columns) == columns
+    expected = con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(tuple, df.select(*columns).collect())) == sorted(expected) and expected
+
+
+def test_all_ten_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
