@@ -57,25 +57,30 @@ def nearest(rows: DataFrame, targets: DataFrame, key: str, order: str = "id", by
     return rows.join(best, rows[key] == best["_key"], "left").select(rows["*"], F.col("_best.near").alias("near"), F.col("_best.dist").alias("dist"))
 
 
-def _nearest_by_cells(rows: DataFrame, have: DataFrame, key: str, order: str, by: list[str], rounds: int = 12) -> DataFrame:
-    """A target within the cell size of a row is in its cell or one next to it, so what is found within that is final."""
+def _nearest_by_cells(rows: DataFrame, have: DataFrame, key: str, order: str, by: list[str]) -> DataFrame:
+    """A target within the cell size of a row is in its cell or one next to it, so what is found within that is final.
+
+    Cells grow fourfold until no row is left, so rounds follow the logarithm of the farthest distance.
+    """
+    finite = " and ".join(f"{k} is not null and abs({k}) < double('infinity')" for k in AXES)
+    have = have.where(finite)
     spread = have.agg(*[(F.max(k) - F.min(k)).alias(k) for k in AXES], F.count(F.lit(1)).alias("n")).first()
     widest = max(max(spread[k] or 0.0 for k in AXES), 1e-9)
     size = max(widest / max(1.0, spread["n"]) ** (1 / 3), widest / 2**10)
-    open_rows, out = rows.where(" and ".join(f"{k} is not null" for k in AXES)).select(key, *by, *AXES), None
+    open_rows = rows.where(finite).select(key, *by, *AXES)
+    open_rows = open_rows.join(have.select(*by).distinct(), by, "left_semi") if by else open_rows.where(F.lit(spread["n"] > 0))
     dist = F.sqrt(squared("r", "t"))
-    for _ in range(rounds):
+    out = None
+    while True:
         on = [F.col(f"r.{c}") == F.col(f"t.{c}") for c in (*by, "cx", "cy", "cz")]
         pairs = with_neighbour_cells(open_rows, size).alias("r").join(have.select("*", *cell(size, *AXES)).alias("t"), on)
         found = pairs.groupBy(F.col(f"r.{key}").alias("_key")).agg(F.min(F.struct(dist.alias("dist"), F.col(f"t.{order}").alias("near"))).alias("_best")).where(F.col("_best.dist") <= size)
         found = checkpointed(found)
         out = found if out is None else out.unionByName(found)
-        open_rows = open_rows.join(found, open_rows[key] == found["_key"], "left_anti")
+        open_rows = checkpointed(open_rows.join(found, open_rows[key] == found["_key"], "left_anti"))
         if open_rows.isEmpty():
             return out
         size *= 4
-    pairs = open_rows.alias("r").join(have.alias("t"), [F.col(f"r.{c}") == F.col(f"t.{c}") for c in by] or F.lit(True))  # far outside of all targets
-    return out.unionByName(pairs.groupBy(F.col(f"r.{key}").alias("_key")).agg(F.min(F.struct(dist.alias("dist"), F.col(f"t.{order}").alias("near"))).alias("_best")))
 
 
 def clusters(points: DataFrame, radius: float, by: list[str], key: str = "tag_id") -> DataFrame:
