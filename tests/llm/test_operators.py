@@ -306,7 +306,7 @@ def test_toxicity_on_held_out_labels(spark):
     texts = {r.doc_id: r.text for r in docs.where(docs.doc_id.isin([r.doc_id for r in toxic[:25]])).collect()}
     everything = np.zeros((len(model.labels), len(model.terms)))
     for i, lists in enumerate(model.rows):
-        for b, (at, w) in enumerate(lists):
+        for b, (at, w) in lists.items():
             everything[b * toxicity.BLOCK + at, i] = w
     for i, text in texts.items():  # block-max search against all examples
         counts = toxicity.Scorer(model).counts(text)
@@ -416,3 +416,27 @@ def test_pipeline(spark, sf):
     ran = corpus_pipeline.run(spark, sf)
     assert ran.columns == docs.columns and sorted(r.doc_id for r in ran.collect()) == sorted(r.doc_id for r in docs.collect())
     assert 0.5 * len(start) < docs.count() < len(start)
+
+
+def test_pipeline_matches_a_plain_version(spark, sf, library):
+    import pyarrow.parquet as pq
+
+    import corpus_pipeline
+
+    docs = {i: t or "" for i, t in zip(*documents(sf).values(), strict=True)}
+    model = toxicity.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    scorer = toxicity.Scorer(model)
+    docs = {i: t for i, t in docs.items() if model.score(scorer.counts(t))[0] < toxicity.THRESHOLD}
+    ids = sorted(docs)
+    root = brute_components(np.array([brute_fingerprint(docs[i]) for i in ids], np.uint64))
+    docs = {i: docs[i] for k, i in enumerate(ids) if root[k] == k}  # ids are sorted, so a root is its group's smallest
+    low = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in s or ""))
+    items = set()
+    for text in pq.read_table(f"{sf}/benchmark.parquet").to_pydict()["text"]:
+        w = low(text)
+        items |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(x) for x in items}
+    docs = {i: t for i, t in docs.items() if not any(tuple(w[k : k + n]) in items for w in [low(t)] for n in sizes for k in range(len(w) - n + 1))}
+    tagger = pii.tagger()
+    expected = {i: library.encode_ordinary(pii.masked(t, pii.found([t], tagger)[0][1])) for i, t in docs.items()}
+    assert {r.doc_id: r.ids for r in corpus_pipeline.run(spark, sf).collect()} == expected and 100 < len(expected) < 200
