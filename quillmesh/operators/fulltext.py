@@ -7,21 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmesh.functions import text as t
+from quillmesh.operators.parallel import spread
 
 K1, B = 1.2, 0.75
 #: Weights of a chunk's section path and of its text; share of a question's words that an answer must hold.
 SECTION_WEIGHT, TEXT_WEIGHT, MIN_COVERAGE = 4, 1, 0.6
 
 
-def postings(chunks: DataFrame, key: str) -> DataFrame:
-    """(chunk, term, tf, dl): weighted occurrences, and the chunk's length. Written once, it serves all questions."""
+def postings(chunks: DataFrame, key: str, terms: DataFrame | None = None) -> DataFrame:
+    """(chunk, term, tf, dl): weighted occurrences, and the chunk's length. Written once, it serves all questions.
+
+    With terms (term), of those alone: other words are left out before anything is counted or dealt out.
+    """
     own = chunks.select(F.col(key).alias("chunk"), t.tokens(F.coalesce("section", F.lit(""))).alias("s"), t.tokens(F.coalesce("text", F.lit(""))).alias("b"))
 
     def weighted(words: str, weight: int):
         return F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(weight).alias("w")))
 
     each = own.select("chunk", (F.size("s") + F.size("b")).alias("dl"), F.explode(F.concat(weighted("s", SECTION_WEIGHT), weighted("b", TEXT_WEIGHT))).alias("t"))
-    return each.groupBy("chunk", "dl", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("tf"))
+    each = each.select("chunk", "dl", "t.term", "t.w")
+    if terms is not None:
+        each = each.join(terms, "term", "left_semi")
+    return each.groupBy("chunk", "dl", "term").agg(F.sum("w").alias("tf"))
 
 
 def question_words(questions: DataFrame, key: str) -> DataFrame:
@@ -36,8 +43,9 @@ def search(chunks: DataFrame, questions: DataFrame, chunk_key: str, question_key
     order of these steps is part of the meaning.
     """
     words = question_words(questions, question_key)
+    chunks = spread(chunks)
     lengths = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(t.tokens(F.coalesce("section", F.lit("")))) + F.size(t.tokens(F.coalesce("text", F.lit(""))))).alias("mean"))
-    own = postings(chunks, chunk_key).join(words.select("term").distinct(), "term", "left_semi")
+    own = postings(chunks, chunk_key, words.select("term").distinct())
     df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     matched = own.join(words.join(df, "term"), "term").join(F.broadcast(lengths))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
