@@ -39,6 +39,16 @@ def schema_of(ddl: str) -> tuple[StructType, pa.Schema]:
     return spark_schema, to_arrow_schema(spark_schema)
 
 
+#: Files of less than so many bytes in all, and fewer than the cluster has cores, are dealt out first.
+FEW_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of a few small files over all cores; any other frame as it is."""
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
+    return df.repartition(cores) if 0 < files < cores and input_bytes(df) < FEW_BYTES else df
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], list[list]]], ddl: str) -> DataFrame:
     """Rows of (doc_id, text) through a Python kernel, in Arrow batches and without a shuffle.
 
@@ -53,7 +63,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], list[list
                 columns = kernel(part.column(0).to_pylist(), part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, spark_schema)
+    return spread(df).mapInArrow(run, spark_schema)
 
 
 def append_texts(docs: DataFrame, make: Callable[[], Callable[[list, list], list[list]]], ddl: str) -> DataFrame:
