@@ -65,7 +65,7 @@ class Model:
     ids: np.ndarray
     weight: np.ndarray  # of a vote, by which sampling is undone
     none: float  # score of a text without terms
-    rows: list[list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)  # by term and block: examples, weights
+    rows: list[dict[int, tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)  # by term, then block: examples, weights
     most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # by term and block
     steps: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(1), np.zeros(1)))
 
@@ -84,8 +84,9 @@ class Model:
                 break
             score = np.zeros(BLOCK)
             for i, x in zip(t.tolist(), w.tolist(), strict=True):
-                at, value = self.rows[i][b]
-                score[at] += x * value
+                if b in self.rows[i]:
+                    at, value = self.rows[i][b]
+                    score[at] += x * value
             here = np.flatnonzero(score > 0)
             best += [(float(score[j]), b * BLOCK + j) for j in here.tolist() if b * BLOCK + j != without]
             best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
@@ -116,27 +117,39 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p for p, _ in points]), np.array([v for _, v in points])
 
 
+def choose(texts: list[str], labels: list[int], n1: int, n0: int) -> tuple[list[str], list[int]]:
+    """The terms that tell the labels apart best, and how many texts have each.
+
+    Terms are counted by their hashes, eight bytes for each term of a text, and named in a second reading.
+    """
+    by_label: dict[int, list[np.ndarray]] = {0: [], 1: []}
+    for text, label in zip(texts, labels, strict=True):
+        by_label[label].append(np.array([hash(t) for t in terms_of(text)], np.int64))
+    every = {k: np.unique(np.concatenate([*v, np.zeros(0, np.int64)]), return_counts=True) for k, v in by_label.items()}
+    codes = np.union1d(every[0][0], every[1][0])
+    with_term = np.zeros((2, len(codes)))
+    for k, (code, n) in every.items():
+        with_term[k, np.searchsorted(codes, code)] = n
+    b, a = with_term
+    p = (a + b) / (n1 + n0)
+    z = np.abs(a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
+    good = (a + b >= 5) & (z > 6)
+    gain = {c: (-round(float(v), 9), int(n)) for c, v, n in zip(codes[good].tolist(), z[good], (a + b)[good], strict=True)}
+    named = {t: gain[c] for text in texts for t in terms_of(text) if (c := hash(t)) in gain} if gain else {}
+    chosen = sorted(named, key=lambda t: (named[t][0], t))[:TERMS]
+    return chosen, [named[t][1] for t in chosen]
+
+
 def fit(ids: list[int], texts: list[str], labels: list[int], totals: dict[int, int]) -> Model:
     """totals: how many rows of each label there were to sample from."""
     if not ids:
         return Model({}, np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), 0.0)
-    y, counted = np.array(labels), [terms_of(text) for text in texts]
+    y = np.array(labels)
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    with_term = Counter(), Counter()
-    for c, label in zip(counted, labels, strict=True):
-        with_term[label].update(c.keys())
-    gain = []
-    for t in {*with_term[0], *with_term[1]}:
-        a, b = with_term[1][t], with_term[0][t]
-        if a + b >= 5:
-            p = (a + b) / (n1 + n0)
-            z = (a / n1 - b / n0) / math.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-            if abs(z) > 6:
-                gain.append((-abs(z), t))
-    chosen = [t for _, t in sorted(gain)[:TERMS]]
+    chosen, seen = choose(texts, labels, n1, n0)
     terms = {t: i for i, t in enumerate(chosen)}
-    idf = np.array([math.log((1 + len(y)) / (1 + with_term[0][t] + with_term[1][t])) + 1 for t in chosen])
-    bags = [{terms[t]: n for t, n in c.items() if t in terms} for c in counted]
+    idf = np.array([math.log((1 + len(y)) / (1 + n)) + 1 for n in seen])
+    bags = [{terms[t]: n for t, n in terms_of(text).items() if t in terms} for text in texts]
     weight = np.where(y == 1, totals.get(1, n1) / n1, totals.get(0, n0) / n0)
     empty = np.array([not b for b in bags])
     prior = float((weight * y).sum() / weight.sum())
@@ -144,15 +157,15 @@ def fit(ids: list[int], texts: list[str], labels: list[int], totals: dict[int, i
     model = Model(terms, idf, y, np.array(ids, np.int64), weight, none)
     blocks = -(-len(y) // BLOCK)
     model.most = np.zeros((len(terms), blocks), np.float32)
-    lists: list[list[tuple[list, list]]] = [[([], []) for _ in range(blocks)] for _ in terms]
+    lists: list[dict[int, tuple[list, list]]] = [{} for _ in terms]
     for j, bag in enumerate(bags):
         if bag:
             for i, w in zip(*(v.tolist() for v in model.vector(bag)), strict=True):
-                at, value = lists[i][j // BLOCK]
+                at, value = lists[i].setdefault(j // BLOCK, ([], []))
                 at.append(j % BLOCK)
                 value.append(w)
                 model.most[i, j // BLOCK] = max(model.most[i, j // BLOCK], np.nextafter(np.float32(w), np.float32(2)))
-    model.rows = [[(np.array(a, np.int64), np.array(v)) for a, v in row] for row in lists]
+    model.rows = [{b: (np.array(a, np.int64), np.array(v)) for b, (a, v) in row.items()} for row in lists]
     votes = [(j, model.vote(near)) for j, bag in enumerate(bags) if bag and (near := model.nearest(bag, without=j))]
     if votes:
         at = np.array([j for j, _ in votes])
