@@ -206,7 +206,11 @@ def one_of_each(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """The documents without those whose component has one of a smaller doc_id (a null one is the largest), or, ids being equal, of a smaller hash of the text."""
     own, nodes = grouped(docs, shingle)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    first = own.groupBy("print").agg(F.min(rank).alias("first")).join(nodes, "print").groupBy("root").agg(F.min("first").alias("first"))
+    return firsts(docs, own.groupBy("print").agg(F.min(rank).alias("first")).join(nodes, "print").groupBy("root").agg(F.min("first").alias("first")))
+
+
+def firsts(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The documents that `first` (doc_id, text_key) names, each once."""
     key, row, at_id, at_key = (unused(docs, n) for n in ("_key", "_row", "_kept_id", "_kept_key"))
     kept = first.select(F.col("first.doc_id").alias(at_id), F.col("first.text_key").alias(at_key))
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
