@@ -17,7 +17,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.without_passages(table(spark, sf_dir, "documents"), digests=True, changed_only=True).drop("removed_spans")
+    return suffixes.without_passages(table(spark, sf_dir, "documents"), digests=True).drop("removed_spans")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
