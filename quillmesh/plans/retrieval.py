@@ -87,7 +87,7 @@ def a22_search_recall(spark, sf_dir):
 def o4_common_words(spark, sf_dir):
     """Texts that share words, and how many: an equi-join on words."""
     q = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(t.tokens(c("text")))).alias("term"))
-    d = table(spark, sf_dir, "documents").where("length(text) < 200").select("doc_id", F.explode(F.array_distinct(t.tokens(c("text")))).alias("term"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(t.tokens(c("text")))).alias("term"))
     return q.join(d, "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("common"))
 
 

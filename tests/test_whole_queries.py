@@ -1,5 +1,6 @@
 """Registered queries work on the whole table, against plain versions."""
 
+import re
 from collections import defaultdict
 
 from quillmesh.operators import greedy
@@ -21,3 +22,11 @@ def test_suppression_of_all_images(spark, sf):
         expected += [(r.image, r["class"], r.n, r.part) for r in kept]
     got = [(r.image, r["class"], r.n, r.part) for r in QUERIES["k1_non_maximum_suppression"](spark, sf).collect()]
     assert sorted(got) == sorted(expected) and any(i % 10 for i, *_ in got)
+
+
+def test_common_words_of_long_documents(spark, sf):
+    words = lambda s: set(re.findall("[a-z0-9_]+", (s or "").lower()))
+    docs = {r.doc_id: words(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    asked = {r.item_id: words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    expected = {(i, d, len(a & b)) for i, a in asked.items() for d, b in docs.items() if a & b}
+    assert {(r.item_id, r.doc_id, r.common) for r in QUERIES["o4_common_words"](spark, sf).collect()} == expected
