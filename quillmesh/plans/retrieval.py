@@ -139,16 +139,11 @@ def f27_document_names(spark, sf_dir):
 _LINES = "lines AS (SELECT doc_id, unnest(range(0, len(l))) AS ord, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)))"
 
 
-def _first_copies(spark, sf_dir):
-    """Each text once, under its smallest id."""
-    return table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-
-
 @query(f"""WITH RECURSIVE {_LINES}, w AS (SELECT doc_id, ord, CAST(0 AS INT) AS chunk, length(line) AS size FROM lines WHERE ord = 0 UNION ALL
 SELECT l.doc_id, l.ord, CAST(CASE WHEN w.size + 1 + length(l.line) > 2200 THEN w.chunk + 1 ELSE w.chunk END AS INT), CASE WHEN w.size + 1 + length(l.line) > 2200 THEN length(l.line) ELSE w.size + 1 + length(l.line) END FROM w JOIN lines l ON l.doc_id = w.doc_id AND l.ord = w.ord + 1)
 SELECT doc_id, chunk, count(*) AS lines, max(size) AS n_chars FROM w GROUP BY doc_id, chunk HAVING max(size) >= 40""")
 def w4_f43_greedy_chunks(spark, sf_dir):
-    out = chunking.chunks(_first_copies(spark, sf_dir))
+    out = chunking.chunks(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "chunk", F.size(F.split("text", "\n")).cast("long").alias("lines"), F.length("text").cast("long").alias("n_chars"))
 
 
@@ -162,7 +157,7 @@ _HEADED = f"{_LINES}, headed AS (SELECT doc_id, ord, CASE WHEN length(line) < 60
 
 def _headed(spark, sf_dir):
     n = F.length("line")
-    return chunking.lines(_first_copies(spark, sf_dir)).select("doc_id", "ord", F.when(n < 60, 1 + n % 3).alias("level"), F.substring("line", 1, 12).alias("title"))
+    return chunking.lines(table(spark, sf_dir, "documents")).select("doc_id", "ord", F.when(n < 60, 1 + n % 3).alias("level"), F.substring("line", 1, 12).alias("title"))
 
 
 @query(f"""WITH {_HEADED}, a AS (SELECT *, last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER w AS h1, count(CASE WHEN level <= 1 THEN 1 END) OVER w AS g1, count(CASE WHEN level <= 2 THEN 1 END) OVER w AS g2 FROM headed WINDOW w AS (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING)),
@@ -174,14 +169,14 @@ def w5_breadcrumbs(spark, sf_dir):
 
 @query(f"WITH {_LINES}, p AS (SELECT doc_id, ord, CAST(floor(ord / 5.0) AS INT) + 1 AS page FROM lines), m AS (SELECT *, lag(page) OVER (PARTITION BY doc_id ORDER BY ord) AS before FROM p) SELECT doc_id, CAST(ord AS INT) AS ord, page FROM m WHERE before IS NULL OR before <> page")
 def w6_page_markers(spark, sf_dir):
-    p = chunking.lines(_first_copies(spark, sf_dir)).select("doc_id", "ord", (F.floor(c("ord") / 5).cast("int") + 1).alias("page"))
+    p = chunking.lines(table(spark, sf_dir, "documents")).select("doc_id", "ord", (F.floor(c("ord") / 5).cast("int") + 1).alias("page"))
     before = F.lag("page").over(Window.partitionBy("doc_id").orderBy("ord"))
     return p.withColumn("before", before).where("before is null or before <> page").select("doc_id", "ord", "page")
 
 
 @query(f"WITH {_LINES}, r AS (SELECT doc_id, 8 + length(line) % 4 AS size, sum(length(line)) AS chars FROM lines GROUP BY 1, 2) SELECT doc_id, CAST(size AS INT) AS body FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, size) = 1")
 def a11_body_font(spark, sf_dir):
-    runs = chunking.lines(_first_copies(spark, sf_dir)).select("doc_id", (8 + F.length("line") % 4).alias("size"), F.length("line").alias("chars"))
+    runs = chunking.lines(table(spark, sf_dir, "documents")).select("doc_id", (8 + F.length("line") % 4).alias("size"), F.length("line").alias("chars"))
     return chunking.body_size(runs, "doc_id").select("doc_id", c("body").cast("int").alias("body"))
 
 
@@ -189,7 +184,7 @@ def a11_body_font(spark, sf_dir):
 rep AS (SELECT m.doc_id, k FROM m JOIN pages USING (doc_id) GROUP BY m.doc_id, k, n HAVING count(*) >= greatest(2, 0.2 * n)) SELECT doc_id, count(*) AS kept FROM m WHERE NOT (ord % 5 IN (0, 4) AND EXISTS (SELECT 1 FROM rep WHERE rep.doc_id = m.doc_id AND rep.k = m.k)) GROUP BY doc_id""")
 def f42_s8_margin_filter(spark, sf_dir):
     """Lines at the edge of a page whose text repeats over pages go."""
-    m = chunking.lines(_first_copies(spark, sf_dir)).select("doc_id", "ord", F.floor(c("ord") / 5).cast("int").alias("page"), F.substring("line", 1, 2).alias("k"))
+    m = chunking.lines(table(spark, sf_dir, "documents")).select("doc_id", "ord", F.floor(c("ord") / 5).cast("int").alias("page"), F.substring("line", 1, 2).alias("k"))
     rep = chunking.repeating_margins(m, "doc_id", "page", "k").withColumn("repeats", F.lit(True))
     kept = m.join(rep, ["doc_id", "k"], "left").where(~((c("ord") % 5).isin(0, 4) & F.coalesce("repeats", F.lit(False))))
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))

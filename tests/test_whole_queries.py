@@ -3,6 +3,8 @@
 import re
 from collections import defaultdict
 
+import pytest
+
 from quillmesh.operators import greedy
 from quillmesh.plans import inputs, relational, retrieval, spatial  # noqa: F401  they register their queries
 from quillmesh.plans.registry import QUERIES
@@ -30,3 +32,13 @@ def test_common_words_of_long_documents(spark, sf):
     asked = {r.item_id: words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     expected = {(i, d, len(a & b)) for i, a in asked.items() for d, b in docs.items() if a & b}
     assert {(r.item_id, r.doc_id, r.common) for r in QUERIES["o4_common_words"](spark, sf).collect()} == expected
+
+
+@pytest.mark.parametrize("name", ["w4_f43_greedy_chunks", "w5_breadcrumbs", "w6_page_markers", "a11_body_font", "f42_s8_margin_filter"])
+def test_every_copy_of_a_text_has_its_rows(spark, tmp_path, name):
+    text = "\n".join(f"line {k} has words enough to make a chunk" for k in range(12))
+    spark.createDataFrame([(i, text) for i in (1, 2, 3)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = defaultdict(list)
+    for r in QUERIES[name](spark, str(tmp_path)).collect():
+        rows[r.doc_id].append(tuple(r)[1:])
+    assert sorted(rows) == [1, 2, 3] and sorted(rows[1]) == sorted(rows[2]) == sorted(rows[3])
