@@ -121,9 +121,9 @@ def f25_question_terms(spark, sf_dir):
 
 @query("""SELECT item_id, lower(trim(regexp_replace(left(text, 60), '\\s+', ' ', 'g'))) AS collapsed, regexp_replace(lower(trim(regexp_replace(item_id || '.2  Page ' || left(text, 20), '\\s+', ' ', 'g'))), '[0-9]+', '#', 'g') AS margin, trim(left(text, 20)) AS title FROM benchmark""")
 def f26_text_keys(spark, sf_dir):
-    numbered = F.concat(c("item_id").cast("string"), F.lit(".2  Page "), F.substring("text", 1, 20))
-    title = t.strip_number(F.concat(c("item_id").cast("string"), F.lit(".2 "), F.substring("text", 1, 20)))
-    return table(spark, sf_dir, "benchmark").select("item_id", t.collapse(F.substring("text", 1, 60)).alias("collapsed"), t.margin_key(numbered).alias("margin"), title.alias("title"))
+    numbered = F.concat(c("item_id").cast("string"), F.lit(".2  Page "), "text")
+    title = t.strip_number(F.concat(c("item_id").cast("string"), F.lit(".2 "), "text"))
+    return table(spark, sf_dir, "benchmark").select("item_id", t.collapse(c("text")).alias("collapsed"), t.margin_key(numbered).alias("margin"), title.alias("title"))
 
 
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '2NGA' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') WHEN s_suppkey % 3 = 1 THEN lpad(CAST(s_suppkey AS VARCHAR), 6, '0') END AS number, CASE WHEN s_suppkey % 3 = 0 THEN 'manual' WHEN s_suppkey % 3 = 1 THEN 'technical manual' END AS type FROM supplier")
@@ -184,7 +184,7 @@ def a11_body_font(spark, sf_dir):
 rep AS (SELECT m.doc_id, k FROM m JOIN pages USING (doc_id) GROUP BY m.doc_id, k, n HAVING count(*) >= greatest(2, 0.2 * n)) SELECT doc_id, count(*) AS kept FROM m WHERE NOT (ord % 5 IN (0, 4) AND EXISTS (SELECT 1 FROM rep WHERE rep.doc_id = m.doc_id AND rep.k = m.k)) GROUP BY doc_id""")
 def f42_s8_margin_filter(spark, sf_dir):
     """Lines at the edge of a page whose text repeats over pages go."""
-    m = chunking.lines(table(spark, sf_dir, "documents")).select("doc_id", "ord", F.floor(c("ord") / 5).cast("int").alias("page"), F.substring("line", 1, 2).alias("k"))
+    m = chunking.lines(table(spark, sf_dir, "documents")).select("doc_id", "ord", F.floor(c("ord") / 5).cast("int").alias("page"), t.margin_key(c("line")).alias("k"))
     rep = chunking.repeating_margins(m, "doc_id", "page", "k").withColumn("repeats", F.lit(True))
     kept = m.join(rep, ["doc_id", "k"], "left").where(~((c("ord") % 5).isin(0, 4) & F.coalesce("repeats", F.lit(False))))
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))

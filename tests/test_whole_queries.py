@@ -42,3 +42,17 @@ def test_every_copy_of_a_text_has_its_rows(spark, tmp_path, name):
     for r in QUERIES[name](spark, str(tmp_path)).collect():
         rows[r.doc_id].append(tuple(r)[1:])
     assert sorted(rows) == [1, 2, 3] and sorted(rows[1]) == sorted(rows[2]) == sorted(rows[3])
+
+
+def test_margins_are_whole_lines(spark, tmp_path):
+    pages = [[f"th{k}e head that differs {chr(97 + k)}", "a", "b", "c", f"Page  {k} of the book"] for k in range(4)]
+    text = "\n".join(line for page in pages for line in page)
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["f42_s8_margin_filter"](spark, str(tmp_path)).first().kept == 16  # the four last lines of pages go
+
+
+def test_text_keys_of_whole_texts(spark, tmp_path):
+    text = "Word  12 " * 20 + "END 7"
+    spark.createDataFrame([(3, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = QUERIES["f26_text_keys"](spark, str(tmp_path)).first()
+    assert (got.collapsed, got.margin, got.title) == ("word 12 " * 20 + "end 7", "#.# page " + "word # " * 20 + "end #", text)
