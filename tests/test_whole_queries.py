@@ -56,3 +56,15 @@ def test_text_keys_of_whole_texts(spark, tmp_path):
     spark.createDataFrame([(3, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = QUERIES["f26_text_keys"](spark, str(tmp_path)).first()
     assert (got.collapsed, got.margin, got.title) == ("word 12 " * 20 + "end 7", "#.# page " + "word # " * 20 + "end #", text)
+
+
+def test_every_order_has_its_place(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_totalprice").collect()
+    ranked = sorted(orders, key=lambda r: (r.o_orderkey % 3 != 0, r.o_totalprice if r.o_orderkey % 3 else 0, r.o_orderkey))
+    assert {r.o_orderkey: r.place for r in QUERIES["t1_t2_nulls_first"](spark, sf).collect()} == {r.o_orderkey: k for k, r in enumerate(ranked, 1)}
+
+
+def test_an_empty_list_of_documents_filters_nothing(spark, sf):
+    keys = sorted(r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect())
+    got = QUERIES["p3_p4_in_lists"](spark, sf).where("asked = 'unfiltered'")
+    assert sorted(r.p_partkey for r in got.collect()) == keys
