@@ -1,7 +1,11 @@
-"""Words of many texts at once: positions and hashes with numpy over Arrow's own buffers, and packed columns of hashes.
+"""Words of many texts at once: positions and hashes with numpy over Arrow's own buffers, and exchanges of packed items.
 
 A word's hash is a polynomial over a random table of byte values, brought to the word's own start and mixed; a window's
 hash is a polynomial over word hashes. Equal words and windows have equal hashes wherever they stand.
+
+Documents are dealt into blocks and hashes into buckets, both in proportion to the input. Items go from blocks to buckets
+and back in an Exchange: one row for each pair of sender and target while there are few targets, and beyond `FAN` of them
+in two steps, by zones of targets first, so that rows grow with the items and never with the square of the input.
 """
 
 from __future__ import annotations
@@ -23,8 +27,10 @@ _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 #: A doc_id that is null counts as the largest.
 NO_ID = np.int64((1 << 63) - 1)
-#: Bytes of input files for each block of documents, and for each bucket of hashes; and the most buckets.
-BLOCK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 4 << 20, 1 << 17
+#: Bytes of input files for each block of documents, and for each bucket of hashes.
+BLOCK_BYTES = BUCKET_BYTES = 4 << 20
+#: Most targets to which a sender has rows of its own; more are reached in two steps.
+FAN = 1 << 14
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -116,35 +122,94 @@ def windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Small 64-bit integers byte plane by byte plane, so that codecs find the zeros."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Integers byte plane by byte plane, so that codecs find the zeros."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
+
+
+def unplanes(b: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+class Exchange:
+    """Items, columns of equal length, on their way to numbered targets.
+
+    A field is "delta" (64-bit hashes, sent as differences), the name of an integer type, or "raw:type:width" (rows of
+    `width` values). A row of the exchange holds the items of one sender for one target, a binary for each field.
+    """
+
+    def __init__(self, targets: int, **fields: str):
+        self.zone = -(-targets // FAN)  # targets that share the rows of the first step
+        self.salts = -(-self.zone // 8)  # tasks of a zone in the second
+        self.fields = {**({"target": "i4"} if self.zone > 1 else {}), **fields}
+        self.schema = pa.schema([("at", pa.int32()), ("kind", pa.int32()), ("salt", pa.int32()), *[(f, pa.binary()) for f in self.fields]])
+        self.ddl = ", ".join(["at int, kind int, salt int", *[f"{f} binary" for f in self.fields]])
+
+    def pack(self, at: np.ndarray, kind: int, salt: int, columns: dict[str, np.ndarray]) -> list[tuple]:
+        """Rows of items whose `at` is sorted; a field that is not among the columns is null."""
+        if not len(at):
+            return []
+        cut = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+        return [(int(at[i]), kind, salt, *[_encoded(columns[f][i:j], how) if f in columns else None for f, how in self.fields.items()]) for i, j in zip(cut, cut[1:], strict=False)]
+
+    def rows(self, target: np.ndarray, sender: int, kind: int = 0, **columns: np.ndarray) -> list[tuple]:
+        """Rows of one sender; targets are sorted."""
+        if self.zone > 1:
+            columns["target"] = target.astype(np.int32)
+        return self.pack(target // self.zone, kind, sender % self.salts, columns)
+
+    def table(self, rows: list[tuple]) -> pa.Table:
+        return table_of(rows, self.schema)
+
+    def columns(self, table: pa.Table) -> dict[str, np.ndarray]:
+        """Items of a group of rows of one kind."""
+        kept = {f: [b for b in table[f].to_pylist() if b is not None] for f in self.fields}
+        return {f: np.concatenate([_decoded(b, self.fields[f]) for b in parts]) for f, parts in kept.items() if parts}
+
+    def delivered(self, rows: DataFrame) -> DataFrame:
+        """Rows whose `at` is the target itself, to be grouped by it."""
+        return rows if self.zone == 1 else rows.groupBy("at", "kind", "salt").applyInArrow(lambda t: self._resent(t), self.ddl)
+
+    def _resent(self, table: pa.Table) -> pa.Table:
+        own = self.columns(table)
+        order = np.argsort(own["target"], kind="stable")
+        own = {f: x[order] for f, x in own.items()}
+        return self.table(self.pack(own["target"], table["kind"][0].as_py(), table["salt"][0].as_py(), own))
+
+
+def _encoded(x: np.ndarray, how: str) -> bytes:
+    if how == "delta":
+        return planes(np.diff(x.astype(np.uint64, copy=False), prepend=np.uint64(0)))
+    return x.tobytes() if how.startswith("raw") else planes(x.astype(how, copy=False))
 
 
-def unplanes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
+def _decoded(b: bytes, how: str) -> np.ndarray:
+    if how == "delta":
+        return np.cumsum(unplanes(b, "u8"), dtype=np.uint64)
+    if how.startswith("raw"):
+        _, kind, width = how.split(":")
+        return np.frombuffer(b, kind).reshape(-1, int(width))
+    return unplanes(b, how)
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Sorted 64-bit integers as differences, in planes."""
-    return planes(np.diff(x.astype(np.uint64, copy=False), prepend=np.uint64(0)))
+def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def unpack(b: bytes) -> np.ndarray:
-    return np.cumsum(unplanes(b).view(np.uint64), dtype=np.uint64)
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of hashes, so they are sorted where the hashes are."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def bucket_edges(sorted_hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) for the buckets that have any of the hashes."""
-    of = ((sorted_hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    cut = np.flatnonzero(np.diff(of)) + 1
-    at = [0, *cut.tolist(), len(of)]
-    return [(int(of[a]), a, b) for a, b in zip(at, at[1:], strict=False)] if len(of) else []
+def among(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which x are among the sorted values."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
 
 
 def layout(docs: DataFrame) -> tuple[int, int]:
     """Numbers of blocks of documents and of buckets of hashes, in proportion to the input."""
     size = input_bytes(docs)
-    return min(1 << 30, max(1, -(-size // BLOCK_BYTES))), min(MOST_BUCKETS, max(1, -(-size // BUCKET_BYTES)))
+    return max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // BUCKET_BYTES))
 
 
 def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:

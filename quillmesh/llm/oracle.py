@@ -12,7 +12,7 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _PLAIN_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 
-def repeated_windows(n: int, changed_only: bool) -> str:
+def repeated_windows(n: int) -> str:
     return f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 g AS (SELECT doc_id, i, sha256(array_to_string(w[i:i+{n - 1}], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM d)),
 f AS (SELECT h, min(doc_id) AS first FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1),
@@ -20,7 +20,7 @@ r AS (SELECT DISTINCT doc_id, unnest(range(i, i + {n})) AS k FROM g JOIN f USING
 x AS (SELECT doc_id, list(k) AS gone FROM r GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
 sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda v, k: NOT list_contains(gone, k)) END, ' '), '')) AS kept_sha256
-FROM d {"" if changed_only else "LEFT "}JOIN x USING (doc_id)"""
+FROM d LEFT JOIN x USING (doc_id)"""
 
 
 DECONTAMINATE = f"""WITH d AS (SELECT doc_id, {_PLAIN_WORDS} AS w FROM documents), b AS (SELECT item_id, {_PLAIN_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
@@ -44,8 +44,8 @@ NOT base_failed AND NOT (n_symbols > 0.05 * word_chars OR n_dup_lines > 0.5 * le
 OR (n_words >= 50 AND len(list_distinct(w)) < 0.1 * n_words) OR length(regexp_replace(text, '[^\\p{{Nd}}]', '', 'g')) > 0.5 * word_chars OR length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) > 0.5 * length(regexp_replace(text, '[^\\p{{L}}]', '', 'g'))) AS kept FROM v"""
 
 ORACLE_SQL = {
-    "op2_suffixes": repeated_windows(PASSAGE_WINDOW, changed_only=True),
+    "op2_suffixes": repeated_windows(PASSAGE_WINDOW),
     "op4_quality": QUALITY,
-    "op9_phrases": repeated_windows(PHRASE_WINDOW, changed_only=False),
+    "op9_phrases": repeated_windows(PHRASE_WINDOW),
     "op10_decontaminate": DECONTAMINATE,
 }

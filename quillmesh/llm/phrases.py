@@ -4,17 +4,25 @@ A window is 13 words of one document. A word goes if some window over it also st
 
 1. Documents are dealt into blocks. A block sends each of its window hashes once, with the smallest doc_id that has it, to
    the hash's bucket.
-2. A bucket confirms windows that several blocks hold, and tells every block but the one with the smallest doc_id.
-3. With that, and with what it sees in itself, a block knows its documents' recurring passages (unbroken runs of
-   confirmed windows). They are compiled into one Aho-Corasick automaton over words, the block's shard, through which all
-   of the block's documents are streamed; each occurrence of a passage, in a document not below the passage's own, is
-   taken out.
-
-A shard holds only passages of its block, so it is bounded by the block; a document meets every passage it can contain
-because the buckets have seen all windows. A window in very many documents costs each block one entry.
+2. A bucket confirms windows that several blocks hold. Every holder but the first asks one of the holders before it, whose
+   doc_id is smaller, for the words. Holders ask in a tree of `ASKERS` branches, so nobody answers for a window that all
+   blocks hold.
+3. A block that is asked answers with passages: the words of unbroken runs of asked windows, and the doc_id they stand in.
+4. A block compiles the passages of other blocks, and those that repeat inside it, into an Aho-Corasick automaton over
+   words, its shard, and streams all its documents through it. Keys are the passages cut into pieces of seven words: a
+   window of 13 covers one of them whole. Each occurrence of a piece is followed left and right as far as passage and
+   document agree, word by word, and 13 words or more of a passage from a smaller doc_id are taken out.
+
+Hashes only choose what is asked for: a word goes because the automaton found it and its neighbours in the words of
+another document. Two windows of one bucket may have one hash by chance (48 bits within a bucket: once in 10^8 repeated
+windows at any size of the input); such a window could be missed, never taken out wrongly.
+
+A shard holds only passages that its block asked for, so it is bounded by the block; a document meets every passage it can
+contain because the buckets have seen all windows.
 
 Cases: a null or empty text has no words; a text below 13 words has no window and stays whole; a null doc_id counts as the
-largest; rows that repeat a doc_id are not smaller than each other; an empty table gives an empty result.
+largest; rows that repeat a doc_id are not smaller than each other; an empty table gives an empty result; columns other than
+doc_id and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -25,100 +33,162 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillmesh.llm.common import sha256
-from quillmesh.llm.grams import block_rows, bucket_edges, in_blocks, layout, least_of_equal, pack, planes, runs, unpack, unplanes, windows
+from quillmesh.llm.grams import Exchange, Words, block_rows, bucket_of, in_blocks, layout, planes, runs, table_of, unplanes, windows
 
 WINDOW = 13
-_SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("least", pa.binary())])
-_TOLD = pa.schema([("block", pa.int32()), ("hashes", pa.binary())])
+#: Holders of a window that one holder answers.
+ASKERS = 16
+#: Bits of a hash within its bucket.
+BUCKET_BITS = 48
+_PASSAGES = pa.schema([("block", pa.int32()), ("owners", pa.binary()), ("words", pa.binary())])
 
 
-def send(table: pa.Table, window: int, buckets: int) -> pa.Table:
-    """A block's window hashes, each once with the smallest doc_id that has it."""
-    ids, _, words = block_rows(table)
+def first_windows(table: pa.Table, window: int, buckets: int) -> tuple[list, Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's ids and words, and its different windows, sorted by hash: hash, first place, and the doc_id there and at the last place."""
+    ids, shown, words = block_rows(table)
     h, whole = windows(words, window)
-    h, doc = h[whole], ids[words.row[: len(whole)][whole]]
+    at = np.flatnonzero(whole)
+    h = h[at] >> np.uint64(max(0, 64 - BUCKET_BITS - buckets.bit_length() + 1))
     order = np.argsort(h, kind="stable")  # documents are in the order of their ids
-    h, doc = h[order], doc[order]
+    h, at = h[order], at[order]
     head = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-    h, doc = h[head], doc[head]
+    tail = np.concatenate([head[1:], [True]]) if len(h) else head
+    doc = ids[words.row[at]]
+    return shown, words, h[head], at[head], doc[head], doc[tail]
+
+
+def send(table: pa.Table, window: int, buckets: int, out: Exchange) -> pa.Table:
+    """A block's windows, each once with the smallest doc_id that has it."""
+    _, _, h, _, doc, _ = first_windows(table, window, buckets)
     block = table["block"][0].as_py()
-    rows = [(b, block, pack(h[i:j]), planes(doc[i:j])) for b, i, j in bucket_edges(h, buckets)]
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT) if rows else _SENT.empty_table()
-
-
-def confirm(table: pa.Table) -> pa.Table:
-    """Of a bucket: to each block the hashes that a smaller doc_id of another block has."""
-    hashes, least = [unpack(x) for x in table["hashes"].to_pylist()], [unplanes(x) for x in table["least"].to_pylist()]
-    origin = np.repeat(np.arange(len(hashes), dtype=np.int32), [len(x) for x in hashes])
-    h, doc = np.concatenate(hashes), np.concatenate(least)
-    del hashes, least
-    order = np.argsort(h, kind="stable")
-    same = h[order[1:]] == h[order[:-1]]
-    several = np.zeros(len(h), bool)
-    several[order[1:][same]] = several[order[:-1][same]] = True
-    h, doc, origin = h[several], doc[several], origin[several]
-    later = doc > least_of_equal(h, doc)
-    h, origin = h[later], origin[later]
-    block = table["block"].to_pylist()
-    rows = [(block[o], pack(np.sort(h[origin == o]))) for o in np.unique(origin).tolist()]
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_TOLD)], schema=_TOLD)
-
-
-def automaton(passages: dict[tuple, int]) -> ahocorasick.Automaton:
-    machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for key, owner in passages.items():
-        machine.add_word(key, (len(key), owner))
-    if passages:
-        machine.make_automaton()
-    return machine
-
-
-def repeated_words(ids: np.ndarray, words, flagged: np.ndarray, window: int) -> np.ndarray:
-    """Which words the automaton of a block finds in repeated passages; flagged: starts of confirmed windows."""
+    shift = np.uint64(max(0, 64 - BUCKET_BITS - buckets.bit_length() + 1))
+    return out.table(out.rows(bucket_of(h << shift, buckets), block, hash=h, doc=doc, block=np.full(len(h), block, np.int32)))
+
+
+def confirm(table: pa.Table, sent: Exchange, out: Exchange) -> pa.Table:
+    """Of a bucket: for each holder of a window but the first, whom it asks."""
+    own = sent.columns(table)
+    order = np.lexsort((own["doc"], own["hash"]))
+    h, doc, block = own["hash"][order], own["doc"][order], own["block"][order]
+    head = np.concatenate([[True], h[1:] != h[:-1]])
+    start = np.flatnonzero(head)[np.cumsum(head) - 1]
+    n = np.arange(len(h)) - start
+    asked = start + np.maximum(n - 1, 0) // ASKERS
+    asked = np.where(doc[asked] < doc, asked, start)
+    late = np.flatnonzero(doc > doc[start])
+    to = block[asked[late]]
+    order = np.lexsort((h[late], to))
+    late, to = late[order], to[order].astype(np.int64)
+    return out.table(out.rows(to, table["at"][0].as_py(), hash=h[late], asker=block[late]))
+
+
+def answer(docs: pa.Table, asks: pa.Table, window: int, buckets: int, asked: Exchange) -> pa.Table:
+    """A block's passages for each block that asked it."""
+    if not docs.num_rows or not asks.num_rows:
+        return _PASSAGES.empty_table()
+    _, words, h, place, doc, _ = first_windows(docs, window, buckets)
+    wanted = asked.columns(asks)
+    at = np.searchsorted(h, wanted["hash"])
+    order = np.lexsort((place[at], wanted["asker"]))
+    at, asker = at[order], wanted["asker"][order]
+    rows = []
+    for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(asker)) + 1):
+        owners, text = passages_at(words, place[at[part]], doc[at[part]], window)
+        rows.append((int(asker[part[0]]), planes(np.array(owners, np.int64)), b"\n".join(text)))
+    return table_of(rows, _PASSAGES)
+
+
+def passages_at(words: Words, place: np.ndarray, doc: np.ndarray, window: int) -> tuple[list[int], list[bytes]]:
+    """The doc_id and the words of each unbroken run of windows; places are sorted."""
+    if not len(place):
+        return [], []
+    cut = np.flatnonzero((np.diff(place) > 1) | (words.row[place[1:]] != words.row[place[:-1]])) + 1
+    first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(place)]]) - 1
+    a, b = place[first], place[last] + window - 1
+    return doc[first].tolist(), [b" ".join(words.data[x:y].tobytes().split()) for x, y in zip(words.start[a].tolist(), words.end[b].tolist(), strict=True)]
+
+
+class Shard:
+    """The automaton of a block's passages."""
+
+    def __init__(self, passages: list[tuple[int, list[int]]], window: int):
+        self.window, self.piece = window, (window + 1) // 2
+        self.owner, self.codes = [o for o, _ in passages], [c for _, c in passages]
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        where: dict[tuple, list[tuple[int, int]]] = {}
+        for k, codes in enumerate(self.codes):
+            for o in range(0, len(codes) - self.piece + 1, self.piece):
+                where.setdefault(tuple(codes[o : o + self.piece]), []).append((k, o))
+        for key, places in where.items():
+            self.machine.add_word(key, places)
+        if where:
+            self.machine.make_automaton()
+
+    def found(self, codes: list[int], doc: int) -> list[tuple[int, int]]:
+        """[from, to) of a document's words that are also in a passage of a smaller doc_id."""
+        out: list[tuple[int, int]] = []
+        if len(codes) < self.window or not len(self.machine):
+            return out
+        done: dict[tuple[int, int], int] = {}
+        piece, window, owner, every = self.piece, self.window, self.owner, self.codes
+        for end, places in self.machine.iter(tuple(codes)):
+            start = end + 1 - piece
+            for k, o in places:
+                if owner[k] >= doc or done.get((k, start - o), 0) > start:
+                    continue
+                passage = every[k]
+                a, b = start, o
+                while a and b and codes[a - 1] == passage[b - 1]:
+                    a, b = a - 1, b - 1
+                to = end + 1 + agree(codes, passage, end + 1, o + piece)
+                done[k, start - o] = to
+                if to - a >= window:
+                    out.append((a, to))
+        return out
+
+
+def agree(x: list[int], y: list[int], i: int, j: int) -> int:
+    """How many values agree from x[i] and y[j] on."""
+    n, most, step = 0, min(len(x) - i, len(y) - j), 32
+    while n < most and x[i + n : i + n + step] == y[j + n : j + n + step]:
+        n += step
+    n = min(n, most)
+    while n < most and x[i + n] == y[j + n]:
+        n += 1
+    return n
+
+
+def finish(docs: pa.Table, told: pa.Table, window: int, buckets: int, schema: pa.Schema, digests: bool) -> pa.Table:
+    shown, words, _, place, least, most = first_windows(docs, window, buckets)
+    ids = [2**63 - 1 if i is None else i for i in shown]
+    again = np.flatnonzero(least < most)
+    again = again[np.argsort(place[again])]
+    owners, texts = passages_at(words, place[again], least[again], window)
+    for o, t in zip(told["owners"].to_pylist(), told["words"].to_pylist(), strict=True):
+        owners += unplanes(o, "i8").tolist()
+        texts += t.split(b"\n")
     gone = np.zeros(len(words.hash), bool)
-    found = runs(flagged, words.row)
-    if not found:
-        return gone
-    code = np.unique(words.hash, return_inverse=True)[1]
-    passages: dict[tuple, int] = {}
-    for a, b in found:  # in the order of doc_id, so the first owner of a passage is the smallest
-        passages.setdefault(tuple(code[a : b - 1 + window].tolist()), int(ids[words.row[a]]))
-    machine = automaton(passages)
-    for k in range(len(ids)):
-        a, b, own = int(words.first[k]), int(words.first[k + 1]), int(ids[k])
-        if b - a >= window:
-            for end, (size, owner) in machine.iter(tuple(code[a:b].tolist())):
-                if own >= owner:
-                    gone[a + end + 1 - size : a + end + 1] = True
-    return gone
-
-
-def finish(docs: pa.Table, told: pa.Table, window: int, schema: pa.Schema, digests: bool) -> pa.Table:
-    ids, shown, words = block_rows(docs)
-    h, whole = windows(words, window)
-    doc = ids[words.row[: len(whole)]]
-    flagged = np.zeros(len(whole), bool)
-    inside = np.flatnonzero(whole)
-    flagged[inside] = least_of_equal(h[inside], doc[inside]) < doc[inside]
-    if told.num_rows and len(h):
-        known = np.sort(np.concatenate([unpack(x) for x in told["hashes"].to_pylist()]))
-        flagged |= whole & (known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
-    return outputs(shown, words, repeated_words(ids, words, flagged, window), schema, digests)
+    if texts:
+        code: dict[bytes, int] = {}
+        own = [[code.setdefault(w, len(code) + 1) for w in words.text(int(a), int(b))] for a, b in zip(words.first, words.first[1:], strict=False)]
+        shard = Shard([(o, [code.get(w, 0) for w in t.split()]) for o, t in zip(owners, texts, strict=True)], window)
+        for k, codes in enumerate(own):
+            for a, b in shard.found(codes, ids[k]):
+                gone[words.first[k] + a : words.first[k] + b] = True
+    return outputs(shown, words, gone, schema, digests)
 
 
-def outputs(shown: list, words, gone: np.ndarray, schema: pa.Schema, digests: bool, changed_only: bool = False) -> pa.Table:
+def outputs(shown: list, words: Words, gone: np.ndarray, schema: pa.Schema, digests: bool) -> pa.Table:
     rows = []
     for k, doc_id in enumerate(shown):
         a, b = int(words.first[k]), int(words.first[k + 1])
         out = gone[a:b]
         n = int(out.sum())
-        if changed_only and not n:
-            continue
         own = words.text(a, b)
         kept = b" ".join([w for w, x in zip(own, out.tolist(), strict=True) if not x] if n else own)
         spans = runs(out, np.zeros(len(out), np.int64)) if n else []
         rows.append((doc_id, b - a, n, sha256(kept) if digests else kept.decode("utf-8", "replace"), ",".join(f"{x}:{y}" for x, y in spans) if digests else [{"start": x, "end": y} for x, y in spans]))
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+    return table_of(rows, schema)
 
 
 def out_schema(digests: bool) -> tuple[str, pa.Schema]:
@@ -133,6 +203,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, digests: bool = False
     blocks, buckets = layout(docs)
     own = in_blocks(docs, blocks)
     ddl, schema = out_schema(digests)
-    sent = own.groupBy("block").applyInArrow(lambda t: send(t, window, buckets), "bucket int, block int, hashes binary, least binary")
-    told = sent.groupBy("bucket").applyInArrow(confirm, "block int, hashes binary")
-    return own.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda d, t: finish(d, t, window, schema, digests), ddl)
+    to_buckets, to_blocks = Exchange(buckets, hash="delta", doc="i8", block="i4"), Exchange(blocks, hash="delta", asker="i4")
+    sent = to_buckets.delivered(own.groupBy("block").applyInArrow(lambda t: send(t, window, buckets, to_buckets), to_buckets.ddl))
+    asks = to_blocks.delivered(sent.groupBy("at").applyInArrow(lambda t: confirm(t, to_buckets, to_blocks), to_blocks.ddl))
+    passages = own.groupBy("block").cogroup(asks.groupBy("at")).applyInArrow(lambda d, a: answer(d, a, window, buckets, to_blocks), "block int, owners binary, words binary")
+    return own.groupBy("block").cogroup(passages.groupBy("block")).applyInArrow(lambda d, p: finish(d, p, window, buckets, schema, digests), ddl)

@@ -15,12 +15,13 @@ twenty.
    another if and only if both agree. The window is told to go wherever its class has a smaller doc_id.
 3. Blocks take out the words that these windows cover.
 
-A minimiser in more than `HOT` documents would make a long bucket. Its windows are dealt out by the hash of the whole
-window instead, each once for a block, which leads to the same windows without meeting in one task.
+A bucket must fit into a task, so a minimiser in more than `CROWD` documents (some ten megabytes of suffixes) is split: its
+windows are dealt out by the hash of the whole window, each once for a block, and windows of one hash (64 bits) are equal.
+That leads to the same windows, so the bound changes where they meet and nothing else.
 
 Cases: a null or empty text has no words; a text below 50 words stays whole; a null doc_id counts as the largest; rows that
 repeat a doc_id are not smaller than each other; repeated passages inside one document stay; an empty table gives an empty
-result.
+result; columns other than doc_id and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -29,12 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillmesh.llm.grams import Words, block_rows, bucket_edges, in_blocks, layout, least_of_equal, mix, pack, planes, removed, unpack, unplanes, windows
+from quillmesh.llm.grams import Exchange, Words, among, block_rows, bucket_of, in_blocks, layout, least_of_equal, mix, removed, windows
 from quillmesh.llm.phrases import out_schema, outputs
 
 WINDOW, GRAM = 50, 10
 #: Documents with a minimiser from which its windows are dealt out one by one.
-HOT = 64
+CROWD = 20_000
+#: Kinds of rows: suffixes, and windows of crowded minimisers.
+SUFFIX, SINGLE = 0, 1
 
 
 def minimisers(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,71 +60,67 @@ def minimisers(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.nda
     return starts, place[starts], g[place[starts]]
 
 
-_COUNTED = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("documents", pa.binary())])
-_SHARED = pa.schema([("block", pa.int32()), ("cold", pa.binary()), ("hot", pa.binary())])
-_SUFFIX = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary()), ("places", pa.binary()), ("reach", pa.binary()), ("context", pa.binary())])
-_TOLD = pa.schema([("block", pa.int32()), ("hashes", pa.binary()), ("places", pa.binary()), ("lefts", pa.binary())])
+class Ways:
+    """The exchanges between blocks and buckets."""
 
+    def __init__(self, blocks: int, buckets: int, window: int, gram: int):
+        self.blocks, self.buckets, self.window, self.gram, self.crowd = blocks, buckets, window, gram, CROWD
+        self.counted = Exchange(buckets, hash="delta", documents="i4", block="i4")
+        self.shared = Exchange(blocks, hash="delta", crowded="u1")
+        self.suffixes = Exchange(buckets, hash="delta", doc="i8", most="i8", block="i4", place="i4", reach="raw:u1:2", context=f"raw:>u4:{2 * window - gram}")
+        self.told = Exchange(blocks, hash="delta", least="i8", place="i4", left="u1")
 
-def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-
-def count(table: pa.Table, window: int, gram: int, buckets: int) -> pa.Table:
+def count(table: pa.Table, way: Ways) -> pa.Table:
     ids, _, words = block_rows(table)
-    _, place, g = minimisers(words, window, gram)
+    _, place, g = minimisers(words, way.window, way.gram)
     pairs = np.unique(np.stack([g, ids[words.row[place]].view(np.uint64)], 1), axis=0) if len(g) else np.zeros((0, 2), np.uint64)
     h, n = np.unique(pairs[:, 0], return_counts=True)
     block = table["block"][0].as_py()
-    return _table([(b, block, pack(h[i:j]), planes(n[i:j].astype(np.int64))) for b, i, j in bucket_edges(h, buckets)], _COUNTED)
-
-
-def share(table: pa.Table) -> pa.Table:
-    """To each block, which of its minimisers several documents have, apart by whether very many have."""
-    hashes, counts = [unpack(x) for x in table["hashes"].to_pylist()], np.concatenate([unplanes(x) for x in table["documents"].to_pylist()])
-    origin, h = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes]), np.concatenate(hashes)
-    _, at = np.unique(h, return_inverse=True)
-    total = np.bincount(at, counts.astype(np.float64))[at]
-    blocks = table["block"].to_pylist()
-    keep, hot = total > 1, total > HOT
-    return _table([(blocks[o], pack(np.sort(h[(origin == o) & keep & ~hot])), pack(np.sort(h[(origin == o) & hot]))) for o in np.unique(origin[keep]).tolist()], _SHARED)
+    return way.counted.table(way.counted.rows(bucket_of(h, way.buckets), block, hash=h, documents=n.astype(np.int32), block=np.full(len(h), block, np.int32)))
 
 
-def _among(known: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
+def share(table: pa.Table, way: Ways) -> pa.Table:
+    """To each block, which of its minimisers several documents have, and whether they are a crowd."""
+    own = way.counted.columns(table)
+    _, at = np.unique(own["hash"], return_inverse=True)
+    total = np.bincount(at, own["documents"].astype(np.float64))[at]
+    keep = np.flatnonzero(total > 1)
+    keep = keep[np.lexsort((own["hash"][keep], own["block"][keep]))]
+    return way.shared.table(way.shared.rows(own["block"][keep].astype(np.int64), table["at"][0].as_py(), hash=own["hash"][keep], crowded=(total[keep] > way.crowd).astype(np.uint8)))
 
 
-def retain(docs: pa.Table, shared: pa.Table, window: int, gram: int, buckets: int) -> pa.Table:
-    """Suffixes at shared minimisers with their contexts; windows at those that very many documents have."""
+def retain(docs: pa.Table, shared: pa.Table, way: Ways) -> pa.Table:
+    """Suffixes at shared minimisers with their contexts; windows at crowded ones."""
     if not docs.num_rows or not shared.num_rows:
-        return _SUFFIX.empty_table()
+        return way.suffixes.table([])
     ids, _, words = block_rows(docs)
-    start, place, g = minimisers(words, window, gram)
-    cold, hot = (np.sort(np.concatenate([unpack(x) for x in shared[c].to_pylist()])) for c in ("cold", "hot"))
+    start, place, g = minimisers(words, way.window, way.gram)
+    known = way.shared.columns(shared)
+    order = np.argsort(known["hash"])
+    h, crowded = known["hash"][order], known["crowded"][order] > 0
     block, rows = docs["block"][0].as_py(), []
     # suffixes: a minimiser's windows start in an unbroken run of words
-    mine = _among(cold, g)
+    mine = among(h[~crowded], g)
     if mine.any():
         p, at = np.unique(place[mine], return_index=True)
         last = len(place[mine]) - 1 - np.unique(place[mine][::-1], return_index=True)[1]
-        lefts = np.stack([p - start[mine][last], p - start[mine][at]], 1).astype(np.uint8)
-        h, left = g[mine][at], window - gram
-        order = np.argsort(h, kind="stable")
-        p, lefts, h = p[order], lefts[order], h[order]
+        reach = np.stack([p - start[mine][last], p - start[mine][at]], 1).astype(np.uint8)
+        own, left = g[mine][at], way.window - way.gram
+        order = np.argsort(own, kind="stable")
+        p, reach, own = p[order], reach[order], own[order]
         short = (words.hash & np.uint64(0xFFFFFFFF)).astype(">u4")
-        for b, i, j in bucket_edges(h, buckets):
-            around = p[i:j, None] + np.arange(-left, window)[None, :]
-            context = short[np.clip(around, 0, len(short) - 1)]
-            rows.append((b, block, pack(h[i:j]), ids[words.row[p[i:j]]].tobytes(), p[i:j].tobytes(), lefts[i:j].tobytes(), context.tobytes()))
-    mine = _among(hot, g)
+        context = short[np.clip(p[:, None] + np.arange(-left, way.window)[None, :], 0, len(short) - 1)]
+        rows += way.suffixes.rows(bucket_of(own, way.buckets), block, SUFFIX, hash=own, doc=ids[words.row[p]], block=np.full(len(p), block, np.int32), place=p.astype(np.int32), reach=reach, context=context)
+    mine = among(h[crowded], g)
     if mine.any():
-        w = windows(words, window)[0][start[mine]]
+        w = windows(words, way.window)[0][start[mine]]
         order = np.argsort(w, kind="stable")
         w, doc = w[order], ids[words.row[start[mine]]][order]
         head = np.concatenate([[True], w[1:] != w[:-1]])
-        w, doc = w[head], doc[head]
-        rows += [(buckets + b, block, pack(w[i:j]), doc[i:j].tobytes(), None, None, None) for b, i, j in bucket_edges(w, buckets)]
-    return _table(rows, _SUFFIX)
+        w, doc, most = w[head], doc[head], doc[np.concatenate([head[1:], [True]])]
+        rows += way.suffixes.rows(bucket_of(w, way.buckets), block, SINGLE, hash=w, doc=doc, most=most, block=np.full(len(w), block, np.int32))
+    return way.suffixes.table(rows)
 
 
 def neighbours(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,20 +133,16 @@ def neighbours(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
-def extend(table: pa.Table, window: int, gram: int) -> pa.Table:
+def extend(table: pa.Table, way: Ways) -> pa.Table:
     """Of a bucket: to each block the windows that a smaller doc_id has, as places and lengths to the left, or hashes."""
-    blocks = table["block"].to_pylist()
-    hashes = [unpack(x) for x in table["hashes"].to_pylist()]
-    origin = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
-    ids = np.frombuffer(b"".join(table["ids"].to_pylist()), np.int64)
-    if table["context"].null_count:
-        h = np.concatenate(hashes)
-        gone = ids > least_of_equal(h, ids)
-        return _table([(blocks[o], pack(np.sort(h[gone & (origin == o)])), None, None) for o in np.unique(origin[gone]).tolist()], _TOLD)
-    left = window - gram
-    place = np.frombuffer(b"".join(table["places"].to_pylist()), np.int64)
-    reach = np.frombuffer(b"".join(table["reach"].to_pylist()), np.uint8).reshape(-1, 2)
-    context = np.frombuffer(b"".join(table["context"].to_pylist()), ">u4").reshape(len(ids), left + window)
+    own, kind, bucket = way.suffixes.columns(table), table["kind"][0].as_py(), table["at"][0].as_py()
+    ids, block = own["doc"], own["block"].astype(np.int64)
+    if kind == SINGLE:
+        least = least_of_equal(own["hash"], ids)
+        late = np.flatnonzero(own["most"] > least)
+        late = late[np.lexsort((own["hash"][late], block[late]))]
+        return way.told.table(way.told.rows(block[late], bucket, SINGLE, hash=own["hash"][late], least=least[late]))
+    window, left, place, reach, context = way.window, way.window - way.gram, own["place"], own["reach"], own["context"]
     right_order, right_common = neighbours(context[:, left:])
     left_order, left_common = neighbours(context[:, :left][:, ::-1])
     found_at, found_left = [], []
@@ -163,36 +158,35 @@ def extend(table: pa.Table, window: int, gram: int) -> pa.Table:
         gone = i[ids[i] > least_of_equal(key, ids[i])]
         found_at.append(gone)
         found_left.append(np.full(len(gone), n, np.uint8))
-    at, lefts = np.concatenate(found_at), np.concatenate(found_left)
-    return _table([(blocks[o], None, place[at[own := origin[at] == o]].tobytes(), lefts[own].tobytes()) for o in np.unique(origin[at]).tolist()], _TOLD)
+    at, lefts = (np.concatenate([np.zeros(0, np.int64), *found_at]), np.concatenate([np.zeros(0, np.uint8), *found_left]))
+    order = np.argsort(block[at], kind="stable")
+    at, lefts = at[order], lefts[order]
+    return way.told.table(way.told.rows(block[at], bucket, SUFFIX, place=place[at], left=lefts))
 
 
-def finish(docs: pa.Table, told: pa.Table, window: int, gram: int, schema: pa.Schema, digests: bool, changed_only: bool) -> pa.Table:
-    _, shown, words = block_rows(docs)
+def finish(docs: pa.Table, told: pa.Table, way: Ways, schema: pa.Schema, digests: bool) -> pa.Table:
+    ids, shown, words = block_rows(docs)
     starts = [np.zeros(0, np.int64)]
-    hashes = [unpack(x) for x in told["hashes"].to_pylist() if x is not None]
-    if hashes:
-        h, whole = windows(words, window)
-        starts.append(np.flatnonzero(whole & _among(np.sort(np.concatenate(hashes)), h)))
-    for places, lefts in zip(told["places"].to_pylist(), told["lefts"].to_pylist(), strict=True):
-        if places is not None:
-            starts.append(np.frombuffer(places, np.int64) - np.frombuffer(lefts, np.uint8))
-    gone = removed(words, window, np.concatenate(starts))
-    return outputs(shown, words, gone, schema, digests, changed_only)
-
-
-def without_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digests: bool = False, changed_only: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, the kept words joined by spaces (or their SHA-256), and spans of removed words.
-
-    changed_only: rows of the documents that lose words, and no others.
-    """
+    if told.num_rows:
+        own = way.told.columns(told)
+        if "hash" in own:
+            order = np.argsort(own["hash"])
+            known, least = own["hash"][order], own["least"][order]
+            h, whole = windows(words, way.window)
+            at = np.flatnonzero(whole & among(known, h))
+            starts.append(at[ids[words.row[at]] > least[np.searchsorted(known, h[at])]])
+        if "place" in own:
+            starts.append(own["place"].astype(np.int64) - own["left"])
+    return outputs(shown, words, removed(words, way.window, np.concatenate(starts)), schema, digests)
+
+
+def without_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digests: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, the kept words joined by spaces (or their SHA-256), and spans of removed words."""
     blocks, buckets = layout(docs)
-    own = in_blocks(docs, blocks)
+    own, way = in_blocks(docs, blocks), Ways(blocks, buckets, window, gram)
     ddl, schema = out_schema(digests)
-    counted = own.groupBy("block").applyInArrow(lambda t: count(t, window, gram, buckets), "bucket int, block int, hashes binary, documents binary")
-    shared = counted.groupBy("bucket").applyInArrow(share, "block int, cold binary, hot binary")
-    suffixes = own.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
-        lambda d, s: retain(d, s, window, gram, buckets), "bucket int, block int, hashes binary, ids binary, places binary, reach binary, context binary"
-    )
-    told = suffixes.groupBy("bucket").applyInArrow(lambda t: extend(t, window, gram), "block int, hashes binary, places binary, lefts binary")
-    return own.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda d, t: finish(d, t, window, gram, schema, digests, changed_only), ddl)
+    counted = way.counted.delivered(own.groupBy("block").applyInArrow(lambda t: count(t, way), way.counted.ddl))
+    shared = way.shared.delivered(counted.groupBy("at").applyInArrow(lambda t: share(t, way), way.shared.ddl))
+    suffixes = way.suffixes.delivered(own.groupBy("block").cogroup(shared.groupBy("at")).applyInArrow(lambda d, s: retain(d, s, way), way.suffixes.ddl))
+    told = way.told.delivered(suffixes.groupBy("at", "kind").applyInArrow(lambda t: extend(t, way), way.told.ddl))
+    return own.groupBy("block").cogroup(told.groupBy("at")).applyInArrow(lambda d, t: finish(d, t, way, schema, digests), ddl)

@@ -224,26 +224,67 @@ def passages(seed, n_docs=60):
     return ids, [*texts[:-1], None]
 
 
-@pytest.mark.parametrize("blocks", [(1, 1), (7, 5)])
-def test_phrases_match_brute_force(spark, monkeypatch, blocks):
+@pytest.mark.parametrize(("blocks", "fan"), [((1, 1), 1 << 14), ((7, 5), 1 << 14), ((30, 20), 4)])
+def test_phrases_match_brute_force(spark, monkeypatch, blocks, fan):
     monkeypatch.setattr(phrases, "layout", lambda docs: blocks)
+    monkeypatch.setattr(grams, "FAN", fan)
     ids, texts = passages(1)
     df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
     got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in phrases.without_repeats(df, digests=True).collect()]
     assert sorted(got, key=repr) == brute_windows(ids, texts, 13)
 
 
-@pytest.mark.parametrize(("blocks", "hot"), [((1, 1), 64), ((7, 5), 64), ((7, 5), 3)])
-def test_suffixes_match_brute_force(spark, monkeypatch, blocks, hot):
+def phrases_in_process(ids, texts, blocks, buckets):
+    """The steps of the operator, one after another in this process."""
+    import pyarrow as pa
+
+    to_buckets, to_blocks = grams.Exchange(buckets, hash="delta", doc="i8", block="i4"), grams.Exchange(blocks, hash="delta", asker="i4")
+    own = {}
+    for k, (i, t) in enumerate(zip(ids, texts, strict=True)):
+        own.setdefault((k if i is None else i) % blocks, []).append((i, t or "", (k if i is None else i) % blocks))
+    own = {b: pa.Table.from_pylist([dict(zip(("doc_id", "text", "block"), r, strict=True)) for r in rows], schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("block", pa.int32())])) for b, rows in own.items()}
+    parts = lambda table, key: {k: table.filter(pa.compute.equal(table[key], k)) for k in set(table[key].to_pylist())}
+    sent = pa.concat_tables([phrases.send(t, 13, buckets, to_buckets) for t in own.values()])
+    asks = parts(pa.concat_tables([phrases.confirm(t, to_buckets, to_blocks) for t in parts(sent, "at").values()]), "at")
+    told = parts(pa.concat_tables([phrases.answer(t, asks.get(b, to_blocks.table([])), 13, buckets, to_blocks) for b, t in own.items()]), "block")
+    schema = phrases.out_schema(True)[1]
+    rows = pa.concat_tables([phrases.finish(t, told.get(b, phrases._PASSAGES.empty_table()), 13, buckets, schema, True) for b, t in own.items()]).to_pylist()
+    return sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows), key=repr)
+
+
+def test_phrases_come_from_the_automaton(monkeypatch):
+    ids, texts = passages(5)
+    expected = brute_windows(ids, texts, 13)
+    assert phrases_in_process(ids, texts, 5, 3) == expected
+    with monkeypatch.context() as m:  # no automaton, no answer
+        m.setattr(phrases.Shard, "found", lambda self, codes, doc: [])
+        assert not any(r[2] for r in phrases_in_process(ids, texts, 5, 3))
+    with monkeypatch.context() as m:  # a holder of many askers answers through others
+        m.setattr(phrases, "ASKERS", 1)
+        assert phrases_in_process(ids, texts, 9, 3) == expected
+    whole = grams.windows
+    with monkeypatch.context() as m:  # different windows of one hash take nothing out wrongly
+        m.setattr(phrases, "windows", lambda words, n: ((h := whole(words, n))[0] & np.uint64(0xFF << 56), h[1]))
+        got = {(r[0], r[1]): r[2] for r in phrases_in_process(ids, texts, 5, 3)}
+        assert all(got[r[0], r[1]] <= r[2] for r in expected if sum(x[:2] == r[:2] for x in expected) == 1)
+
+
+def test_phrases_of_periodic_text():
+    text = "a " * 20000 + "b c " * 5000
+    rows = phrases_in_process([1, 2, 3], [text, text, "c " * 13 + "a"], 2, 2)
+    assert [r[2] for r in rows] == [0, 30000, 0]
+
+
+@pytest.mark.parametrize(("blocks", "crowd", "fan"), [((1, 1), 64, 1 << 14), ((7, 5), 64, 1 << 14), ((7, 5), 3, 1 << 14), ((30, 20), 3, 4)])
+def test_suffixes_match_brute_force(spark, monkeypatch, blocks, crowd, fan):
     monkeypatch.setattr(suffixes, "layout", lambda docs: blocks)
-    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "CROWD", crowd)
+    monkeypatch.setattr(grams, "FAN", fan)
     ids, texts = passages(2)
     df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
     got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in suffixes.without_passages(df, digests=True).collect()]
     expected = brute_windows(ids, texts, 50)
     assert sorted(got, key=repr) == expected and any(e[2] for e in expected)
-    changed = suffixes.without_passages(df, digests=True, changed_only=True)
-    assert sorted(((r.doc_id, r.n_removed) for r in changed.collect()), key=repr) == sorted(((e[0], e[2]) for e in expected if e[2]), key=repr)
 
 
 def test_dedup_of_awkward_rows(spark):
@@ -262,8 +303,11 @@ def test_word_hashes_do_not_depend_on_place(spark):
     assert w.row.tolist() == [1, 1, 2, 2, 2, 3, 4, 4] and w.hash[1] == w.hash[2] == w.hash[5] and w.hash[0] == w.hash[3] and len(set(w.hash.tolist())) == 5
     again = grams.words_of(texts.slice(2, 2))
     assert again.hash.tolist() == w.hash[2:6].tolist()
+    way = grams.Exchange(9, hash="delta", n="i4", pair="raw:u1:2")
     x = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 50, np.uint64))
-    assert (grams.unpack(grams.pack(x)) == x).all()
+    n, pair = np.arange(-25, 25, dtype=np.int32), np.arange(100, dtype=np.uint8).reshape(-1, 2)
+    back = way.columns(way.table(way.rows(np.repeat([3, 8], 25), 1, hash=x, n=n, pair=pair)))
+    assert (back["hash"] == x).all() and (back["n"] == n).all() and (back["pair"] == pair).all()
 
 
 def brute_hits(text, items):
