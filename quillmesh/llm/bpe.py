@@ -228,7 +228,10 @@ def encoded(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN
 
 
 def tokenised(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """The documents with ids in place of the text, each text having been decoded again and found the same."""
+    """The documents with n_tokens and ids in place of the text, each text having been decoded again and found the same.
+
+    Columns that the documents already have under these names give way.
+    """
 
     def make():
         encoder = Encoder(path, pattern)
@@ -242,4 +245,4 @@ def tokenised(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTE
 
         return kernel
 
-    return append_texts(docs, make, "n_tokens long, ids array<int>").drop("text")
+    return append_texts(docs.drop("n_tokens", "ids"), make, "n_tokens long, ids array<int>").drop("text")

@@ -1,4 +1,4 @@
-"""Connected components of a graph that is never on one machine."""
+"""Connected components of a graph that is never on one machine, and minima of groups of any size."""
 
 from __future__ import annotations
 
@@ -7,24 +7,40 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import checkpointed
 
+#: Parts into which the rows of every key are dealt, so that no task holds all rows of one.
+PARTS = 64
+
+
+def with_least(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """rows and, under `name`, the least value of their key. A key's rows meet in parts; only the parts' minima meet under the key."""
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(value), F.lit(PARTS)))
+    minima = dealt.groupBy(key, "_part").agg(F.min(value).alias("_low"))
+    least = minima.groupBy(key).agg(F.min("_low").alias(name))
+    return dealt.join(minima.select(key, "_part").join(least, key), [key, "_part"]).drop("_part")
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for the nodes of links (a, b): root is the smallest node that can be reached.
 
-    Each round gives every node the smallest label among its neighbours' labels, then the label of that label, so the
-    labels' distance from the root about halves. Minima are taken before rows are dealt out, so a node of very many
-    links is no burden, and each round is written to the shared folder.
+    Stars in turn: every node links its smaller neighbours and itself to the least of them, then its larger neighbours to
+    the least of all. Links become fewer, and in a logarithmic number of rounds each component is one star around its
+    smallest node. Each round is written to the shared folder; a node of very many links is dealt out in parts.
     """
-    both = links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = checkpointed(both)
-    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")))
+    edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = _mark(edges)
     while True:
-        heard = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("heard"))
-        near = labels.join(heard, labels.node == heard.a, "left").select("node", "root", F.least("root", F.coalesce("heard", "root")).alias("near"))
-        near = checkpointed(near)
-        up = labels.select(F.col("node").alias("via"), F.col("root").alias("far"))
-        jumped = near.join(up, near.near == up.via, "left").select("node", F.least("near", F.coalesce("far", "near")).alias("root"), F.col("root").alias("was"))
-        jumped = checkpointed(jumped)
-        if jumped.where("root <> was").isEmpty():
-            return jumped.select("node", "root")
-        labels = jumped.select("node", "root")
+        low = with_least(edges, "u", "v", "m")  # v < u: to the smaller
+        edges = low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        high = with_least(both, "u", "v", "m").where("v > u")
+        edges = checkpointed(high.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        now = _mark(edges)
+        if now == before:
+            break
+        before = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """Tells sets of links apart."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.sum((F.xxhash64("v", "u") % 1_000_003))).first())

@@ -7,11 +7,12 @@ second and one half of the third are (a bit may differ in each). These are five
 fingerprints meet under equal keys alone, must pass the whole chain, and only then is the full distance taken.
 
 Fingerprints count once however many documents have them. Under a key, what is found is handed on as a tree (each
-fingerprint with the smallest of its component), never as all pairs. A task holds at most `GROUP` fingerprints of a key;
-a longer group is dealt out in blocks, and each pair of blocks is compared in a task of its own.
+fingerprint with the smallest of its component), never as all pairs. A task compares at most `GROUP` fingerprints of a key
+by itself; longer groups go to `crowds`.
 
 Cases: a null or empty text has fingerprint zero and links like any other; texts of fewer words than a shingle are one
-shingle; repeated rows and ids keep their rows; a null doc_id never names a component; an empty table gives an empty result.
+shingle; repeated rows and ids keep their rows; a null doc_id never names a component; an empty table gives an empty result;
+columns other than doc_id and text may have any name and type, and `one_of_each` returns them as they were.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmesh.llm import crowds
 from quillmesh.llm.common import checkpointed, id_text, map_texts, unused
-from quillmesh.llm.components import components
+from quillmesh.llm.components import components, with_least
 from quillmesh.llm.fingerprint import fingerprint
 
 DISTANCE = 4
@@ -140,19 +142,24 @@ def _groups(keys: np.ndarray, prints: np.ndarray, long_key) -> Iterator[pa.Recor
         yield _found(a, b, None)
 
 
-def _blocks(table: pa.Table) -> pa.Table:
-    """Two blocks of one key, or one with itself."""
-    prints, block = np.asarray(table["a"]).view(np.uint64), np.asarray(table["block"])
-    start = np.array([(table["key"][0].as_py() >> 48) // 5])
-    first, other = prints[block == block.min()], prints[block == block.max()]
-    left, right = [], []
-    for x in first:
+def _across(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the fingerprints of two tables of one key."""
+    if not left.num_rows or not right.num_rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start = np.array([(left["grp"][0].as_py() >> 48) // 5])
+    own, other = np.asarray(left["node"]).view(np.uint64), np.asarray(right["node"]).view(np.uint64)
+    a, b = [], []
+    for x in own:
         ok = linked(np.full(len(other), x), other, np.repeat(start, len(other)))
-        left.append(np.full(int(ok.sum()), x))
-        right.append(other[ok])
-    a, b = np.concatenate(left), np.concatenate(right)
+        a.append(np.full(int(ok.sum()), x))
+        b.append(other[ok])
+    a, b = np.concatenate(a), np.concatenate(b)
     a, b = tree(a[a != b], b[a != b])
-    return pa.Table.from_batches([_found(a, b, None)])
+    return a.view(np.int64), b.view(np.int64)
+
+
+def _inside(table: pa.Table, _: pa.Table | None) -> tuple[np.ndarray, np.ndarray]:
+    return _across(table, table)
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -170,10 +177,7 @@ def links(prints: DataFrame) -> DataFrame:
     out, rest = met.where("key is null").select("a", "b"), met.where("key is not null")
     if rest.isEmpty():
         return out
-    blocks = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks"))
-    dealt = rest.join(blocks, "key").select("key", "a", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", "a", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    return out.unionByName(dealt.groupBy("key", "p", "q").applyInArrow(_blocks, _FOUND).select("a", "b"))
+    return out.unionByName(crowds.links(rest.select(F.col("key").alias("grp"), F.col("a").alias("node"), F.lit(1 / GROUP).alias("load")), _inside, _across))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -197,9 +201,8 @@ def grouped(docs: DataFrame, shingle: int = 4) -> tuple[DataFrame, DataFrame]:
 def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, print, component_id: the smallest doc_id among the documents that links reach, itself included."""
     own, nodes = grouped(docs, shingle)
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(least, "root").select(F.col("print").alias("of"), "component_id")
-    return own.join(named, own["print"] == named["of"], "left").select("doc_id", "print", "component_id")
+    named = with_least(nodes.select(F.col("print").alias("of"), "root", F.struct(F.col("least").isNull().alias("none"), "least").alias("least")), "root", "least", "first")
+    return own.join(named.select("of", F.col("first.least").alias("component_id")), own["print"] == F.col("of"), "left").select("doc_id", "print", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -210,13 +213,13 @@ def one_of_each(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
 
 def firsts(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """The documents that `first` (doc_id, text_key) names, each once."""
-    key, row, at_id, at_key = (unused(docs, n) for n in ("_key", "_row", "_kept_id", "_kept_key"))
-    kept = first.select(F.col("first.doc_id").alias(at_id), F.col("first.text_key").alias(at_key))
-    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
-    keyed = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(at_id)) & (F.col(key) == F.col(at_key)), "left_semi")
-    order = Window.partitionBy("doc_id", key).orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)])
-    return keyed.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).drop(row, key)
+    """The documents that `first` (doc_id, text_key) names, each once: whole rows are dealt out once, by id and text."""
+    of_id, key, row = (unused(docs, n) for n in ("_id", "_key", "_row"))
+    kept = first.select(F.xxhash64("first.doc_id").alias(of_id), F.col("first.text_key").alias(key))
+    keyed = docs.withColumns({of_id: F.xxhash64(F.col("doc_id").cast("long")), key: F.xxhash64(F.coalesce("text", F.lit("")))}).join(kept, [of_id, key], "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*others)) if others else F.lit(0)
+    return keyed.withColumn(row, F.row_number().over(Window.partitionBy(of_id, key).orderBy(order))).where(F.col(row) == 1).select(*docs.columns)
 
 
 def digests(found: DataFrame) -> DataFrame:
