@@ -1,20 +1,25 @@
 """Personal data: four base patterns, and a character-level bidirectional LSTM with CRF transitions that adds to them.
 
 The network is trained in numpy, from spans that a generator labels: usual and unusual spellings of the four kinds among
-words, and look-alikes (keys, dates, versions, prices, numbers) that are none. Texts are read in overlapping windows; each
-is decoded by Viterbi, spans cut by a window's edge are left to the next window, which sees them whole, and what remains is
-reconciled over the whole text: of overlapping spans, those of the largest total score that do not overlap.
+words, addresses spelt out in words too, and look-alikes (keys, dates, versions, prices, numbers) that are none. `train` made
+the weights that lie beside this module (`python -m quillmesh.llm.pii` makes them again), so that a session need not.
 
-A span must hold a digit or an @, so windows without one have no span and are not run; nothing is lost by that.
-Predictions that overlap a base span give way to it.
+Every window of every text is run, overlapping with the next by a span's usual length, and decoded by Viterbi; a window
+where no path can gain enough over "outside" is left out of the decoding, which changes nothing. Spans that a window's edge
+cuts are joined with their other part in the next window, whatever their length, and what is found is reconciled over the
+whole text: of overlapping spans, those of the largest total score that do not overlap. Predictions that overlap a base
+span give way to it.
+
+Time is in proportion to the length of a text, whatever is in it: patterns look at a run of characters once.
 
 Cases: a null or empty text has no spans; base spans of different kinds may overlap and all stay; equal starts are ordered
 by kind; a text shorter than a window is one window; repeated rows give repeated results; an empty table gives an empty
-result.
+result. `personal_data` reads no column but doc_id and text; `redacted` returns all columns, whatever their names.
 """
 
 from __future__ import annotations
 
+import os
 import random
 import re
 from functools import lru_cache
@@ -26,18 +31,21 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import append_texts, id_text, map_texts, sha256, spans_text, unused
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters of a window, and from one to the next. A span of up to LENGTH - STRIDE characters lies whole in some window.
-LENGTH, STRIDE = 96, 48
+#: Characters of a window, and from one to the next; and of a window of the training.
+LENGTH, STRIDE, TRAINED = 640, 576, 96
 #: Least log-odds of a predicted span, transitions included, over leaving its characters outside.
 LEAST_ODDS = 3.0
 #: Windows that are run together.
 BATCH = 256
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# A match that fails at the start of a run of its characters fails in all of the run, so runs are taken whole: an address
+# begins where a run does, or where the last match ended.
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)?")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+_DIGIT = re.compile(r"[0-9]")
+MODEL_FILE = os.path.join(os.path.dirname(os.path.abspath(__file__)), "pii_tagger.npz")
 
 #: Characters that have a class of their own; other letters, digits and other characters share one each.
 _OWN = "abcdefghijklmnopqrstuvwxyz @.+-()/:=\"',_[]#\n"
@@ -58,11 +66,11 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     if "@" in text:
-        out += [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text)]
-    if _TRIGGER.search(text):
-        out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text) if m[1]]
+    if _DIGIT.search(text):
+        out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(n := p.lstrip("0")) <= 3 and int(n or 0) <= 255 for p in m[0].split("."))]
         for m in _CARD.finditer(text):
-            digits = re.sub("[^0-9]", "", m[0])
+            digits = m[0].replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and luhn(digits):
                 out.append((m.start(), m.end(), "card"))
     if "+" in text:
@@ -74,9 +82,18 @@ def ordered(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+@lru_cache(maxsize=1)
+def _class_table() -> np.ndarray:
+    """The class of every code point; a letter has that of its small form."""
+    def one(c: str) -> int:
+        low = c.lower()
+        return _CLASS.get(low) or (DIGIT if "0" <= c <= "9" else LETTER if c.isalpha() else OTHER)
+
+    return np.array([one(chr(i)) for i in range(0x110000)], np.uint8)
+
+
 def classes(text: str) -> np.ndarray:
-    low = text.lower() if len(text.lower()) == len(text) else text
-    return np.array([_CLASS.get(c) or (DIGIT if "0" <= c <= "9" else LETTER if c.isalpha() else OTHER) for c in low], np.uint8)
+    return _class_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
 
 
 # ---- labelled spans
@@ -106,7 +123,7 @@ def _phone(r: random.Random) -> str:
 def _email(r: random.Random) -> str:
     user = _word(r).lower() + r.choice(("", ".", "_", "-")) + r.choice(("", _word(r).lower(), _digits(r, 2)))
     host, top = r.choice(("mail", "web", "post", _word(r).lower())) + r.choice(("", _digits(r, 1))), r.choice(("com", "org", "net", "de", "example.com"))
-    return r.choice((f"{user}@{host}.{top}", f"{user}@{host}.{top}", f"{user} @ {host}.{top}", f"{user}@{host} . {top}", f"{user}@{host}[.]{top}", f"{user}@ {host}.{top}", f"{user}@{host}.{top}".replace(".", " dot ")))
+    return r.choice((f"{user}@{host}.{top}", f"{user}@{host}.{top}", f"{user} @ {host}.{top}", f"{user}@{host} . {top}", f"{user}@{host}[.]{top}", f"{user}@ {host}.{top}", f"{user}@{host}.{top}".replace(".", " dot "), f"{user.replace('.', '_')} at {host} dot {top.replace('.', ' dot ')}", f"{user}(at){host}.{top}", f"{user} [at] {host} [dot] {top.replace('.', ' [dot] ')}"))
 
 
 def _ip(r: random.Random) -> str:
@@ -121,7 +138,7 @@ def _lookalike(r: random.Random) -> str:
     return r.choice((
         hexes, f"password={hexes}", f'token = "{hexes}"', key, f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{r.randint(0, 23)}:{r.randint(10, 59)}", f"v{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}",
         f"${_digits(r, 2)}.{_digits(r, 2)}", f"#{_digits(r, 5)}", _digits(r, r.randint(1, 9)), f"@{_word(r).lower()}", f"{_digits(r, 1)},{_digits(r, 3)}", f"{_digits(r, 2)}%", f"({r.randint(1900, 2030)})", f"{_digits(r, 2)}/{_digits(r, 2)}/{_digits(r, 4)}",
-        f"{_digits(r, 3)}-{_digits(r, 2)}", f"http://{_word(r).lower()}.com/{_digits(r, 4)}", f"{_digits(r, 12)}", _digits(r, r.randint(20, 30)), f"{_word(r)}{_digits(r, 2)}",
+        f"{_word(r)} at {_word(r)}", f"at {_word(r)} dot", f"{_word(r)} (at) {_word(r)}", f"{_digits(r, 3)}-{_digits(r, 2)}", f"http://{_word(r).lower()}.com/{_digits(r, 4)}", f"{_digits(r, 12)}", _digits(r, r.randint(20, 30)), f"{_word(r)}{_digits(r, 2)}",
     ))
 
 
@@ -194,6 +211,36 @@ class Tagger:
         scores = states[:, 0] @ self.p["v"][0] + states[::-1, 1] @ self.p["v"][1] + self.p["b"]
         return (scores, states, kept, both) if keep else scores
 
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """As run, for use: one tanh serves all gates (a sigmoid is half of 1 + tanh of half), and no array is made in a step."""
+        h, (n, length) = self.h, x.shape
+        scale = np.ones(4 * h, np.float32)
+        scale[: 3 * h] = 0.5
+        px, pu = self.p["x"] * scale, self.p["u"] * scale * np.float32(0.5)  # states are kept doubled
+        both = np.stack([x.T, x.T[::-1]], 1).astype(np.intp)  # time, direction, batch
+        state, cell, lit, more = (np.zeros((2, n, h), np.float32) for _ in range(4))
+        states, z, turned = np.empty((2, length, n, h), np.float32), np.empty((2, n, 4 * h), np.float32), np.empty((2, n, 4 * h), np.float32)
+        i, f, o, new = (z[..., k * h : (k + 1) * h] for k in range(4))
+        for t in range(length):
+            np.matmul(state, pu, out=turned)
+            for d in (0, 1):
+                np.take(px[d], both[t, d], axis=0, out=z[d], mode="clip")
+            z += turned
+            np.tanh(z, out=z)
+            np.add(f, 1, out=more)
+            cell *= more
+            np.add(i, 1, out=more)
+            more *= new
+            cell += more
+            cell *= 0.5
+            np.tanh(cell, out=lit)
+            np.add(o, 1, out=state)
+            state *= lit
+            states[0, t] = state[0]
+            states[1, length - 1 - t] = state[1]
+        v = self.p["v"] * np.float32(0.5)
+        return states[0] @ v[0] + states[1] @ v[1] + self.p["b"]
+
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood a character, and its gradients."""
         scores, states, kept, both = self.run(x, keep=True)
@@ -235,9 +282,26 @@ class Tagger:
             d_state, d_cell = np.matmul(dz, self.p["u"].transpose(0, 2, 1)), dc * f
         return float((log_z - gold) / size), g
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def most_gain(self, scores: np.ndarray) -> np.ndarray:
+        """What the best span of each window (time, batch, tags) can gain over "outside", at most; an edge may cut it."""
+        t, begin, inside = self.p["t"] - self.p["t"][0, 0], np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
+        over = np.ascontiguousarray((scores[:, :, 1:] - scores[:, :, :1]).transpose(0, 2, 1)).reshape(len(scores), len(KINDS), 2, -1)
+        enter = t[:, begin].max(0)[:, None]
+        stay = np.maximum(t[begin, inside], t[inside, inside])[:, None]
+        outside = np.r_[0, begin]
+        leave = np.maximum(t[begin][:, outside].max(1), t[inside][:, outside].max(1))[:, None]
+        gain = np.maximum(over[0, :, 0], over[0, :, 1])
+        most = gain.copy()
+        begins = over[:, :, 0] + enter
+        stays = over[:, :, 1] + stay
+        for k in range(1, len(scores)):
+            gain += stays[k]
+            np.maximum(gain, begins[k], out=gain)
+            np.maximum(most, gain, out=most)
+        return np.maximum(most + leave, gain).max(0)
+
+    def viterbi(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best tags of each window (batch, time), and each character's log-odds over "outside", with the step to it."""
-        scores = self.run(x)
         length, n, _ = scores.shape
         step = np.where(self.allowed, self.p["t"], -1e4).astype(np.float32)
         back, best = np.empty((length, n, TAGS), np.int8), scores[0]
@@ -254,13 +318,13 @@ class Tagger:
         return tags.T, over.T
 
 
-def train(steps: int = 500, batch: int = 64, entities: int = 6000, seed: int = 11) -> Tagger:
+def train(steps: int = 900, batch: int = 64, entities: int = 12000, seed: int = 11) -> Tagger:
     text, spans = labelled_text(seed, entities)
     x, y, tagger = classes(text), tags_of(len(text), spans), Tagger()
     rng = np.random.default_rng(seed)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in tagger.p.items()}
     for n in range(1, steps + 1):
-        at = rng.integers(0, len(text) - LENGTH, batch)[:, None] + np.arange(LENGTH)
+        at = rng.integers(0, len(text) - TRAINED, batch)[:, None] + np.arange(TRAINED)
         _, grads = tagger.loss(x[at], y[at])
         rate = 0.02 * min(1.0, 2 * (1 - n / (steps + 1)))
         for k, g in grads.items():
@@ -273,30 +337,29 @@ def train(steps: int = 500, batch: int = 64, entities: int = 6000, seed: int = 1
 
 
 @lru_cache(maxsize=1)
-def tagger() -> Tagger:
-    return train()
+def tagger(path: str = MODEL_FILE) -> Tagger:
+    """The trained network; trained anew where there are no weights."""
+    if not os.path.exists(path):
+        return train()
+    out = Tagger()
+    with np.load(path) as f:
+        out.p = {k: f[k] for k in out.p}
+    return out
 
 
 # ---- from windows to spans of whole texts
 
 
 def plausible(span: str, kind: str) -> bool:
-    """Has a digit or an @, and as many digits as its kind must have."""
+    """Has what its kind cannot be without: so many digits, or a sign or word between the parts of an address."""
     n = sum("0" <= c <= "9" for c in span)
-    return {"email": "@" in span, "ip": n >= 4 and len(re.findall("[0-9]+", span)) == 4, "card": 14 <= n <= 19, "phone": 9 <= n <= 15}[kind]
+    at = "@" in span or re.search(r"(?i)(\bat\b|[(\[]at[)\]]).*(\.|\bdot\b)", span)
+    return {"email": bool(at), "ip": n >= 4 and len(re.findall("[0-9]+", span)) == 4, "card": 14 <= n <= 19, "phone": 9 <= n <= 15}[kind]
 
 
-def window_starts(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or an @."""
-    if len(text) <= LENGTH:
-        return [0] if _TRIGGER.search(text) else []
-    last = -(-(len(text) - LENGTH) // STRIDE)
-    found: dict[int, None] = {}
-    for m in _TRIGGER.finditer(text):
-        i = m.start()
-        for k in range(max(0, (i - LENGTH) // STRIDE + 1), min(last, i // STRIDE) + 1):
-            found[k * STRIDE] = None
-    return list(found)
+def window_starts(n: int) -> range:
+    """Starts of the windows over n characters."""
+    return range(0, max(1, n - LENGTH + STRIDE), STRIDE) if n else range(0)
 
 
 def reconcile(spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str]]:
@@ -323,27 +386,77 @@ def reconcile(spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int,
 
 def predicted(texts: list[str], model: Tagger) -> list[list[tuple[int, int, str]]]:
     """Spans that the network finds in whole texts."""
-    where = [(n, a) for n, text in enumerate(texts) for a in window_starts(text)]
-    raw: dict[int, list[tuple[int, int, str, float]]] = {}
-    for i in range(0, len(where), BATCH):
-        part = where[i : i + BATCH]
-        x = np.full((len(part), LENGTH), PAD, np.uint8)
-        for k, (n, a) in enumerate(part):
-            c = classes(texts[n][a : a + LENGTH])
-            x[k, : len(c)] = c
-        tags, over = model.decode(x)
-        for k in np.flatnonzero(tags.any(1)).tolist():
-            n, a = part[k]
-            text, t = texts[n], tags[k]
-            for b in np.flatnonzero(t % 2 == 1).tolist():
-                e = b + 1
-                while e < LENGTH and t[e] == t[b] + 1:
-                    e += 1
-                cut = (b == 0 and a > 0) or (e == LENGTH and a + e < len(text))
-                score = float(over[k, b : e + 1].sum())  # with the step out of the span
-                if not cut and score >= LEAST_ODDS and a + e <= len(text) and plausible(text[a + b : a + e], KINDS[t[b] // 2]):
-                    raw.setdefault(n, []).append((a + b, a + e, KINDS[t[b] // 2], score))
-    return [reconcile(raw[n]) if n in raw else [] for n in range(len(texts))]
+    coded = [classes(t) for t in texts]
+    parts: dict[tuple[int, int], list[tuple[int, int, int, float, bool, bool]]] = {}
+
+    def decode(held: list[tuple[int, int, np.ndarray]]) -> None:
+        if held:
+            scores = np.full((max(len(s) for *_, s in held), len(held), TAGS), -1e4, np.float32)
+            scores[:, :, 0] = 0
+            for k, (*_, s) in enumerate(held):
+                scores[: len(s), k] = s
+            for (n, a, _), tags, over in zip(held, *model.viterbi(scores), strict=True):
+                parts[n, a] = tagged_spans(tags, over, a, len(coded[n]))
+            held.clear()
+
+    def look(where: list[tuple[int, int]], least: float) -> None:
+        """Windows in which no span can gain `least` over "outside" are not decoded: they have no spans."""
+        where.sort(key=lambda w: min(LENGTH, len(coded[w[0]]) - w[1]))  # windows of one length run together
+        held: list[tuple[int, int, np.ndarray]] = []
+        for i in range(0, len(where), BATCH):
+            part = where[i : i + BATCH]
+            x = np.full((len(part), min(LENGTH, len(coded[part[-1][0]]) - part[-1][1])), PAD, np.uint8)
+            for k, (n, a) in enumerate(part):
+                c = coded[n][a : a + LENGTH]
+                x[k, : len(c)] = c
+            scores = model.scores(x)
+            held += [(*part[k], scores[: len(coded[part[k][0]]) - part[k][1], k].copy()) for k in np.flatnonzero(model.most_gain(scores) >= least).tolist()]
+            if len(held) >= BATCH:
+                decode(held)
+        decode(held)
+
+    look([(n, a) for n, c in enumerate(coded) for a in window_starts(len(c))], LEAST_ODDS / 2)
+    # a span that an edge cuts gains half of what it must in one of its windows at least; its other window is looked at too
+    beside = {(n, a + (STRIDE if p[5] else -STRIDE)) for (n, a), found in parts.items() for p in found if p[4] or p[5]}
+    look([w for w in beside if w not in parts and w[1] in window_starts(len(coded[w[0]]))], -np.inf)
+    raw: dict[int, list] = {}
+    for n, a in sorted(parts):
+        raw.setdefault(n, []).extend(parts[n, a])
+    return [reconcile(whole_spans(texts[n], raw[n])) if n in raw else [] for n in range(len(texts))]
+
+
+def tagged_spans(tags: np.ndarray, over: np.ndarray, at: int, end: int) -> list[tuple[int, int, int, float, bool, bool]]:
+    """Spans of one window, which starts at `at` of a text of `end` characters: from, to, kind, score, cut at its start, cut at its end."""
+    out, size = [], min(LENGTH, end - at)
+    for b in np.flatnonzero(tags[:size]).tolist():
+        kind = (int(tags[b]) - 1) // 2
+        if tags[b] % 2 == 0 and b and (tags[b - 1] + 1) // 2 == kind + 1:
+            continue  # inside of a span that began before
+        e = b + 1
+        while e < size and tags[e] == 2 * kind + 2:
+            e += 1
+        out.append((at + b, at + e, kind, float(over[b : e + 1].sum()), b == 0 and at > 0, e == size and at + e < end))  # with the step out of the span
+    return out
+
+
+def whole_spans(text: str, parts: list[tuple[int, int, int, float, bool, bool]]) -> list[tuple[int, int, str, float]]:
+    """Spans of the windows' parts (from, to, kind, score, cut at its start, cut at its end), in the order of the windows.
+
+    A part whose start a window cuts goes on from the part that the window before cut at its end, or is known whole there.
+    """
+    out: list[tuple[int, int, str, float]] = []
+    going: dict[int, tuple[int, int, float]] = {}
+    for a, b, kind, score, cut_start, cut_end in parts:
+        if cut_start:
+            before = going.pop(kind, None)
+            if before is None or before[1] < a:
+                continue
+            score, a = before[2] + score * (b - before[1]) / (b - a), before[0]
+        if cut_end:
+            going[kind] = (a, b, score)
+        elif score >= LEAST_ODDS and plausible(text[a:b], KINDS[kind]):
+            out.append((a, b, KINDS[kind], score))
+    return out
 
 
 def found(texts: list[str], model: Tagger) -> list[tuple[list, list]]:
@@ -398,3 +511,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     new = unused(docs, "_masked")
     out = append_texts(docs, make, f"{new} string").withColumn("text", F.col(new)).drop(new)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+if __name__ == "__main__":
+    np.savez_compressed(MODEL_FILE, **train().p)
