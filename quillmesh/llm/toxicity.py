@@ -20,13 +20,16 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import append_texts, map_texts, unused
+from quillmesh.llm.common import append_texts, checkpointed, map_texts, schema_of, unused
 
-#: Most labelled rows of either label that are examples; most terms; nearest examples that vote; examples in a block.
-EXAMPLES_OF_LABEL, TERMS, NEAREST, BLOCK = 2000, 4096, 15, 64
+#: Most labelled rows of either label that are examples; nearest examples that vote; examples in a block.
+EXAMPLES_OF_LABEL, NEAREST, BLOCK = 2000, 15, 64
+#: A term tells the labels apart if so many examples have it, and its shares differ by so many standard errors.
+LEAST_EXAMPLES, LEAST_Z = 5, 6
 THRESHOLD = 0.3
 #: Words of which a task remembers the terms. Only speed depends on it.
 MEMO = 200_000
@@ -117,39 +120,13 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p for p, _ in points]), np.array([v for _, v in points])
 
 
-def choose(texts: list[str], labels: list[int], n1: int, n0: int) -> tuple[list[str], list[int]]:
-    """The terms that tell the labels apart best, and how many texts have each.
-
-    Terms are counted by their hashes, eight bytes for each term of a text, and named in a second reading.
-    """
-    by_label: dict[int, list[np.ndarray]] = {0: [], 1: []}
-    for text, label in zip(texts, labels, strict=True):
-        by_label[label].append(np.array([hash(t) for t in terms_of(text)], np.int64))
-    every = {k: np.unique(np.concatenate([*v, np.zeros(0, np.int64)]), return_counts=True) for k, v in by_label.items()}
-    codes = np.union1d(every[0][0], every[1][0])
-    with_term = np.zeros((2, len(codes)))
-    for k, (code, n) in every.items():
-        with_term[k, np.searchsorted(codes, code)] = n
-    b, a = with_term
-    p = (a + b) / (n1 + n0)
-    z = np.abs(a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-    good = (a + b >= 5) & (z > 6)
-    gain = {c: (-round(float(v), 9), int(n)) for c, v, n in zip(codes[good].tolist(), z[good], (a + b)[good], strict=True)}
-    named = {t: gain[c] for text in texts for t in terms_of(text) if (c := hash(t)) in gain} if gain else {}
-    chosen = sorted(named, key=lambda t: (named[t][0], t))[:TERMS]
-    return chosen, [named[t][1] for t in chosen]
-
-
-def fit(ids: list[int], texts: list[str], labels: list[int], totals: dict[int, int]) -> Model:
-    """totals: how many rows of each label there were to sample from."""
+def assemble(ids: list[int], bags: list[dict[int, int]], labels: list[int], terms: dict[str, int], seen: list[int], totals: dict[int, int]) -> Model:
+    """The index of the examples. seen: how many have each term; totals: how many rows of each label there were to sample from."""
     if not ids:
         return Model({}, np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), 0.0)
     y = np.array(labels)
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    chosen, seen = choose(texts, labels, n1, n0)
-    terms = {t: i for i, t in enumerate(chosen)}
     idf = np.array([math.log((1 + len(y)) / (1 + n)) + 1 for n in seen])
-    bags = [{terms[t]: n for t, n in terms_of(text).items() if t in terms} for text in texts]
     weight = np.where(y == 1, totals.get(1, n1) / n1, totals.get(0, n0) / n0)
     empty = np.array([not b for b in bags])
     prior = float((weight * y).sum() / weight.sum())
@@ -166,10 +143,6 @@ def fit(ids: list[int], texts: list[str], labels: list[int], totals: dict[int, i
                 value.append(w)
                 model.most[i, j // BLOCK] = max(model.most[i, j // BLOCK], np.nextafter(np.float32(w), np.float32(2)))
     model.rows = [{b: (np.array(a, np.int64), np.array(v)) for b, (a, v) in row.items()} for row in lists]
-    votes = [(j, model.vote(near)) for j, bag in enumerate(bags) if bag and (near := model.nearest(bag, without=j))]
-    if votes:
-        at = np.array([j for j, _ in votes])
-        model.steps = monotone(np.array([v for _, v in votes]), y[at].astype(float), weight[at])
     return model
 
 
@@ -211,18 +184,87 @@ class Scorer:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES_OF_LABEL) -> Model:
-    """From rows that are not held out; of either label the rows whose id has the smallest hash, at most `per_label`."""
+def sampled(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, toxic, text) of the examples, and how many rows of each label there were.
+
+    Rows that are not held out; of either label those whose id has the smallest hash, at most `per_label`.
+    """
     own = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     own = own.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     totals = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sample = [r for k in (0, 1) for r in own.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).collect()]
-    if not sample:
-        return fit([], [], [], {})
-    chosen = docs.sparkSession.createDataFrame(sample, "doc_id long, toxic int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = texts.groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).toArrow().sort_by("doc_id").to_pydict()
-    return fit(rows["doc_id"], rows["text"], rows["toxic"], totals)
+    chosen = [r for k in (0, 1) for r in own.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).collect()]
+    asked = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(asked), "doc_id")
+    return texts.groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), totals
+
+
+def telling_terms(texts: DataFrame, n1: int, n0: int) -> list[tuple[str, int]]:
+    """All terms that tell the labels apart, best first, and how many examples have each."""
+    spark_schema, arrow = schema_of("term string, toxic int")
+
+    def terms(batches):
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = list(terms_of(text))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([label] * len(own), pa.int32())], schema=arrow)
+
+    counted = texts.select("toxic", "text").mapInArrow(terms, spark_schema).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    p = (a + b) / (n1 + n0)
+    z = F.abs(a / n1 - b / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
+    found = counted.select("term", (a + b).alias("n"), F.round(z, 9).alias("z")).where(f"n >= {LEAST_EXAMPLES} and z > {LEAST_Z}").collect()
+    return [(r["term"], r["n"]) for r in sorted(found, key=lambda r: (-r["z"], r["term"]))]
+
+
+def train(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES_OF_LABEL) -> Model:
+    """Texts stay in tasks: the driver gets the telling terms, the examples' counts of those, and their votes."""
+    texts, totals = sampled(docs, labels, per_label)
+    texts = checkpointed(texts.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id"))
+    n1, n0 = (max(1, min(per_label, totals.get(k, 0))) for k in (1, 0))
+    chosen = telling_terms(texts, n1, n0)
+    terms = {t: i for i, (t, _) in enumerate(chosen)}
+    bare_model = Model(terms, np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), 0.0)
+
+    def bags():
+        scorer = Scorer(bare_model)
+
+        def kernel(of, texts):
+            found = [scorer.counts(t) for t in texts]
+            return [[x["doc_id"] for x in of], [x["toxic"] for x in of], [list(c) for c in found], [list(c.values()) for c in found]]
+
+        return kernel
+
+    own = texts.select(F.struct("doc_id", "toxic").alias("of"), "text")
+    rows = map_texts(own, bags, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().sort_by("doc_id").to_pydict()
+    counted = [dict(zip(t, n, strict=True)) for t, n in zip(rows["terms"], rows["counts"], strict=True)]
+    model = assemble(rows["doc_id"], counted, rows["toxic"], terms, [n for _, n in chosen], totals)
+    calibrate(model, counted, docs)
+    return model
+
+
+def calibrate(model: Model, bags: list[dict[int, int]], docs: DataFrame) -> None:
+    """From a vote to a share of label 1, by what the examples get from all others; each task votes on some of them."""
+    sc = docs.sparkSession.sparkContext
+    asked = [(j, list(bag), list(bag.values())) for j, bag in enumerate(bags) if bag]
+    if not asked:
+        return
+    held, (spark_schema, arrow) = sc.broadcast(model), schema_of("j int, vote double")
+
+    def votes(batches):
+        m = held.value
+        for batch in batches:
+            found = []
+            for j, t, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                near = m.nearest(dict(zip(t, n, strict=True)), without=j)
+                if near:
+                    found.append((j, m.vote(near)))
+            yield pa.RecordBatch.from_arrays([pa.array([j for j, _ in found], pa.int32()), pa.array([v for _, v in found], pa.float64())], schema=arrow)
+
+    frame = docs.sparkSession.createDataFrame(asked, "j int, terms array<int>, counts array<int>").repartition(sc.defaultParallelism)
+    got = frame.mapInArrow(votes, spark_schema).toArrow().sort_by("j").to_pydict()
+    if got["j"]:
+        at = np.array(got["j"])
+        model.steps = monotone(np.array(got["vote"]), model.labels[at].astype(float), model.weight[at])
 
 
 def scored(docs: DataFrame, model: Model, evidence: bool = False) -> DataFrame:
