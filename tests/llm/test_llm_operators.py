@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -67,6 +68,18 @@ def test_bpe_trees_agree(encoder):
     assert grouped == [bpe.merge_one(p, encoder.v) for p in pieces]
 
 
+def test_bpe_of_a_very_long_piece(encoder, library):
+    import tracemalloc
+
+    r = random.Random(8)
+    text = "".join(r.choice("abcdehinorst") for _ in range(200_000))
+    tracemalloc.start()
+    ids = encoder.encode([text])[0]
+    assert tracemalloc.get_traced_memory()[1] < 120 * len(text)
+    tracemalloc.stop()
+    assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
+
+
 def test_bpe_forgets_without_changing(sf):
     small = bpe.Encoder(PATH, public_tokenizers.PATTERN, memo=50)
     texts = documents(sf)["text"][:40]
@@ -103,8 +116,18 @@ def test_quality_counts(sf):
 
 def test_cascade_order_does_not_change_verdicts(sf):
     counts = [quality.count(t) for t in documents(sf)["text"]]
-    cascade = quality.Cascade(sample_rows=30)
-    assert [bool(cascade.rejects(c)) for c in counts] == [any(test(c) for _, test in quality.RULES) for c in counts]
+    order = quality.ordered(quality.measured(counts))
+    assert sorted(order) == sorted(n for n, _ in quality.RULES)
+    for cascade in (quality.Cascade(order), quality.Cascade(order[::-1])):
+        assert [bool(cascade.rejects(c)) for c in counts] == [any(test(c) for _, test in quality.RULES) for c in counts]
+
+
+def test_cascade_asks_by_rejections_per_second(spark, sf):
+    assert quality.ordered({"dear": (2.0, 10), "cheap": (0.1, 10), "idle": (0.5, 0), "idle and cheap": (0.1, 0)}) == ["cheap", "dear", "idle and cheap", "idle"]
+    asked = []
+    rules = [(n, lambda c, n=n: asked.append(n) or n == "b") for n in "abc"]
+    assert quality.Cascade(["c", "b", "a"], rules).rejects(quality.count("x")) == "b" and asked == ["c", "b"]
+    assert sorted(quality.plan(spark.read.parquet(f"{sf}/documents.parquet"))) == sorted(n for n, _ in quality.RULES) and quality.plan(empty(spark)) == [n for n, _ in quality.RULES]
 
 
 def test_quality_keeps_good_and_drops_bad(sf):
@@ -116,7 +139,7 @@ def test_quality_keeps_good_and_drops_bad(sf):
     for i, t in zip(docs["doc_id"], docs["text"], strict=True):
         c = quality.count(t)
         if i in label and not quality.base_failed(c):
-            kept[label[i]].append(not quality.Cascade(sample_rows=0).rejects(c))
+            kept[label[i]].append(not quality.Cascade([n for n, _ in quality.RULES]).rejects(c))
     assert np.mean(kept[1]) > 0.98 and np.mean(kept[0]) < 0.3
 
 
@@ -364,6 +387,38 @@ def test_toxicity_on_held_out_labels(spark):
             assert [e.cosine for e in some[i].evidence] == [c for _, c in model.nearest(counts)]
 
 
+def test_toxicity_query_recomputed(spark):
+    """Scores, verdicts and held-out rows of the query from a search of all examples."""
+    from quillmesh.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    dense = np.zeros((len(model.labels), len(model.terms)))
+    for i, lists in enumerate(model.rows):
+        for b, (at, w) in lists.items():
+            dense[b * toxicity.BLOCK + at, i] = w
+    texts = dict(zip(*documents(sf).values(), strict=True))
+    rows = QUERIES["op7_toxicity"](spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        counts: dict[int, int] = {}
+        for term, n in toxicity.terms_of(texts[r.doc_id] or "").items():
+            if term in model.terms:
+                counts[model.terms[term]] = n
+        score = model.none
+        if counts:
+            t = np.array(sorted(counts))
+            w = np.array([1 + np.log(counts[k]) for k in t]) * model.idf[t]
+            cosine = dense[:, t] @ (w / np.sqrt((w * w).sum()))
+            near = [k for k in np.lexsort((np.arange(len(cosine)), -cosine))[: toxicity.NEAREST] if cosine[k] > 0]
+            if near:
+                votes = model.weight[near] / (1.02 - cosine[near])
+                score = np.interp((votes * model.labels[near]).sum() / votes.sum(), *model.steps)
+        assert abs(r.score - score) < 1e-6 and r.predicted == int(r.score >= 0.3), r.doc_id
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 def test_toxicity_edges(spark):
     none = toxicity.train(empty(spark), spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in toxicity.scored(awkward(spark), none).collect()} == {0.0}
