@@ -1,14 +1,22 @@
-"""Small inputs over all cores."""
+"""Small inputs over all cores, and small sides of joins to every task."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: A scan that reads less than this from fewer files than there are cores is dealt out; larger ones have splits enough.
 FEW_BYTES = 256 << 20
+#: Rows up to which a side is sent to every task.
+FEW_ROWS = 10_000
 
 
 def spread(df: DataFrame) -> DataFrame:
     cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if 0 < files < cores and size < FEW_BYTES else df
+
+
+def few(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
+    """The rows marked for every task, if they have been counted and are few; else as they are, for the planner to join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

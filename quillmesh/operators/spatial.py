@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from quillmesh.operators.graph import components
 from quillmesh.operators.lineage import checkpointed
 
 AXES = ("x", "y", "z")
-#: Rows up to which a side is broadcast; it is counted before.
-SMALL_ROWS = 10_000
+#: Targets up to which every task holds all of them; they are counted before.
+SMALL_ROWS = 1_000
 
 
 def cell(radius: float, *axes: str) -> list[Column]:
@@ -41,20 +41,26 @@ def radius_pairs(points: DataFrame, radius: float, by: list[str], key: str = "ta
 def nearest(rows: DataFrame, targets: DataFrame, key: str, order: str = "id", by: list[str] | None = None) -> DataFrame:
     """rows with near (id) and dist of the nearest target, the one of the lowest `order` among equals; null without one.
 
-    A target side of up to SMALL_ROWS rows goes to every task and needs no shuffle. A larger one is searched in cells of
-    growing size until a found target is surely the nearest.
+    Up to SMALL_ROWS targets go to every task as one array (one for each value of `by`), and each row takes the least over
+    its array: no row is made for a pair, and rows are not shuffled. More targets are searched in cells of growing size
+    until a found target is surely the nearest.
     """
     by = by or []
     have = targets.where(" and ".join(f"{k} is not null" for k in AXES))
-    dist = F.sqrt(squared("r", "t"))
-    keys = [F.col(f"r.{c}") == F.col(f"t.{c}") for c in by]
-    small = have.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    if small:
-        pairs = rows.alias("r").join(F.broadcast(have.alias("t")), keys or F.lit(True), "inner")
-        best = pairs.where(dist.isNotNull()).groupBy(F.col(f"r.{key}").alias("_key")).agg(F.min(F.struct(dist.alias("dist"), F.col(f"t.{order}").alias("near"))).alias("_best"))
-    else:
+    if have.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
         best = _nearest_by_cells(rows, have, key, order, by)
-    return rows.join(best, rows[key] == best["_key"], "left").select(rows["*"], F.col("_best.near").alias("near"), F.col("_best.dist").alias("dist"))
+        return rows.join(best, rows[key] == best["_key"], "left").select(rows["*"], F.col("_best.near").alias("near"), F.col("_best.dist").alias("dist"))
+    every = F.collect_list(F.struct(F.col(order).alias("near"), *AXES)).alias("_targets")
+    if by:
+        held = rows.join(F.broadcast(have.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(every)), [rows[c] == F.col(f"_by_{c}") for c in by], "left")
+    else:
+        held = rows.join(F.broadcast(have.agg(every)), how="left")
+    apart = F.transform("_targets", lambda t: F.struct(F.sqrt(sum((F.col(k) - t[k]) * (F.col(k) - t[k]) for k in AXES)).alias("dist"), t["near"].alias("near")))
+    known = F.lit(True)
+    for k in AXES:
+        known = known & F.col(k).isNotNull()
+    best = F.when(known, F.array_min(apart)).alias("_best")
+    return held.select(*[rows[c] for c in rows.columns], best).select(*rows.columns, F.col("_best.near").alias("near"), F.col("_best.dist").alias("dist"))
 
 
 def _nearest_by_cells(rows: DataFrame, have: DataFrame, key: str, order: str, by: list[str]) -> DataFrame:
@@ -84,23 +90,32 @@ def _nearest_by_cells(rows: DataFrame, have: DataFrame, key: str, order: str, by
 
 
 def clusters(points: DataFrame, radius: float, by: list[str], key: str = "tag_id") -> DataFrame:
-    """points with `cluster`: the least key reachable over pairs closer than radius; a point without a position is its own.
+    """points with `cluster`: the least key reachable over pairs closer than radius; a point without a position is its own."""
+    roots = components(cluster_links(points, radius, by, key))
+    return points.join(roots, points[key] == roots["node"], "left").select(points["*"], F.coalesce("root", key).alias("cluster"))
 
-    Labels spread to neighbours and then jump to their own label's label, so rounds grow with the logarithm of a chain's
-    length; each round is checkpointed.
+
+def cluster_links(points: DataFrame, radius: float, by: list[str], key: str) -> DataFrame:
+    """(a, b) that join the points of each cluster, one for each point and each pair of cells.
+
+    Cells are so small that all points of one are closer than the radius: they are linked to the least of their cell, and
+    of two cells one pair of points that is close enough links all.
     """
-    edges = radius_pairs(points, radius, by, key)
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = checkpointed(points.select(F.col(key).alias("node"), F.col(key).alias("label_of")))
-    while True:
-        heard = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label_of").alias("heard"))
-        near = labels.join(heard, labels.node == heard.a, "left").select("node", F.col("label_of").alias("was"), F.least("label_of", F.coalesce("heard", "label_of")).alias("now"))
-        up = labels.select(F.col("node").alias("via"), F.col("label_of").alias("far"))
-        jumped = checkpointed(near.join(up, near.now == up.via, "left").select("node", "was", F.least("now", "far").alias("label_of")))
-        done = jumped.where("was <> label_of").isEmpty()
-        labels = jumped.select("node", "label_of")
-        if done:
-            return points.join(labels, points[key] == labels["node"]).select(points["*"], F.col("label_of").alias("cluster"))
+    size, cells = radius * 0.577, ("cx", "cy", "cz")
+    own = points.where(" and ".join(f"{k} is not null" for k in AXES)).select(F.col(key).alias("node"), *by, *AXES, *cell(size, *AXES))
+    least = own.groupBy(*by, *cells).agg(F.min("node").alias("a"))
+    inside = own.join(least, [*by, *cells]).where("a <> node").select("a", F.col("node").alias("b"))
+    # cells up to two steps away, each pair of cells from one side
+    steps = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
+    near = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(s, cells, strict=True)]) for s in steps])).alias("s")
+    filled = least.select(*by, *cells, near).select(*by, *cells, *[(F.col(c) + F.col(f"s.{c}")).alias(f"n{c}") for c in cells])
+    pairs = filled.join(least.select(*by, *[F.col(c).alias(f"n{c}") for c in cells]), [*by, *[f"n{c}" for c in cells]])
+    left = pairs.join(own, [*by, *cells]).select(*by, *cells, *[f"n{c}" for c in cells], "node", *AXES).alias("p")
+    right = own.select(*by, *[F.col(c).alias(f"n{c}") for c in cells], "node", *AXES).alias("q")
+    on = [F.col(f"p.{c}") == F.col(f"q.{c}") for c in (*by, *[f"n{c}" for c in cells])]
+    close = left.join(right, [*on, F.sqrt(squared("p", "q")) < radius])
+    across = close.groupBy(*[F.col(f"p.{c}") for c in (*by, *cells, *[f"n{c}" for c in cells])]).agg(F.min(F.struct(F.col("p.node").alias("a"), F.col("q.node").alias("b"))).alias("l"))
+    return inside.unionByName(across.select("l.a", "l.b"))
 
 
 def physical_tags(clustered: DataFrame, by: list[str]) -> DataFrame:
@@ -128,6 +143,6 @@ def mode_seeking(points: DataFrame, radius: float, by: list[str], key: str = "ta
 
 def front_surface_median(points: DataFrame, by: list[str], depth: str = "depth") -> DataFrame:
     """Exact median of each axis over the points near the closest surface: depth < 1.05 least + 0.03."""
-    w = Window.partitionBy(*by)
-    front = points.withColumn("_least", F.min(depth).over(w)).where(F.col(depth) < F.col("_least") * 1.05 + 0.03)
+    least = points.groupBy(*by).agg(F.min(depth).alias("_least"))
+    front = points.join(least, by).where(F.col(depth) < F.col("_least") * 1.05 + 0.03)
     return front.groupBy(*by).agg(*[F.round(F.median(k), 4).alias(k) for k in AXES], F.count(F.lit(1)).alias("n"))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmesh.operators import merge
-from quillmesh.operators.lineage import checkpointed
+from quillmesh.operators import merge, order
 from quillmesh.plans import inputs as i
 from quillmesh.plans.registry import query, table
 from quillmesh.sinks import render
@@ -40,7 +39,7 @@ def p2_p8_optional_filters(spark, sf_dir):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("SELECT 'given' AS asked, p_partkey FROM part WHERE p_brand IN ('Brand#1', 'Brand#3') UNION ALL SELECT 'unfiltered', p_partkey FROM part WHERE p_size < 5")
+@query("SELECT 'given' AS asked, p_partkey FROM part WHERE p_brand IN ('Brand#1', 'Brand#3') UNION ALL SELECT 'unfiltered', p_partkey FROM part")
 def p3_p4_in_lists(spark, sf_dir):
     """An empty list of wanted models gives nothing; an empty list of documents to search in is no filter."""
     part = table(spark, sf_dir, "part")
@@ -240,21 +239,15 @@ def w3_ordinals(spark, sf_dir):
 @query("""WITH r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
 SELECT o_orderkey, o_orderpriority FROM r WHERE k % greatest(1, CAST(floor(n / 10.0) AS BIGINT)) = 0""")
 def w7_even_spread(spark, sf_dir):
-    w = Window.partitionBy("o_orderpriority")
-    r = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", (F.row_number().over(w.orderBy("o_orderkey")) - 1).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
-    return r.where(c("k") % F.greatest(F.lit(1), F.floor(c("n") / 10)) == 0).select("o_orderkey", "o_orderpriority")
+    r = order.placed_in_groups(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderpriority"], ["o_orderkey"])
+    return r.where((c("place") - 1) % F.greatest(F.lit(1), F.floor(c("size") / 10)) == 0).select("o_orderkey", "o_orderpriority")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END NULLS FIRST, o_orderkey) AS place FROM orders QUALIFY place <= 20")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END NULLS FIRST, o_orderkey) AS place FROM orders")
 def t1_t2_nulls_first(spark, sf_dir):
-    """The place of every order in a total order, nulls first: a sort by ranges, and the rows that lie in the ranges before."""
+    """The place of every order in a total order, nulls first."""
     price = F.when(c("o_orderkey") % 3 != 0, c("o_totalprice"))
-    ordered = checkpointed(table(spark, sf_dir, "orders").select("o_orderkey", price.alias("p")).orderBy(c("p").asc_nulls_first(), "o_orderkey"))
-    at = F.monotonically_increasing_id()  # the partition, and in the low 33 bits the row in it
-    numbered = ordered.select("o_orderkey", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
-    sizes = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - c("n")).alias("before"))  # a row for each partition
-    return numbered.join(F.broadcast(before), "part").select("o_orderkey", (c("before") + c("row") + 1).alias("place"))
+    return order.placed(table(spark, sf_dir, "orders").select("o_orderkey", price.alias("p")), [c("p").asc_nulls_first(), "o_orderkey"]).select("o_orderkey", "place")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 6")

@@ -83,7 +83,10 @@ def a22_search_recall(spark, sf_dir):
     return first.agg(F.count(F.lit(1)).alias("questions"), F.count("first_hit").alias("found"), F.count_if(c("first_hit") == 1).alias("found_first"))
 
 
-@query(f"WITH q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark)), d AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents WHERE length(text) < 200)) SELECT item_id, doc_id, count(*) AS common FROM q JOIN d USING (term) GROUP BY item_id, doc_id")
+_COLLAPSE = "lower(trim(regexp_replace({}, '[\\s\u00a0]+', ' ', 'g')))"
+
+
+@query(f"WITH q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark)), d AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents)) SELECT item_id, doc_id, count(*) AS common FROM q JOIN d USING (term) GROUP BY item_id, doc_id")
 def o4_common_words(spark, sf_dir):
     """Texts that share words, and how many: an equi-join on words."""
     q = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(t.tokens(c("text")))).alias("term"))
@@ -102,15 +105,12 @@ def f22_f23_norm_fold(spark, sf_dir):
 
 @query()
 def f24_w2_label_match(spark, sf_dir):
-    """The best alias of each text, unless it is too unlike or the second best is too near. The ratio is Python's difflib."""
-    aliases = table(spark, sf_dir, "part").select(c("p_type").alias("alias")).distinct()
-    texts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.substring("p_type", 1, 4), F.lit(" "), "p_size").alias("read")).where(F.length(t.norm(c("read"))) >= 2)
+    """The best alias of each text, unless it is too unlike or the second best is too near; texts of less than two letters have none. The ratio is Python's difflib."""
+    aliases = [r.alias for r in table(spark, sf_dir, "part").select(c("p_type").alias("alias")).distinct().limit(t.MOST_LABELS + 1).collect()]
+    texts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.substring("p_type", 1, c("p_partkey") % 6), F.lit(" "), F.when(c("p_size") % 3 > 0, c("p_size"))).alias("read"), "p_type")
+    texts = texts.withColumn("read", F.coalesce("read", F.substring("p_type", 1, 1)))
     distinct = texts.select("read").distinct()
-    scored = distinct.join(F.broadcast(aliases)).select("read", "alias", t.label_score(c("read"), c("alias")).alias("score"))
-    w = Window.partitionBy("read").orderBy(F.desc("score"), "alias")
-    best = scored.withColumns({"n": F.row_number().over(w), "second": F.lead("score").over(w)}).where("n = 1")
-    accepted = (c("score") >= 0.65) & (c("score") - F.coalesce("second", F.lit(0.0)) >= 0.05)
-    named = best.select("read", F.when(accepted, c("alias")).alias("label"), F.round("score", 4).alias("score"))
+    named = distinct.select("read", t.best_label(c("read"), aliases).alias("m")).select("read", "m.label", F.round("m.score", 4).alias("score"))
     return texts.join(named, "read").select("p_partkey", "label", "score")
 
 
@@ -119,7 +119,7 @@ def f25_question_terms(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(t.question_terms(c("text"), F.array(F.lit("er"), F.lit("la"))), " ").alias("terms"))
 
 
-@query("""SELECT item_id, lower(trim(regexp_replace(left(text, 60), '\\s+', ' ', 'g'))) AS collapsed, regexp_replace(lower(trim(regexp_replace(item_id || '.2  Page ' || left(text, 20), '\\s+', ' ', 'g'))), '[0-9]+', '#', 'g') AS margin, trim(left(text, 20)) AS title FROM benchmark""")
+@query(f"""SELECT item_id, {_COLLAPSE.format("text")} AS collapsed, regexp_replace({_COLLAPSE.format("item_id || '.2  Page ' || text")}, '[0-9]+', '#', 'g') AS margin, regexp_replace(trim(item_id || '.2 ' || text), '^([A-Z]\\.)?[0-9.]*[0-9]\\.?\\s+', '') AS title FROM benchmark""")
 def f26_text_keys(spark, sf_dir):
     numbered = F.concat(c("item_id").cast("string"), F.lit(".2  Page "), "text")
     title = t.strip_number(F.concat(c("item_id").cast("string"), F.lit(".2 "), "text"))
@@ -136,7 +136,7 @@ def f27_document_names(spark, sf_dir):
 
 # ---- chunking
 
-_LINES = "lines AS (SELECT doc_id, unnest(range(0, len(l))) AS ord, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)))"
+_LINES = "lines AS (SELECT doc_id, unnest(range(0, len(l))) AS ord, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))"
 
 
 @query(f"""WITH RECURSIVE {_LINES}, w AS (SELECT doc_id, ord, CAST(0 AS INT) AS chunk, length(line) AS size FROM lines WHERE ord = 0 UNION ALL
@@ -152,12 +152,12 @@ def a23_chunk_stats(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.floor(F.avg(F.length("text"))).cast("long").alias("mean_chars"), F.count_if(c("text").contains("|")).alias("tables"))
 
 
-_HEADED = f"{_LINES}, headed AS (SELECT doc_id, ord, CASE WHEN length(line) < 60 THEN 1 + length(line) % 3 END AS level, left(line, 12) AS title FROM lines)"
+_HEADED = f"{_LINES}, headed AS (SELECT doc_id, ord, CASE WHEN length(line) < 60 THEN 1 + length(line) % 3 END AS level, line AS title FROM lines)"
 
 
 def _headed(spark, sf_dir):
     n = F.length("line")
-    return chunking.lines(table(spark, sf_dir, "documents")).select("doc_id", "ord", F.when(n < 60, 1 + n % 3).alias("level"), F.substring("line", 1, 12).alias("title"))
+    return chunking.lines(table(spark, sf_dir, "documents")).select("doc_id", "ord", F.when(n < 60, 1 + n % 3).alias("level"), F.col("line").alias("title"))
 
 
 @query(f"""WITH {_HEADED}, a AS (SELECT *, last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER w AS h1, count(CASE WHEN level <= 1 THEN 1 END) OVER w AS g1, count(CASE WHEN level <= 2 THEN 1 END) OVER w AS g2 FROM headed WINDOW w AS (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING)),
@@ -180,7 +180,7 @@ def a11_body_font(spark, sf_dir):
     return chunking.body_size(runs, "doc_id").select("doc_id", c("body").cast("int").alias("body"))
 
 
-@query(f"""WITH {_LINES}, m AS (SELECT doc_id, ord, CAST(floor(ord / 5.0) AS INT) AS page, left(line, 2) AS k FROM lines), pages AS (SELECT doc_id, count(DISTINCT page) AS n FROM m GROUP BY doc_id),
+@query(f"""WITH {_LINES}, m AS (SELECT doc_id, ord, CAST(floor(ord / 5.0) AS INT) AS page, regexp_replace({_COLLAPSE.format('line')}, '[0-9]+', '#', 'g') AS k FROM lines), pages AS (SELECT doc_id, count(DISTINCT page) AS n FROM m GROUP BY doc_id),
 rep AS (SELECT m.doc_id, k FROM m JOIN pages USING (doc_id) GROUP BY m.doc_id, k, n HAVING count(*) >= greatest(2, 0.2 * n)) SELECT doc_id, count(*) AS kept FROM m WHERE NOT (ord % 5 IN (0, 4) AND EXISTS (SELECT 1 FROM rep WHERE rep.doc_id = m.doc_id AND rep.k = m.k)) GROUP BY doc_id""")
 def f42_s8_margin_filter(spark, sf_dir):
     """Lines at the edge of a page whose text repeats over pages go."""

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from quillmesh.functions import geometry as g
 from quillmesh.operators import greedy, spatial
+from quillmesh.operators.parallel import few
 from quillmesh.plans import inputs as i
 from quillmesh.plans.registry import query, table
 
@@ -124,10 +125,10 @@ ok AS (SELECT * FROM vis WHERE depth BETWEEN 0.4 AND 8.0 AND u BETWEEN -150 AND
 
 
 def visible(spark, sf_dir):
-    """Camera and cabinet pairs in view: few cabinets, so they go to every task."""
+    """Camera and cabinet pairs in view; cabinets go to every task if they are few."""
     cab = i.cabinets(spark, sf_dir).where("x is not null").select("id", "name", _vector().alias("at"))
     cams = i.cameras(spark, sf_dir).where(F.col("camera.position.x").between(0.5, 9.5))
-    pairs = cams.join(F.broadcast(cab))
+    pairs = cams.join(few(cab))
     px = g.project(F.col("at"), F.col("camera"))
     to_camera = F.struct(*[((F.col(f"camera.position.{k}") - F.col(f"at.{k}")) / g.distance(F.col("camera.position"), F.col("at"))).alias(k) for k in "xyz"])
     normal = F.struct(F.when(F.col("at.x") < 4, 1.0).otherwise(-1.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
@@ -192,7 +193,7 @@ def f4_f5_f7_angles(spark, sf_dir):
 
 @query(f"WITH {i.CAMERAS}, {i.CABINETS}, {i.POSED}, {i.SEEN} SELECT camera_id, id AS cabinet, round(500*cx/cz+500, 2) AS u, round(500*cy/cz+500, 2) AS v, round(cz, 4) AS depth FROM seen WHERE cz > 0.3 AND 500*cx/cz+500 >= 0 AND 500*cx/cz+500 < 1000 AND 500*cy/cz+500 >= 0 AND 500*cy/cz+500 < 1000")
 def f10_p6_project_in_frame(spark, sf_dir):
-    pairs = i.cameras(spark, sf_dir).join(F.broadcast(i.cabinets(spark, sf_dir).where("x is not null").select("id", _vector().alias("at"))))
+    pairs = i.cameras(spark, sf_dir).join(few(i.cabinets(spark, sf_dir).where("x is not null").select("id", _vector().alias("at"))))
     out = pairs.select("camera_id", F.col("id").alias("cabinet"), g.project(F.col("at"), F.col("camera"), 0.3).alias("px"))
     out = out.where(g.in_frame(F.col("px"), F.lit(1000.0), F.lit(1000.0)))
     return out.select("camera_id", "cabinet", F.round("px.u", 2).alias("u"), F.round("px.v", 2).alias("v"), F.round("px.depth", 4).alias("depth"))
@@ -223,7 +224,7 @@ SELECT camera_id, id AS cabinet, round(greatest(x0, 0), 2) AS x0, round(greatest
 def f13_f14_expected_boxes(spark, sf_dir):
     corners = i.cabinets(spark, sf_dir).where("x is not null").select("id", "x", "y", "z").withColumn("dy", F.explode(F.array(F.lit(-0.3), F.lit(0.3)))).withColumn("dz", F.explode(F.array(F.lit(-0.5), F.lit(0.5))))
     at = F.struct("x", (F.col("y") + F.col("dy")).alias("y"), (F.col("z") + F.col("dz")).alias("z"))
-    px = i.cameras(spark, sf_dir).join(F.broadcast(corners)).select("camera_id", "id", g.project(at, F.col("camera"), 0.3).alias("p"))
+    px = i.cameras(spark, sf_dir).join(few(corners)).select("camera_id", "id", g.project(at, F.col("camera"), 0.3).alias("p"))
     whole = px.groupBy("camera_id", "id").agg(F.min("p.u").alias("x0"), F.min("p.v").alias("y0"), F.max("p.u").alias("x1"), F.max("p.v").alias("y1"), F.bool_and(F.col("p").isNotNull()).alias("all")).where("all and x1 - x0 > 5e-4 and y1 - y0 > 5e-4")
     b, side = F.struct("x0", "y0", "x1", "y1"), F.lit(1000.0)
     out = whole.select("camera_id", F.col("id").alias("cabinet"), g.clip(b, side, side).alias("c"), g.visible_fraction(b, side, side).alias("visible")).where("visible >= 0.3")
@@ -265,7 +266,7 @@ def f20_f21_box_forms(spark, sf_dir):
     return out.select("image", "n", "part", F.round("s.x0", 4).alias("sx0"), F.round("s.y1", 4).alias("sy1"), *[F.round(f"y.{k}", 4).alias(k) for k in ("cx", "cy", "w", "h")], F.col("b.x1").alias("back"))
 
 
-@query(f"""WITH RECURSIVE {i.BOXES}, r AS (SELECT *, row_number() OVER (PARTITION BY image, class ORDER BY score DESC, n, part) AS k FROM boxes WHERE image % 10 = 0),
+@query(f"""WITH RECURSIVE {i.BOXES}, r AS (SELECT *, row_number() OVER (PARTITION BY image, class ORDER BY score DESC, n, part) AS k FROM boxes),
 over AS (SELECT a.image, a.class, a.k AS ka, b.k AS kb FROM r a JOIN r b ON a.image = b.image AND a.class = b.class AND a.k < b.k AND {_IOU}/{_UNION} > 0.5),
 top AS (SELECT image, class, max(k) AS m FROM r GROUP BY image, class),
 walk AS (SELECT image, class, CAST(1 AS BIGINT) AS k, ',1,' AS kept, m FROM top UNION ALL
@@ -306,7 +307,7 @@ def j14_k2_gate_assignment(spark, sf_dir):
 SELECT camera_id, cabinet, v AS variant, CAST(least(greatest(gx * 400 - 100, 0), 700) AS INT) AS x, CAST(least(greatest(gy * 500 - 50, 0), 700) AS INT) AS y, CASE WHEN camera_id % 18 IN (6, 8, 13) THEN 'val' ELSE 'train' END AS split FROM g""")
 def k3_job_plan(spark, sf_dir):
     cams = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("camera_id"))
-    jobs = cams.join(F.broadcast(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("cabinet"))), F.col("camera_id") % 25 == F.col("cabinet"))
+    jobs = cams.join(few(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("cabinet"))), F.col("camera_id") % 25 == F.col("cabinet"))
     for name, n in (("variant", 2), ("gx", 3), ("gy", 2)):
         jobs = jobs.withColumn(name, F.explode(F.array(*[F.lit(v) for v in range(n)])))
     inside = lambda v: F.least(F.greatest(v, F.lit(0)), F.lit(700)).cast("int")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmesh.operators import chunking, fulltext, greedy, merge, retrieval, spatial
+from quillmesh.operators import chunking, fulltext, graph, greedy, merge, order, parallel, retrieval, spatial
 from quillmesh.sinks import render
 from quillmesh.sources import readers
 from quillmesh.streaming import evidence
@@ -178,3 +178,31 @@ def test_stream_equals_batches(spark, tmp_path):
     key = lambda df: {(r.id, r.confidence, tuple(r.models)) for r in df.collect()}
     at_once = evidence.fold(cabinets, spark.createDataFrame(rows, schema), "panel", "M")
     assert last >= 1 and key(spark.read.parquet(str(tmp_path / f"state/{last}"))) == key(at_once) == {(1, 0.7, ("m", "M")), (2, 0.9, ("M",))}
+
+
+@pytest.mark.parametrize("alone", [1 << 20, 3])
+def test_components_in_a_task_and_in_rounds(spark, monkeypatch, alone):
+    monkeypatch.setattr(graph, "TASK_LINKS", alone)
+    r = random.Random(5)
+    links = [(i, i + 1) for i in range(150)] + [(300, k) for k in range(301, 420)] + [(500, 501), (9, 9)] + [(r.randint(1000, 1100), r.randint(1000, 1100)) for _ in range(60)]
+    root = {n: n for pair in links for n in pair}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {x.node: x.root for x in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {n: x for n, x in root.items() if any(n in p and p[0] != p[1] for p in links)}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_places_in_groups(spark):
+    df = spark.createDataFrame([(i % 3, (i * 7) % 50) for i in range(50)], "g long, v long").repartition(7)
+    got = {(x.g, x.v): (x.place, x["size"]) for x in order.placed_in_groups(df, ["g"], ["v"]).collect()}
+    for g in range(3):
+        values = sorted(v for k, v in got if k == g)
+        assert [got[g, v] for v in values] == [(n, len(values)) for n in range(1, len(values) + 1)]
+    assert order.placed(df.where("false"), ["v"]).count() == 0
+
+
+def test_few_rows_go_to_every_task(spark):
+    df = spark.range(20)
+    assert "ResolvedHint" in str(parallel.few(df)._jdf.queryExecution().analyzed()) and "ResolvedHint" not in str(parallel.few(df, 10)._jdf.queryExecution().analyzed())
