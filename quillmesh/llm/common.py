@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from quillmesh.operators.lineage import checkpointed  # noqa: F401
+from quillmesh.operators.parallel import spread
+
 #: Characters of text that are held as Python objects at a time.
 SLICE_CHARS = 4 << 20
 
@@ -39,16 +42,6 @@ def schema_of(ddl: str) -> tuple[StructType, pa.Schema]:
     return spark_schema, to_arrow_schema(spark_schema)
 
 
-#: Files of less than so many bytes in all, and fewer than the cluster has cores, are dealt out first.
-FEW_BYTES = 256 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A scan of a few small files over all cores; any other frame as it is."""
-    cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
-    return df.repartition(cores) if 0 < files < cores and input_bytes(df) < FEW_BYTES else df
-
-
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], list[list]]], ddl: str) -> DataFrame:
     """Rows of (doc_id, text) through a Python kernel, in Arrow batches and without a shuffle.
 
@@ -99,16 +92,6 @@ def spans_text(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows as files that every executor can read; the folder is the session's own if it names one."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
 def input_bytes(df: DataFrame) -> int:
     """Bytes that a plan reads: the sizes of its files, or, where it starts from something else, of its texts."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from quillmesh.llm import crowds
 from quillmesh.llm.common import checkpointed, id_text, map_texts, unused
-from quillmesh.llm.components import components, with_least
+from quillmesh.operators.graph import components, forest, with_least
 from quillmesh.llm.fingerprint import fingerprint
 
 DISTANCE = 4
@@ -67,21 +67,9 @@ def linked(a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 def tree(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that join the same fingerprints: each with the smallest of its component."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        np.minimum.at(new, root[x], low)
-        np.minimum.at(new, root[y], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    other = root != np.arange(len(nodes))
-    return nodes[other], nodes[root[other]]
+    nodes, root = forest(a, b)
+    other = root != nodes
+    return nodes[other], root[other]
 
 
 def pairs_within(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -4,7 +4,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillmesh.llm import components, crowds
+from quillmesh.llm import crowds
+from quillmesh.operators import graph as components
 
 
 def brute(nodes, near=2):

@@ -14,8 +14,9 @@ import regex
 import tiktoken
 import xxhash
 
-from quillmesh.llm import bpe, components, decontaminate, extract, grams, phrases, pii, quality, secrets, simhash, suffixes, toxicity
+from quillmesh.llm import bpe, decontaminate, extract, grams, phrases, pii, quality, secrets, simhash, suffixes, toxicity
 from quillmesh.llm.fingerprint import fingerprint
+from quillmesh.operators import graph as components
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: A clash with names that operators make, and rows that are null, empty, of white space, long, repeated, or have no id.
