@@ -27,6 +27,8 @@ doc_id and text are not read, so their names cannot clash.
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ from quillmesh.llm.grams import Exchange, Words, block_rows, bucket_of, in_block
 WINDOW = 13
 #: Holders of a window that one holder answers.
 ASKERS = 16
+#: Letters that a word's spelling has to choose from at each place.
+FANOUT = 32
 #: Bits of a hash within its bucket.
 BUCKET_BITS = 48
 _PASSAGES = pa.schema([("block", pa.int32()), ("owners", pa.binary()), ("words", pa.binary())])
@@ -108,48 +112,69 @@ def passages_at(words: Words, place: np.ndarray, doc: np.ndarray, window: int) -
     return doc[first].tolist(), [b" ".join(words.data[x:y].tobytes().split()) for x, y in zip(words.start[a].tolist(), words.end[b].tolist(), strict=True)]
 
 
+class Letters:
+    """Words as letters, a fixed number for each: nodes of the automaton have few branches, and a letter tells its place in the word.
+
+    Only words of passages have letters of their own; all others share one spelling.
+    """
+
+    def __init__(self, words: set[bytes]):
+        self.width = 1
+        while FANOUT**self.width <= len(words):
+            self.width += 1
+        self.of = {w: self.spelt(n) for n, w in enumerate(sorted(words), 1)}
+        self.other = self.spelt(0)
+
+    def spelt(self, n: int) -> str:
+        return "".join(chr(0x100 + k * FANOUT + n // FANOUT**k % FANOUT) for k in range(self.width))
+
+    def spell(self, words: list[bytes]) -> str:
+        return "".join(map(self.of.get, words, repeat(self.other)))
+
+
 class Shard:
-    """The automaton of a block's passages."""
-
-    def __init__(self, passages: list[tuple[int, list[int]]], window: int):
-        self.window, self.piece = window, (window + 1) // 2
-        self.owner, self.codes = [o for o, _ in passages], [c for _, c in passages]
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        where: dict[tuple, list[tuple[int, int]]] = {}
-        for k, codes in enumerate(self.codes):
-            for o in range(0, len(codes) - self.piece + 1, self.piece):
-                where.setdefault(tuple(codes[o : o + self.piece]), []).append((k, o))
+    """The automaton of a block's passages, each with the doc_id it stands in."""
+
+    def __init__(self, owners: list[int], passages: list[list[bytes]], window: int):
+        self.letters = Letters({w for p in passages for w in p})
+        self.owner, self.spelt = owners, [self.letters.spell(p) for p in passages]
+        self.machine = ahocorasick.Automaton()
+        self.window, self.piece = window * self.letters.width, (window + 1) // 2 * self.letters.width
+        where: dict[str, list[tuple[int, int]]] = {}
+        for k, p in enumerate(self.spelt):
+            for o in range(0, len(p) - self.piece + 1, self.piece):
+                where.setdefault(p[o : o + self.piece], []).append((k, o))
         for key, places in where.items():
             self.machine.add_word(key, places)
         if where:
             self.machine.make_automaton()
 
-    def found(self, codes: list[int], doc: int) -> list[tuple[int, int]]:
+    def found(self, words: list[bytes], doc: int) -> list[tuple[int, int]]:
         """[from, to) of a document's words that are also in a passage of a smaller doc_id."""
         out: list[tuple[int, int]] = []
-        if len(codes) < self.window or not len(self.machine):
+        if not len(self.machine):
             return out
+        text, width, piece, window, owner, every = self.letters.spell(words), self.letters.width, self.piece, self.window, self.owner, self.spelt
         done: dict[tuple[int, int], int] = {}
-        piece, window, owner, every = self.piece, self.window, self.owner, self.codes
-        for end, places in self.machine.iter(tuple(codes)):
+        for end, places in self.machine.iter(text):
             start = end + 1 - piece
             for k, o in places:
                 if owner[k] >= doc or done.get((k, start - o), 0) > start:
                     continue
                 passage = every[k]
                 a, b = start, o
-                while a and b and codes[a - 1] == passage[b - 1]:
-                    a, b = a - 1, b - 1
-                to = end + 1 + agree(codes, passage, end + 1, o + piece)
+                while a and b and text[a - width : a] == passage[b - width : b]:
+                    a, b = a - width, b - width
+                to = end + 1 + agree(text, passage, end + 1, o + piece) // width * width
                 done[k, start - o] = to
                 if to - a >= window:
-                    out.append((a, to))
+                    out.append((a // width, to // width))
         return out
 
 
-def agree(x: list[int], y: list[int], i: int, j: int) -> int:
-    """How many values agree from x[i] and y[j] on."""
-    n, most, step = 0, min(len(x) - i, len(y) - j), 32
+def agree(x: str, y: str, i: int, j: int) -> int:
+    """How many letters agree from x[i] and y[j] on."""
+    n, most, step = 0, min(len(x) - i, len(y) - j), 64
     while n < most and x[i + n : i + n + step] == y[j + n : j + n + step]:
         n += step
     n = min(n, most)
@@ -167,30 +192,27 @@ def finish(docs: pa.Table, told: pa.Table, window: int, buckets: int, schema: pa
     for o, t in zip(told["owners"].to_pylist(), told["words"].to_pylist(), strict=True):
         owners += unplanes(o, "i8").tolist()
         texts += t.split(b"\n")
-    gone = np.zeros(len(words.hash), bool)
-    if texts:
-        code: dict[bytes, int] = {}
-        own = [[code.setdefault(w, len(code) + 1) for w in words.text(int(a), int(b))] for a, b in zip(words.first, words.first[1:], strict=False)]
-        shard = Shard([(o, [code.get(w, 0) for w in t.split()]) for o, t in zip(owners, texts, strict=True)], window)
-        for k, codes in enumerate(own):
-            for a, b in shard.found(codes, ids[k]):
-                gone[words.first[k] + a : words.first[k] + b] = True
-    return outputs(shown, words, gone, schema, digests)
-
-
-def outputs(shown: list, words: Words, gone: np.ndarray, schema: pa.Schema, digests: bool) -> pa.Table:
+    shard = Shard(owners, [t.split() for t in texts], window)
+    del texts
     rows = []
     for k, doc_id in enumerate(shown):
-        a, b = int(words.first[k]), int(words.first[k + 1])
-        out = gone[a:b]
-        n = int(out.sum())
-        own = words.text(a, b)
-        kept = b" ".join([w for w, x in zip(own, out.tolist(), strict=True) if not x] if n else own)
-        spans = runs(out, np.zeros(len(out), np.int64)) if n else []
-        rows.append((doc_id, b - a, n, sha256(kept) if digests else kept.decode("utf-8", "replace"), ",".join(f"{x}:{y}" for x, y in spans) if digests else [{"start": x, "end": y} for x, y in spans]))
+        own = words.text(int(words.first[k]), int(words.first[k + 1]))
+        gone = np.zeros(len(own), bool)
+        if len(own) >= window:
+            for a, b in shard.found(own, ids[k]):
+                gone[a:b] = True
+        rows.append(row(doc_id, own, gone, digests))
     return table_of(rows, schema)
 
 
+def row(doc_id: int | None, own: list[bytes], gone: np.ndarray, digests: bool) -> tuple:
+    """A document's row: its words, and which of them go."""
+    n = int(gone.sum())
+    kept = b" ".join([w for w, x in zip(own, gone.tolist(), strict=True) if not x] if n else own)
+    spans = runs(gone, np.zeros(len(gone), np.int64)) if n else []
+    return doc_id, len(own), n, sha256(kept) if digests else kept.decode("utf-8", "replace"), ",".join(f"{x}:{y}" for x, y in spans) if digests else [{"start": x, "end": y} for x, y in spans]
+
+
 def out_schema(digests: bool) -> tuple[str, pa.Schema]:
     kept, spans = ("kept_sha256", "removed_spans") if digests else ("kept", "removed_spans")
     span = pa.string() if digests else pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

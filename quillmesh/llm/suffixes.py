@@ -30,8 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillmesh.llm.grams import Exchange, Words, among, block_rows, bucket_of, in_blocks, layout, least_of_equal, mix, removed, windows
-from quillmesh.llm.phrases import out_schema, outputs
+from quillmesh.llm.grams import Exchange, Words, among, block_rows, bucket_of, in_blocks, layout, least_of_equal, mix, removed, table_of, windows
+from quillmesh.llm.phrases import out_schema, row
 
 WINDOW, GRAM = 50, 10
 #: Documents with a minimiser from which its windows are dealt out one by one.
@@ -177,7 +177,9 @@ def finish(docs: pa.Table, told: pa.Table, way: Ways, schema: pa.Schema, digests
             starts.append(at[ids[words.row[at]] > least[np.searchsorted(known, h[at])]])
         if "place" in own:
             starts.append(own["place"].astype(np.int64) - own["left"])
-    return outputs(shown, words, removed(words, way.window, np.concatenate(starts)), schema, digests)
+    gone = removed(words, way.window, np.concatenate(starts))
+    at = words.first.tolist()
+    return table_of([row(i, words.text(a, b), gone[a:b], digests) for i, a, b in zip(shown, at, at[1:], strict=False)], schema)
 
 
 def without_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digests: bool = False) -> DataFrame:
