@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +49,22 @@ def ingest_states(incoming: DataFrame, known: DataFrame, key: str, digest: Colum
 
 def load_if_empty(base: DataFrame, rows: DataFrame) -> DataFrame:
     return rows if base.isEmpty() else base
+
+
+def rechunked(chunks: DataFrame, incoming: DataFrame, key: str, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The chunks after an ingest of documents with `state`: those of unchanged documents as they are, those of others cut anew; all others go."""
+    same = chunks.join(incoming.where("state = 'unchanged'").select(key), key, "left_semi").withColumn("state", F.lit("kept"))
+    new = cut(incoming.where("state <> 'unchanged'").drop("state", "sha256")).withColumn("state", F.lit("written"))
+    return same.unionByName(new)
+
+
+def refused(asked: DataFrame) -> DataFrame:
+    """Requests (conf, box, k, width) outside their limits, with the names of what is wrong; a null is not given and not wrong."""
+    box, rules = F.col("box"), {}
+    rules["conf"] = ~F.col("conf").between(0, 1)
+    rules["box"] = F.when(box.isNotNull(), F.size(box) != 4)
+    rules["size"] = F.when(F.size(box) == 4, (F.element_at(box, 3) <= 0) | (F.element_at(box, 4) <= 0))
+    rules["k"] = ~F.col("k").between(1, 20)
+    rules["width"] = ~F.col("width").between(128, 4096)
+    wrong = F.filter(F.array(*[F.when(test, name) for name, test in rules.items()]), lambda r: r.isNotNull())
+    return asked.withColumn("wrong", wrong).where(F.size("wrong") > 0)

@@ -146,3 +146,23 @@ def front_surface_median(points: DataFrame, by: list[str], depth: str = "depth")
     least = points.groupBy(*by).agg(F.min(depth).alias("_least"))
     front = points.join(least, by).where(F.col(depth) < F.col("_least") * 1.05 + 0.03)
     return front.groupBy(*by).agg(*[F.round(F.median(k), 4).alias(k) for k in AXES], F.count(F.lit(1)).alias("n"))
+
+
+def depth_map(px: DataFrame, by: list[str], scales: tuple[int, ...], near: float = 1.08, more: float = 0.05) -> DataFrame:
+    """(by, u, v, depth) of points (by, u, v, d): each pixel's least depth; where there is none, or it lies far behind the cell
+    of the next scale, the cell's. Pixels are those of the coarsest cells that hold a point."""
+    cells = {}
+    finest = px.groupBy(*by, "u", "v").agg(F.min("d").alias("d"))
+    for s in scales:
+        cells[s] = finest.groupBy(*by, F.floor(F.col("u") / s).cast("int").alias(f"u{s}"), F.floor(F.col("v") / s).cast("int").alias(f"v{s}")).agg(F.min("d").alias(f"d{s}"))
+    last = scales[-1]
+    out = cells[last]
+    for a in "uv":
+        out = out.withColumn(a, F.explode(F.array(*[F.col(f"{a}{last}") * last + k for k in range(last)])))
+    for s in scales[:-1]:
+        out = out.withColumns({f"{a}{s}": F.floor(F.col(a) / s).cast("int") for a in "uv"}).join(cells[s], [*by, f"u{s}", f"v{s}"], "left")
+    depth = F.col(f"d{scales[0]}")
+    for s in scales[1:]:
+        d = F.col(f"d{s}")
+        depth = F.when((d > 0) & ((F.coalesce(depth, F.lit(0.0)) == 0) | (depth > d * near + more)), d).otherwise(depth)
+    return out.select(*by, "u", "v", depth.alias("depth"))

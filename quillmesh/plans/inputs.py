@@ -6,7 +6,7 @@ classed event with a position, or without; boxes: scored rectangles of an image;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions import geometry as g
@@ -71,15 +71,19 @@ BOXES = """boxes AS (SELECT image, class, n, part, x0, y0, x0 + 80 + q AS x1, y0
   l_quantity AS q, l_discount + l_tax + 0.3 AS s FROM lineitem) GROUP BY image, class, n, part, x0, y0, q)"""
 
 
-def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One struct for each camera, the quaternion turning its -z axis level and then about the vertical."""
-    k = F.col("s_suppkey")
+def camera(k: Column) -> Column:
+    """A camera by its number: the quaternion turns its -z axis level and then about the vertical."""
     half = F.radians((k * 37 % 360).cast("double")) / 2
     c = F.lit(0.5**0.5)
     rotation = F.struct((F.cos(half) * c).alias("w"), (F.cos(half) * c).alias("x"), (F.sin(half) * c).alias("y"), (F.sin(half) * c).alias("z"))
     position = F.struct((k % 11).cast("double").alias("x"), (k % 7).cast("double").alias("y"), F.lit(1.2).alias("z"))
     frame = {"fx": 500.0, "fy": 500.0, "cx": 500.0, "cy": 500.0, "width": 1000.0, "height": 1000.0}
-    return table(spark, sf_dir, "supplier").select(k.alias("camera_id"), F.struct(rotation.alias("rotation"), position.alias("position"), *[F.lit(v).alias(n) for n, v in frame.items()]).alias("camera"))
+    return F.struct(rotation.alias("rotation"), position.alias("position"), *[F.lit(v).alias(n) for n, v in frame.items()])
+
+
+def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(k.alias("camera_id"), camera(k).alias("camera"))
 
 
 CAMERAS = """cameras AS (SELECT s_suppkey AS camera_id, cos(h) * r AS qw, cos(h) * r AS qx, sin(h) * r AS qy, sin(h) * r AS qz,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmesh.operators import merge, order
+from quillmesh.functions import geometry as g
+from quillmesh.operators import chunking, merge, order
 from quillmesh.plans import inputs as i
 from quillmesh.plans.registry import query, table
 from quillmesh.sinks import render
@@ -92,10 +93,18 @@ def p13_text_contains(spark, sf_dir):
     return i.cabinets(spark, sf_dir).where(F.lower(F.concat_ws(" ", "id", "name", "folder")).contains("n_1")).select("id")
 
 
-@query(f"WITH {i.DETECTIONS} SELECT id FROM detections WHERE NOT (conf BETWEEN 0 AND 0.97) OR length(class) > 7 OR image NOT BETWEEN 0 AND 100")
+_ASKED = """(SELECT event_id AS id, round(value / 40 - 0.2, 2) AS conf, CASE WHEN event_id % 13 = 0 THEN [1.0, 2.0, 3.0] WHEN event_id % 17 = 0 THEN NULL ELSE [1.0, 2.0, CAST(event_id % 7 AS DOUBLE), 4.0] END AS box,
+event_id % 24 AS k, event_id * 37 % 4500 AS width FROM events)"""
+
+
+@query(f"""SELECT id, concat_ws('; ', CASE WHEN conf < 0 OR conf > 1 THEN 'conf' END, CASE WHEN len(box) <> 4 THEN 'box' END, CASE WHEN len(box) = 4 AND (box[3] <= 0 OR box[4] <= 0) THEN 'size' END, CASE WHEN k < 1 OR k > 20 THEN 'k' END, CASE WHEN width < 128 OR width > 4096 THEN 'width' END) AS wrong
+FROM {_ASKED} a WHERE conf < 0 OR conf > 1 OR len(box) <> 4 OR box[3] <= 0 OR box[4] <= 0 OR k NOT BETWEEN 1 AND 20 OR width NOT BETWEEN 128 AND 4096""")
 def p15_invalid_rows(spark, sf_dir):
-    valid = c("conf").between(0, 0.97) & (F.length("class") <= 7) & c("image").between(0, 100)
-    return i.detections(spark, sf_dir).where(~valid).select("id")
+    """Requests that would be refused, and for what: confidence, box (four numbers, with a size), number of hits, width of a picture."""
+    k = c("event_id")
+    box = F.when(k % 13 == 0, F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))).when(k % 17 != 0, F.array(F.lit(1.0), F.lit(2.0), (k % 7).cast("double"), F.lit(4.0)))
+    asked = table(spark, sf_dir, "events").select(k.alias("id"), F.round(c("value") / 40 - 0.2, 2).alias("conf"), box.alias("box"), (k % 24).alias("k"), (k * 37 % 4500).alias("width"))
+    return merge.refused(asked).select("id", F.array_join("wrong", "; ").alias("wrong"))
 
 
 @query(f"WITH {i.CABINETS} SELECT id, x IS NOT NULL AS has_position, CASE WHEN x IS NOT NULL THEN y END AS position_y FROM cabinets")
@@ -182,10 +191,10 @@ def a2_group_counts(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(F.when(c("p_size") % 7 != 0, c("p_type")).alias("kind"), (c("p_size") % 5).alias("side")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {i.SIGHTINGS} SELECT label, tag_id, round(confidence, 4) AS confidence FROM sightings WHERE x IS NOT NULL QUALIFY row_number() OVER (PARTITION BY label ORDER BY confidence DESC, tag_id) = 1")
+@query(f"WITH {i.SIGHTINGS} SELECT label, tag_id, round(confidence, 4) AS confidence FROM sightings WHERE kind = 'K0' QUALIFY row_number() OVER (PARTITION BY label ORDER BY confidence DESC, tag_id) = 1")
 def a12_best_of_label(spark, sf_dir):
-    """The best row of each label as an aggregate: no sort, and combined before the shuffle."""
-    best = i.sightings(spark, sf_dir).groupBy("label").agg(F.min(F.struct((-c("confidence")).alias("c"), "tag_id")).alias("b"))
+    """The best row of each label of one kind (cubicles) as an aggregate: no sort, and combined before the shuffle."""
+    best = i.sightings(spark, sf_dir).where("kind = 'K0'").groupBy("label").agg(F.min(F.struct((-c("confidence")).alias("c"), "tag_id")).alias("b"))
     return best.select("label", "b.tag_id", F.round(-c("b.c"), 4).alias("confidence"))
 
 
@@ -315,13 +324,46 @@ def s11_f32_report(spark, sf_dir):
     return render.report(stats.select(c("label").alias("at"), F.format_string("| %s | %d | %.3f |", "label", "n", "m").alias("line")))
 
 
-@query(f"WITH {i.BOXES}, l AS (SELECT image, n, part, class || ' ' || format('{{:.6f}}', (x0+x1)/2/1000) || ' ' || format('{{:.6f}}', (y0+y1)/2/1000) AS line FROM boxes) SELECT image, string_agg(line, chr(10) ORDER BY n, part, line) AS label FROM l GROUP BY image")
+@query(f"WITH {i.SIGHTINGS}, s AS (SELECT label, count(*) AS n, max(confidence) AS m FROM sightings GROUP BY label) SELECT '<table><tr><th>label</th><th>n</th><th>best</th></tr>' || string_agg('<tr><td>' || label || ' &amp; more</td><td>' || n || '</td><td>' || format('{{:.3f}}', m) || '</td></tr>', '' ORDER BY label) || '</table>' AS html FROM s")
+def s11_html_report(spark, sf_dir):
+    stats = i.sightings(spark, sf_dir).groupBy(F.concat("label", F.lit(" & more")).alias("label")).agg(F.count(F.lit(1)).alias("n"), F.format_string("%.3f", F.max("confidence")).alias("best"))
+    return render.html_table(stats, ["label", "n", "best"], "label")
+
+
+@query(f"""WITH {i.BOXES}, l AS (SELECT image, n, part, class || ' ' || format('{{:.6f}}', (x0+x1)/2/1000) || ' ' || format('{{:.6f}}', (y0+y1)/2/1000) || ' ' || format('{{:.6f}}', (x1-x0)/1000) || ' ' || format('{{:.6f}}', (y1-y0)/1000) AS line FROM boxes)
+SELECT image, string_agg(line, chr(10) ORDER BY n, part, line) AS label FROM l GROUP BY image""")
 def s12_label_text(spark, sf_dir):
-    line = F.format_string("%d %.6f %.6f", "class", (c("x0") + c("x1")) / 2 / 1000, (c("y0") + c("y1")) / 2 / 1000)
+    """A label file for each image: class, centre and size of each box as shares of the frame."""
+    y = g.yolo(F.struct("x0", "y0", "x1", "y1"), F.lit(1000.0), F.lit(1000.0))
+    line = F.format_string("%d %.6f %.6f %.6f %.6f", "class", y["cx"], y["cy"], y["w"], y["h"])
     each = i.boxes(spark, sf_dir).groupBy("image").agg(F.array_sort(F.collect_list(F.struct("n", "part", line.alias("line")))).alias("l"))
     return each.select("image", F.array_join("l.line", "\n").alias("label"))
 
 
+_SPLIT = "CASE WHEN image % 18 IN (6, 8, 13) THEN 'val' ELSE 'train' END"
+
+
+@query(f"""WITH {i.BOXES}, b AS (SELECT {_SPLIT} || '/' || class AS k, count(*) AS n FROM boxes GROUP BY 1)
+SELECT '{{"tiles":' || (SELECT count(DISTINCT image) FROM boxes) || ',"boxes":{{' || (SELECT string_agg('"' || k || '":' || n, ',' ORDER BY k) FROM b) || '}}}}' AS stats""")
+def s12_stats_json(spark, sf_dir):
+    """How many tiles there are, and how many boxes of each class in each split."""
+    split = F.when((c("image") % 18).isin(6, 8, 13), "val").otherwise("train")
+    own = i.boxes(spark, sf_dir).groupBy(split.alias("split"), "class").agg(F.count(F.lit(1)).alias("n"))
+    tiles = i.boxes(spark, sf_dir).agg(F.countDistinct("image").alias("tiles"))
+    boxes = own.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws("/", "split", "class").alias("k"), "n")))).alias("boxes"))
+    return tiles.join(boxes, how="cross").select(render.json(F.struct("tiles", "boxes")).alias("stats"))
+
+
+@query(f"""WITH {i.BOXES} SELECT image, '{{"image":"geo_' || {_SPLIT} || '_' || lpad(CAST(image AS VARCHAR), 6, '0') || '.jpg","split":"' || {_SPLIT} || '","boxes":[' || string_agg('{{"class":' || class || ',"xyxy":[' || x0 || ',' || y0 || ',' || x1 || ',' || y1 || ']}}', ',' ORDER BY n, part, class, x0, y0, x1, y1) || ']}}' AS line FROM boxes GROUP BY image""")
+def s12_metadata_lines(spark, sf_dir):
+    """A line of JSON for each tile, its boxes nested."""
+    split = F.when((c("image") % 18).isin(6, 8, 13), "val").otherwise("train").alias("split")
+    each = i.boxes(spark, sf_dir).groupBy("image").agg(F.array_sort(F.collect_list(F.struct("n", "part", "class", "x0", "y0", "x1", "y1"))).alias("b"))
+    boxes = F.transform("b", lambda b: F.struct(b["class"].alias("class"), F.array(*[b[k] for k in ("x0", "y0", "x1", "y1")]).alias("xyxy")))
+    named = each.select("image", split, boxes.alias("boxes"))
+    return named.select("image", render.json(F.struct(F.format_string("geo_%s_%06d.jpg", "split", "image").alias("image"), "split", "boxes")).alias("line"))
+
+
 _NEWS = "(SELECT o_custkey AS k, max(o_orderkey) AS newest FROM orders WHERE o_custkey % 2 = 0 GROUP BY o_custkey)"
 
 
@@ -350,18 +392,46 @@ def s15_f40_incremental_ingest(spark, sf_dir):
     return merge.ingest_states(incoming, known, "doc_id", F.sha2("text", 256)).select("doc_id", "state")
 
 
+@query("""WITH old AS (SELECT doc_id, sha256(text) AS h, text FROM documents WHERE doc_id % 3 <> 0), new AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || '.' ELSE text END AS text FROM documents),
+s AS (SELECT new.doc_id, new.text, CASE WHEN old.doc_id IS NOT NULL AND old.h = sha256(new.text) THEN 'kept' ELSE 'written' END AS state FROM new LEFT JOIN old ON new.doc_id = old.doc_id)
+SELECT doc_id, CAST(ord AS INT) AS ord, sha256(line) AS sha256, state FROM (SELECT doc_id, state, unnest(range(0, len(l))) AS ord, unnest(l) AS line FROM (SELECT doc_id, state, string_split(coalesce(text, ''), chr(10)) AS l FROM s))""")
+def s15_reingested_chunks(spark, sf_dir):
+    """The chunk table after an ingest: chunks of unchanged documents stay, those of replaced ones go, and new ones are written."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    before = docs.where("doc_id % 3 <> 0")
+    incoming = docs.select("doc_id", F.when(c("doc_id") % 5 == 0, F.concat("text", F.lit("."))).otherwise(c("text")).alias("text"))
+    states = merge.ingest_states(incoming, before.select("doc_id", F.sha2("text", 256).alias("sha256")), "doc_id", F.sha2("text", 256))
+    out = merge.rechunked(chunking.lines(before), states, "doc_id", chunking.lines)
+    return out.select("doc_id", "ord", F.sha2("line", 256).alias("sha256"), "state")
+
+
 @query(f"WITH {i.CABINETS} SELECT id, name FROM cabinets")
 def s18_reload_guard(spark, sf_dir):
     own = i.cabinets(spark, sf_dir).select("id", "name")
     return merge.load_if_empty(merge.load_if_empty(own.where(F.lit(False)), own), own)
 
 
-@query("SELECT part_id, count(*) AS boxes, CAST(min(x) AS DOUBLE) AS x0, CAST(max(x) AS DOUBLE) AS x1 FROM (SELECT l_partkey % 100 AS part_id, l_quantity AS x, l_linenumber AS y FROM lineitem) GROUP BY part_id HAVING count(*) >= 20 AND max(x) - min(x) >= 6")
+_PIXELS = "(SELECT l_partkey % 400 AS instance, CAST(l_quantity AS INT) AS x, CAST(l_suppkey % 40 AS INT) AS y, l_discount > 0.06 AS hidden, l_tax > 0.07 AS cut FROM lineitem)"
+
+
+@query(f"""WITH p AS (SELECT * FROM {_PIXELS}), f AS (SELECT instance, count(*) AS whole, count(*) FILTER (WHERE NOT cut AND NOT hidden) AS visible, min(x) FILTER (WHERE NOT cut) AS x0, max(x) FILTER (WHERE NOT cut) + 1 AS x1, min(y) FILTER (WHERE NOT cut) AS y0, max(y) FILTER (WHERE NOT cut) + 1 AS y1 FROM p GROUP BY instance)
+SELECT instance, whole, visible, x0, y0, x1, y1 FROM f WHERE (visible / whole >= 0.2 OR visible >= 1500) AND least(x1 - x0, y1 - y0) >= 6""")
 def f39_f44_label_extents(spark, sf_dir):
     """The box around an instance's pixels, kept if enough of it shows and both sides are long enough."""
-    px = table(spark, sf_dir, "lineitem").select((c("l_partkey") % 100).alias("part_id"), c("l_quantity").alias("x"))
-    out = px.groupBy("part_id").agg(F.count(F.lit(1)).alias("boxes"), F.min("x").alias("x0"), F.max("x").alias("x1"))
-    return out.where("boxes >= 20 and x1 - x0 >= 6")
+    px = table(spark, sf_dir, "lineitem").select((c("l_partkey") % 400).alias("instance"), c("l_quantity").cast("int").alias("x"), (c("l_suppkey") % 40).cast("int").alias("y"), (c("l_discount") > 0.06).alias("hidden"), (c("l_tax") > 0.07).alias("cut"))
+    inside = ~c("cut")
+    out = px.groupBy("instance").agg(F.count(F.lit(1)).alias("whole"), F.count_if(inside & ~c("hidden")).alias("visible"), *[f(F.when(inside, c(k))).alias(f"{k}{n}") for k in "xy" for n, f in ((0, F.min), (1, F.max))])
+    out = out.withColumns({"x1": c("x1") + 1, "y1": c("y1") + 1})
+    return out.where(((c("visible") / c("whole") >= 0.2) | (c("visible") >= 1500)) & (F.least(c("x1") - c("x0"), c("y1") - c("y0")) >= 6)).select("instance", "whole", "visible", "x0", "y0", "x1", "y1")
+
+
+@query("SELECT event_id, CAST(least(user_id % 9, event_id % 7, 3) AS BIGINT) AS x0, CAST(greatest(user_id % 9, event_id % 7, 3) AS BIGINT) AS x1, CAST(least(event_id % 11, 5, user_id % 4) AS BIGINT) AS y0, CAST(greatest(event_id % 11, 5, user_id % 4) AS BIGINT) AS y1 FROM events")
+def f39_polygon_boxes(spark, sf_dir):
+    """The box of a polygon's points, which come as one array of each row."""
+    at = lambda x, y: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"))
+    points = F.array(at(c("user_id") % 9, c("event_id") % 11), at(c("event_id") % 7, F.lit(5)), at(F.lit(3), c("user_id") % 4))
+    own = table(spark, sf_dir, "events").select("event_id", points.alias("p"))
+    return own.select("event_id", F.array_min("p.x").alias("x0"), F.array_max("p.x").alias("x1"), F.array_min("p.y").alias("y0"), F.array_max("p.y").alias("y1"))
 
 
 @query("SELECT event_id, replace(replace(event_type || ' ' || user_id || '/' || event_id, ' ', '_'), '/', '_') AS safe, lpad(CAST(event_id AS VARCHAR), 8, '0') AS padded, CAST(floor(event_id / 6.0) AS INT) + 1 AS scan FROM events")
@@ -386,13 +456,70 @@ def f34_f36_json_arrays(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(F.transform(out, lambda v: v.cast("string")), " ").alias("ks"))
 
 
-@query("SELECT event_id AS image_id, 'relay' AS class, CAST(0.92 AS DOUBLE) AS confidence, CAST(user_id * 10 - 50 AS DOUBLE) AS x0, CAST(user_id * 10 + 50 AS DOUBLE) AS x1 FROM events")
+@query("SELECT event_id AS image_id, 'relay' AS class, CAST(0.92 AS DOUBLE) AS confidence, CAST(user_id * 5 - 50 AS DOUBLE) AS x0, CAST(event_id % 90 * 4 - 50 AS DOUBLE) AS y0, CAST(user_id * 5 + 50 AS DOUBLE) AS x1, CAST(event_id % 90 * 4 + 50 AS DOUBLE) AS y1 FROM events")
 def k8_mock_detector(spark, sf_dir):
-    mid = c("user_id") * 10
-    return table(spark, sf_dir, "events").select(c("event_id").alias("image_id"), F.lit("relay").alias("class"), F.lit(0.92).alias("confidence"), (mid - 50).cast("double").alias("x0"), (mid + 50).cast("double").alias("x1"))
+    """A box of 100 by 100 in the middle of each picture; the detector without a model finds nothing."""
+    pictures = table(spark, sf_dir, "events").select(c("event_id").alias("image_id"), (c("user_id") * 10).alias("width"), (c("event_id") % 90 * 8).alias("height"))
+    return readers.detect(pictures, "mock").unionByName(readers.detect(pictures, "none"))
 
 
-@query(f"WITH {i.BOXES} SELECT image, n, part FROM boxes WHERE (x1-x0)*(y1-y0) BETWEEN 0.0004*4000000 AND 0.02*4000000 AND (x1-x0) >= 1.2*(y1-y0)")
+_BLOBS = f"WITH {i.BOXES}, b AS (SELECT image, n, part, x1 - x0 AS w, y1 - y0 AS h, (part % 10 + 1) / 10.0 AS fill, (image % 4 + 1) / 4.0 AS k FROM boxes)"
+
+
+@query(f"""{_BLOBS} SELECT image, n, part, w * h * fill >= 800 * k * k AND w >= 1.6 * h AND w <= 400 * k AND h <= 150 * k AS tape,
+w * h * fill BETWEEN 0.0004 * 4000000 AND 0.02 * 4000000 AND fill >= 0.75 AS slot FROM b""")
 def k7_k11_blob_predicates(spark, sf_dir):
-    w, h = c("x1") - c("x0"), c("y1") - c("y0")
-    return i.boxes(spark, sf_dir).where((w * h).between(0.0004 * 4_000_000, 0.02 * 4_000_000) & (w >= 1.2 * h)).select("image", "n", "part")
+    """Which blobs are tapes (large enough for the picture's width, wide, not too large) and which are label slots (a share of the picture, filled)."""
+    own = i.boxes(spark, sf_dir).select("image", "n", "part", (c("x1") - c("x0")).alias("w"), (c("y1") - c("y0")).alias("h"), ((c("part") % 10 + 1) / 10).alias("fill"), ((c("image") % 4 + 1) / 4).alias("k"))
+    w, h, k, area = c("w"), c("h"), c("k"), c("w") * c("h") * c("fill")
+    tape = (area >= 800 * k * k) & (w >= 1.6 * h) & (w <= 400 * k) & (h <= 150 * k)
+    slot = area.between(0.0004 * 4_000_000, 0.02 * 4_000_000) & (c("fill") >= 0.75)
+    return own.select("image", "n", "part", tape.alias("tape"), slot.alias("slot"))
+
+
+@query(f"WITH {i.DETECTIONS} SELECT image, class AS text, conf, id FROM detections QUALIFY row_number() OVER (PARTITION BY image ORDER BY conf DESC, id % 2, id) = 1")
+def k7_best_variant(spark, sf_dir):
+    """Of all readings of a picture's variants the surest, the first variant's among equals."""
+    best = i.detections(spark, sf_dir).groupBy("image").agg(F.min(F.struct((-c("conf")).alias("c"), (c("id") % 2).alias("variant"), "id", "class")).alias("b"))
+    return best.select("image", c("b.class").alias("text"), (-c("b.c")).alias("conf"), "b.id")
+
+
+# ---- scans and pictures
+
+_SCANS = """(SELECT n_nationkey AS position, CASE WHEN n_nationkey % 3 > 0 THEN 'guid' || n_nationkey END AS guid, n_name AS name, n_nationkey % 4 > 0 AS posed, CASE WHEN n_nationkey % 5 > 0 THEN n_nationkey / 2.0 END AS w, CASE WHEN n_nationkey % 2 > 0 THEN n_nationkey + 0.5 END AS x FROM nation)"""
+
+
+def _scans(spark, sf_dir):
+    k = c("n_nationkey")
+    rotation = F.struct(F.when(k % 5 > 0, k / 2.0).alias("w"), *[F.lit(None).cast("double").alias(a) for a in "xyz"])
+    place = F.struct(F.when(k % 2 > 0, k + F.lit(0.5)).cast("double").alias("x"), *[F.lit(None).cast("double").alias(a) for a in "yz"])
+    return table(spark, sf_dir, "nation").select(k.alias("position"), F.when(k % 3 > 0, F.concat(F.lit("guid"), k)).alias("guid"), c("n_name").alias("name"), F.when(k % 4 > 0, F.struct(rotation.alias("rotation"), place.alias("translation"))).alias("pose"))
+
+
+@query(f"SELECT coalesce(guid, 'scan_' || position) AS guid, name, CAST(CASE WHEN posed THEN coalesce(w, 1.0) ELSE 1 END AS DOUBLE) AS w, CAST(CASE WHEN posed THEN coalesce(x, 0.0) ELSE 0 END AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y FROM {_SCANS} t")
+def s1_scan_rows(spark, sf_dir):
+    """Scan metadata with what files leave out: a guid by position, no rotation, the origin."""
+    return readers.scan_rows(_scans(spark, sf_dir)).select("guid", "name", "rotation.w", "translation.x", "translation.y")
+
+
+@query(f"SELECT coalesce(guid, 'img_' || position) AS guid, CAST(CASE WHEN posed THEN coalesce(x, 0.0) END AS DOUBLE) AS x, CAST(CASE WHEN posed THEN 0 END AS DOUBLE) AS z FROM {_SCANS} t")
+def s1_image_rows(spark, sf_dir):
+    """Picture metadata: without a pose the position stays unknown."""
+    return readers.image_rows(_scans(spark, sf_dir)).select("guid", "x", "z")
+
+
+@query("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 = 0 THEN 'spherical.png' WHEN s_suppkey % 5 = 0 THEN 'pinhole.jpeg' WHEN s_suppkey % 3 = 0 THEN 'pinhole.png' WHEN s_suppkey % 2 = 0 THEN 'cylindrical.jpeg' END AS picture FROM supplier""")
+def s2_embedded_picture(spark, sf_dir):
+    """Which of a record's pictures is taken."""
+    has = {"spherical": (None, 7), "pinhole": (5, 3), "cylindrical": (2, None)}
+    one = lambda kind, coding, n: F.when(c("s_suppkey") % n == 0, f"{kind}.{coding}").alias(coding) if n else F.lit(None).cast("string").alias(coding)
+    rows = table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("id"), *[F.struct(one(kind, "jpeg", a), one(kind, "png", b)).alias(kind) for kind, (a, b) in has.items()])
+    return rows.select("id", readers.representation().alias("picture"))
+
+
+@query("""WITH p AS (SELECT l_orderkey AS k, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_quantity AS INT) * 257 ELSE CAST(l_quantity AS INT) END AS r, l_linenumber % 3 = 0 AS invalid FROM lineitem)
+SELECT k, count(*) AS points, CAST(sum(CASE WHEN r > 255 THEN CAST(floor(r / 257) AS INT) ELSE r END) AS BIGINT) AS red FROM p WHERE NOT invalid GROUP BY k""")
+def s3_valid_colours(spark, sf_dir):
+    """Points that the scanner did not mark, colours of two bytes brought to one."""
+    points = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("k"), F.when(c("l_linenumber") % 2 == 0, c("l_quantity").cast("int") * 257).otherwise(c("l_quantity").cast("int")).alias("r"), F.when(c("l_linenumber") % 3 == 0, 1).alias("invalid"))
+    return readers.valid_points(points).groupBy("k").agg(F.count(F.lit(1)).alias("points"), F.sum("r").cast("long").alias("red"))

@@ -177,6 +177,15 @@ def f2_rotation_matrix(spark, sf_dir):
     return _unit(spark, sf_dir).select("id", *[(F.round(m[a][b], 4) + F.lit(0.0)).alias(f"m{a}{b}") for a in range(3) for b in range(3)])
 
 
+@query(f"SELECT id, 1-2*(y*y+z*z) AS m00, 2*(x*y-w*z) AS m01, 2*(x*z+w*y) AS m02, 2*(x*y+w*z) AS m10, 1-2*(x*x+z*z) AS m11, 2*(y*z-w*x) AS m12, 2*(x*z-w*y) AS m20, 2*(y*z+w*x) AS m21, 1-2*(x*x+y*y) AS m22 FROM {_QUAT} q")
+def f2_raw_rotation_matrix(spark, sf_dir):
+    """Of quaternions as they are: for callers that have normalised, or mean not to."""
+    k = F.col("s_suppkey")
+    q = F.struct((k % 5).cast("double").alias("w"), (k % 3).cast("double").alias("x"), ((k % 4).cast("double") - 1).alias("y"), (k % 2).cast("double").alias("z"))
+    m = g.rotation(F.col("q"))
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), q.alias("q")).select("id", *[m[a][b].alias(f"m{a}{b}") for a in range(3) for b in range(3)])
+
+
 @query(f"""WITH {_UNIT}, f AS (SELECT id, -2*(x*z+w*y) AS fx, -2*(y*z-w*x) AS fy, -(1-2*(x*x+y*y)) AS fz FROM unit)
 SELECT id, round(fx, 4) + 0.0 AS fx, round(fy, 4) + 0.0 AS fy, round(fz, 4) + 0.0 AS fz FROM f""")
 def f3_forward_vector(spark, sf_dir):
@@ -280,9 +289,8 @@ def k1_non_maximum_suppression(spark, sf_dir):
 _EXPECTED = "expected AS (SELECT DISTINCT l_orderkey AS image, k AS target, CAST(k * 90 + l_orderkey % 20 AS DOUBLE) AS x0, CAST(l_orderkey % 40 AS DOUBLE) AS y0, CAST(k * 90 + l_orderkey % 20 + 100 AS DOUBLE) AS x1, CAST(l_orderkey % 40 + 100 AS DOUBLE) AS y1 FROM lineitem, (SELECT unnest([0, 1, 2]) AS k))"
 
 
-def gate_candidates(spark, sf_dir):
+def gate_candidates(det):
     """Detection and expected box of one image that overlap enough and are of like width."""
-    det = i.boxes(spark, sf_dir)
     k, o = F.col("target"), F.col("image")
     exp = det.select("image").distinct().select("image", F.explode(F.array(*[F.lit(v) for v in range(3)])).alias("target"))
     exp = exp.select("image", "target", g.box((k * 90 + o % 20).cast("double"), (o % 40).cast("double"), (k * 90 + o % 20 + 100).cast("double"), (o % 40 + 100).cast("double")).alias("e"))
@@ -293,16 +301,41 @@ def gate_candidates(spark, sf_dir):
 
 @query(f"WITH {i.BOXES}, {_EXPECTED} SELECT a.image, a.n, a.part, b.target, round({_IOU}/{_UNION}, 4) AS iou FROM boxes a JOIN expected b ON a.image = b.image WHERE {_IOU}/{_UNION} >= 0.3 AND (a.x1-a.x0)/(b.x1-b.x0) BETWEEN 0.6 AND 1.6")
 def j14_gate_candidates(spark, sf_dir):
-    return gate_candidates(spark, sf_dir).select("image", "n", "part", "target", F.round("iou", 4).alias("iou"))
+    return gate_candidates(i.boxes(spark, sf_dir)).select("image", "n", "part", "target", F.round("iou", 4).alias("iou"))
 
 
-@query()
-def j14_k2_gate_assignment(spark, sf_dir):
-    cand = gate_candidates(spark, sf_dir).withColumn("det", F.col("n") * F.lit(10_000_000) + F.col("part"))
+def assigned(det):
+    """Detections by falling confidence with the expected box that they take: the best that is free."""
+    cand = gate_candidates(det).withColumn("det", F.col("n") * F.lit(10_000_000) + F.col("part"))
     chosen = greedy.assign_greedily(cand, "image", "det", "target", "score", "iou")
     return chosen.select("image", "n", "part", "target", F.round("iou", 4).alias("iou"), "score")
 
 
+@query()
+def j14_gate_assignment(spark, sf_dir):
+    return assigned(i.boxes(spark, sf_dir))
+
+
+@query()
+def k2_export_records(spark, sf_dir):
+    """Suppressed detections of each photo as records: gated against expected boxes, placed on the plane of what they were assigned to.
+
+    Look-alikes are kept in the detail, and not exported.
+    """
+    det = greedy.non_maximum_suppression(i.boxes(spark, sf_dir).withColumn("tie", F.col("n") * F.lit(10_000_000) + F.col("part")), ["image", "class"], 0.5, "tie").drop("tie")
+    found = assigned(det.where("class = 0")).select("image", "n", "part", "target", "iou")
+    all_ = det.join(found, ["image", "n", "part"], "left")
+    relay, accepted = F.col("class") == 0, F.col("target").isNotNull()
+    cam = i.camera(F.col("image"))
+    centre = g.ray((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, F.col("camera"))
+    out = all_.withColumn("camera", cam).withColumn("ray", centre)
+    position = F.when(relay & accepted, g.meets_plane_x(F.col("camera.position"), F.col("ray"), F.col("target") * 0.07 + 12.0))
+    reason = F.when(~relay, "look-alike class, not exported").when(accepted, "matches an expected box").otherwise("no expected box at this position and size")
+    box = F.array(*[F.round(v, 1) for v in (F.col("x0"), F.col("y0"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))])
+    conf = F.round(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)), 4)
+    return out.select("image", "n", "part", "class", conf.alias("conf"), box.alias("box"), F.col("target").alias("cabinet"), (relay & accepted).alias("accepted"), F.when(relay, F.round("iou", 2)).alias("iou"), reason.alias("reason"), relay.alias("exported"), position.alias("position"))
+
+
 @query("""WITH g AS (SELECT s_suppkey AS camera_id, n_nationkey AS cabinet, v, gx, gy FROM supplier, nation, (SELECT unnest([0, 1]) AS v), (SELECT unnest([0, 1, 2]) AS gx), (SELECT unnest([0, 1]) AS gy) WHERE s_suppkey % 25 = n_nationkey)
 SELECT camera_id, cabinet, v AS variant, CAST(least(greatest(gx * 400 - 100, 0), 700) AS INT) AS x, CAST(least(greatest(gy * 500 - 50, 0), 700) AS INT) AS y, CASE WHEN camera_id % 18 IN (6, 8, 13) THEN 'val' ELSE 'train' END AS split FROM g""")
 def k3_job_plan(spark, sf_dir):
@@ -314,26 +347,55 @@ def k3_job_plan(spark, sf_dir):
     return jobs.select("camera_id", "cabinet", "variant", inside(F.col("gx") * 400 - 100).alias("x"), inside(F.col("gy") * 500 - 50).alias("y"), F.when((F.col("camera_id") % 18).isin(6, 8, 13), "val").otherwise("train").alias("split"))
 
 
-@query(f"""WITH {i.SIGHTINGS}, px AS (SELECT tag_id, scan, CAST(floor((x+1)*8) AS INT) AS u, CAST(floor((y+1)*8) AS INT) AS v, z + 2 AS d FROM sightings),
-fine AS (SELECT scan, u, v, min(d) AS d FROM px GROUP BY ALL), coarse AS (SELECT scan, CAST(floor(u/4.0) AS INT) AS u, CAST(floor(v/4.0) AS INT) AS v, min(d) AS d FROM px GROUP BY ALL)
-SELECT f.scan, f.u, f.v, round(CASE WHEN f.d > c.d * 1.08 + 0.05 THEN c.d ELSE f.d END, 4) AS depth FROM fine f JOIN coarse c ON f.scan = c.scan AND CAST(floor(f.u/4.0) AS INT) = c.u AND CAST(floor(f.v/4.0) AS INT) = c.v""")
+_DEPTH = "px AS (SELECT scan, least(CAST(floor((x+1)*8) AS INT), 15) AS u, least(CAST(floor((y+1)*8) AS INT), 15) AS v, z + 2 AS d FROM sightings)"
+_CELLS = ", ".join(f"d{k} AS (SELECT scan, u // {k} AS u, v // {k} AS v, min(d) AS d FROM px GROUP BY ALL)" for k in (1, 2, 4, 8))
+_WORSE = "CASE WHEN d{k}.d > 0 AND (coalesce({d}, 0) = 0 OR {d} > d{k}.d * 1.08 + 0.05) THEN d{k}.d ELSE {d} END"
+
+
+@query(f"""WITH {i.SIGHTINGS}, {_DEPTH}, {_CELLS}, grid AS (SELECT scan, d8.u * 8 + a AS u, d8.v * 8 + b AS v FROM d8, (SELECT unnest(range(8)) AS a) x, (SELECT unnest(range(8)) AS b) y),
+s1 AS (SELECT grid.*, d1.d AS d FROM grid LEFT JOIN d1 ON d1.scan = grid.scan AND d1.u = grid.u AND d1.v = grid.v),
+s2 AS (SELECT s1.scan, s1.u, s1.v, {_WORSE.format(k=2, d="s1.d")} AS d FROM s1 LEFT JOIN d2 ON d2.scan = s1.scan AND d2.u = s1.u // 2 AND d2.v = s1.v // 2),
+s4 AS (SELECT s2.scan, s2.u, s2.v, {_WORSE.format(k=4, d="s2.d")} AS d FROM s2 LEFT JOIN d4 ON d4.scan = s2.scan AND d4.u = s2.u // 4 AND d4.v = s2.v // 4),
+s8 AS (SELECT s4.scan, s4.u, s4.v, {_WORSE.format(k=8, d="s4.d")} AS d FROM s4 LEFT JOIN d8 ON d8.scan = s4.scan AND d8.u = s4.u // 8 AND d8.v = s4.v // 8)
+SELECT scan, CAST(u AS INT) AS u, CAST(v AS INT) AS v, round(d, 4) AS depth FROM s8""")
 def a19_depth_map(spark, sf_dir):
-    px = i.sightings(spark, sf_dir).select("scan", F.floor((F.col("x") + 1) * 8).cast("int").alias("u"), F.floor((F.col("y") + 1) * 8).cast("int").alias("v"), (F.col("z") + 2).alias("d"))
-    fine = px.groupBy("scan", "u", "v").agg(F.min("d").alias("d"))
-    coarse = fine.groupBy("scan", F.floor(F.col("u") / 4).cast("int").alias("cu"), F.floor(F.col("v") / 4).cast("int").alias("cv")).agg(F.min("d").alias("cd"))
-    out = fine.withColumns({"cu": F.floor(F.col("u") / 4).cast("int"), "cv": F.floor(F.col("v") / 4).cast("int")}).join(coarse, ["scan", "cu", "cv"])
-    return out.select("scan", "u", "v", F.round(F.when(F.col("d") > F.col("cd") * 1.08 + 0.05, F.col("cd")).otherwise(F.col("d")), 4).alias("depth"))
-
-
-@query(f"""WITH {i.SIGHTINGS}, c AS (SELECT inv, flip FROM (SELECT unnest([0, 1]) AS inv), (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS flip)),
-e AS (SELECT label, inv, flip, avg(abs((CASE WHEN flip % 2 = 1 THEN -x ELSE x END) + (CASE WHEN flip % 4 >= 2 THEN -y ELSE y END) - (CASE WHEN flip >= 4 THEN -z ELSE z END) * (1 - 2 * inv))) AS err, count(*) AS n FROM sightings CROSS JOIN c GROUP BY label, inv, flip)
-SELECT label, inv, flip, round(err, 4) AS err, n FROM e QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(err, 9), inv, flip) = 1""")
-def a9_a10_best_convention(spark, sf_dir):
-    """The sign convention of the least mean error for each label: a table of 16 parameters, not a loop over the data."""
+    """The least depth of each pixel, and where it is empty or far behind, of the cell of 2, 4 or 8 pixels around it."""
+    pixel = lambda k: F.least(F.floor((F.col(k) + 1) * 8), F.lit(15)).cast("int")
+    px = i.sightings(spark, sf_dir).select("scan", pixel("x").alias("u"), pixel("y").alias("v"), (F.col("z") + 2).alias("d"))
+    return spatial.depth_map(px, ["scan"], (1, 2, 4, 8)).select("scan", "u", "v", F.round("depth", 4).alias("depth"))
+
+
+_ERROR = "abs((CASE WHEN flip % 2 = 1 THEN -x ELSE x END) + (CASE WHEN flip % 4 >= 2 THEN -y ELSE y END) - (CASE WHEN flip >= 4 THEN -z ELSE z END) * (1 - 2 * inv))"
+#: Points that a photo must have for a convention to be judged on it; the mean error below which it votes.
+LEAST_POINTS, VOTES_BELOW = 3, 0.1
+_CONVENTIONS = f"""{i.SIGHTINGS}, c AS (SELECT inv, flip FROM (SELECT unnest([0, 1]) AS inv), (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS flip)),
+e AS (SELECT scan, inv, flip, round(avg({_ERROR}), 9) AS err, count(*) AS n FROM sightings CROSS JOIN c GROUP BY scan, inv, flip HAVING count(*) >= {LEAST_POINTS}),
+best AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY scan ORDER BY err, inv, flip) = 1)"""
+
+
+def conventions(spark, sf_dir):
+    """The sign convention of the least mean error for each photo: a table of 16 parameters, not a loop over the data."""
     conv = spark.range(16).select((F.col("id") % 2).cast("int").alias("inv"), F.floor(F.col("id") / 2).cast("int").alias("flip"))
     sign = lambda test, c: F.when(test, -F.col(c)).otherwise(F.col(c))
     f = F.col("flip")
     err = F.abs(sign(f % 2 == 1, "x") + sign(f % 4 >= 2, "y") - sign(f >= 4, "z") * (1 - 2 * F.col("inv")))
-    each = i.sightings(spark, sf_dir).join(F.broadcast(conv)).groupBy("label", "inv", "flip").agg(F.avg(err).alias("err"), F.count(F.lit(1)).alias("n"))
-    best = each.groupBy("label").agg(F.min(F.struct(F.round("err", 9).alias("e"), "inv", "flip", "err", "n")).alias("b"))
-    return best.select("label", "b.inv", "b.flip", F.round("b.err", 4).alias("err"), "b.n")
+    each = i.sightings(spark, sf_dir).join(F.broadcast(conv)).groupBy("scan", "inv", "flip").agg(F.round(F.avg(err), 9).alias("err"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_POINTS)
+    return each.groupBy("scan").agg(F.min(F.struct("err", "inv", "flip", "n")).alias("b")).select("scan", "b.*")
+
+
+@query(f"WITH {_CONVENTIONS} SELECT scan, inv, flip, round(err, 4) AS err, n FROM best")
+def a10_best_convention(spark, sf_dir):
+    return conventions(spark, sf_dir).select("scan", "inv", "flip", F.round("err", 4).alias("err"), "n")
+
+
+@query(f"""WITH {_CONVENTIONS}, votes AS (SELECT inv, flip, count(*) AS votes, min(scan) AS first FROM best WHERE err < {VOTES_BELOW} GROUP BY inv, flip),
+won AS (SELECT inv, flip, votes FROM votes ORDER BY votes DESC, first LIMIT 1), other AS (SELECT inv, flip, 0 AS votes FROM best ORDER BY err, inv, flip LIMIT 1), t AS (SELECT * FROM won UNION ALL SELECT * FROM other WHERE NOT EXISTS (SELECT 1 FROM won))
+SELECT t.inv, t.flip, CAST(t.votes AS BIGINT) AS votes, round(min(best.err), 4) AS err FROM t JOIN best ON best.inv = t.inv AND best.flip = t.flip GROUP BY ALL""")
+def a9_convention_by_votes(spark, sf_dir):
+    """The convention that most photos vote for; if none is sure enough to vote, that of the least error."""
+    best = conventions(spark, sf_dir)
+    votes = best.where(F.col("err") < VOTES_BELOW).groupBy("inv", "flip").agg(F.count(F.lit(1)).alias("votes"), F.min("scan").alias("first"))
+    won = votes.agg(F.min(F.struct((-F.col("votes")).alias("v"), "first", "inv", "flip")).alias("w"))
+    other = best.agg(F.min(F.struct("err", "inv", "flip")).alias("o"))
+    one = won.join(other, how="cross").select(F.coalesce("w.inv", "o.inv").alias("inv"), F.coalesce("w.flip", "o.flip").alias("flip"), F.coalesce(-F.col("w.v"), F.lit(0)).cast("long").alias("votes"))
+    return one.join(best.groupBy("inv", "flip").agg(F.round(F.min("err"), 4).alias("err")), ["inv", "flip"]).select("inv", "flip", "votes", "err")

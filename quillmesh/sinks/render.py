@@ -29,6 +29,22 @@ def report(lines: DataFrame) -> DataFrame:
     return lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda s: s["line"]), "\n").alias("report"))
 
 
+def escaped(text: Column) -> Column:
+    """Text for HTML."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def html_table(rows: DataFrame, names: list[str], order: str) -> DataFrame:
+    """One HTML table of a bounded report's rows."""
+    cells = F.concat(*[F.concat(F.lit("<td>"), escaped(F.coalesce(F.col(n).cast("string"), F.lit(""))), F.lit("</td>")) for n in names])
+    head = "".join(f"<th>{n}</th>" for n in names)
+    lines = rows.select(F.col(order).alias("at"), F.concat(F.lit("<tr>"), cells, F.lit("</tr>")).alias("line"))
+    body = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda s: s["line"]), "").alias("body"))
+    return body.select(F.concat(F.lit(f"<table><tr>{head}</tr>"), "body", F.lit("</table>")).alias("html"))
+
+
 def write_text(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
     lines.select("line").write.mode(mode).text(path)
 

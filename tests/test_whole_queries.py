@@ -1,5 +1,6 @@
 """Registered queries work on the whole table, against plain versions."""
 
+import math
 import re
 from collections import defaultdict
 
@@ -68,3 +69,113 @@ def test_an_empty_list_of_documents_filters_nothing(spark, sf):
     keys = sorted(r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect())
     got = QUERIES["p3_p4_in_lists"](spark, sf).where("asked = 'unfiltered'")
     assert sorted(r.p_partkey for r in got.collect()) == keys
+
+
+def boxes_of(spark, sf):
+    return [r.asDict() for r in inputs.boxes(spark, sf).collect()]
+
+
+def plain_assignment(rows):
+    """Detections by falling confidence take the best expected box that is free, overlaps 0.3 or more and is of like width."""
+    out = {}
+    by = defaultdict(list)
+    for r in rows:
+        by[r["image"]].append(r)
+    for image, own in by.items():
+        used = set()
+        for r in sorted(own, key=lambda r: (-r["score"], r["n"] * 10_000_000 + r["part"])):
+            best = None
+            for k in range(3):
+                e = (k * 90 + image % 20, image % 40, k * 90 + image % 20 + 100, image % 40 + 100)
+                overlap, ratio = greedy._iou((r["x0"], r["y0"], r["x1"], r["y1"]), e), (r["x1"] - r["x0"]) / 100
+                if k not in used and overlap >= 0.3 and 0.6 <= ratio <= 1.6 and (best is None or overlap > best[1]):
+                    best = (k, overlap)
+            if best:
+                used.add(best[0])
+                out[image, r["n"], r["part"]] = best
+    return out
+
+
+def test_assignment_of_all_images(spark, sf):
+    expected = plain_assignment(boxes_of(spark, sf))
+    got = {(r.image, r.n, r.part): (r.target, r.iou) for r in QUERIES["j14_gate_assignment"](spark, sf).collect()}
+    assert set(got) == set(expected) and all(got[k][0] == t and abs(got[k][1] - v) < 1e-4 for k, (t, v) in expected.items())
+
+
+def test_export_records_of_all_images(spark, sf):
+    kept, by = [], defaultdict(list)
+    for r in boxes_of(spark, sf):
+        by[r["image"], r["class"]].append(r)
+    for own in by.values():
+        done = []
+        for r in sorted(own, key=lambda r: (-r["score"], r["n"], r["part"])):
+            if all(greedy._iou((k["x0"], k["y0"], k["x1"], k["y1"]), (r["x0"], r["y0"], r["x1"], r["y1"])) <= 0.5 for k in done):
+                done.append(r)
+        kept += done
+    given = plain_assignment([r for r in kept if r["class"] == 0])
+    got = {(r.image, r.n, r.part, r["class"]): r for r in QUERIES["k2_export_records"](spark, sf).collect()}
+    assert set(got) == {(r["image"], r["n"], r["part"], r["class"]) for r in kept}
+    placed = 0
+    for r in kept:
+        out, mine = got[r["image"], r["n"], r["part"], r["class"]], given.get((r["image"], r["n"], r["part"])) if r["class"] == 0 else None
+        assert out.accepted == (mine is not None) and out.exported == (r["class"] == 0) and out.cabinet == (mine[0] if mine else None)
+        assert all(abs(a - b) < 0.051 for a, b in zip(out.box, (r["x0"], r["y0"], r["x1"] - r["x0"], r["y1"] - r["y0"]), strict=True)) and abs(out.conf - min(max(r["score"], 0.0), 1.0)) < 1e-4
+        if not mine:
+            assert out.position is None
+            continue
+        half, k = math.radians(r["image"] * 37 % 360) / 2, r["image"]
+        w, x, y, z = (v * math.sqrt(0.5) for v in (math.cos(half), math.cos(half), math.sin(half), math.sin(half)))
+        m = [[1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)], [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)], [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]]
+        a, b = ((r["x0"] + r["x1"]) / 2 - 500) / 500, ((r["y0"] + r["y1"]) / 2 - 500) / 500
+        d = [(m[j][0] * a - m[j][1] * b - m[j][2]) / math.sqrt(a * a + b * b + 1) for j in range(3)]
+        at = (k % 11, k % 7, 1.2)
+        t = (mine[0] * 0.07 + 12.0 - at[0]) / d[0] if abs(d[0]) >= 1e-6 else -1
+        if t <= 0:
+            assert out.position is None
+        else:
+            placed += 1
+            assert all(abs(v - (at[j] + t * d[j])) < 2e-3 * max(1, abs(v)) for j, v in enumerate(out.position))
+    assert placed > 10
+
+
+def test_label_matches_of_all_parts(spark, sf):
+    from difflib import SequenceMatcher
+
+    parts = {r.p_partkey: r for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    fold = lambda s: "".join(c for c in s.upper() if c.isalnum()).translate(str.maketrans("OILSZB", "011528"))
+    names = sorted({r.p_type for r in parts.values()})
+    got = {r.p_partkey: r for r in QUERIES["f24_w2_label_match"](spark, sf).collect()}
+    assert set(got) == set(parts)
+    seen = set()
+    for key, r in parts.items():
+        read = r.p_type[: key % 6] + f" {r.p_size}" if r.p_size % 3 else r.p_type[:1]
+        own = fold(read)
+        if len(own) < 2:
+            assert (got[key].label, got[key].score) == (None, 0.0)
+            continue
+        scores = sorted(((1.0 if own == fold(n) else 0.95 if len(fold(n)) >= 3 and fold(n) in own else SequenceMatcher(None, own, fold(n)).ratio()), n) for n in names)[::-1]
+        best = max(s for s, _ in scores)
+        first = min(n for s, n in scores if s == best)
+        second = max((s for s, n in scores if n != first), default=0.0)
+        label = first if best >= 0.65 and best - second >= 0.05 else None
+        assert got[key].label == label and abs(got[key].score - best) < 1e-4
+        seen.add(label)
+    assert None in seen
+
+
+def test_paragraphs_of_all_documents(spark, sf):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    item = re.compile(r"(•|▪|●|-|–|[0-9]+[.)]|[a-z][.)])\s")
+    for r in QUERIES["f28_paragraphs"](spark, sf).collect():
+        joined = ""
+        for line in texts[r.doc_id].split("\n"):
+            line = line.strip()
+            if not line:
+                continue
+            if not joined or item.match(line):
+                joined += "\n" * bool(joined) + line
+            elif re.search(r"[a-zà-ÿ]-$", joined.rpartition("\n")[2]) and line[0].islower():
+                joined = joined[:-1] + line
+            else:
+                joined += " " + line
+        assert r.n_chars == len(joined), r.doc_id
