@@ -1,4 +1,8 @@
-"""Ranked full-text search by postings: only the questions' terms are looked up."""
+"""Ranked full-text search by postings: only the questions' terms are looked up.
+
+Questions and chunks meet on stems, as an index with a stemming tokenizer does; how many of a question's words an answer
+holds is told by the words as they are.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmesh.functions import text as t
+from quillmesh.functions.stem import stems
 from quillmesh.operators.parallel import spread
 
 K1, B = 1.2, 0.75
@@ -14,18 +19,25 @@ K1, B = 1.2, 0.75
 SECTION_WEIGHT, TEXT_WEIGHT, MIN_COVERAGE = 4, 1, 0.6
 
 
-def postings(chunks: DataFrame, key: str, terms: DataFrame | None = None) -> DataFrame:
+def _words(chunks: DataFrame, key: str) -> DataFrame:
+    """(chunk, s, b, dl): the words of the section path and of the text, and how many there are."""
+    own = chunks.select(F.col(key).alias("chunk"), t.tokens(F.coalesce("section", F.lit(""))).alias("s"), t.tokens(F.coalesce("text", F.lit(""))).alias("b"))
+    return own.withColumn("dl", F.size("s") + F.size("b"))
+
+
+def postings(chunks: DataFrame, key: str, terms: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
     """(chunk, term, tf, dl): weighted occurrences, and the chunk's length. Written once, it serves all questions.
 
     With terms (term), of those alone: other words are left out before anything is counted or dealt out.
     """
-    own = chunks.select(F.col(key).alias("chunk"), t.tokens(F.coalesce("section", F.lit(""))).alias("s"), t.tokens(F.coalesce("text", F.lit(""))).alias("b"))
+    own = _words(chunks, key)
+    if stemmed:
+        own = own.withColumns({"s": stems(F.col("s")), "b": stems(F.col("b"))})
 
     def weighted(words: str, weight: int):
         return F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(weight).alias("w")))
 
-    each = own.select("chunk", (F.size("s") + F.size("b")).alias("dl"), F.explode(F.concat(weighted("s", SECTION_WEIGHT), weighted("b", TEXT_WEIGHT))).alias("t"))
-    each = each.select("chunk", "dl", "t.term", "t.w")
+    each = own.select("chunk", "dl", F.explode(F.concat(weighted("s", SECTION_WEIGHT), weighted("b", TEXT_WEIGHT))).alias("t")).select("chunk", "dl", "t.term", "t.w")
     if terms is not None:
         each = each.join(terms, "term", "left_semi")
     return each.groupBy("chunk", "dl", "term").agg(F.sum("w").alias("tf"))
@@ -36,22 +48,31 @@ def question_words(questions: DataFrame, key: str) -> DataFrame:
     return questions.select(F.col(key).alias("question"), F.explode(F.array_distinct(t.question_terms(F.col("text")))).alias("term"))
 
 
-def search(chunks: DataFrame, questions: DataFrame, chunk_key: str, question_key: str, k: int) -> DataFrame:
+def search(chunks: DataFrame, questions: DataFrame, chunk_key: str, question_key: str, k: int, stemmed: bool = False, allowed: DataFrame | None = None) -> DataFrame:
     """(question, place, chunk, score): ascending scores (best first), ties by chunk.
 
     First the max(10 k, 30) best by BM25, then only those that hold enough of the question's words, then the first k: the
-    order of these steps is part of the meaning.
+    order of these steps is part of the meaning. allowed (question, document): only chunks of these documents (column
+    `document` of the chunks) are ranked; a question without a row there has no answer.
     """
     words = question_words(questions, question_key)
+    asked = words.select("question", F.explode(stems(F.array("term"))).alias("term")).distinct() if stemmed else words
     chunks = spread(chunks)
-    lengths = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(t.tokens(F.coalesce("section", F.lit("")))) + F.size(t.tokens(F.coalesce("text", F.lit(""))))).alias("mean"))
-    own = postings(chunks, chunk_key, words.select("term").distinct())
+    lengths = _words(chunks, chunk_key).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
+    own = postings(chunks, chunk_key, asked.select("term").distinct(), stemmed)
     df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    matched = own.join(words.join(df, "term"), "term").join(F.broadcast(lengths))
+    matched = own.join(asked.join(df, "term"), "term").join(F.broadcast(lengths))  # one row
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
     scored = matched.groupBy("question", "chunk").agg((-F.sum(weight)).alias("score"), F.count(F.lit(1)).alias("have"))
+    if allowed is not None:
+        of = chunks.select(F.col(chunk_key).alias("chunk"), "document")
+        scored = scored.join(of, "chunk").join(allowed, ["question", "document"], "left_semi").drop("document")
     first = scored.withColumn("_place", F.row_number().over(Window.partitionBy("question").orderBy(F.round("score", 9), "chunk"))).where(F.col("_place") <= max(10 * k, 30))
+    if stemmed:  # the words as they are, of the few chunks that are left
+        held = _words(chunks.join(first.select(F.col("chunk").alias(chunk_key)).distinct(), chunk_key, "left_semi"), chunk_key).select("chunk", F.explode(F.array_union("s", "b")).alias("term"))
+        found = first.select("question", "chunk").join(words, "question").join(held, ["chunk", "term"]).groupBy("question", "chunk").agg(F.count(F.lit(1)).alias("have"))
+        first = first.drop("have").join(found, ["question", "chunk"])
     need = words.groupBy("question").agg(F.greatest(F.lit(1), F.ceil(F.round(MIN_COVERAGE * F.count(F.lit(1)), 9))).alias("need"))
     kept = first.join(need, "question").where("have >= need")
     place = F.row_number().over(Window.partitionBy("question").orderBy("_place"))

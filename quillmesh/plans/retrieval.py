@@ -190,6 +190,52 @@ def f42_s8_margin_filter(spark, sf_dir):
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
+_SIZED = f"{_LINES}, sized AS (SELECT doc_id, ord, line, CAST(8 + length(line) % 7 AS INT) AS size FROM lines), bodies AS (SELECT doc_id, size AS body FROM (SELECT doc_id, size, sum(length(line)) AS chars FROM sized GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, size) = 1)"
+
+
+def _sized(spark, sf_dir):
+    lines = chunking.lines(table(spark, sf_dir, "documents")).withColumn("size", (8 + F.length("line") % 7).cast("int"))
+    return lines, chunking.body_size(lines.withColumn("chars", F.length("line")), "doc_id")
+
+
+@query(f"""WITH {_SIZED}, ranks AS (SELECT s.doc_id, s.size, row_number() OVER (PARTITION BY s.doc_id ORDER BY s.size DESC) AS level FROM (SELECT DISTINCT doc_id, size FROM sized) s JOIN bodies USING (doc_id) WHERE s.size >= body + 1)
+SELECT s.doc_id, CAST(s.ord AS INT) AS ord, CAST(level AS INT) AS level FROM sized s JOIN ranks USING (doc_id, size) WHERE level <= 3 AND length(line) < 90 AND NOT regexp_matches(rtrim(line), '[.,]$')""")
+def f41_sized_headings(spark, sf_dir):
+    lines, body = _sized(spark, sf_dir)
+    return chunking.sized_headings(lines, body).where("level is not null").select("doc_id", "ord", "level")
+
+
+@query()
+def f41_listed_headings(spark, sf_dir):
+    """Headings by a table of contents: every third line, numbered, is an entry, some broken over two lines, some of other pages."""
+    lines = chunking.lines(table(spark, sf_dir, "documents")).withColumn("page", F.floor(c("ord") / 6).cast("int"))
+    after = F.lead("line").over(Window.partitionBy("doc_id").orderBy("ord"))
+    title = F.when(c("ord") % 9 == 0, F.concat_ws(" ", "line", after)).when(c("ord") % 15 == 3, F.lit("not on the page")).otherwise(F.substring("line", 1, 30))
+    entries = lines.select("doc_id", "page", "ord", "line", title.alias("t")).where("ord % 3 = 0").select("doc_id", "page", c("ord").alias("at"), (1 + c("ord") % 6).alias("level"), F.concat(c("ord") + 1, F.lit(".2 "), "t").alias("title"))
+    return chunking.listed_headings(lines, entries)
+
+
+def units(spark, sf_dir):
+    """Units of documents: headed sections, runs of lines with a bar are tables, others paragraphs; five lines are a page."""
+    w = Window.partitionBy("doc_id").orderBy("ord")
+    n, size = F.length("line"), F.length(F.trim("line"))
+    level = F.when((n < 60) & (n % 4 > 0), n % 4)
+    own = chunking.lines(table(spark, sf_dir, "documents")).withColumns({"level": level, "title": F.when(c("ord") % 11 == 5, "Contents").otherwise(c("line")), "page": F.floor(c("ord") / 5).cast("int") + 1})
+    own = chunking.breadcrumbs(own, "doc_id")
+    own = own.withColumns({"section": F.count("level").over(w), "kind": F.when(c("line").contains("|"), "table").otherwise("text")}).where("level is null").where(size > 0)
+    starts = (F.coalesce(F.lag("kind").over(Window.partitionBy("doc_id", "section").orderBy("ord")), F.lit("")) != c("kind")) | (c("kind") == "text")
+    own = own.withColumn("unit", F.sum(starts.cast("int")).over(Window.partitionBy("doc_id", "section").orderBy("ord")))
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n")
+    return own.groupBy("doc_id", "section", "path", "kind", "unit").agg(F.min("ord").alias("ord"), F.min("page").alias("page"), line.alias("text")).withColumn("top", F.substring_index("path", " > ", 1)).drop("unit")
+
+
+@query()
+def f43_f35_section_chunks(spark, sf_dir):
+    """Order-dependent gathering of units; tests hold it against a plain version."""
+    out = chunking.section_chunks(units(spark, sf_dir))
+    return out.select("doc_id", "section", "chunk", "path", "page_start", "page_end", "kind", F.length("text").alias("n_chars"))
+
+
 @query()
 def f28_paragraphs(spark, sf_dir):
     """Order-dependent repair of lines, in Arrow batches; tested against plain cases."""

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillmesh.functions.stem import stem
 from quillmesh.operators import chunking, fulltext, graph, greedy, merge, order, parallel, retrieval, spatial
 from quillmesh.sinks import render
 from quillmesh.sources import readers
@@ -124,13 +125,49 @@ def test_chunk_limits(spark):
     assert got == [(1, 0, 100), (2, 0, 50), (2, 1, 50)]
 
 
-def test_line_rules():
+def test_line_rules(spark):
     assert chunking.join_lines(["volt-", "age is", "- one", "2. two", "three"]) == "voltage is\n- one\n2. two three"
-    assert chunking.split_table(["h", "--", "aaa", "bbb", "ccc"], limit=12) == ["h\n--\naaa\nbbb", "h\n--\nccc"]
-    lines = [{"size": s, "text": x} for s, x in ((18, "Title"), (10, "Body."), (14, "Part"), (14, "ends."), (10.5, "no"))]
-    assert chunking.heading_levels(lines, 10) == [1, None, 2, None, None]
-    assert chunking.toc_level("2.1 Long heading here", "long heading here", {"long heading": 6}) == 4
-    assert [chunking.chunk_kind(k) for k in (["table", "text"], ["text", "table"], ["text"], [])] == ["table", "mixed", "text", "text"]
+    df = spark.createDataFrame([("h\n--\naaa\nbbb\nccc",), ("h\n--",), ("short",), (None,)], "text string")
+    assert [r[0] for r in df.select(chunking.table_parts(F.col("text"), 12)).collect()] == [["h\n--\naaa\nbbb", "h\n--\nccc"], ["h\n--"], ["short"], [""]]
+    lines = spark.createDataFrame([(1, k, s, x) for k, (s, x) in enumerate(((18, "Title"), (10, "Body."), (14, "Part"), (14, "ends."), (10, "no"), (12, "x" * 95)))], "doc_id long, ord int, size int, line string")
+    got = chunking.sized_headings(lines, spark.createDataFrame([(1, 10)], "doc_id long, body int")).orderBy("ord").collect()
+    assert [r.level for r in got] == [1, None, 2, None, None, None]
+
+
+def test_headings_of_a_table_of_contents(spark):
+    lines = spark.createDataFrame([(1, 1, k, x) for k, x in enumerate(("Relay", "settings of  the line", "trip", "A longer heading here and more", "Trip"))], "doc_id long, page int, ord int, line string")
+    entries = [(1, 1, 0, 2, "2.1 Relay settings of the line"), (1, 1, 1, 6, "3 A longer heading here"), (1, 1, 2, 1, "Trip"), (1, 1, 3, 1, "Absent"), (1, 2, 0, 1, "Alone")]
+    got = chunking.listed_headings(lines, spark.createDataFrame(entries, "doc_id long, page int, at int, level int, title string"))
+    assert sorted(tuple(r)[1:] for r in got.collect()) == [(1, 0, 2, "2.1 Relay settings of the line", True), (1, 2, 1, "Trip", True), (1, 3, 4, "3 A longer heading here", True), (1, 5, 1, "Absent", False), (2, 0, 1, "Alone", False)]
+
+
+def test_section_chunk_kinds(spark):
+    def unit(section, ord_, kind, text, page=1, top="Part"):
+        return (1, section, top, top, ord_, kind, text, page)
+
+    rows = [unit(1, 0, "table", "t" * 50), unit(1, 1, "text", "w" * 50, 2), unit(2, 2, "text", "w" * 50), unit(2, 3, "table", "t" * 50), unit(3, 4, "text", "w" * 50), unit(4, 5, "text", "short"), unit(5, 6, "text", "w" * 90, top="Table of  Contents"), unit(6, 7, "table", "h\n-\n" + "\n".join("r" * 30 for _ in range(9)), 3)]
+    df = spark.createDataFrame(rows, "doc_id long, section int, path string, top string, ord int, kind string, text string, page int")
+    got = {(r.section, r.chunk): r for r in chunking.section_chunks(df, limit=120).collect()}
+    assert {k: r.kind for k, r in got.items() if k[0] < 6} == {(1, 0): "table", (2, 0): "mixed", (3, 0): "text"} and (got[1, 0].page_start, got[1, 0].page_end) == (1, 2)
+    parts = [got[k].text for k in sorted(got) if k[0] == 6]
+    assert len(parts) > 2 and all(p.startswith("h\n-\n") and len(p) <= 120 for p in parts)
+
+
+def test_stemmer():
+    pairs = "caresses:caress ponies:poni agreed:agre motoring:motor conflated:conflat hopping:hop filing:file happy:happi relational:relat conditional:condit radicalli:radic sensitiviti:sensit triplicate:triplic electrical:electr adjustable:adjust replacement:replac adoption:adopt controll:control generalizations:gener relays:relai sky:sky is:is"
+    assert all(stem(a) == b for a, b in (p.split(":") for p in pairs.split()))
+
+
+def test_search_by_stems_counts_words_as_they_are(spark):
+    chunks = spark.createDataFrame([(1, 10, "", "the relays tripped and the relay settings"), (2, 20, "", "one relay only"), (3, 20, "", "setting trips"), (4, 30, "", "other words")], "id long, document long, section string, text string")
+    asked = spark.createDataFrame([(1, "relays"), (2, "relay trip"), (3, "settings relay")], "q long, text string")
+    got = {(r.question, r.chunk) for r in fulltext.search(chunks, asked, "id", "q", 3, stemmed=True).collect()}
+    # stems bring a chunk in, but it must hold the words as they are asked for
+    assert got == {(1, 1), (3, 1)}
+    plain = {(r.question, r.chunk) for r in fulltext.search(chunks, asked, "id", "q", 3).collect()}
+    assert plain == {(1, 1), (3, 1)} and (2, 3) not in got
+    allowed = spark.createDataFrame([(1, 20), (3, 10)], "question long, document long")
+    assert {(r.question, r.chunk) for r in fulltext.search(chunks, asked, "id", "q", 3, stemmed=True, allowed=allowed).collect()} == {(3, 1)}
 
 
 def test_upsert_takes_the_latest(spark):
