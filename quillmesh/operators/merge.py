@@ -68,3 +68,15 @@ def refused(asked: DataFrame) -> DataFrame:
     rules["width"] = ~F.col("width").between(128, 4096)
     wrong = F.filter(F.array(*[F.when(test, name) for name, test in rules.items()]), lambda r: r.isNotNull())
     return asked.withColumn("wrong", wrong).where(F.size("wrong") > 0)
+
+
+def import_tags(tags: DataFrame, items: DataFrame, order: str, least: float = 0.25) -> DataFrame:
+    """tags (id, name, x, confidence) after an import: values of the last item of an id replace what is there, names stay, new ids are added."""
+    new = latest(items, "id", order).select(F.col("id").alias("_id"), F.col("name").alias("_name"), F.col("x").alias("_x"), F.col("confidence").alias("_confidence"))
+    out, given = tags.join(new, tags["id"] == new["_id"], "full_outer"), F.col("_id").isNotNull()
+    value = lambda k: F.when(given, F.col(f"_{k}")).otherwise(F.col(k)).alias(k)
+    review = F.when(given, F.coalesce(F.col("_confidence") < least, F.lit(False)))
+    return out.select(
+        F.coalesce("id", "_id").alias("id"), F.coalesce("name", "_name", F.col("_id").cast("string")).alias("name"), value("x"), value("confidence"),
+        review.alias("needs_review"), given.alias("found"), F.when(F.col("id").isNull(), "import").alias("created_by"),
+    )

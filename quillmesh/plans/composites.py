@@ -9,7 +9,7 @@ from quillmesh.functions import text as t
 from quillmesh.operators import spatial
 from quillmesh.plans import inputs as i
 from quillmesh.plans.registry import query, table
-from quillmesh.plans.spatial import _NEAREST, visible, _VISIBLE
+from quillmesh.plans.spatial import _EXPECTED_BOXES, _NEAREST, _VISIBLE, f13_f14_expected_boxes, visible
 from quillmesh.sinks import render
 from quillmesh.streaming import evidence
 
@@ -47,12 +47,16 @@ def api_tags(spark, sf_dir):
     return out.select("id", "name", c("x").isNotNull().alias("placed"), F.coalesce(F.size("devices"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.array_join(F.transform("devices", lambda d: F.concat_ws(":", d["class"], d["id"])), " "), F.lit("")).alias("devices"))
 
 
-@query(f"WITH {_VISIBLE}, d AS (SELECT user_id % 10 AS cam, event_id % 25 AS cab, count(*) AS n FROM events GROUP BY 1, 2) SELECT ok.camera_id, ok.id AS cabinet, round(ok.depth, 3) AS depth, coalesce(d.n, 0) AS detected FROM ok LEFT JOIN d ON d.cam = ok.camera_id AND d.cab = ok.id")
+@query(f"""WITH {_VISIBLE}, {_EXPECTED_BOXES}, d AS (SELECT user_id % 10 AS cam, event_id % 25 AS cab, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT ok.camera_id, ok.id AS cabinet, round(ok.depth, 3) AS depth, coalesce(d.n, 0) AS detected, e.x0, e.y0, e.x1, e.y1, e.visible, count(*) OVER (PARTITION BY ok.camera_id) AS in_view
+FROM ok LEFT JOIN d ON d.cam = ok.camera_id AND d.cab = ok.id LEFT JOIN expected_boxes e ON e.camera_id = ok.camera_id AND e.cabinet = ok.id""")
 def api_locate(spark, sf_dir):
-    """Cabinets in view of each photo, and how many detections the photo has of each."""
+    """Cabinets in view of each photo, where their front must appear, and how many detections the photo has of each."""
     seen = table(spark, sf_dir, "events").groupBy((c("user_id") % 10).alias("cam"), (c("event_id") % 25).alias("cab")).agg(F.count(F.lit(1)).alias("n"))
-    out = visible(spark, sf_dir).join(seen, (c("cam") == c("camera_id")) & (c("cab") == c("id")), "left")
-    return out.select("camera_id", c("id").alias("cabinet"), F.round("px.depth", 3).alias("depth"), F.coalesce("n", F.lit(0)).alias("detected"))
+    out = visible(spark, sf_dir).select("camera_id", c("id").alias("cabinet"), F.round("px.depth", 3).alias("depth"))
+    out = out.join(seen, (c("cam") == c("camera_id")) & (c("cab") == c("cabinet")), "left").join(f13_f14_expected_boxes(spark, sf_dir), ["camera_id", "cabinet"], "left")
+    in_view = F.count(F.lit(1)).over(Window.partitionBy("camera_id"))
+    return out.select("camera_id", "cabinet", "depth", F.coalesce("n", F.lit(0)).alias("detected"), "x0", "y0", "x1", "y1", "visible", in_view.alias("in_view"))
 
 
 _DOCS = "docs AS (SELECT o_custkey % 25 AS tag, string_agg(DISTINCT o_orderstatus, ' | ' ORDER BY o_orderstatus) AS documents FROM orders GROUP BY 1)"
@@ -74,16 +78,18 @@ def export_manual_sheet(spark, sf_dir):
     return render.csv(lists, ["n", "name", "folder", "devices", "documents", "needs_review"])
 
 
-@query(f"""WITH {i.CABINETS}, {_DOCS} SELECT id, CASE WHEN x IS NULL THEN 'no position yet' END AS skipped, CASE WHEN x IS NULL THEN NULL WHEN x < -4 THEN 1.0 ELSE -1.0 END AS normal_x, CASE WHEN x IS NOT NULL THEN 0.4 END AS stem_length,
+@query(f"""WITH {i.CABINETS}, {_DOCS} SELECT id, CASE WHEN x IS NULL THEN 'no position yet' END AS skipped, CASE WHEN x IS NULL THEN NULL WHEN id % 6 = 5 THEN 0.0 WHEN x < -4 THEN 1.0 ELSE -1.0 END AS normal_x, CASE WHEN x IS NULL THEN NULL WHEN id % 6 = 5 THEN 1.0 ELSE 0.0 END AS normal_z, CASE WHEN x IS NOT NULL THEN 0.4 END AS stem_length,
 CASE WHEN x IS NOT NULL THEN coalesce(CASE WHEN documents IS NULL OR documents = '' THEN NULL ELSE 'Documents: ' || documents END, name) END AS description, CASE WHEN x IS NOT NULL THEN split_part(documents, ' | ', 1) END AS media FROM cabinets LEFT JOIN docs ON id = tag""")
 def export_twin_tags(spark, sf_dir):
     """Tags for a viewer; those without a position are listed as skipped instead."""
     from quillmesh.functions import geometry as g
 
     rows, placed = sheet(spark, sf_dir), c("x").isNotNull()
+    # a cabinet that no geometry is known of has its stem upright
+    normal = F.when(placed, F.when(c("id") % 6 == 5, F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0))).otherwise(g.door_normal(c("x"))))
     joined = F.array_join("documents", " | ")
     text = F.coalesce(F.nullif(t.description(F.when(F.size("documents") > 0, F.concat(F.lit("Documents: "), joined))), F.lit("")), c("name"))
-    return rows.select("id", F.when(~placed, "no position yet").alias("skipped"), g.door_normal(c("x"))[0].alias("normal_x"), F.when(placed, F.lit(0.4)).alias("stem_length"), F.when(placed, text).alias("description"), F.when(placed, F.try_element_at("documents", F.lit(1))).alias("media"))
+    return rows.select("id", F.when(~placed, "no position yet").alias("skipped"), normal[0].alias("normal_x"), normal[2].alias("normal_z"), F.when(placed, F.lit(0.4)).alias("stem_length"), F.when(placed, text).alias("description"), F.when(placed, F.try_element_at("documents", F.lit(1))).alias("media"))
 
 
 @query(f"WITH {i.CABINETS} SELECT (SELECT count(*) FROM cabinets) AS tags, (SELECT count(*) FROM cabinets WHERE x IS NOT NULL) AS found, (SELECT string_agg(name, ' ' ORDER BY name) FROM cabinets WHERE x IS NULL) AS missing")

@@ -225,11 +225,14 @@ def f12_ray_plane(spark, sf_dir):
     return out.select("camera_id", hit.alias("h")).select("camera_id", "h.y", "h.z")
 
 
-@query(f"""WITH {i.CAMERAS}, {i.CABINETS}, {i.POSED}, corners AS (SELECT id, x, y + dy AS y, z + dz AS z FROM cabinets, (SELECT unnest([-0.3, 0.3]) AS dy) a, (SELECT unnest([-0.5, 0.5]) AS dz) b WHERE x IS NOT NULL),
+_EXPECTED_BOXES = """corners AS (SELECT id, x, y + dy AS y, z + dz AS z FROM cabinets, (SELECT unnest([-0.3, 0.3]) AS dy) a, (SELECT unnest([-0.5, 0.5]) AS dz) b WHERE x IS NOT NULL),
 s AS (SELECT camera_id, id, m00*(x-px)+m10*(y-py)+m20*(z-pz) AS cx, -(m01*(x-px)+m11*(y-py)+m21*(z-pz)) AS cy, -(m02*(x-px)+m12*(y-py)+m22*(z-pz)) AS cz FROM posed CROSS JOIN corners),
 b AS (SELECT camera_id, id, min(500*cx/cz+500) AS x0, min(500*cy/cz+500) AS y0, max(500*cx/cz+500) AS x1, max(500*cy/cz+500) AS y1 FROM s GROUP BY camera_id, id HAVING min(cz) > 0.3 AND max(cx/cz) - min(cx/cz) > 1e-6 AND max(cy/cz) - min(cy/cz) > 1e-6),
-f AS (SELECT *, greatest(0, least(x1, 1000)-greatest(x0, 0)) * greatest(0, least(y1, 1000)-greatest(y0, 0)) / ((x1-x0)*(y1-y0)) AS part FROM b)
-SELECT camera_id, id AS cabinet, round(greatest(x0, 0), 2) AS x0, round(greatest(y0, 0), 2) AS y0, round(least(x1, 1000), 2) AS x1, round(least(y1, 1000), 2) AS y1, round(part, 4) AS visible FROM f WHERE part >= 0.3""")
+f AS (SELECT *, greatest(0, least(x1, 1000)-greatest(x0, 0)) * greatest(0, least(y1, 1000)-greatest(y0, 0)) / ((x1-x0)*(y1-y0)) AS part FROM b),
+expected_boxes AS (SELECT camera_id, id AS cabinet, round(greatest(x0, 0), 2) AS x0, round(greatest(y0, 0), 2) AS y0, round(least(x1, 1000), 2) AS x1, round(least(y1, 1000), 2) AS y1, round(part, 4) AS visible FROM f WHERE part >= 0.3)"""
+
+
+@query(f"WITH {i.CAMERAS}, {i.CABINETS}, {i.POSED}, {_EXPECTED_BOXES} SELECT * FROM expected_boxes")
 def f13_f14_expected_boxes(spark, sf_dir):
     corners = i.cabinets(spark, sf_dir).where("x is not null").select("id", "x", "y", "z").withColumn("dy", F.explode(F.array(F.lit(-0.3), F.lit(0.3)))).withColumn("dz", F.explode(F.array(F.lit(-0.5), F.lit(0.5))))
     at = F.struct("x", (F.col("y") + F.col("dy")).alias("y"), (F.col("z") + F.col("dz")).alias("z"))

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 
 from quillmesh.operators import greedy
-from quillmesh.plans import inputs, relational, retrieval, spatial  # noqa: F401  they register their queries
+from quillmesh.plans import inputs, relational, retrieval, services, spatial  # noqa: F401  they register their queries
 from quillmesh.plans.registry import QUERIES
 
 
