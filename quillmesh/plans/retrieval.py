@@ -180,16 +180,36 @@ def a11_body_font(spark, sf_dir):
     return chunking.body_size(runs, "doc_id").select("doc_id", c("body").cast("int").alias("body"))
 
 
-@query(f"""WITH {_LINES}, m AS (SELECT doc_id, ord, CAST(floor(ord / 5.0) AS INT) AS page, regexp_replace({_COLLAPSE.format('line')}, '[0-9]+', '#', 'g') AS k FROM lines), pages AS (SELECT doc_id, count(DISTINCT page) AS n FROM m GROUP BY doc_id),
-rep AS (SELECT m.doc_id, k FROM m JOIN pages USING (doc_id) GROUP BY m.doc_id, k, n HAVING count(*) >= greatest(2, 0.2 * n)) SELECT doc_id, count(*) AS kept FROM m WHERE NOT (ord % 5 IN (0, 4) AND EXISTS (SELECT 1 FROM rep WHERE rep.doc_id = m.doc_id AND rep.k = m.k)) GROUP BY doc_id""")
-def f42_s8_margin_filter(spark, sf_dir):
-    """Lines at the edge of a page whose text repeats over pages go."""
-    m = chunking.lines(table(spark, sf_dir, "documents")).select("doc_id", "ord", F.floor(c("ord") / 5).cast("int").alias("page"), t.margin_key(c("line")).alias("k"))
+_PLACED = f"{_LINES}, m AS (SELECT doc_id, ord, CAST(floor(ord / 15.0) AS INT) AS page, (ord % 15 + 0.5) / 15 AS cy, length(line) % 100 / 100.0 AS cx, regexp_replace({_COLLAPSE.format('line')}, '[0-9]+', '#', 'g') AS k FROM lines)"
+
+
+def placed_lines(spark, sf_dir):
+    """Lines with the page they are on, their centre as shares of the page, and their key as a margin."""
+    own = chunking.lines(table(spark, sf_dir, "documents"))
+    return own.select("doc_id", "ord", F.floor(c("ord") / 15).cast("int").alias("page"), ((c("ord") % 15 + 0.5) / 15).alias("cy"), (F.length("line") % 100 / 100).alias("cx"), t.margin_key(c("line")).alias("k"))
+
+
+@query(f"""WITH {_PLACED}, pages AS (SELECT doc_id, count(DISTINCT page) AS n FROM m GROUP BY doc_id),
+rep AS (SELECT m.doc_id, k FROM m JOIN pages USING (doc_id) GROUP BY m.doc_id, k, n HAVING count(*) >= greatest(2, 0.2 * n)) SELECT doc_id, count(*) AS kept FROM m WHERE NOT ((cy < 0.07 OR cy > 0.93) AND EXISTS (SELECT 1 FROM rep WHERE rep.doc_id = m.doc_id AND rep.k = m.k)) GROUP BY doc_id""")
+def f42_margin_filter(spark, sf_dir):
+    """Lines whose centre lies in the margin of a page, and whose text repeats over pages, go."""
+    m = placed_lines(spark, sf_dir)
     rep = chunking.repeating_margins(m, "doc_id", "page", "k").withColumn("repeats", F.lit(True))
-    kept = m.join(rep, ["doc_id", "k"], "left").where(~((c("ord") % 5).isin(0, 4) & F.coalesce("repeats", F.lit(False))))
+    margin = (c("cy") < chunking.MARGIN) | (c("cy") > 1 - chunking.MARGIN)
+    kept = m.join(rep, ["doc_id", "k"], "left").where(~(margin & F.coalesce("repeats", F.lit(False))))
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
+@query(f"""WITH {_PLACED}, tables AS (SELECT DISTINCT doc_id, page, n, 0.1 + 0.3 * n AS x0, 0.3 + 0.3 * n AS x1, 0.2 AS y0, 0.6 AS y1 FROM m, (SELECT unnest([0, 1]) AS n) WHERE page % 2 = 0)
+SELECT m.doc_id, CAST(m.ord AS INT) AS ord FROM m WHERE NOT EXISTS (SELECT 1 FROM tables t WHERE t.doc_id = m.doc_id AND t.page = m.page AND m.cx BETWEEN t.x0 AND t.x1 AND m.cy BETWEEN t.y0 AND t.y1)""")
+def s8_lines_outside_tables(spark, sf_dir):
+    """Lines of a page whose centre lies in none of its tables' boxes: tables come as units of their own."""
+    m = placed_lines(spark, sf_dir)
+    boxes = m.where("page % 2 = 0").select("doc_id", "page").distinct().withColumn("n", F.explode(F.array(F.lit(0), F.lit(1))))
+    boxes = boxes.select("doc_id", "page", (0.1 + 0.3 * c("n")).alias("x0"), (0.3 + 0.3 * c("n")).alias("x1"), F.lit(0.2).alias("y0"), F.lit(0.6).alias("y1"))
+    return chunking.outside(m, boxes, ["doc_id", "page"]).select("doc_id", "ord")
+
+
 _SIZED = f"{_LINES}, sized AS (SELECT doc_id, ord, line, CAST(8 + length(line) % 7 AS INT) AS size FROM lines), bodies AS (SELECT doc_id, size AS body FROM (SELECT doc_id, size, sum(length(line)) AS chars FROM sized GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, size) = 1)"
 
 

@@ -178,7 +178,7 @@ def api_panel_evidence(spark, sf_dir):
 @query()
 def f37_stemmed_search(spark, sf_dir):
     """Ranked search on stems; tests hold it against a plain version."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.substring_index("text", "\\n", 1).alias("section"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.substring_index("text", "\n", 1).alias("section"))
     return fulltext.search(docs, table(spark, sf_dir, "benchmark"), "doc_id", "item_id", 3, stemmed=True).select("question", "place", "chunk", F.round("score", 4).alias("score"))
 
 
@@ -188,7 +188,7 @@ def api_ask(spark, sf_dir):
 
     A chunk is a document of the table, its language is its model; a tag whose models have no document has no answer.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", c("doc_id").alias("document"), "text", F.substring_index("text", "\\n", 1).alias("section"), c("lang").alias("model"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", c("doc_id").alias("document"), "text", F.substring_index("text", "\n", 1).alias("section"), c("lang").alias("model"))
     asked = table(spark, sf_dir, "benchmark").select("item_id", "text", (c("item_id") % 25).alias("tag"))
     languages = spark.createDataFrame([("M0", "en"), ("M1", "de"), ("M2", "fr"), ("M3", "es")], "model string, lang string")
     below = composites.devices(spark, sf_dir).where("tag_id is not null").select(c("tag_id").alias("id"), "class").distinct().join(F.broadcast(kinds(spark)), "class").select("id", "model")

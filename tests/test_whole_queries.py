@@ -35,7 +35,7 @@ def test_common_words_of_long_documents(spark, sf):
     assert {(r.item_id, r.doc_id, r.common) for r in QUERIES["o4_common_words"](spark, sf).collect()} == expected
 
 
-@pytest.mark.parametrize("name", ["w4_f43_greedy_chunks", "w5_breadcrumbs", "w6_page_markers", "a11_body_font", "f42_s8_margin_filter"])
+@pytest.mark.parametrize("name", ["w4_f43_greedy_chunks", "w5_breadcrumbs", "w6_page_markers", "a11_body_font", "f42_margin_filter"])
 def test_every_copy_of_a_text_has_its_rows(spark, tmp_path, name):
     text = "\n".join(f"line {k} has words enough to make a chunk" for k in range(12))
     spark.createDataFrame([(i, text) for i in (1, 2, 3)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -46,10 +46,10 @@ def test_every_copy_of_a_text_has_its_rows(spark, tmp_path, name):
 
 
 def test_margins_are_whole_lines(spark, tmp_path):
-    pages = [[f"th{k}e head that differs {chr(97 + k)}", "a", "b", "c", f"Page  {k} of the book"] for k in range(4)]
+    pages = [[f"th{k}e head that differs {chr(97 + k)}", *(f"line {n}" for n in "abcdefghijklm"), f"Page  {k} of the book"] for k in range(4)]
     text = "\n".join(line for page in pages for line in page)
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert QUERIES["f42_s8_margin_filter"](spark, str(tmp_path)).first().kept == 16  # the four last lines of pages go
+    assert QUERIES["f42_margin_filter"](spark, str(tmp_path)).first().kept == 56  # the four last lines of pages go
 
 
 def test_text_keys_of_whole_texts(spark, tmp_path):
@@ -179,3 +179,79 @@ def test_paragraphs_of_all_documents(spark, sf):
             else:
                 joined += " " + line
         assert r.n_chars == len(joined), r.doc_id
+
+
+def test_stemmed_search_of_all_questions(spark, sf):
+    import math as m
+    from collections import Counter
+
+    from quillmesh.functions import text as t
+    from quillmesh.functions.stem import stem
+
+    low = lambda s: re.findall("[a-z0-9_]+", (s or "").lower())
+    docs = {r.doc_id: (low((r.text or "").split("\n")[0]), low(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    asked = {r.item_id: sorted(set(low(r.text)) - set(t.STOP_WORDS)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    tf = {d: Counter() for d in docs}
+    for d, (section, body) in docs.items():
+        for w in section:
+            tf[d][stem(w)] += 4
+        for w in body:
+            tf[d][stem(w)] += 1
+    df = Counter(w for own in tf.values() for w in own)
+    dl = {d: len(s) + len(b) for d, (s, b) in docs.items()}
+    mean = sum(dl.values()) / len(dl)
+    expected = set()
+    for q, words in asked.items():
+        scores = {}
+        for d, own in tf.items():
+            parts = [max(m.log((len(docs) - df[s] + 0.5) / (df[s] + 0.5)), 1e-6) * own[s] * 2.2 / (own[s] + 1.2 * (0.25 + 0.75 * dl[d] / mean)) for s in {stem(w) for w in words} if own[s]]
+            if parts:
+                scores[d] = -sum(parts)
+        first = sorted(scores, key=lambda d: (round(scores[d], 9), d))[:30]
+        need = max(1, m.ceil(round(0.6 * len(words), 9)))
+        kept = [d for d in first if len(set(words) & (set(docs[d][0]) | set(docs[d][1]))) >= need][:3]
+        expected |= {(q, place, d) for place, d in enumerate(kept, 1)}
+    got = QUERIES["f37_stemmed_search"](spark, sf).collect()
+    assert {(r.question, r.place, r.chunk) for r in got} == expected and expected
+
+
+def test_answers_of_tags(spark, sf):
+    rows = QUERIES["api_ask"](spark, sf).collect()
+    texts = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r.question for r in rows} == {r.item_id for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    for r in rows:
+        assert r.found == (r.note is None) and (not r.found or (r.passage == texts[r.document].text[:1200] and r.model == texts[r.document].lang and r.link == f"/documents/{r.document}/file#page=1"))
+    assert any(r.note and r.note.endswith("has no documents") for r in rows)
+
+
+def test_section_chunks_of_all_documents(spark, sf):
+    units = defaultdict(list)
+    for r in retrieval.units(spark, sf).collect():
+        units[r.doc_id, r.section].append(r)
+    expected = set()
+    for (doc, section), own in units.items():
+        own.sort(key=lambda r: r.ord)
+        if re.fullmatch("(table of )?contents|list of (figures|tables)", " ".join((own[0].top or "").lower().split())):
+            continue
+        chunks, now = [], None
+        for r in own:
+            rows = r.text.split("\n")
+            pieces = [r.text]
+            if r.kind == "table" and len(r.text) > 2200 and rows[2:]:
+                pieces, body = [], []
+                for line in [*rows[2:], None]:
+                    if line is None or (body and len("\n".join([*rows[:2], *body, line])) > 2200):
+                        pieces.append("\n".join([*rows[:2], *body]))
+                        body = []
+                    body.append(line)
+            for piece in pieces:
+                if now is None or len(now["text"]) + len(piece) > 2200:
+                    now = {"text": piece, "kind": r.kind, "pages": [r.page]}
+                    chunks.append(now)
+                else:
+                    now["text"] += "\n\n" + piece
+                    now["pages"].append(r.page)
+                    now["kind"] = "mixed" if r.kind == "table" else now["kind"]
+        expected |= {(doc, section, k, own[0].path, min(x["pages"]), max(x["pages"]), x["kind"], len(x["text"].strip(" "))) for k, x in enumerate(chunks) if len(x["text"].strip(" ")) >= 40}
+    got = {tuple(r) for r in QUERIES["f43_f35_section_chunks"](spark, sf).collect()}
+    assert got == expected and {r[6] for r in got} >= {"text"}
