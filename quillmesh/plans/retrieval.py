@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmesh.functions import text as t
-from quillmesh.operators import chunking, fulltext, retrieval
+from quillmesh.operators import chunking, fulltext, learning, retrieval
 from quillmesh.plans.registry import query, table
 
 c = F.col
@@ -49,6 +49,14 @@ def a21_fold_accuracy(spark, sf_dir):
     return hits.groupBy((c("query") % 3).alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((c("got") == c("label")).cast("double")), 4).alias("accuracy"))
 
 
+@query()
+def k4_embedding_classifier(spark, sf_dir):
+    """Labels of every embedding by a network that was trained on four fifths of them; the rest is held out."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    model = learning.train(rows.where("vec_id % 5 <> 0"))
+    return learning.predicted(rows, model).select("vec_id", "label", (c("vec_id") % 5 == 0).alias("held_out"), "predicted", F.round("confidence", 4).alias("confidence"))
+
+
 # ---- full-text search
 
 _STOP = ", ".join(f"'{w}'" for w in t.STOP_WORDS)

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.functions.stem import stem
-from quillmesh.operators import chunking, fulltext, graph, greedy, merge, order, parallel, retrieval, spatial
+from quillmesh.operators import chunking, fulltext, graph, greedy, learning, merge, order, parallel, retrieval, spatial
 from quillmesh.sinks import render
-from quillmesh.sources import readers
+from quillmesh.sources import blobs, readers
 from quillmesh.streaming import evidence
 
 POINTS = "tag_id long, label string, x double, y double, z double, confidence double, image int, scan int"
@@ -243,3 +243,25 @@ def test_places_in_groups(spark):
 def test_few_rows_go_to_every_task(spark):
     df = spark.range(20)
     assert "ResolvedHint" in str(parallel.few(df)._jdf.queryExecution().analyzed()) and "ResolvedHint" not in str(parallel.few(df, 10)._jdf.queryExecution().analyzed())
+
+
+def test_blobs(tmp_path):
+    store = blobs.Blobs(tmp_path / "store")
+    assert store.find("context/H01") is None
+    assert store.replace_picture("context/H01", "photo.PNG", b"a") == "context/H01.png" and store.find("context/H01") == "context/H01.png"
+    assert store.replace_picture("context/H01", "x.jpg", b"b") == "context/H01.jpg" and not store.exists("context/H01.png") and store.url("context/H01.jpg") == "/assets/context/H01.jpg"
+    for bad in ("../out", "/etc/passwd", ""):
+        with pytest.raises(ValueError):
+            store.path(bad)
+    with pytest.raises(ValueError):
+        store.replace_picture("context/H01", "x.exe", b"c")
+
+
+def test_classifier_of_embeddings(spark):
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(3, 8)) * 2
+    rows = [(i, int(i % 3), (centres[i % 3] + r.normal(size=8) * 0.3).tolist()) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    model = learning.train(df.where("vec_id % 5 <> 0"), hidden=8)
+    held = learning.predicted(df.where("vec_id % 5 = 0"), model).collect()
+    assert sum(x.predicted == x.label for x in held) >= 28 and all(1 / 3 <= x.confidence <= 1 for x in held)
