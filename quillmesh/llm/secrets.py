@@ -5,7 +5,8 @@ characters per token fall below a limit under a tiktoken vocabulary is reported
 known length, a UUID, a number, a date, a path or link, or an identifier made of words.
 
 Cases: a null or empty text has no spans; overlapping spans of different kinds are all reported, in the order of start,
-then kind; repeated rows give repeated results; an empty table gives an empty result.
+then kind; a very long run is looked at whole; repeated rows give repeated results; an empty table gives an empty result;
+columns other than doc_id and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -1,15 +1,18 @@
 """Toxicity by the nearest labelled examples.
 
-Examples are a bounded sample of labelled rows. Terms are lower-cased words, and stems (the first four, five or six
-letters of words) that at least one, two, three, five or eight different words of a text share; the terms that tell the labels apart best on the examples are kept, weighted by TF-IDF, and every vector has
-length one. An inverted index holds, for each term, its examples in blocks, and for each block the term's largest weight.
+Examples are a bounded sample of labelled rows. Terms are lower-cased words, and stems (the first four, five or six letters
+of words) that at least one, two, three, five or eight different words of a text share: inflected insults and compounds share
+a stem, and a text that heaps them up differs from one that has one by chance. All terms that tell the labels apart on the
+examples are kept, weighted by TF-IDF, and every vector has length one. An inverted index holds, for each term, its examples
+in blocks, and for each block the term's largest weight.
 A text's terms give every block an upper bound; blocks are scored in the order of their bounds until no bound exceeds the
 k-th best cosine, so the nearest are exact. Votes are weighted by closeness, corrected for how often each label was
 sampled, and mapped to a share of label 1 by monotone regression over leave-one-out votes of the examples.
 
 Cases: a text without known terms (null or empty ones too) has no neighbours and gets the share of label 1 among the
 examples without known terms; ties of cosine go to the example that comes first; a label that is null, or whose document
-is missing, is no example; several labels of a document count as the largest; without examples every score is 0.
+is missing, is no example; several labels of a document count as the largest; without examples every score is 0; repeated
+rows give repeated results. `scored` reads no column but doc_id and text; `accepted` returns all columns, whatever their names.
 """
 
 from __future__ import annotations
