@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from quillmesh.functions import text as t
 from quillmesh.functions.stem import stems
+from quillmesh.operators.lineage import checkpointed
 from quillmesh.operators.parallel import spread
 
 K1, B = 1.2, 0.75
@@ -55,11 +56,12 @@ def search(chunks: DataFrame, questions: DataFrame, chunk_key: str, question_key
     order of these steps is part of the meaning. allowed (question, document): only chunks of these documents (column
     `document` of the chunks) are ranked; a question without a row there has no answer.
     """
-    words = question_words(questions, question_key)
+    words = checkpointed(question_words(questions, question_key))
     asked = words.select("question", F.explode(stems(F.array("term"))).alias("term")).distinct() if stemmed else words
     chunks = spread(chunks)
-    lengths = _words(chunks, chunk_key).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
-    own = postings(chunks, chunk_key, asked.select("term").distinct(), stemmed)
+    count = lambda k: F.regexp_count(F.coalesce(k, F.lit("")), F.lit("[A-Za-z0-9_]+"))
+    lengths = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(count("section") + count("text")).alias("mean"))
+    own = checkpointed(postings(chunks, chunk_key, asked.select("term").distinct(), stemmed))  # read twice, made once
     df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     matched = own.join(asked.join(df, "term"), "term").join(F.broadcast(lengths))  # one row
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))

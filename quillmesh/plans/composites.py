@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmesh.functions import text as t
-from quillmesh.operators import spatial
+from quillmesh.operators import order, spatial
 from quillmesh.plans import inputs as i
 from quillmesh.plans.registry import query, table
 from quillmesh.plans.spatial import _EXPECTED_BOXES, _NEAREST, _VISIBLE, f13_f14_expected_boxes, visible
@@ -67,7 +67,7 @@ def sheet(spark, sf_dir):
     docs = table(spark, sf_dir, "orders").groupBy((c("o_custkey") % 25).alias("tag")).agg(F.sort_array(F.collect_set("o_orderstatus")).alias("documents"))
     kinds = devices(spark, sf_dir).where("tag_id is not null").groupBy("tag_id").agg(F.sort_array(F.collect_set("class")).alias("devices"))
     out = i.cabinets(spark, sf_dir).join(docs, c("id") == c("tag"), "left").join(kinds, c("id") == c("tag_id"), "left")
-    return out.select(F.row_number().over(Window.orderBy("id")).alias("n"), "id", "name", "folder", "x", "y", "z", "devices", "documents", F.coalesce(c("confidence") < 0.25, F.lit(False)).alias("needs_review"))
+    return order.placed(out, ["id"], "n").select("n", "id", "name", "folder", "x", "y", "z", "devices", "documents", F.coalesce(c("confidence") < 0.25, F.lit(False)).alias("needs_review"))
 
 
 @query(f"""WITH {_DEVICES}, {_DOCS}, k AS (SELECT tag_id, string_agg(DISTINCT class, '; ' ORDER BY class) AS devices FROM devices WHERE tag_id IS NOT NULL GROUP BY tag_id)

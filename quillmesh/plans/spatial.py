@@ -111,12 +111,14 @@ SELECT b.image, b.n, b.part, count(*) AS points, min(p.tag_id) AS first_point FR
 def j12_pixel_window(spark, sf_dir):
     points = i.sightings(spark, sf_dir).select("tag_id", (F.col("tag_id") % 60 * 6 + 40).cast("double").alias("u"), (F.col("tag_id") % 37 * 5 + 30).cast("double").alias("v"), (F.col("image") % 20).alias("img"))
     size = 8.0  # twice the window's half: a point lies in the box centre's cell or in one next to it
+    # points at one place count together, so that boxes meet places
+    points = points.groupBy("img", "u", "v").agg(F.count(F.lit(1)).alias("here"), F.min("tag_id").alias("tag_id"))
     points = points.select("*", F.floor(F.col("u") / size).alias("cu"), F.floor(F.col("v") / size).alias("cv"))
     centre = i.boxes(spark, sf_dir).select("image", "n", "part", ((F.col("x0") + F.col("x1")) / 2).alias("mu"), ((F.col("y0") + F.col("y1")) / 2).alias("mv"), (F.col("image") % 20).alias("img"))
     for c, m in (("cu", "mu"), ("cv", "mv")):
         centre = centre.withColumn(c, F.explode(F.array(*[F.floor(F.col(m) / size) + d for d in (-1, 0, 1)])))
     near = centre.join(points, ["img", "cu", "cv"]).where("abs(u - mu) <= 4 and abs(v - mv) <= 4")
-    return near.groupBy("image", "n", "part").agg(F.count(F.lit(1)).alias("points"), F.min("tag_id").alias("first_point"))
+    return near.groupBy("image", "n", "part").agg(F.sum("here").alias("points"), F.min("tag_id").alias("first_point"))
 
 
 _VISIBLE = f"""{i.CAMERAS}, {i.CABINETS}, {i.POSED}, {i.SEEN}, vis AS (SELECT camera_id, id, name, cz AS depth, 500*cx/cz+500 AS u, 500*cy/cz+500 AS v,
