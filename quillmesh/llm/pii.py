@@ -32,7 +32,7 @@ from quillmesh.llm.common import append_texts, id_text, map_texts, sha256, spans
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, and from one to the next; and of a window of the training.
-LENGTH, STRIDE, TRAINED = 640, 576, 96
+LENGTH, STRIDE, TRAINED = 1024, 960, 96
 #: Least log-odds of a predicted span, transitions included, over leaving its characters outside.
 LEAST_ODDS = 3.0
 #: Windows that are run together.
@@ -217,15 +217,16 @@ class Tagger:
         scale = np.ones(4 * h, np.float32)
         scale[: 3 * h] = 0.5
         px, pu = self.p["x"] * scale, self.p["u"] * scale * np.float32(0.5)  # states are kept doubled
-        both = np.stack([x.T, x.T[::-1]], 1).astype(np.intp)  # time, direction, batch
-        state, cell, lit, more = (np.zeros((2, n, h), np.float32) for _ in range(4))
-        states, z, turned = np.empty((2, length, n, h), np.float32), np.empty((2, n, 4 * h), np.float32), np.empty((2, n, 4 * h), np.float32)
+        table = px.reshape(2 * N_CLASSES, 4 * h)
+        both = np.stack([x.T, x.T[::-1]], 1).astype(np.intp) + np.array([0, N_CLASSES])[:, None]  # time, direction, batch
+        cell, lit, more = (np.zeros((2, n, h), np.float32) for _ in range(3))
+        states, z, turned = np.empty((length, 2, n, h), np.float32), np.empty((2, n, 4 * h), np.float32), np.empty((2, n, 4 * h), np.float32)
         i, f, o, new = (z[..., k * h : (k + 1) * h] for k in range(4))
         for t in range(length):
-            np.matmul(state, pu, out=turned)
-            for d in (0, 1):
-                np.take(px[d], both[t, d], axis=0, out=z[d], mode="clip")
-            z += turned
+            np.take(table, both[t], axis=0, out=z, mode="clip")
+            if t:
+                np.matmul(states[t - 1], pu, out=turned)
+                z += turned
             np.tanh(z, out=z)
             np.add(f, 1, out=more)
             cell *= more
@@ -234,12 +235,11 @@ class Tagger:
             cell += more
             cell *= 0.5
             np.tanh(cell, out=lit)
+            state = states[t]
             np.add(o, 1, out=state)
             state *= lit
-            states[0, t] = state[0]
-            states[1, length - 1 - t] = state[1]
         v = self.p["v"] * np.float32(0.5)
-        return states[0] @ v[0] + states[1] @ v[1] + self.p["b"]
+        return states[:, 0] @ v[0] + states[::-1, 1] @ v[1] + self.p["b"]
 
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood a character, and its gradients."""
@@ -282,37 +282,40 @@ class Tagger:
             d_state, d_cell = np.matmul(dz, self.p["u"].transpose(0, 2, 1)), dc * f
         return float((log_z - gold) / size), g
 
-    def most_gain(self, scores: np.ndarray) -> np.ndarray:
-        """What the best span of each window (time, batch, tags) can gain over "outside", at most; an edge may cut it."""
+    def most_gain(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the best span of each window (time, batch, tags) can gain over "outside", at most: a whole one, and one that goes on at its end."""
         t, begin, inside = self.p["t"] - self.p["t"][0, 0], np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
         over = np.ascontiguousarray((scores[:, :, 1:] - scores[:, :, :1]).transpose(0, 2, 1)).reshape(len(scores), len(KINDS), 2, -1)
         enter = t[:, begin].max(0)[:, None]
         stay = np.maximum(t[begin, inside], t[inside, inside])[:, None]
         outside = np.r_[0, begin]
         leave = np.maximum(t[begin][:, outside].max(1), t[inside][:, outside].max(1))[:, None]
-        gain = np.maximum(over[0, :, 0], over[0, :, 1])
+        begins, stays = over[:, :, 0] + enter, over[:, :, 1] + stay
+        gain = begins[0].copy()
         most = gain.copy()
-        begins = over[:, :, 0] + enter
-        stays = over[:, :, 1] + stay
         for k in range(1, len(scores)):
             gain += stays[k]
             np.maximum(gain, begins[k], out=gain)
             np.maximum(most, gain, out=most)
-        return np.maximum(most + leave, gain).max(0)
+        return (most + leave).max(0), gain.max(0)
 
     def viterbi(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best tags of each window (batch, time), and each character's log-odds over "outside", with the step to it."""
-        length, n, _ = scores.shape
-        step = np.where(self.allowed, self.p["t"], -1e4).astype(np.float32)
-        back, best = np.empty((length, n, TAGS), np.int8), scores[0]
+        free, inside = np.r_[0, 1:TAGS:2], np.arange(2, TAGS, 2)  # any tag may come before the free ones
+        order = np.r_[free, inside]
+        step = np.where(self.allowed, self.p["t"], -1e4).astype(np.float32)[np.ix_(order, order)]
+        own = np.ascontiguousarray(scores[:, :, order].transpose(0, 2, 1))  # time, tag, batch
+        k, length = len(free), len(own)
+        to_free, began, stayed = step[:, :k, None], np.diag(step[1:k, k:])[:, None], np.diag(step[k:, k:])[:, None]
         for t in range(1, length):
-            both = best[:, :, None] + step
-            back[t] = both.argmax(1)
-            best = both.max(1) + scores[t]
-        tags = np.empty((length, n), np.int64)
-        tags[-1] = best.argmax(1)
+            last, here = own[t - 1], own[t]
+            here[:k] += (last[:, None, :] + to_free).max(0)
+            here[k:] += np.maximum(last[1:k] + began, last[k:] + stayed)
+        at = np.empty((length, own.shape[2]), np.int64)
+        at[-1] = own[-1].argmax(0)
         for t in range(length - 1, 0, -1):
-            tags[t - 1] = np.take_along_axis(back[t], tags[t][:, None], 1)[:, 0]
+            at[t - 1] = (own[t - 1] + step[:, at[t]]).argmax(0)
+        tags = order[at]
         over = np.take_along_axis(scores, tags[:, :, None], 2)[:, :, 0] - scores[:, :, 0]
         over[1:] += self.p["t"][tags[:-1], tags[1:]] - self.p["t"][0, 0]
         return tags.T, over.T
@@ -400,7 +403,7 @@ def predicted(texts: list[str], model: Tagger) -> list[list[tuple[int, int, str]
             held.clear()
 
     def look(where: list[tuple[int, int]], least: float) -> None:
-        """Windows in which no span can gain `least` over "outside" are not decoded: they have no spans."""
+        """Windows in which no span can gain `least` over "outside", nor half of it by the end, are not decoded: they have no spans."""
         where.sort(key=lambda w: min(LENGTH, len(coded[w[0]]) - w[1]))  # windows of one length run together
         held: list[tuple[int, int, np.ndarray]] = []
         for i in range(0, len(where), BATCH):
@@ -410,15 +413,18 @@ def predicted(texts: list[str], model: Tagger) -> list[list[tuple[int, int, str]
                 c = coded[n][a : a + LENGTH]
                 x[k, : len(c)] = c
             scores = model.scores(x)
-            held += [(*part[k], scores[: len(coded[part[k][0]]) - part[k][1], k].copy()) for k in np.flatnonzero(model.most_gain(scores) >= least).tolist()]
+            whole, cut = model.most_gain(scores)
+            held += [(*part[k], scores[: len(coded[part[k][0]]) - part[k][1], k].copy()) for k in np.flatnonzero((whole >= least) | (cut >= least / 2)).tolist()]
             if len(held) >= BATCH:
                 decode(held)
         decode(held)
 
-    look([(n, a) for n, c in enumerate(coded) for a in window_starts(len(c))], LEAST_ODDS / 2)
-    # a span that an edge cuts gains half of what it must in one of its windows at least; its other window is looked at too
-    beside = {(n, a + (STRIDE if p[5] else -STRIDE)) for (n, a), found in parts.items() for p in found if p[4] or p[5]}
-    look([w for w in beside if w not in parts and w[1] in window_starts(len(coded[w[0]]))], -np.inf)
+    look([(n, a) for n, c in enumerate(coded) for a in window_starts(len(c))], LEAST_ODDS)
+    # a span that goes on beyond a window has shown there all characters that two windows share; the next window sees its end
+    beside = {(n, a + STRIDE) for (n, a), found in parts.items() for p in found if p[5]}
+    while beside := [w for w in beside if w not in parts]:
+        look(list(beside), -np.inf)
+        beside = {(n, a + STRIDE) for n, a in beside for p in parts[n, a] if p[5]}
     raw: dict[int, list] = {}
     for n, a in sorted(parts):
         raw.setdefault(n, []).extend(parts[n, a])

@@ -537,17 +537,18 @@ def test_scores_and_bounds_of_the_network():
     x = np.stack([c[i * 7 : i * 7 + 100] for i in range(150)])
     scores = model.scores(x)
     assert np.allclose(scores, model.run(x), atol=1e-3)
-    most, (tags, over) = model.most_gain(scores), model.viterbi(scores)
+    (whole, cut), (tags, over) = model.most_gain(scores), model.viterbi(scores)
     for k in range(len(x)):
-        inner = [p for p in pii.tagged_spans(tags[k], over[k], 0, 100)]
-        assert all(p[3] <= most[k] + 1e-3 for p in inner), k
+        for a, b, _, score, *_ in pii.tagged_spans(tags[k], over[k], 0, 100):
+            if tags[k][a] % 2:  # the bounds are for spans that begin in the window
+                assert score <= (cut if b == 100 else whole)[k] + 1e-3, k
 
 
-@pytest.mark.parametrize("shift", [600, 630, 645, 1180])
+@pytest.mark.parametrize("shift", [930, 955, 1000, 1020, 1950])
 def test_spans_across_windows(shift):
     model = pii.tagger()
     plain = "the words of an ordinary line go on and on "
-    lead = (plain * 40)[:shift]
+    lead = (plain * 60)[:shift]
     for span, kind in (("john.smith @ mail5.example.com", "email"), ("(202) 555-0143", "phone")):
         text = lead + " " + span + " " + plain * 30
         assert (shift + 1, shift + 1 + len(span), kind) in pii.predicted([text], model)[0], (shift, span)
