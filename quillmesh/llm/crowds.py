@@ -34,18 +34,20 @@ def _sides(table: pa.Table, column: str, value: int) -> tuple[pa.Table, pa.Table
     return table.filter(left), table.filter(pc.invert(left))
 
 
-def links(rows: DataFrame, inside: Compare, across: Compare) -> DataFrame:
-    """(a, b) that join the members which are alike: rows have grp, node, load (the share of a task's capacity) and what is compared.
+def links(members: DataFrame, inside: Compare, across: Compare, fetch: Callable[[DataFrame], DataFrame] = lambda m: m) -> DataFrame:
+    """(a, b) that join the members which are alike: members have grp, node, and load (the share of a task's capacity).
 
-    inside(rows, None) links the members of one table, across(left, right) those of two; both may link by way of others.
+    fetch adds what is compared to members, so that sizes are known before it moves. inside(rows, None) links the members of
+    one table, across(left, right) those of two; both may link by way of others.
     """
-    rows = checkpointed(rows)
-    sizes = rows.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.sum("load"))).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members"))
-    own = rows.join(sizes, "grp")
-    out = own.where("blocks = 1").drop("blocks", "members").groupBy("grp").applyInArrow(lambda t: _linked(inside(t, None)), LINKS)
+    members = checkpointed(members)
+    sizes = members.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.sum("load"))).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members"))
+    own = members.join(sizes.where("members > 1"), "grp")
+    out = fetch(own.where("blocks = 1").select("grp", "node")).groupBy("grp").applyInArrow(lambda t: _linked(inside(t, None)), LINKS)
     long = own.where("blocks > 1")
     if long.isEmpty():
         return out
+    long = checkpointed(fetch(long))
     near = checkpointed(_with_hubs(long, across))
     return out.unionByName(near).unionByName(_apart(long.drop("blocks", "members"), components(near), inside, across))
 
@@ -53,7 +55,7 @@ def links(rows: DataFrame, inside: Compare, across: Compare) -> DataFrame:
 def _with_hubs(long: DataFrame, across: Compare) -> DataFrame:
     hub = F.pmod(F.xxhash64("node", F.lit(7)), F.greatest(F.lit(1), F.floor(F.col("members") / HUBS))) == 0
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    each = long.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(hub).withColumn("side", F.lit(0))
+    each = long.where(hub).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
     dealt = each.unionByName(long.withColumns({"block": block, "side": F.lit(1)})).drop("blocks", "members")
     return dealt.groupBy("grp", "block").applyInArrow(lambda t: _linked(across(*_sides(t, "side", 0))), LINKS)
 
