@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade.
 
-On a sample of the rows, in tasks, every rule is timed and its rejections are counted; the rules are then asked in the order
-of rejections per second, the same in all tasks: a row that one rule rejects is not shown to the next. All rules must pass
+On a sample, the first thousand rows of one partition that are not rejected anyway, a task times every rule and counts its
+rejections; the rules are then asked in the order of rejections per second, the same in all tasks: a row that one rule rejects is not shown to the next. All rules must pass
 for a row to be kept, so the order changes the time and never the verdict. Counts that are returned anyway (words,
 characters, symbols, repeated lines and windows) are taken first and cost the rules nothing.
 
@@ -13,13 +13,15 @@ than doc_id and text are not read, so their names cannot clash.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillmesh.llm.common import id_text, map_texts
+from quillmesh.llm.common import id_text, map_texts, schema_of, slices
 
 #: Rows on which the rules are measured.
 SAMPLE_ROWS = 1000
@@ -104,14 +106,16 @@ def base_failed(c: Counts) -> bool:
 Measured = dict[str, tuple[float, int]]
 
 
-def measured(counts: list[Counts], rules=RULES) -> Measured:
-    """Seconds and rejections of each rule over rows that all of them are shown."""
-    out: Measured = {}
-    for name, test in rules:
-        began = time.perf_counter()
-        rejected = sum(map(test, counts))
-        out[name] = (time.perf_counter() - began, rejected)
-    return out
+def measured(counts: Iterable[Counts], rules=RULES) -> Measured:
+    """Seconds and rejections of each rule over rows that all of them are shown, one after another."""
+    seconds, rejected = dict.fromkeys([n for n, _ in rules], 0.0), dict.fromkeys([n for n, _ in rules], 0)
+    for c in counts:
+        for name, test in rules:
+            began = time.perf_counter()
+            bad = test(c)
+            seconds[name] += time.perf_counter() - began
+            rejected[name] += bool(bad)
+    return {name: (seconds[name], rejected[name]) for name, _ in rules}
 
 
 def ordered(found: Measured) -> list[str]:
@@ -132,21 +136,21 @@ class Cascade:
 
 
 def plan(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[str]:
-    """The order of the rules, from rows that a task measures; only seconds and counts come to the driver."""
-
-    def make():
-        def kernel(ids, texts):
-            counts = [c for t in texts if not base_failed(c := count(t))]
-            found = measured(counts)
-            return [list(found), [s for s, _ in found.values()], [n for _, n in found.values()]]
-
-        return kernel
-
-    some = map_texts(id_text(docs).limit(rows), make, "name string, seconds double, rejected long")
-    total: Measured = {name: (0.0, 0) for name, _ in RULES}
-    for r in some.groupBy("name").agg({"seconds": "sum", "rejected": "sum"}).collect():
-        total[r["name"]] = (r["sum(seconds)"], r["sum(rejected)"])
-    return ordered(total) if any(n for _, n in total.values()) else [name for name, _ in RULES]
+    """The order of the rules, measured in the task of the first partition that has rows to show them; the driver gets a row for each rule."""
+    spark_schema, arrow = schema_of("name string, seconds double, rejected long")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = (t for batch in batches for part in slices(batch) for t in part.column(1).to_pylist())
+        found = measured(islice((c for t in texts if not base_failed(c := count(t))), rows))
+        for _ in batches:  # the rest of the partition
+            pass
+        if any(s for s, _ in found.values()):
+            columns = [list(found), [s for s, _ in found.values()], [n for _, n in found.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    # take runs one partition first, and others only if it has nothing
+    taken = id_text(docs).mapInArrow(measure, spark_schema).take(len(RULES))
+    return ordered({r["name"]: (r["seconds"], r["rejected"]) for r in taken}) if taken else [name for name, _ in RULES]
 
 
 def quality(docs: DataFrame) -> DataFrame:
