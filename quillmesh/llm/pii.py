@@ -212,32 +212,29 @@ class Tagger:
         return (scores, states, kept, both) if keep else scores
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        """As run, for use: one tanh serves all gates (a sigmoid is half of 1 + tanh of half), and no array is made in a step."""
+        """As run, for use: one tanh serves all gates (a sigmoid is half of 1 + tanh of half), gates lie apart, and no array is made in a step."""
         h, (n, length) = self.h, x.shape
         scale = np.ones(4 * h, np.float32)
         scale[: 3 * h] = 0.5
-        px, pu = self.p["x"] * scale, self.p["u"] * scale * np.float32(0.5)  # states are kept doubled
-        table = px.reshape(2 * N_CLASSES, 4 * h)
-        both = np.stack([x.T, x.T[::-1]], 1).astype(np.intp) + np.array([0, N_CLASSES])[:, None]  # time, direction, batch
-        cell, lit, more = (np.zeros((2, n, h), np.float32) for _ in range(3))
-        states, z, turned = np.empty((length, 2, n, h), np.float32), np.empty((2, n, 4 * h), np.float32), np.empty((2, n, 4 * h), np.float32)
-        i, f, o, new = (z[..., k * h : (k + 1) * h] for k in range(4))
+        inputs = np.ascontiguousarray((self.p["x"] * scale).reshape(2 * N_CLASSES, 4, h).transpose(1, 0, 2))
+        turns = np.ascontiguousarray((self.p["u"] * scale * np.float32(0.5)).reshape(2, h, 4, h).transpose(2, 0, 1, 3))  # states are kept doubled
+        both = (np.stack([x.T, x.T[::-1]], 1).astype(np.intp) + np.array([0, N_CLASSES])[:, None]).reshape(length, 2 * n)
+        cell, lit = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
+        states, z, turned = np.empty((length, 2, n, h), np.float32), np.empty((4, 2, n, h), np.float32), np.empty((4, 2, n, h), np.float32)
+        flat, (i, f, o, new) = z.reshape(4, 2 * n, h), z
         for t in range(length):
-            np.take(table, both[t], axis=0, out=z, mode="clip")
+            np.take(inputs, both[t], axis=1, out=flat, mode="clip")
             if t:
-                np.matmul(states[t - 1], pu, out=turned)
+                np.matmul(states[t - 1], turns, out=turned)
                 z += turned
             np.tanh(z, out=z)
-            np.add(f, 1, out=more)
-            cell *= more
-            np.add(i, 1, out=more)
-            more *= new
-            cell += more
+            z[:3] += 1
+            cell *= f
+            i *= new
+            cell += i
             cell *= 0.5
             np.tanh(cell, out=lit)
-            state = states[t]
-            np.add(o, 1, out=state)
-            state *= lit
+            np.multiply(o, lit, out=states[t])
         v = self.p["v"] * np.float32(0.5)
         return states[:, 0] @ v[0] + states[::-1, 1] @ v[1] + self.p["b"]
 
