@@ -20,8 +20,12 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
     starts = [0, *(ends[:-1] + 1).tolist()][:n]
     last = ends[shingle - 1 :].tolist() if len(words) >= shingle else [len(line)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], seed) for a, b in zip(starts, last, strict=True)], "<u8")
+    return majority(np.array([digest(line[a:b], seed) for a, b in zip(starts, last, strict=True)], "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit j is set if over half of the hashes have it; of no hashes: 0."""
     counts = np.zeros(64, np.int64)
-    for i in range(0, n, _BLOCK):
+    for i in range(0, len(hashes), _BLOCK):
         counts += np.unpackbits(hashes[i : i + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")

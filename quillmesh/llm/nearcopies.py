@@ -1,13 +1,15 @@
 """The near-copy form of the SimHash stage: sets of five-word shingles that agree in 0.8 or more (Jaccard) are linked.
 
-SimHash cannot give this: texts above 0.8 differ in up to two dozen of 64 bits, and a pigeonring of so wide a budget has
-segments of three bits, under which nearly all texts meet. So candidates come from bands of minima, and shingle sets decide:
-
-1. Texts of one shingle set are one node. A node has 48 keys, each made of five minima of its set's hashes. Two sets of
-   similarity s share a key with probability 1 - (1 - s^5)^48: at 0.8 a pair is missed once in 2 * 10^8.
-2. Nodes under one key are joined as a star, never as all pairs; components of stars hold all pairs that can be linked.
-   The first eight keys join most copies, so that the other forty are kept once for each component of the first.
-3. A component's texts meet, and sets are compared exactly; `crowds` compares components that no task can hold. Components
+1. Texts of one shingle set are one node, with the SimHash fingerprint of its set. The pigeonring of `simhash` links all
+   fingerprints within four bits; nodes whose fingerprints are linked are candidates.
+2. Sets above 0.8 differ in up to two dozen of 64 bits, and a pigeonring of so wide a budget has segments of three bits,
+   under which nearly all texts meet. So pairs beyond four bits become candidates by bands of minima: a node has 48 keys,
+   each made of five minima of its set's hashes. Two sets of similarity s share a key with probability
+   1 - (1 - s^5)^48: at 0.8 a pair is missed once in 2 * 10^8.
+3. Nodes under one key are joined as a star, never as all pairs; components of stars hold all pairs that can be linked.
+   The pigeonring and the first eight keys join most copies, so that the other forty are kept once for each component of
+   the first.
+4. A component's texts meet, and sets are compared exactly; `crowds` compares components that no task can hold. Components
    of these links are the groups.
 
 Words are those of the fingerprint: split at ASCII white space, ASCII letters in lower case. Cases: a text of fewer words
@@ -23,10 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm import crowds
+from quillmesh.llm import crowds, simhash
 from quillmesh.llm.common import checkpointed, id_text, map_texts
 from quillmesh.operators.graph import components
-from quillmesh.llm.fingerprint import _LOWER
+from quillmesh.llm.fingerprint import _LOWER, majority
 from quillmesh.llm.grams import mix
 from quillmesh.llm.simhash import firsts, tree
 
@@ -74,18 +76,19 @@ def node_of(hashes: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, print (the node: a hash of the shingle set), text_key (a hash of the text), load (the share of a task's capacity), keys."""
+    """doc_id, print (the node: a hash of the shingle set), text_key (a hash of the text), load (the share of a task's capacity), fingerprint, keys."""
 
     def make():
         def kernel(keys, texts):
             sets = [shingles(t) for t in texts]
             load = [max(1 / GROUP, len(t) / GROUP_BYTES) for t in texts]
-            return [[k["doc_id"] for k in keys], [node_of(h) for h in sets], [k["text_key"] for k in keys], load, list(band_keys(sets))]
+            prints = np.array([majority(h) for h in sets], np.uint64).view(np.int64)
+            return [[k["doc_id"] for k in keys], [node_of(h) for h in sets], [k["text_key"] for k in keys], load, prints, list(band_keys(sets))]
 
         return kernel
 
     own = id_text(docs)
-    return map_texts(own.select(F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("of"), "text"), make, "doc_id long, print long, text_key long, load double, keys array<long>")
+    return map_texts(own.select(F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("of"), "text"), make, "doc_id long, print long, text_key long, load double, fingerprint long, keys array<long>")
 
 
 def stars(keyed: DataFrame) -> DataFrame:
@@ -94,10 +97,16 @@ def stars(keyed: DataFrame) -> DataFrame:
     return keyed.join(shared, "key").where("a <> node").select("a", F.col("node").alias("b"))
 
 
+def alike(nodes: DataFrame) -> DataFrame:
+    """(node, key): each node under the least fingerprint that the pigeonring's links reach from its own."""
+    roots = components(simhash.links(nodes.select(F.col("fingerprint").alias("print")).distinct())).select(F.col("node").alias("fingerprint"), "root")
+    return nodes.join(roots, "fingerprint", "left").select(F.col("print").alias("node"), F.coalesce("root", "fingerprint").alias("key"))
+
+
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(node, root) for the nodes that shared keys join to others."""
+    """(node, root) for the nodes that linked fingerprints or shared keys join to others."""
     own = nodes.select(F.col("print").alias("node"), "keys")
-    first = components(stars(own.select("node", F.explode(F.slice("keys", 1, FIRST)).alias("key"))))
+    first = components(stars(alike(nodes)).unionByName(stars(own.select("node", F.explode(F.slice("keys", 1, FIRST)).alias("key")))))
     named = checkpointed(own.select("node").join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
     rest = own.join(named, "node").select(F.col("root").alias("node"), F.explode(F.slice("keys", FIRST + 1, BANDS)).alias("key")).distinct()
     last = components(stars(rest)).select(F.col("node").alias("root"), F.col("root").alias("last"))
@@ -152,7 +161,7 @@ def _tree(table: pa.Table, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b) that join the nodes (print, keys, rank of one row that has it, load) of each group of near copies."""
+    """(a, b) that join the nodes (print, fingerprint, keys, rank of one row that has it, load) of each group of near copies."""
     of = nodes.select(F.col("print").alias("node"), F.col("rank.doc_id").alias("of_id"), F.col("rank.text_key").alias("of_key"))
     members = nodes.join(candidates(nodes), nodes["print"] == F.col("node")).select(F.col("root").alias("grp"), "node", "load")
     own = id_text(docs).withColumn("text_key", F.xxhash64("text"))
@@ -168,7 +177,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each group: that of the smallest doc_id (a null one is the largest), or, ids being equal, of the smallest hash of the text."""
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    nodes = checkpointed(signatures(docs).groupBy("print").agg(F.min(rank).alias("rank"), F.max("load").alias("load"), F.first("keys").alias("keys")))
+    nodes = checkpointed(signatures(docs).groupBy("print").agg(F.min(rank).alias("rank"), F.max("load").alias("load"), F.first("fingerprint").alias("fingerprint"), F.first("keys").alias("keys")))
     roots = components(links(docs, nodes))
     grouped = nodes.join(roots, nodes["print"] == roots["node"], "left").select("rank", F.coalesce("root", "print").alias("root"))
     return firsts(docs, grouped.groupBy("root").agg(F.min("rank").alias("first")))

@@ -53,6 +53,27 @@ def test_stage_finds_all_near_copies(spark, monkeypatch, group):
     assert sorted(r.doc_id for r in kept.collect()) == plain_kept(rows)
 
 
+def test_pigeonring_links_are_candidates(spark, monkeypatch):
+    """Without the keys of minima, copies whose fingerprints are within four bits still go, and likeness still decides."""
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(words[k : k + 296])) for k in range(5)]
+    rows += [(10 + k, f"quite another text {k}") for k in range(3)]
+    prints = [nearcopies.majority(nearcopies.shingles(t)) for _, t in rows]
+    assert all((prints[k] ^ prints[k + 1]).bit_count() <= 4 for k in range(4))
+    monkeypatch.setattr(nearcopies, "stars", lambda keyed, stars=nearcopies.stars: stars(keyed.where("key not in (select key from band_keys)")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nearcopies.signatures(docs).selectExpr("explode(keys) as key").createOrReplaceTempView("band_keys")
+    assert sorted(r.doc_id for r in nearcopies.one_of_each(docs).collect()) == plain_kept(rows) == [0, 10, 11, 12]
+
+
+def test_linked_fingerprints_of_unlike_sets_stay(spark, monkeypatch):
+    """Linked fingerprints make candidates only: the sets are compared."""
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "seven eight nine ten eleven twelve")], "doc_id long, text string")
+    own = nearcopies.signatures
+    monkeypatch.setattr(nearcopies, "signatures", lambda d: own(d).selectExpr("doc_id", "print", "text_key", "load", "0L as fingerprint", "keys"))
+    assert nearcopies.one_of_each(docs).count() == 2
+
+
 def test_bounds_are_met_exactly():
     a = nearcopies.shingles(" ".join(f"w{i}" for i in range(13)))  # 9 shingles
     assert len(a) == 9
