@@ -544,6 +544,20 @@ def test_scores_and_bounds_of_the_network():
                 assert score <= (cut if b == 100 else whole)[k] + 1e-3, k
 
 
+def test_gates_need_no_tanh(monkeypatch):
+    """The scores of use are those of the plain run, without its dear tanh, for gates at their limits too."""
+    text, _ = pii.labelled_text(6, 100)
+    x = pii.classes(text)[: 40 * 50].reshape(40, 50)
+    for times in (1, 30, 1000):
+        model = pii.Tagger()
+        model.p = {k: v * times if k in ("x", "u") else v for k, v in pii.tagger().p.items()}
+        plain = model.run(x)
+        with monkeypatch.context() as m, np.errstate(invalid="raise"):
+            m.setattr(np, "tanh", None)
+            scores = model.scores(x)
+        assert np.isfinite(scores).all() and (times > 1 or np.allclose(scores, plain, atol=1e-3)) and (scores.argmax(2) == plain.argmax(2)).mean() > 0.99
+
+
 @pytest.mark.parametrize("shift", [930, 955, 1000, 1020, 1950])
 def test_spans_across_windows(shift):
     model = pii.tagger()
