@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows written to the session's checkpoint folder; a session that names none gets one in its warehouse, which is shared."""
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a session that names none gets one in its warehouse, which is shared."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A name in the shared folder that nothing has used."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read from there from now on."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
