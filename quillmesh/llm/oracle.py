@@ -43,9 +43,17 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 NOT base_failed AND NOT (n_symbols > 0.05 * word_chars OR n_dup_lines > 0.5 * len(l) OR length(regexp_replace(text, '[^!]', '', 'g')) > 0.3 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR stutter > 0.2 * n_words
 OR (n_words >= 50 AND len(list_distinct(w)) < 0.1 * n_words) OR length(regexp_replace(text, '[^\\p{{Nd}}]', '', 'g')) > 0.5 * word_chars OR length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) > 0.5 * length(regexp_replace(text, '[^\\p{{L}}]', '', 'g'))) AS kept FROM v"""
 
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+WARC = f"""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes,
+array_to_string(list_transform(range(32), lambda i: substr('{_LETTERS}', 1 + CAST((CAST('0x' || substr(h, 5 * CAST(i // 4 AS INT) + 1, 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT), 1)), '') AS payload_digest,
+CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first OR page_id IS NULL THEN first END AS refers_to FROM f"""
+
 ORACLE_SQL = {
     "op2_suffixes": repeated_windows(PASSAGE_WINDOW),
     "op4_quality": QUALITY,
     "op9_phrases": repeated_windows(PHRASE_WINDOW),
     "op10_decontaminate": DECONTAMINATE,
+    "op11_warc": WARC,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import bpe, decontaminate, extract, phrases, pii, quality, secrets, simhash, suffixes, toxicity
+from quillmesh.llm import bpe, decontaminate, extract, phrases, pii, quality, secrets, simhash, suffixes, toxicity, warc
 from quillmesh.llm.common import table
 from quillmesh.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -53,4 +53,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_suffixes, op3_bpe, op4_quality, op5_secrets, op6_simhash, op7_toxicity, op8_extract, op9_phrases, op10_decontaminate)}
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_suffixes, op3_bpe, op4_quality, op5_secrets, op6_simhash, op7_toxicity, op8_extract, op9_phrases, op10_decontaminate, op11_warc)}
