@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import bpe, decontaminate, extract, phrases, pii, quality, repair, secrets, simhash, suffixes, toxicity, warc
+from quillmesh.llm import bpe, decontaminate, extract, phrases, pii, quality, repair, secrets, simhash, suffixes, toxicity, trie, warc
 from quillmesh.llm.common import table
 from quillmesh.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -61,4 +61,8 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_suffixes, op3_bpe, op4_quality, op5_secrets, op6_simhash, op7_toxicity, op8_extract, op9_phrases, op10_decontaminate, op11_warc, op12_repair)}
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_suffixes, op3_bpe, op4_quality, op5_secrets, op6_simhash, op7_toxicity, op8_extract, op9_phrases, op10_decontaminate, op11_warc, op12_repair, op13_trie)}
