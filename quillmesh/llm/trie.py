@@ -196,7 +196,9 @@ def nodes(conversations: DataFrame, local: int | None = None) -> DataFrame:
     if not least["n"]:
         return spark.createDataFrame([], NODES)
     # of a member: its bucket (b, the least member), the depth that bucket begins at, that node's bytes, and the bucket it came from
-    members = convs.select("conv_id", "len", F.lit(least["least"]).alias("b"), F.lit(0).cast("long").alias("top"), F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("cum"), F.lit(None).cast("long").alias("of"), F.lit(None).cast("long").alias("of_top"))
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    members = convs.select("conv_id", "len", F.lit(least["least"]).alias("b"), zero.alias("top"), zero.alias("bytes"), zero.alias("cum"), none.alias("of"), none.alias("of_top"))
+    members = checkpointed(members)  # so that the planner does not take the root's bucket for a constant and its joins for cross joins
     rows = checkpointed(turns.withColumn("b", F.lit(least["least"])))
     done_members, done_rows, segments, chains, ends = [], [], [], [], []
     live = least["n"] + least["rows"] > local
