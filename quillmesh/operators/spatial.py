@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.functions import geometry as g
 from quillmesh.operators.graph import components
 from quillmesh.operators.lineage import checkpointed
+from quillmesh.operators.quantile import medians
+from quillmesh.operators.raycast import front_surface
 
 AXES = ("x", "y", "z")
 #: Targets up to which every task holds all of them; they are counted before.
@@ -40,13 +43,15 @@ def radius_pairs(points: DataFrame, radius: float, by: list[str], key: str = "ta
 
 def nearest(rows: DataFrame, targets: DataFrame, key: str, order: str = "id", by: list[str] | None = None) -> DataFrame:
     """rows with near (id) and dist of the nearest target, the one of the lowest `order` among equals; null without one.
+    Rows and targets without a finite position have none, and are none.
 
     Up to SMALL_ROWS targets go to every task as one array (one for each value of `by`), and each row takes the least over
     its array: no row is made for a pair, and rows are not shuffled. More targets are searched in cells of growing size
     until a found target is surely the nearest.
     """
     by = by or []
-    have = targets.where(" and ".join(f"{k} is not null" for k in AXES))
+    finite = " and ".join(f"{k} is not null and abs({k}) < double('infinity')" for k in AXES)
+    have = targets.where(finite)
     if have.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
         best = _nearest_by_cells(rows, have, key, order, by)
         return rows.join(best, rows[key] == best["_key"], "left").select(rows["*"], F.col("_best.near").alias("near"), F.col("_best.dist").alias("dist"))
@@ -56,10 +61,7 @@ def nearest(rows: DataFrame, targets: DataFrame, key: str, order: str = "id", by
     else:
         held = rows.join(F.broadcast(have.agg(every)), how="left")
     apart = F.transform("_targets", lambda t: F.struct(F.sqrt(sum((F.col(k) - t[k]) * (F.col(k) - t[k]) for k in AXES)).alias("dist"), t["near"].alias("near")))
-    known = F.lit(True)
-    for k in AXES:
-        known = known & F.col(k).isNotNull()
-    best = F.when(known, F.array_min(apart)).alias("_best")
+    best = F.when(F.expr(finite), F.array_min(apart)).alias("_best")
     return held.select(*[rows[c] for c in rows.columns], best).select(*rows.columns, F.col("_best.near").alias("near"), F.col("_best.dist").alias("dist"))
 
 
@@ -89,6 +91,24 @@ def _nearest_by_cells(rows: DataFrame, have: DataFrame, key: str, order: str, by
         size *= 4
 
 
+def in_view(cameras: DataFrame, targets: DataFrame, reach: float, slope: float) -> DataFrame:
+    """Pairs of cameras (camera) and targets (at, a vector) among which are all with a depth in (0, reach] and at most `slope` times
+    that to any side. Cells as wide as the reach are listed for each camera and kept where a ball around the cell reaches into its
+    pyramid; targets meet the cameras of their cell. A camera's cells are so many whatever the targets."""
+    far = reach * (1 + 2 * slope * slope) ** 0.5
+    own = cameras
+    for a in AXES:
+        at = F.col(f"camera.position.{a}")
+        own = own.withColumn(f"c{a}", F.explode(F.sequence(F.floor((at - far) / reach).cast("long"), F.floor((at + far) / reach).cast("long"))))
+    middle = F.struct(*[((F.col(f"c{a}") + 0.5) * reach).alias(a) for a in AXES])
+    c, ball = g.to_camera(middle, F.col("camera.position"), F.col("camera.rotation")), reach * 3**0.5 / 2 * (1 + 1e-9)
+    meets = (c["z"] > -ball) & (c["z"] <= reach + ball)
+    for a in ("x", "y"):
+        meets = meets & ((F.abs(c[a]) - slope * c["z"]) / (1 + slope * slope) ** 0.5 <= ball)
+    cells = [F.floor(F.col(f"at.{a}") / reach).cast("long").alias(f"c{a}") for a in AXES]
+    return own.where(meets).join(targets.select("*", *cells), ["cx", "cy", "cz"]).drop("cx", "cy", "cz")
+
+
 def clusters(points: DataFrame, radius: float, by: list[str], key: str = "tag_id") -> DataFrame:
     """points with `cluster`: the least key reachable over pairs closer than radius; a point without a position is its own."""
     roots = components(cluster_links(points, radius, by, key))
@@ -142,10 +162,10 @@ def mode_seeking(points: DataFrame, radius: float, by: list[str], key: str = "ta
 
 
 def front_surface_median(points: DataFrame, by: list[str], depth: str = "depth") -> DataFrame:
-    """Exact median of each axis over the points near the closest surface: depth < 1.05 least + 0.03."""
-    least = points.groupBy(*by).agg(F.min(depth).alias("_least"))
-    front = points.join(least, by).where(F.col(depth) < F.col("_least") * 1.05 + 0.03)
-    return front.groupBy(*by).agg(*[F.round(F.median(k), 4).alias(k) for k in AXES], F.count(F.lit(1)).alias("n"))
+    """Exact median of each axis over the points near the closest surface, and how many they are."""
+    front = checkpointed(front_surface(points.select(*by, *AXES, depth), by, depth))
+    middle = medians(front, by, list(AXES)).join(front.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by)
+    return middle.select(*by, *[F.round(k, 4).alias(k) for k in AXES], "n")
 
 
 def depth_map(px: DataFrame, by: list[str], scales: tuple[int, ...], near: float = 1.08, more: float = 0.05) -> DataFrame:

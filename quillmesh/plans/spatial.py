@@ -127,10 +127,10 @@ ok AS (SELECT * FROM vis WHERE depth BETWEEN 0.4 AND 8.0 AND u BETWEEN -150 AND
 
 
 def visible(spark, sf_dir):
-    """Camera and cabinet pairs in view; cabinets go to every task if they are few."""
+    """Camera and cabinet pairs in view, by cells of eight metres."""
     cab = i.cabinets(spark, sf_dir).where("x is not null").select("id", "name", _vector().alias("at"))
     cams = i.cameras(spark, sf_dir).where(F.col("camera.position.x").between(0.5, 9.5))
-    pairs = cams.join(few(cab))
+    pairs = spatial.in_view(cams, cab, 8.0, 1.3)
     px = g.project(F.col("at"), F.col("camera"))
     to_camera = F.struct(*[((F.col(f"camera.position.{k}") - F.col(f"at.{k}")) / g.distance(F.col("camera.position"), F.col("at"))).alias(k) for k in "xyz"])
     normal = F.struct(F.when(F.col("at.x") < 4, 1.0).otherwise(-1.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
@@ -144,6 +144,18 @@ def j13_visible_cabinets(spark, sf_dir):
     return visible(spark, sf_dir).select("camera_id", F.col("id").alias("cabinet"), F.round("px.depth", 3).alias("depth"), F.round("angle", 3).alias("angle"), place.alias("place"))
 
 
+_OUTSIDE = "camera outside the corridor"
+
+
+@query(f"""WITH {_VISIBLE} SELECT c.camera_id, CASE WHEN NOT c.px BETWEEN 0.5 AND 9.5 THEN '{_OUTSIDE}' END AS reason, count(ok.id) AS cabinets
+FROM cameras c LEFT JOIN ok USING (camera_id) GROUP BY c.camera_id, c.px""")
+def p7_visibility_reasons(spark, sf_dir):
+    """What each camera sees, and why those outside the corridor see nothing."""
+    seen = visible(spark, sf_dir).groupBy("camera_id").agg(F.count(F.lit(1)).alias("cabinets"))
+    out = i.cameras(spark, sf_dir).join(seen, "camera_id", "left")
+    return out.select("camera_id", F.when(~F.col("camera.position.x").between(0.5, 9.5), _OUTSIDE).alias("reason"), F.coalesce("cabinets", F.lit(0)).alias("cabinets"))
+
+
 @query(f"WITH {_VISIBLE}, n AS (SELECT c.camera_id, count(ok.id) AS n, coalesce(string_agg(ok.name, ' ' ORDER BY ok.name), '') AS names FROM cameras c LEFT JOIN ok USING (camera_id) GROUP BY c.camera_id) SELECT camera_id, names, CASE WHEN n = 0 THEN 'none' WHEN n = 1 THEN 'single' ELSE 'multiple' END AS category FROM n")
 def a13_photo_category(spark, sf_dir):
     seen = visible(spark, sf_dir).groupBy("camera_id").agg(F.sort_array(F.collect_list("name")).alias("names"))

@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from quillmesh.plans import composites, relational, retrieval, services, spatial  # noqa: F401
+from quillmesh.plans import composites, relational, retrieval, scans, services, spatial  # noqa: F401
 from quillmesh.plans.registry import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
