@@ -104,6 +104,21 @@ def meets_plane_x(position: Column, direction: Column, at_x: Column, digits: int
     return F.when((F.abs(direction["x"]) >= 1e-6) & (t > 0), F.struct(*[F.round(position[k] + t * direction[k], digits).alias(k) for k in "xyz"]))
 
 
+def planes(camera: Column, sides: list[tuple[list, float]]) -> Column:
+    """World planes (x, y, z, d) of sides given in camera axes (a unit normal that points outward, and what is added): see `reaches_in`."""
+    m, out = rotation(camera["rotation"]), []
+    for n, d in sides:
+        world = [m[i][0] * n[0] - m[i][1] * n[1] - m[i][2] * n[2] for i in range(3)]
+        away = sum(w * camera["position"][a] for w, a in zip(world, "xyz", strict=True))
+        out.append(F.struct(*[w.alias(a) for w, a in zip(world, "xyz", strict=True)], (F.lit(d) - away).alias("d")))
+    return F.array(*out)
+
+
+def reaches_in(planes: Column, x: Column, y: Column, z: Column, radius: float) -> Column:
+    """Whether no plane has the ball around a point wholly outside."""
+    return F.forall(planes, lambda p: p["x"] * x + p["y"] * y + p["z"] * z + p["d"] < radius)
+
+
 def view_angle(a: Column, b: Column) -> Column:
     """Degrees between unit vectors."""
     return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b)))))

@@ -41,9 +41,8 @@ def windows(detections: DataFrame, key: str) -> DataFrame:
 
 
 def planes() -> Column:
-    """Planes (x, y, z, d) of the pyramid: x * px + y * py + z * pz + d is how far a point lies outside."""
-    cam, m = F.col("camera"), g.rotation(F.col("camera.rotation"))
-    sides = [([0.0, 0.0, -1.0], NEAREST)]  # in camera axes: outside are points nearer than NEAREST
+    """The planes of a window's pyramid."""
+    cam, sides = F.col("camera"), [([0.0, 0.0, -1.0], NEAREST)]
     for k, (middle, f, at) in enumerate((("mu", "fx", "cx"), ("mv", "fy", "cy"))):
         for sign in (-1.0, 1.0):
             slope = (F.col(middle) + sign * F.col("reach") - cam[at]) / cam[f]
@@ -51,12 +50,7 @@ def planes() -> Column:
             n = [F.lit(0.0), F.lit(0.0), -sign * slope / long]
             n[k] = sign / long
             sides.append((n, 0.0))
-    out = []
-    for n, d in sides:
-        world = [m[i][0] * n[0] - m[i][1] * n[1] - m[i][2] * n[2] for i in range(3)]
-        away = sum(w * F.col(f"camera.position.{a}") for w, a in zip(world, AXES, strict=True))
-        out.append(F.struct(*[w.alias(a) for w, a in zip(world, AXES, strict=True)], (F.lit(d) - away).alias("d")))
-    return F.array(*out)
+    return g.planes(cam, sides)
 
 
 def seen_points(points: DataFrame, detections: DataFrame, key: str = "id", sides: tuple[float, ...] = SIDES) -> DataFrame:
@@ -76,7 +70,7 @@ def seen_points(points: DataFrame, detections: DataFrame, key: str = "id", sides
             inner = tiles.select("*", *[F.floor(F.col(f"n{a}") / ratio).alias(f"o{a}") for a in AXES])
             pairs = at.join(inner, ["scan", "ox", "oy", "oz"])
         ball = side * 3**0.5 / 2 * (1 + 1e-9)
-        hit = pairs.where(F.forall("planes", lambda p: sum(p[a] * (F.col(f"n{a}") + 0.5) * side for a in AXES) + p["d"] < ball))  # noqa: B023
+        hit = pairs.where(g.reaches_in(F.col("planes"), *[(F.col(f"n{a}") + 0.5) * side for a in AXES], ball))
         at = hit.select(key, "scan", "planes", *[F.col(f"n{a}").alias(f"o{a}") for a in AXES])
     tiles = at.select(key, *[F.col(f"o{a}").alias(f"t{a}") for a in AXES])
     at = checkpointed(tiles.join(asked.drop("planes"), key))

@@ -95,18 +95,16 @@ def in_view(cameras: DataFrame, targets: DataFrame, reach: float, slope: float)
     """Pairs of cameras (camera) and targets (at, a vector) among which are all with a depth in (0, reach] and at most `slope` times
     that to any side. Cells as wide as the reach are listed for each camera and kept where a ball around the cell reaches into its
     pyramid; targets meet the cameras of their cell. A camera's cells are so many whatever the targets."""
-    far = reach * (1 + 2 * slope * slope) ** 0.5
-    own = cameras
+    far, long = reach * (1 + 2 * slope * slope) ** 0.5, (1 + slope * slope) ** 0.5
+    sides = [([0.0, 0.0, -1.0], 0.0), ([0.0, 0.0, 1.0], -reach)]
+    sides += [([sign / long if k == "x" else 0.0, sign / long if k == "y" else 0.0, -slope / long], 0.0) for k in "xy" for sign in (-1.0, 1.0)]
+    own = cameras.withColumn("_planes", g.planes(F.col("camera"), sides))
     for a in AXES:
         at = F.col(f"camera.position.{a}")
         own = own.withColumn(f"c{a}", F.explode(F.sequence(F.floor((at - far) / reach).cast("long"), F.floor((at + far) / reach).cast("long"))))
-    middle = F.struct(*[((F.col(f"c{a}") + 0.5) * reach).alias(a) for a in AXES])
-    c, ball = g.to_camera(middle, F.col("camera.position"), F.col("camera.rotation")), reach * 3**0.5 / 2 * (1 + 1e-9)
-    meets = (c["z"] > -ball) & (c["z"] <= reach + ball)
-    for a in ("x", "y"):
-        meets = meets & ((F.abs(c[a]) - slope * c["z"]) / (1 + slope * slope) ** 0.5 <= ball)
+    meets = g.reaches_in(F.col("_planes"), *[(F.col(f"c{a}") + 0.5) * reach for a in AXES], reach * 3**0.5 / 2 * (1 + 1e-9))
     cells = [F.floor(F.col(f"at.{a}") / reach).cast("long").alias(f"c{a}") for a in AXES]
-    return own.where(meets).join(targets.select("*", *cells), ["cx", "cy", "cz"]).drop("cx", "cy", "cz")
+    return own.where(meets).drop("_planes").join(targets.select("*", *cells), ["cx", "cy", "cz"]).drop("cx", "cy", "cz")
 
 
 def clusters(points: DataFrame, radius: float, by: list[str], key: str = "tag_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import geometry as g
 from quillmesh.operators import raycast
-from quillmesh.operators.lineage import new_folder
+from quillmesh.operators.lineage import checkpointed, new_folder
 from quillmesh.plans import inputs as i
 from quillmesh.plans.registry import query
 from quillmesh.sources import e57, readers
@@ -69,4 +69,4 @@ def _aimed(spark, sf_dir):
 @query(f"WITH {i.SIGHTINGS}, {_CLOUD} SELECT b.id, x, y, z, coalesce(n, 0) AS n FROM boxed b LEFT JOIN mid USING (id)")
 def j12_a7_anchors(spark, sf_dir):
     """Where in the cloud each detection lies: its scan's points in the window around the box's centre, their front surface, its median."""
-    return raycast.anchors(_cloud(spark, sf_dir).select("scan", "x", "y", "z"), _aimed(spark, sf_dir))
+    return raycast.anchors(_cloud(spark, sf_dir).select("scan", "x", "y", "z"), checkpointed(_aimed(spark, sf_dir)))

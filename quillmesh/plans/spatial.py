@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from quillmesh.functions import geometry as g
 from quillmesh.operators import greedy, spatial
+from quillmesh.operators.lineage import checkpointed
 from quillmesh.operators.parallel import few
 from quillmesh.plans import inputs as i
 from quillmesh.plans.registry import query, table
@@ -129,7 +130,7 @@ ok AS (SELECT * FROM vis WHERE depth BETWEEN 0.4 AND 8.0 AND u BETWEEN -150 AND
 def visible(spark, sf_dir):
     """Camera and cabinet pairs in view, by cells of eight metres."""
     cab = i.cabinets(spark, sf_dir).where("x is not null").select("id", "name", _vector().alias("at"))
-    cams = i.cameras(spark, sf_dir).where(F.col("camera.position.x").between(0.5, 9.5))
+    cams = checkpointed(i.cameras(spark, sf_dir).where(F.col("camera.position.x").between(0.5, 9.5)))  # as columns, not as formulas of a key
     pairs = spatial.in_view(cams, cab, 8.0, 1.3)
     px = g.project(F.col("at"), F.col("camera"))
     to_camera = F.struct(*[((F.col(f"camera.position.{k}") - F.col(f"at.{k}")) / g.distance(F.col("camera.position"), F.col("at"))).alias(k) for k in "xyz"])

@@ -101,15 +101,50 @@ def test_greedy_assignment(spark):
     assert got == {(1, 1, 7), (1, 2, 8), (2, 1, 7)}  # the third detection finds both taken
 
 
-def test_knn_in_several_passes(spark, monkeypatch):
+@pytest.mark.parametrize("pivot_rows", [8, 4096])
+@pytest.mark.parametrize("others", [False, True])
+def test_knn_equals_all_pairs(spark, monkeypatch, pivot_rows, others):
     r = np.random.default_rng(1)
-    rows = [(i, v) for i, v in enumerate(r.normal(size=(60, 8)).round(3).tolist())] + [(60, None), (61, [0.0] * 8)]
+    near = (r.normal(size=(6, 8))[r.integers(0, 6, 300)] + r.normal(size=(300, 8)) * 0.05).round(3).tolist()
+    rows = [(i, v) for i, v in enumerate(near)] + [(400 + i, near[7]) for i in range(40)]  # a hot group of copies
+    rows += [(500, None), (501, [0.0] * 8), (502, [0.0] * 8), (503, [float("nan")] * 8), (504, [float("inf")] + [0.0] * 7)]
+    for name, v in (("PIVOT_ROWS", pivot_rows), ("BALL_ROWS", 16), ("BLOCK", 7), ("BATCH", 16)):
+        monkeypatch.setattr(retrieval, name, v)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    monkeypatch.setattr(retrieval, "QUERY_BYTES", 200)
-    got = {(x.query, x["rank"]): x.vec_id for x in retrieval.knn(df, df.where("vec_id % 20 = 0 and vec_id < 60"), 3).collect()}
-    e = retrieval.unit(np.array([v for _, v in rows[:60]], np.float32).astype(float))
-    for q in (0, 20, 40):
-        assert [got[q, k] for k in (1, 2, 3)] == np.argsort(-(e @ e[q]), kind="stable")[:3].tolist()
+    asked = df.where("vec_id % 5 = 0 or vec_id > 490")
+    got = {}
+    for x in retrieval.knn(df, asked, 6, others_only=others).collect():
+        got.setdefault(x.query, {})[x["rank"]] = (x.vec_id, round(x.score, 9))
+    own = [(i, v) for i, v in rows if v is not None and np.isfinite(v).all()]
+    ids, e = np.array([i for i, _ in own]), retrieval.unit(np.array([v for _, v in own], np.float32).astype(float))
+    for q in [i for i, _ in own if i % 5 == 0 or i > 490]:
+        s = e @ e[ids == q][0]
+        order = [k for k in np.lexsort((ids, -np.round(s, 12))) if not (others and ids[k] == q)][:6]
+        assert [got[q][k + 1] for k in range(6)] == [(ids[k], round(s[k], 9)) for k in order]
+    assert set(got) == {i for i, _ in own if i % 5 == 0 or i > 490}
+
+
+def test_knn_reads_few_balls_where_rows_lie_apart(tmp_path):
+    r = np.random.default_rng(3)
+    pivots = retrieval.unit(r.normal(size=(40, 16)))
+    opened = []
+    reach = np.full(41, 0.05)
+    reach[-1] = -1
+    retrieval_listed, retrieval.listed = retrieval.listed, lambda path, _: opened.append(path) or []
+    try:
+        retrieval._searched(np.arange(1), pivots[:1], pivots, reach, "x", 1, False)
+        all_balls = len(opened)
+        opened.clear()
+        best = retrieval.Best(1, 1)
+        best.add(np.array([0]), np.array([[0.9999]]), np.array([5]))
+        held, retrieval.Best = retrieval.Best, lambda n, k: best
+        try:
+            retrieval._searched(np.arange(1), pivots[:1], pivots, reach, "x", 1, False)
+        finally:
+            retrieval.Best = held
+    finally:
+        retrieval.listed = retrieval_listed
+    assert all_balls == 40 and len(opened) == 1
 
 
 def test_search_edges(spark):
