@@ -17,6 +17,7 @@ import base64
 import re
 from array import array
 from functools import lru_cache
+from sys import getsizeof
 
 import numpy as np
 import public_tokenizers
@@ -27,8 +28,8 @@ from quillmesh.llm.common import append_texts, id_text, map_texts, sha256
 
 #: Pieces of up to so many bytes are merged in groups; a wider piece has its own tree.
 GROUP_BYTES = 64
-#: Chunks of text whose ids a task remembers. Only speed depends on it.
-MEMO = 250_000
+#: Bytes of chunks and their ids that a task remembers, besides those of the texts at hand. Only speed depends on it.
+MEMO = 64 << 20
 #: A space beside other white space: there a text cannot be cut at its spaces.
 _UNEVEN_SPACE = re.compile(r" \s|\s ")
 NONE = np.int64(1) << 62
@@ -161,7 +162,7 @@ class Encoder:
     """Texts to ids (little-endian 32-bit integers) and back."""
 
     def __init__(self, path: str, pattern: str, memo: int = MEMO):
-        self.v, self.pattern, self.memo, self.most = vocabulary(path), regex.compile(pattern), {}, memo
+        self.v, self.pattern, self.memo, self.held, self.most = vocabulary(path), regex.compile(pattern), {}, 0, memo
         self.own_pattern = pattern == public_tokenizers.PATTERN
 
     def chunks(self, text: str) -> list[str]:
@@ -190,9 +191,9 @@ class Encoder:
         for width, pieces in groups.items():
             for i in range(0, len(pieces), 8192):
                 done.update(zip(pieces[i : i + 8192], merge_group(pieces[i : i + 8192], width, self.v), strict=True))
-        if len(self.memo) + len(cut) > self.most:
-            self.memo = {}
-        self.memo.update((c, b"".join([done[p] for p in pieces])) for c, pieces in cut.items())
+        for c, pieces in cut.items():
+            self.memo[c] = ids = b"".join([done[p] for p in pieces])
+            self.held += getsizeof(c) + getsizeof(ids) + 100
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -201,13 +202,12 @@ class Encoder:
                 text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
             out.append(self.chunks(text))
         new = set().union(*out) if out else set()
-        known = self.memo
-        if missing := {c for c in new if c not in known}:
-            if len(known) + len(missing) > self.most:
-                self.memo, missing = {}, new
+        if missing := {c for c in new if c not in self.memo}:
             self.learn(missing)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in out]
+        coded = [b"".join(map(self.memo.__getitem__, chunks)) for chunks in out]
+        if self.held > self.most:
+            self.memo, self.held = {}, 0
+        return coded
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.v.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -77,8 +77,9 @@ def append_texts(docs: DataFrame, make: Callable[[], Callable[[list, list], list
 
 
 def unused(df: DataFrame, name: str) -> str:
-    """A column name that the frame does not have."""
-    while name in df.columns:
+    """A column name that the frame does not have; Spark does not tell capitals from small letters."""
+    had = {c.lower() for c in df.columns}
+    while name.lower() in had:
         name += "_"
     return name
 

@@ -43,6 +43,8 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _HINTS = frozenset("ad ads advert advertisement alert banner breadcrumb breadcrumbs byline cookie cookies consent copyright footer header masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo related recommended share sharing sidebar skip social sponsor sponsored subscribe subscription tags toolbar widget".split())
 _COMMENTS = frozenset("comment comments commentlist disqus discussion reply replies respond".split())
 _ARTICLES = frozenset("article content entry main post story".split())
+# Of these hints, those that make a part of a line no part of the article.
+_INLINE_HINTS = frozenset("ad ads advert advertisement alert consent cookie cookies newsletter notice notification popup promo sponsor sponsored".split())
 #: What an open element says of the blocks in it.
 BOILER, HINT, COMMENT, ARTICLE = range(4)
 
@@ -66,10 +68,15 @@ def decoded(text: str) -> str:
     return html.unescape(text)
 
 
+def named(attributes: str) -> list[list[str]]:
+    """The words of the names that an element's attributes give it."""
+    tokens = [t for x in _NAMES.findall(attributes) for t in x.strip("\"'").lower().split()] if attributes else []
+    return [re.split("[-_0-9]+", t) for t in tokens]
+
+
 def says(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool, bool]:
     """Of an element: boilerplate by its tag, a hint of boilerplate, comments, or an article."""
-    tokens = [t for x in _NAMES.findall(attributes) for t in x.strip("\"'").lower().split()] if attributes else []
-    parts = [re.split("[-_0-9]+", t) for t in tokens]
+    parts = named(attributes)
     comment = any(p[0] in _COMMENTS for p in parts)
     article = not comment and (tag in ("article", "main") or any(p[0] in _ARTICLES for p in parts))
     hint = not article and any(p[0] in _HINTS or p[-1] in _HINTS for p in parts)
@@ -88,6 +95,8 @@ class Page:
         self.parts: list[str] = []
         self.linked: list[str] = []
         self.in_link = self.heading = False
+        self.aside = ""
+        self.aside_depth = 0
 
     def tag_end(self, i: int) -> int:
         """After the tag that goes on at i; 0 if it never ends."""
@@ -107,8 +116,11 @@ class Page:
             self.out.append(Block(text, n, min(1.0, m / n), self.heading, *[c > 0 for c in self.counts]))
         self.parts.clear()
         self.linked.clear()
+        self.aside = ""
 
     def add(self, text: str) -> None:
+        if self.aside:  # an advert or notice within a line
+            return
         self.parts.append(text)
         if self.in_link:
             self.linked.append(text)
@@ -176,16 +188,30 @@ class Page:
                 self.in_link = not ends
             elif tag == "br":
                 self.parts.append(" ")
+            if tag not in _VOID:
+                self.within_line(tag, ends, attributes)
             return at
         self.close()
         self.heading = tag in _HEADING and not ends
+        if self.names["p"] and not (ends and tag == "p"):  # a paragraph ends where another block begins or ends
+            self.leave("p")
         if ends:
             self.leave(tag)
             self.in_link = False
-        elif tag not in _VOID and tag != "p" and not attributes.endswith("/"):
+        elif tag not in _VOID and not attributes.endswith("/"):
             self.enter(tag, attributes)
         return at
 
+    def within_line(self, tag: str, ends: bool, attributes: str) -> None:
+        """Leaves out what stands in an element of a line that is named an advert, a notice or a comment; it ends with its block at the latest."""
+        if not self.aside:
+            if not ends and attributes and any(p[0] in _COMMENTS or p[0] in _INLINE_HINTS or p[-1] in _INLINE_HINTS for p in named(attributes)):
+                self.aside, self.aside_depth = tag, 1
+        elif tag == self.aside:
+            self.aside_depth += -1 if ends else 1
+            if not self.aside_depth:
+                self.aside = ""
+
 
 @lru_cache(maxsize=32)
 def _raw_end(tag: str) -> re.Pattern:
@@ -233,6 +259,10 @@ class Layout:
         for _ in range(self.r.randint(2, 9)):
             self.block(True, "p", self.prose(1, 4) if self.r.random() < 0.35 else self.prose(5, 140))
             x = self.r.random()
+            if x > 0.95:
+                self.block(True, "p", self.prose(4, 60), ' class="lead"')
+            elif x > 0.9:
+                self.block(False, "p", self.prose(3, 60), self.r.choice((' class="advert"', ' class="comment"', ' role="alert"')))
             if x < 0.1:
                 self.block(True, "h2", self.prose(1, 8))
             elif x < 0.16:
@@ -241,13 +271,13 @@ class Layout:
                 self.block(True, "p", f'{self.prose(8, 30)} <a href="/x">{self.prose(1, 6)}</a> {self.prose(0, 20)}')
 
     def aside(self, names: tuple[str, ...]) -> None:
-        self.block(False, "div", self.prose(2, 26), f' class="{self.r.choice(names)}"')
+        self.block(False, self.r.choice(("div", "div", "p", "section")), self.prose(2, 26), f' class="{self.r.choice(names)}"')
 
     def comments(self) -> None:
         self.put(self.r.choice(('<section id="comments">', '<div class="comment-list">')))
         for _ in range(self.r.randint(1, 4)):
             self.put(self.r.choice(("<div>", '<article class="comment">')))
-            self.block(False, "p", self.prose(1, 4))
+            self.block(False, "p", self.prose(1, 4), self.r.choice(("", ' class="comment-author"')))
             self.block(False, "p", self.prose(2, 140))
             self.put("</div></article>")
         self.put("</section></div>")
