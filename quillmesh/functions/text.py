@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +13,10 @@ STOP_WORDS = (
 DOCUMENT_NUMBER = r"2NGA\d{6}|(?<!\d)\d{6}(?!\d)"
 SECTION_NUMBER = r"^([A-Z]\.)?[\d.]*\d\.?\s+"
 
+# Letters that readers of pictures confuse, and the scores of labels.
+CONFUSED = ("OILSZB", "011528")
+LEAST_SCORE, LEAST_MARGIN, CONTAINED, LEAST_CONTAINED = 0.65, 0.05, 0.95, 3
+
 
 def norm(text: Column) -> Column:
     """Upper case, letters and digits alone."""
@@ -24,7 +25,7 @@ def norm(text: Column) -> Column:
 
 def fold_confusions(text: Column) -> Column:
     """What character recognition takes for each other becomes one digit."""
-    return F.translate(text, "OILSZB", "011528")
+    return F.translate(text, *CONFUSED)
 
 
 def tokens(text: Column) -> Column:
@@ -77,47 +78,6 @@ def description(*lines: Column) -> Column:
     return F.concat_ws("\n", *lines)
 
 
-#: Most labels that a text is matched with; each task holds them.
-MOST_LABELS = 10_000
-#: Least score of a match, and its least distance from the second best.
-LEAST_SCORE, LEAST_MARGIN = 0.65, 0.05
-
-
-def _folded(text: str) -> str:
-    return "".join(ch for ch in text.upper() if ch.isalnum()).translate(str.maketrans("OILSZB", "011528"))
-
-
-def label_scores(text: str, aliases: list[str]) -> list[float]:
-    """Of folded texts: 1 if equal, 0.95 if an alias of three letters or more is contained, else Ratcliff-Obershelp similarity."""
-    out, matcher = [], SequenceMatcher(None, text, "")
-    matcher.set_seq1(text)
-    for a in aliases:
-        if a == text or (len(a) >= 3 and a in text):
-            out.append(1.0 if a == text else 0.95)
-        else:
-            matcher.set_seq2(a)
-            out.append(matcher.ratio())
-    return out
-
-
-def best_label(text: Column, labels: list[str]) -> Column:
-    """(label, score) of each text's best label, in Arrow batches: no row is made for a pair. Null if the best is too unlike or the second too near."""
-    if len(labels) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels; match texts with parts of them")
-    names = sorted(labels)
-    folded = [_folded(x) for x in names]
-
-    def match(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            own = _folded(text or "")
-            if len(own) < 2 or not names:
-                rows.append((None, 0.0))
-                continue
-            scores = label_scores(own, folded)
-            k = max(range(len(names)), key=scores.__getitem__)  # the first of equals
-            second = max((s for j, s in enumerate(scores) if j != k), default=0.0)
-            rows.append((names[k] if scores[k] >= LEAST_SCORE and scores[k] - second >= LEAST_MARGIN else None, scores[k]))
-        return pd.DataFrame(rows, columns=["label", "score"])
-
-    return F.pandas_udf(match, "label string, score double")(text)
+def folded(text: str) -> str:
+    """Letters and digits in capitals, those that look alike made one."""
+    return "".join(ch for ch in text.upper() if ch.isalnum()).translate(str.maketrans(*CONFUSED))

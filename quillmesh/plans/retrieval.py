@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmesh.functions import text as t
-from quillmesh.operators import chunking, fulltext, learning, retrieval
+from quillmesh.operators import chunking, fulltext, labels, learning, retrieval
 from quillmesh.plans.registry import query, table
 
 c = F.col
@@ -113,13 +113,25 @@ def f22_f23_norm_fold(spark, sf_dir):
 
 @query()
 def f24_w2_label_match(spark, sf_dir):
-    """The best alias of each text, unless it is too unlike or the second best is too near; texts of less than two letters have none. The ratio is Python's difflib."""
-    aliases = [r.alias for r in table(spark, sf_dir, "part").select(c("p_type").alias("alias")).distinct().limit(t.MOST_LABELS + 1).collect()]
+    """The best label of each text, unless it is too unlike or the second best is too near; texts of less than two letters have none. The ratio is Python's difflib."""
+    names = table(spark, sf_dir, "part").select(c("p_type").alias("tag"), F.lit(0).alias("place"), c("p_type").alias("alias")).distinct()
     texts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.substring("p_type", 1, c("p_partkey") % 6), F.lit(" "), F.when(c("p_size") % 3 > 0, c("p_size"))).alias("read"), "p_type")
     texts = texts.withColumn("read", F.coalesce("read", F.substring("p_type", 1, 1)))
-    distinct = texts.select("read").distinct()
-    named = distinct.select("read", t.best_label(c("read"), aliases).alias("m")).select("read", "m.label", F.round("m.score", 4).alias("score"))
-    return texts.join(named, "read").select("p_partkey", "label", "score")
+    found = labels.best_tags(texts, names)
+    return texts.join(found, "read").select("p_partkey", "label", F.round("score", 4).alias("score"))
+
+
+@query()
+def f24_w2_several_aliases(spark, sf_dir):
+    """Names of two aliases each (as they are, and their words turned round): the best of all aliases, and of first ones alone."""
+    part = table(spark, sf_dir, "part")
+    turned = F.array_join(F.reverse(F.split("p_name", " ")), " ")
+    names = part.select(c("p_name").alias("tag"), F.explode(F.array(F.struct(F.lit(0).alias("place"), c("p_name").alias("alias")), F.struct(F.lit(1).alias("place"), turned.alias("alias")))).alias("a")).select("tag", "a.*").distinct()
+    k = c("p_partkey") % 4
+    read = F.when(k == 0, turned).when(k == 1, F.expr("substring(p_name, 1, length(p_name) - 2)")).when(k == 2, F.concat("p_size", turned)).otherwise(F.translate("p_name", "olisz", "01152"))
+    texts = part.select("p_partkey", read.alias("read"))
+    every, first = labels.best_tags(texts, names), labels.best_tags(texts, names, first_only=True).select("read", c("label").alias("first_label"), c("score").alias("first_score"))
+    return texts.join(every, "read").join(first, "read").select("p_partkey", "label", F.round("score", 4).alias("score"), "first_label", F.round("first_score", 4).alias("first_score"))
 
 
 @query(f"SELECT item_id, array_to_string(list_filter({_TOKENS.format('text')}, lambda w: w NOT IN ({_STOP}) AND w NOT IN ('er', 'la')), ' ') AS terms FROM benchmark")

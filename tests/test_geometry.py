@@ -70,16 +70,6 @@ def test_tiles_end_flush(spark):
         assert spark.range(1).select(g.tile_origins(F.lit(size))).first()[0] == expected
 
 
-def test_label_scores(spark):
-    df = spark.createDataFrame([("H-O5",), ("panel H05 x",), ("zzzz",), (None,), ("z",), ("H0",)], "a string")
-    out = [tuple(r[0]) for r in df.select(t.best_label(F.col("a"), ["H05", "PANEL", "H06"])).collect()]
-    assert out[0] == ("H05", 1.0) and out[2][0] is None and out[3] == out[4] == (None, 0.0)
-    assert out[1] == (None, 0.95)  # two labels are contained, so neither is taken
-    assert out[5][0] is None and 0.65 <= out[5][1] < 1  # as near to one as to another
-    assert t.label_scores("H05", ["H05", "XH05", "05"])[0] == 1.0 and t.label_scores("PANELH05", ["H05"]) == [0.95]
-    assert df.select(t.best_label(F.col("a"), [])).first()[0].label is None
-
-
 def test_question_terms_keep_order_and_repeats(spark):
     df = spark.createDataFrame([("What is the relay RELAY of the model_X?",), ("of the",), (None,)], "q string")
     assert [r[0] for r in df.select(t.question_terms(F.col("q"), F.array(F.lit("model_x")))).collect()] == [["relay", "relay"], [], None]
