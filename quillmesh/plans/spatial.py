@@ -310,9 +310,8 @@ _EXPECTED = "expected AS (SELECT DISTINCT l_orderkey AS image, k AS target, CAST
 def gate_candidates(det):
     """Detection and expected box of one image that overlap enough and are of like width."""
     k, o = F.col("target"), F.col("image")
-    exp = det.select("image").distinct().select("image", F.explode(F.array(*[F.lit(v) for v in range(3)])).alias("target"))
-    exp = exp.select("image", "target", g.box((k * 90 + o % 20).cast("double"), (o % 40).cast("double"), (k * 90 + o % 20 + 100).cast("double"), (o % 40 + 100).cast("double")).alias("e"))
-    pairs = det.select("image", "n", "part", "score", F.struct("x0", "y0", "x1", "y1").alias("d")).join(exp, "image")
+    expected = g.box((k * 90 + o % 20).cast("double"), (o % 40).cast("double"), (k * 90 + o % 20 + 100).cast("double"), (o % 40 + 100).cast("double"))
+    pairs = det.select("image", "n", "part", "score", F.struct("x0", "y0", "x1", "y1").alias("d"), F.explode(F.array(*[F.lit(v) for v in range(3)])).alias("target")).withColumn("e", expected)
     ratio = (F.col("d.x1") - F.col("d.x0")) / (F.col("e.x1") - F.col("e.x0"))
     return pairs.select("image", "n", "part", "score", "target", g.iou(F.col("d"), F.col("e")).alias("iou"), ratio.alias("ratio")).where("iou >= 0.3 and ratio between 0.6 and 1.6")
 
@@ -340,7 +339,7 @@ def k2_export_records(spark, sf_dir):
 
     Look-alikes are kept in the detail, and not exported.
     """
-    det = greedy.non_maximum_suppression(i.boxes(spark, sf_dir).withColumn("tie", F.col("n") * F.lit(10_000_000) + F.col("part")), ["image", "class"], 0.5, "tie").drop("tie")
+    det = checkpointed(greedy.non_maximum_suppression(i.boxes(spark, sf_dir).withColumn("tie", F.col("n") * F.lit(10_000_000) + F.col("part")), ["image", "class"], 0.5, "tie").drop("tie"))
     found = assigned(det.where("class = 0")).select("image", "n", "part", "target", "iou")
     all_ = det.join(found, ["image", "n", "part"], "left")
     relay, accepted = F.col("class") == 0, F.col("target").isNotNull()
