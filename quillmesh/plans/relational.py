@@ -9,7 +9,8 @@ from quillmesh.functions import geometry as g
 from quillmesh.operators import chunking, merge, order
 from quillmesh.plans import inputs as i
 from quillmesh.plans.registry import query, table
-from quillmesh.sinks import render
+from quillmesh.operators.lineage import new_folder
+from quillmesh.sinks import render, versions
 from quillmesh.sources import readers
 
 c = F.col
@@ -523,3 +524,31 @@ def s3_valid_colours(spark, sf_dir):
     """Points that the scanner did not mark, colours of two bytes brought to one."""
     points = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("k"), F.when(c("l_linenumber") % 2 == 0, c("l_quantity").cast("int") * 257).otherwise(c("l_quantity").cast("int")).alias("r"), F.when(c("l_linenumber") % 3 == 0, 1).alias("invalid"))
     return readers.valid_points(points).groupBy("k").agg(F.count(F.lit(1)).alias("points"), F.sum("r").cast("long").alias("red"))
+
+
+# ---- committed tables
+
+
+@query(f"""WITH one AS (SELECT c_custkey AS id, c_name AS value FROM customer), two AS (SELECT coalesce(id, k) AS id, coalesce(CAST(newest AS VARCHAR), value) AS value FROM one FULL JOIN {_NEWS} ON id = k)
+SELECT id, value, CAST(2 AS BIGINT) AS version FROM two WHERE id % 7 <> 3 UNION ALL SELECT id, value, CAST(1 AS BIGINT) AS version FROM one""")
+def s13_committed_upserts(spark, sf_dir):
+    """A table of customers after a committed upsert and a committed deletion, and its first version still there."""
+    held = versions.VersionedTable(spark, new_folder(spark, "customers"), "id long, value string", "id", 8)
+    base = table(spark, sf_dir, "customer").select(c("c_custkey").alias("id"), c("c_name").alias("value"), F.lit(0).cast("long").alias("seq"))
+    first = held.upsert(base, "seq", "load")
+    news = table(spark, sf_dir, "orders").where("o_custkey % 2 = 0").select(c("o_custkey").alias("id"), c("o_orderkey").cast("string").alias("value"), c("o_orderkey").alias("seq"))
+    held.upsert(news, "seq", "orders")
+    held.upsert(news.withColumn("value", F.lit("again")), "seq", "orders")  # a repeated run
+    held.delete(held.read().where("id % 7 = 3"))
+    return held.read().withColumn("version", F.lit(2).cast("long")).unionByName(held.read(first.version).withColumn("version", F.lit(1).cast("long")))
+
+
+@query("""WITH new AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || '.' ELSE text END AS text FROM documents)
+SELECT doc_id, sha256(coalesce(text, '')) AS text_hash, CASE WHEN doc_id % 3 = 0 THEN 'added' WHEN doc_id % 5 = 0 THEN 'replaced' ELSE 'unchanged' END AS state FROM new""")
+def s15_committed_ingest(spark, sf_dir):
+    """Documents ingested twice into a committed table: what the second run finds, and what is stored after it."""
+    held = versions.VersionedTable(spark, new_folder(spark, "ingest"), "doc_id long, sha256 string, text string", "doc_id", 8)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    versions.ingested(held, docs.where("doc_id % 3 <> 0"))
+    _, states = versions.ingested(held, docs.select("doc_id", F.when(c("doc_id") % 5 == 0, F.concat("text", F.lit("."))).otherwise(c("text")).alias("text")))
+    return held.read().join(states, "doc_id").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_hash"), "state")
