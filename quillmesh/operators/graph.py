@@ -25,6 +25,14 @@ def with_least(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
     return dealt.join(minima.select(key, "_part").join(least, key), [key, "_part"]).drop("_part")
 
 
+def joined_by_parts(rows: DataFrame, table: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """rows joined with a table of one row for each key, both of any size. A key's rows, told apart by `by`, meet the table in
+    parts; only a row for each key and part meets it under the key."""
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(PARTS)))
+    parts = dealt.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n")).drop("_n").join(table, key)
+    return dealt.join(parts, [key, "_part"], how).drop("_part")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for the nodes of links (a, b): root is the smallest node that can be reached.
 
