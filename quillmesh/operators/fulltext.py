@@ -45,8 +45,9 @@ def postings(chunks: DataFrame, key: str, terms: DataFrame | None = None, stemme
 
 
 def question_words(questions: DataFrame, key: str) -> DataFrame:
-    """(question, term): each content word once."""
-    return questions.select(F.col(key).alias("question"), F.explode(F.array_distinct(t.question_terms(F.col("text")))).alias("term"))
+    """(question, term): each content word once; where questions have a `model`, without its words."""
+    drop = t.tokens(F.coalesce("model", F.lit(""))) if "model" in questions.columns else None
+    return questions.select(F.col(key).alias("question"), F.explode(F.array_distinct(t.question_terms(F.col("text"), drop))).alias("term"))
 
 
 def search(chunks: DataFrame, questions: DataFrame, chunk_key: str, question_key: str, k: int, stemmed: bool = False, allowed: DataFrame | None = None) -> DataFrame:
@@ -79,3 +80,14 @@ def search(chunks: DataFrame, questions: DataFrame, chunk_key: str, question_key
     kept = first.join(need, "question").where("have >= need")
     place = F.row_number().over(Window.partitionBy("question").orderBy("_place"))
     return kept.select("question", place.alias("place"), "chunk", "score").where(F.col("place") <= k)
+
+
+def judged(found: DataFrame, chunks: DataFrame, cases: DataFrame, chunk_key: str, case_key: str) -> DataFrame:
+    """question, hits, rank, verdict of search cases (case_key, phrase): the place of the first answer whose text holds the
+    phrase, capitals or not. A case without a phrase must find nothing, and is told (info), not scored."""
+    text = chunks.select(F.col(chunk_key).alias("chunk"), F.lower(F.coalesce("text", F.lit(""))).alias("_text"))
+    own = cases.select(F.col(case_key).alias("question"), F.lower("phrase").alias("_phrase"))
+    hits = found.select("question", "place", "chunk").join(text, "chunk").join(own, "question")
+    per = hits.groupBy("question").agg(F.count(F.lit(1)).alias("hits"), F.min(F.when(F.col("_text").contains(F.col("_phrase")), F.col("place"))).alias("rank"))
+    verdict = F.when(F.col("_phrase").isNull(), "info").when(F.col("rank").isNull(), "missed").otherwise("found")
+    return own.join(per, "question", "left").select("question", F.coalesce("hits", F.lit(0)).alias("hits"), "rank", verdict.alias("verdict"))

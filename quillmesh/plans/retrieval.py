@@ -91,6 +91,20 @@ def a22_search_recall(spark, sf_dir):
     return first.agg(F.count(F.lit(1)).alias("questions"), F.count("first_hit").alias("found"), F.count_if(c("first_hit") == 1).alias("found_first"))
 
 
+_WORDS_OF = f"(SELECT item_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark)"
+_CASES = _SEARCH.replace(_WORDS_OF, f"(SELECT item_id, term FROM (SELECT item_id, unnest({_TOKENS.format('text')}) AS term, ({_TOKENS.format('text')})[1] AS model FROM benchmark) WHERE term <> model)")
+
+
+@query(f"""WITH {_CASES}, c AS (SELECT item_id, CASE WHEN item_id % 4 <> 0 THEN lower(text) END AS phrase FROM benchmark),
+h AS (SELECT c.item_id, phrase, count(a.chunk) AS hits, min(CASE WHEN contains(lower(d.text), phrase) THEN place END) AS rank FROM c LEFT JOIN answers a ON a.question = c.item_id LEFT JOIN documents d ON d.doc_id = a.chunk GROUP BY c.item_id, phrase)
+SELECT item_id AS question, hits, rank, CASE WHEN phrase IS NULL THEN 'info' WHEN rank IS NULL THEN 'missed' ELSE 'found' END AS verdict FROM h""")
+def a22_retrieval_cases(spark, sf_dir):
+    """Each item asks for the document that holds it, its first word being the model, which is not asked for; every fourth has no phrase and is only told."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.substring_index("text", "\n", 1).alias("section"))
+    cases = table(spark, sf_dir, "benchmark").select("item_id", "text", t.tokens(c("text"))[0].alias("model"), F.when(c("item_id") % 4 != 0, c("text")).alias("phrase"))
+    return fulltext.judged(fulltext.search(docs, cases, "doc_id", "item_id", 3), docs, cases, "doc_id", "item_id")
+
+
 _COLLAPSE = "lower(trim(regexp_replace({}, '[\\s\u00a0]+', ' ', 'g')))"
 
 
