@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions.stem import stem
 from quillmesh.operators import chunking, fulltext, graph, greedy, learning, merge, order, parallel, retrieval, spatial
 from quillmesh.sinks import render
+from quillmesh.sinks.versions import VersionedTable
 from quillmesh.sources import readers
 from quillmesh.streaming import evidence
 
@@ -243,13 +244,18 @@ def test_stream_equals_batches(spark, tmp_path):
     schema = "id long, class string, conf double, x double, y double, z double"
     for k, part in enumerate((rows[:2], rows[2:])):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    cabinets.write.parquet(str(tmp_path / "state/-1"))
+    state = VersionedTable(spark, str(tmp_path / "state"), evidence.STATE, "id", 8)
+    first = state.upsert(cabinets.withColumn("order", F.lit(0)), "order")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    evidence.follow(stream, str(tmp_path / "state"), str(tmp_path / "offsets"), "panel", "M").awaitTermination(120)
-    last = max(int(p.name) for p in (tmp_path / "state").iterdir())
+    evidence.follow(stream, state, str(tmp_path / "offsets"), "panel", "M").awaitTermination(120)
     key = lambda df: {(r.id, r.confidence, tuple(r.models)) for r in df.collect()}
     at_once = evidence.fold(cabinets, spark.createDataFrame(rows, schema), "panel", "M")
-    assert last >= 1 and key(spark.read.parquet(str(tmp_path / f"state/{last}"))) == key(at_once) == {(1, 0.7, ("m", "M")), (2, 0.9, ("M",))}
+    assert key(state.read()) == key(at_once) == {(1, 0.7, ("m", "M")), (2, 0.9, ("M",))}
+    # the first batch has evidence for one cabinet, and leaves the bucket of the other as it was
+    second = state.manifest(2)
+    assert state.versions() == [1, 2, 3] and sum(second.folders[b] != f for b, f in first.folders.items()) == 1
+    evidence.follow(stream, state, str(tmp_path / "other_offsets"), "panel", "M").awaitTermination(120)  # the same batches again
+    assert state.versions() == [1, 2, 3]
 
 
 @pytest.mark.parametrize("alone", [1 << 20, 3])
