@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import geometry as g
 from quillmesh.operators.graph import components
 from quillmesh.operators.lineage import checkpointed
+from quillmesh.operators.parallel import joined_to_few
 from quillmesh.operators.quantile import medians
 from quillmesh.operators.raycast import front_surface
 
@@ -147,16 +148,31 @@ def physical_tags(clustered: DataFrame, by: list[str]) -> DataFrame:
 
 
 def mode_seeking(points: DataFrame, radius: float, by: list[str], key: str = "tag_id") -> DataFrame:
-    """For each group the weighted mean around the point with the most weight near it (itself included)."""
-    pairs = radius_pairs(points, radius, by, key)
-    weight = points.select(F.col(key).alias("k"), "confidence")
-    near = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(points.select(F.col(key).alias("a"), F.col(key).alias("b")))
-    support = near.join(weight, near.b == weight.k).groupBy("a").agg(F.round(F.sum("confidence"), 9).alias("support"))
-    scored = points.join(support, points[key] == support["a"])
-    centre = scored.groupBy(*by).agg(F.min(F.struct((-F.col("support")).alias("s"), F.col(key).alias("centre"))).alias("m")).select(*by, F.col("m.centre").alias("centre"), (-F.col("m.s")).alias("support"))
-    kept = near.join(centre.select("centre", "support", *[F.col(c).alias(f"_{c}") for c in by]), near.a == F.col("centre")).join(points, F.col("b") == points[key])
+    """For each group the weighted mean around the point with the most weight near it (itself included), ties to the least key.
+
+    Cells are half a radius wide: all points of one are near each other, so a cell's own weight is a lower bound of what its
+    points gather, and that of the cells up to two steps away an upper one. Only points of cells whose upper bound reaches the
+    best lower bound of their group are counted exactly, against the points of other cells; those of their own count as a sum.
+    A group within one cell is linear. Points without a finite position take no part.
+    """
+    size, cells = radius / 2, ["cx", "cy", "cz"]
+    finite = " and ".join(f"{k} is not null and abs({k}) < double('infinity')" for k in AXES)
+    own = checkpointed(points.where(finite).select(key, *by, *AXES, "confidence", *cell(size, *AXES)))
+    sums = checkpointed(own.groupBy(*by, *cells).agg(F.sum("confidence").alias("weight")))
+    steps = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3)]
+    around = lambda chosen: F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(s, cells, strict=True)]) for s in chosen])).alias("s")
+    spread = sums.select(*by, *cells, "weight", around(steps)).groupBy(*by, *[(F.col(c) + F.col(f"s.{c}")).alias(c) for c in cells]).agg(F.sum("weight").alias("most"))
+    best = sums.groupBy(*by).agg(F.max("weight").alias("least"))
+    open_cells = checkpointed(joined_to_few(sums.join(spread, [*by, *cells]), checkpointed(best), by).where("most >= least - 1e-9").select(*by, *cells, "weight"))
+    asked = joined_to_few(own, open_cells, [*by, *cells])
+    left = asked.select(*by, key, *AXES, *cells, around([s for s in steps if any(s)])).select(*by, key, *AXES, *[(F.col(c) + F.col(f"s.{c}")).alias(c) for c in cells]).alias("p")
+    near = left.join(own.alias("q"), [F.col(f"p.{c}") == F.col(f"q.{c}") for c in (*by, *cells)]).where(F.sqrt(squared("p", "q")) < radius)
+    more = near.groupBy(F.col(f"p.{key}").alias("_key")).agg(F.sum("q.confidence").alias("more"))
+    scored = asked.join(more, asked[key] == more["_key"], "left").withColumn("support", F.round(F.col("weight") + F.coalesce("more", F.lit(0.0)), 9))
+    centre = checkpointed(scored.groupBy(*by).agg(F.min(F.struct((-F.col("support")).alias("s"), F.col(key).alias("centre"), *AXES)).alias("m")))
+    kept = joined_to_few(own, centre, by).where(F.sqrt(sum((F.col(k) - F.col(f"m.{k}")) * (F.col(k) - F.col(f"m.{k}")) for k in AXES)) < radius)
     w = F.col("confidence")
-    return kept.groupBy(*by, "centre").agg(*[(F.sum(w * F.col(k)) / F.sum(w)).alias(k) for k in AXES], F.max(w).alias("confidence"), F.count(F.lit(1)).alias("kept"))
+    return kept.groupBy(*by, F.col("m.centre").alias("centre")).agg(*[(F.sum(w * F.col(k)) / F.sum(w)).alias(k) for k in AXES], F.max(w).alias("confidence"), F.count(F.lit(1)).alias("kept"))
 
 
 def front_surface_median(points: DataFrame, by: list[str], depth: str = "depth") -> DataFrame:

@@ -136,3 +136,19 @@ def test_no_view_query_needs_a_cross_join(spark, sf):
 def test_cameras_see_the_cabinets_that_a_loop_finds(spark, sf):
     cams = i.cameras(spark, sf).count()
     assert QUERIES["p7_visibility_reasons"](spark, sf).count() == cams
+
+
+@pytest.mark.parametrize("spread", [0.01, 0.4, 3.0])
+def test_most_weight_within_a_radius(spark, spread):
+    r = random.Random(8)
+    rows = [(k, "ab"[k % 2], r.gauss(0, spread), r.gauss(0, spread), r.gauss(0, spread), round(r.random(), 2)) for k in range(240)]
+    df = spark.createDataFrame(rows + [(900, "a", None, 0.0, 0.0, 99.0), (901, "b", float("nan"), 0.0, 0.0, 99.0)], "tag_id long, label string, x double, y double, z double, confidence double")
+    got = {x.label: x for x in spatial.mode_seeking(df, 0.5, ["label"]).collect()}
+    for label in "ab":
+        own = [row for row in rows if row[1] == label]
+        near = {row[0]: [o for o in own if math.dist(row[2:5], o[2:5]) < 0.5] for row in own}
+        centre = min(own, key=lambda row: (-round(sum(o[5] for o in near[row[0]]), 9), row[0]))[0]
+        kept, x = near[centre], got[label]
+        total = sum(o[5] for o in kept)
+        assert (x.centre, x.kept, x.confidence) == (centre, len(kept), max(o[5] for o in kept))
+        assert abs(x.y - sum(o[5] * o[3] for o in kept) / total) < 1e-9
