@@ -549,3 +549,28 @@ def s15_committed_ingest(spark, sf_dir):
     versions.ingested(held, docs.where("doc_id % 3 <> 0"))
     _, states = versions.ingested(held, docs.select("doc_id", F.when(c("doc_id") % 5 == 0, F.concat("text", F.lit("."))).otherwise(c("text")).alias("text")))
     return held.read().join(states, "doc_id").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_hash"), "state")
+
+
+# ---- files written and read back
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 > 0 THEN p_name || ', \"' || p_brand || '\"' END AS name, p_size || ' ' || p_partkey % 7 AS images FROM part")
+def s9_csv_files(spark, sf_dir):
+    """CSV files in the shared folder: quoted fields, empty ones, lists joined; typed by a schema when they are read."""
+    name = F.when(c("p_partkey") % 3 > 0, F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"')))
+    rows = table(spark, sf_dir, "part").select(c("p_partkey").alias("id"), name.alias("name"), F.array(c("p_size").cast("long"), c("p_partkey") % 7).alias("images"))
+    folder = new_folder(spark, "csv")
+    render.write_csv(rows, folder)
+    return readers.read_csv(spark, folder, "id long, name string, images string")
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 > 0 THEN CAST(p_size AS DOUBLE) END AS x, CASE WHEN p_partkey % 4 > 0 THEN 1 + p_partkey % 2 ELSE 0 END AS documents FROM part")
+def s10_json_files(spark, sf_dir):
+    """JSON files in the shared folder: nested positions, a key only where there is something under it."""
+    k = c("p_partkey")
+    position = F.when(k % 3 > 0, F.struct(c("p_size").cast("double").alias("x")))
+    documents = F.when(k % 4 > 0, F.transform(F.sequence(F.lit(0), (k % 2).cast("int")), lambda d: F.struct(d.alias("doc"))))
+    folder = new_folder(spark, "json")
+    render.write_json(table(spark, sf_dir, "part").select(k.alias("id"), position.alias("position"), documents.alias("documents")), folder)
+    back = spark.read.schema("id long, position struct<x:double>, documents array<struct<doc:int>>").json(folder)
+    return back.select("id", "position.x", F.coalesce(F.size("documents"), F.lit(0)).alias("documents"))

@@ -294,3 +294,20 @@ def test_classifier_of_embeddings(spark):
     model = learning.train(df.where("vec_id % 5 <> 0"), hidden=8)
     held = learning.predicted(df.where("vec_id % 5 = 0"), model).collect()
     assert sum(x.predicted == x.label for x in held) >= 28 and all(1 / 3 <= x.confidence <= 1 for x in held)
+
+
+def test_a_hot_key_is_joined_in_parts(spark):
+    rows = [(1, k) for k in range(500)] + [(2, 900), (3, 901), (None, 902)]
+    table = spark.createDataFrame([(1, "a"), (3, "c"), (4, "d")], "key long, v string")
+    df = spark.createDataFrame(rows, "key long, node long")
+    left = {(r.node, r.v) for r in graph.joined_by_parts(df, table, "key", "node", "left").collect()}
+    assert left == {(k, "a") for k in range(500)} | {(900, None), (901, "c"), (902, None)}
+    assert graph.joined_by_parts(df, table, "key", "node").count() == 501
+
+
+def test_a_large_input_is_not_asked_for_its_files(spark, monkeypatch, tmp_path):
+    spark.range(10).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(parallel, "FEW_BYTES", 0)
+    monkeypatch.setattr(type(df), "inputFiles", lambda self: 1 / 0)
+    assert parallel.spread(df) is df
