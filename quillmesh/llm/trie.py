@@ -208,7 +208,7 @@ def nodes(conversations: DataFrame, local: int | None = None) -> DataFrame:
     while live:
         seg = _agreeing(rows, members, paths)
         within = salted(rows, seg.select("b", F.col("top").alias("from"), "low"), "b")
-        chains.append(checkpointed(within.where("conv_id = b and depth <= low").select("b", F.col("from").alias("top"), "depth", "bytes", "cum")))
+        chains.append(checkpointed(within.where("conv_id = b and depth <= low").select("b", F.col("from").alias("top"), "depth", "bytes", "cum", "low")))
         segments.append(seg)
         held = salted(members.drop("top"), seg.select("b", "top", "low"), "b")
         ends.append(checkpointed(held.where("len = low").select("b", "top", "conv_id")))
@@ -260,7 +260,7 @@ def _agreeing(rows: DataFrame, members: DataFrame, paths: DataFrame) -> DataFram
 def _upper(segments: DataFrame, chains: DataFrame, ends: DataFrame, small: DataFrame) -> DataFrame:
     """NODES of the large buckets: the chain of each, and sums of what lies below."""
     key = ["b", "top"]
-    lowest = chains.join(segments.select(*key, "low"), key).where("depth = low").select(*key, F.col("cum").alias("cum_low"))
+    lowest = chains.where("depth = low").select(*key, F.col("cum").alias("cum_low"))
     own = segments.join(lowest, key, "left").withColumn("cum_low", F.coalesce("cum_low", "cum"))
     own = checkpointed(own.withColumn("chain", (F.col("n") - 1) * (F.col("cum_low") - F.col("cum") + F.col("bytes"))))
     tops = small.where("is_top").select(F.col("parent_conv_id").alias("b"), F.col("of_top").alias("top"), "n_leaves", F.col("saved_tokens").alias("saved"))
