@@ -29,7 +29,9 @@ from quillmesh.llm.common import append_texts, id_text, map_texts, sha256
 #: Pieces of up to so many bytes are merged in groups; a wider piece has its own tree.
 GROUP_BYTES = 64
 #: Bytes of chunks and their ids that a task remembers, besides those of the texts at hand. Only speed depends on it.
-MEMO = 64 << 20
+MEMO = 24 << 20
+#: Characters of texts that are cut into chunks at a time.
+TOGETHER = 1 << 20
 #: A space beside other white space: there a text cannot be cut at its spaces.
 _UNEVEN_SPACE = re.compile(r" \s|\s ")
 NONE = np.int64(1) << 62
@@ -196,6 +198,17 @@ class Encoder:
             self.held += getsizeof(c) + getsizeof(ids) + 100
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; a few texts at a time, so that few chunks live at once."""
+        out, held, size = [], [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                out += self.encode_together(held)
+                held, size = [], 0
+        return out + self.encode_together(held)
+
+    def encode_together(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
             if not text.isascii():
