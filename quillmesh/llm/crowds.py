@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import checkpointed
-from quillmesh.operators.graph import components
+from quillmesh.operators.graph import components, joined_by_parts
+from quillmesh.operators.parallel import joined_to_few
 
 #: Members of a long group that all others are compared with first, about.
 HUBS = 32
@@ -42,7 +43,7 @@ def links(members: DataFrame, inside: Compare, across: Compare, fetch: Callable[
     """
     members = checkpointed(members)
     sizes = members.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.sum("load"))).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members"))
-    own = members.join(sizes.where("members > 1"), "grp")
+    own = joined_by_parts(members, sizes.where("members > 1"), "grp", "node")
     out = fetch(own.where("blocks = 1").select("grp", "node")).groupBy("grp").applyInArrow(lambda t: _linked(inside(t, None)), LINKS)
     long = own.where("blocks > 1")
     if long.isEmpty():
@@ -64,11 +65,11 @@ def _apart(long: DataFrame, roots: DataFrame, inside: Compare, across: Compare)
     named = long.join(roots.withColumnRenamed("root", "crowd"), "node", "left")
     # crowds that fill a task or more have blocks of their own; smaller ones, and members without, share the others
     large = named.where("crowd is not null").groupBy("grp", "crowd").agg(F.sum("load").alias("all")).where("all >= 1").select("grp", "crowd", F.lit(True).alias("large"))
-    named = named.join(large, ["grp", "crowd"], "left").withColumn("crowd", F.when(F.col("large"), F.col("crowd"))).drop("large")
+    named = joined_to_few(named, checkpointed(large), ["grp", "crowd"], "left").withColumn("crowd", F.when(F.col("large"), F.col("crowd"))).drop("large")
     parts = named.groupBy("grp", "crowd").agg(F.greatest(F.lit(1), F.ceil(F.sum("load"))).cast("int").alias("parts"))
     ranges = parts.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("crowd", "parts"))).alias("r"))
     first = F.transform("r", lambda x, i: F.struct(x["crowd"].alias("crowd"), F.aggregate(F.slice("r", F.lit(1), i), F.lit(0), lambda n, y: n + y["parts"]).alias("first"), x["parts"].alias("parts")))
-    placed = named.join(ranges.select("grp", first.alias("r")), "grp")
+    placed = joined_to_few(named, checkpointed(ranges.select("grp", first.alias("r"))), ["grp"])
     mine = F.filter("r", lambda x: x["crowd"].eqNullSafe(F.col("crowd")))[0]
     block = (mine["first"] + F.pmod(F.xxhash64("node"), mine["parts"])).cast("int")
     others = F.filter("r", lambda x: F.col("crowd").isNull() | ~x["crowd"].eqNullSafe(F.col("crowd")))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm import crowds, simhash
 from quillmesh.llm.common import checkpointed, id_text, map_texts
-from quillmesh.operators.graph import components
+from quillmesh.operators.graph import components, joined_by_parts
 from quillmesh.llm.fingerprint import _LOWER, majority
 from quillmesh.llm.grams import mix
 from quillmesh.llm.simhash import firsts, tree
@@ -107,11 +107,12 @@ def candidates(nodes: DataFrame) -> DataFrame:
     """(node, root) for the nodes that linked fingerprints or shared keys join to others."""
     own = nodes.select(F.col("print").alias("node"), "keys")
     first = components(stars(alike(nodes)).unionByName(stars(own.select("node", F.explode(F.slice("keys", 1, FIRST)).alias("key")))))
-    named = checkpointed(own.select("node").join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    named = checkpointed(own.select("node").join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked")))
     rest = own.join(named, "node").select(F.col("root").alias("node"), F.explode(F.slice("keys", FIRST + 1, BANDS)).alias("key")).distinct()
     last = components(stars(rest)).select(F.col("node").alias("root"), F.col("root").alias("last"))
-    ended = named.select("node", "root").join(last, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
-    return ended.join(ended.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root"), "root")
+    # one large group may hold a third of all nodes: they meet what its root became in parts
+    ended = joined_by_parts(named, last, "root", "node", "left")
+    return ended.where("linked or last is not null").select("node", F.coalesce("last", "root").alias("root"))
 
 
 def similar(sets: list[np.ndarray], hubs: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -168,8 +169,10 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def with_text(asked: DataFrame) -> DataFrame:
         texts = own.join(asked.join(of, "node"), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
-        # rows of one id and text count once; dealt out by group, they need not move again
-        return texts.select(*asked.columns, "text").repartition("grp").dropDuplicates(["grp", "node"])
+        texts = texts.select(*asked.columns, "text")
+        if "blocks" not in asked.columns:  # groups that a task holds: dealt out by group, they need not move again
+            texts = texts.repartition("grp")
+        return texts.dropDuplicates(["grp", "node"])  # rows of one id and text count once
 
     return crowds.links(members, _inside, _across, with_text)
 
