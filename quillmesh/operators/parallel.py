@@ -21,6 +21,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 0 < files < cores else df
 
 
+def over_cores(df: DataFrame) -> DataFrame:
+    """Checkpointed rows on as many partitions as there are cores, at least: few bytes may be much work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def few(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
     """The rows marked for every task, if they have been counted and are few; else as they are, for the planner to join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -3,7 +3,8 @@
 A window of pixels is a thin pyramid that begins at the camera. The cloud is tiled on several levels, each tile of one holding
 those of the next inside it; a window meets the coarsest tiles of its scan, then only the tiles inside those that its
 pyramid touches, and at last the points of the finest that are left. A tile is touched unless the ball around it lies outside
-one of the pyramid's planes, so no point is lost; points are projected for the windows of their own tile alone.
+one of the pyramid's planes, so no point is lost; points are projected for the windows of their own tile alone. Points of one
+place are one row with their number, and detections with one window ask once: work follows distinct places and windows.
 
 Cases: a detection whose window sees no point, or that has no box, camera or scan, has no anchor (null); points without a
 finite position are not seen; points at the picture's right or lower edge, on the window's border or within 0.3 m are outside;
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import geometry as g
 from quillmesh.operators.lineage import checkpointed
-from quillmesh.operators.parallel import few, joined_to_few
+from quillmesh.operators.parallel import few, joined_to_few, over_cores
 from quillmesh.operators.quantile import medians
 
 #: Sides of the tiles, in metres, each a whole multiple of the next. A scan's reach is a few of the first.
@@ -54,10 +55,10 @@ def planes() -> Column:
 
 
 def seen_points(points: DataFrame, detections: DataFrame, key: str = "id", sides: tuple[float, ...] = SIDES) -> DataFrame:
-    """key, x, y, z, depth of the points (scan, x, y, z) in the window of each detection (key, scan, camera, box)."""
+    """key, x, y, z, depth of the points (scan, x, y, z) in the window of each detection (key, scan, camera, box), with what else the points have."""
     finite = " and ".join(f"{a} is not null and abs({a}) < double('infinity')" for a in AXES)
-    finest = sides[-1]
-    own = points.where(f"scan is not null and {finite}").select("scan", *AXES, *[t.alias(f"t{a}") for t, a in zip(tile(finest, *map(F.col, AXES)), AXES, strict=True)])
+    finest, more = sides[-1], [c for c in points.columns if c not in ("scan", *AXES)]
+    own = points.where(f"scan is not null and {finite}").select("scan", *AXES, *more, *[t.alias(f"t{a}") for t, a in zip(tile(finest, *map(F.col, AXES)), AXES, strict=True)])
     filled = checkpointed(own.select("scan", *[f"t{a}" for a in AXES]).distinct())
     asked, at = checkpointed(windows(detections, key)), None
     for level, side in enumerate(sides):
@@ -77,7 +78,7 @@ def seen_points(points: DataFrame, detections: DataFrame, key: str = "id", sides
     near = own.join(few(at, FEW_TILES), ["scan", *[f"t{a}" for a in AXES]])
     px = near.withColumn("px", g.project(F.struct(*AXES), F.col("camera"), NEAREST))
     in_window = (F.abs(F.col("px.u") - F.col("mu")) < F.col("reach")) & (F.abs(F.col("px.v") - F.col("mv")) < F.col("reach"))
-    return px.where(g.in_frame(F.col("px"), F.col("camera.width"), F.col("camera.height")) & in_window).select(key, *AXES, F.col("px.depth").alias("depth"))
+    return px.where(g.in_frame(F.col("px"), F.col("camera.width"), F.col("camera.height")) & in_window).select(key, *AXES, *more, F.col("px.depth").alias("depth"))
 
 
 def front_surface(seen: DataFrame, by: list[str], depth: str = "depth") -> DataFrame:
@@ -88,7 +89,10 @@ def front_surface(seen: DataFrame, by: list[str], depth: str = "depth") -> DataF
 
 def anchors(points: DataFrame, detections: DataFrame, key: str = "id") -> DataFrame:
     """key, x, y, z (medians of the front surface, four digits; null where nothing is seen) and n, the points they rest on."""
-    front = checkpointed(front_surface(seen_points(points, detections, key), [key]))
-    middle = medians(front, [key], list(AXES)).join(front.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key)
-    out = detections.select(key).join(middle, key, "left")
+    view = ["scan", "camera", "box"]
+    places = over_cores(checkpointed(points.groupBy("scan", *AXES).agg(F.count(F.lit(1)).alias("n"))))
+    views = over_cores(checkpointed(detections.where(" and ".join(f"{c} is not null" for c in view)).groupBy(*view).agg(F.min(key).alias("_view"))))
+    front = over_cores(checkpointed(front_surface(checkpointed(seen_points(places, views, "_view")), ["_view"])))
+    middle = medians(front, ["_view"], list(AXES), weight="n").join(front.groupBy("_view").agg(F.sum("n").alias("n")), "_view")
+    out = detections.select(key, *view).join(views.join(middle, "_view"), view, "left")
     return out.select(key, *[F.round(a, 4).alias(a) for a in AXES], F.coalesce("n", F.lit(0)).alias("n"))
