@@ -46,13 +46,14 @@ def nearest(rows: DataFrame, targets: DataFrame, key: str, order: str = "id", by
     """rows with near (id) and dist of the nearest target, the one of the lowest `order` among equals; null without one.
     Rows and targets without a finite position have none, and are none.
 
-    Up to SMALL_ROWS targets go to every task as one array (one for each value of `by`), and each row takes the least over
-    its array: no row is made for a pair, and rows are not shuffled. More targets are searched in cells of growing size
-    until a found target is surely the nearest.
+    Targets of one place count once. Up to SMALL_ROWS of them go to every task as one array (one for each value of `by`), and each row takes the least over
+    its array: no row is made for a pair, and rows are not shuffled. More are searched in cells of growing size until a found
+    target is surely the nearest.
     """
     by = by or []
     finite = " and ".join(f"{k} is not null and abs({k}) < double('infinity')" for k in AXES)
-    have = targets.where(finite)
+    # of targets at one place the first is the nearest, so the others ask for no work
+    have = checkpointed(targets.where(finite).groupBy(*by, *AXES).agg(F.min(order).alias(order)))
     if have.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
         best = _nearest_by_cells(rows, have, key, order, by)
         return rows.join(best, rows[key] == best["_key"], "left").select(rows["*"], F.col("_best.near").alias("near"), F.col("_best.dist").alias("dist"))
@@ -72,7 +73,6 @@ def _nearest_by_cells(rows: DataFrame, have: DataFrame, key: str, order: str, by
     Cells grow fourfold until no row is left, so rounds follow the logarithm of the farthest distance.
     """
     finite = " and ".join(f"{k} is not null and abs({k}) < double('infinity')" for k in AXES)
-    have = have.where(finite)
     spread = have.agg(*[(F.max(k) - F.min(k)).alias(k) for k in AXES], F.count(F.lit(1)).alias("n")).first()
     widest = max(max(spread[k] or 0.0 for k in AXES), 1e-9)
     size = max(widest / max(1.0, spread["n"]) ** (1 / 3), widest / 2**10)

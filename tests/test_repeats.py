@@ -5,7 +5,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from quillmesh.operators import raycast
+from quillmesh.operators import raycast, spatial
 from quillmesh.operators.quantile import medians
 
 
@@ -29,3 +29,14 @@ def test_anchors_of_repeated_points_and_windows_make_no_pair_twice(spark, monkey
     got = raycast.anchors(points, dets).collect()
     assert len(got) == 300 and all((x.x, x.y, x.z, x.n) == (0.0, 0.0, -2.05, 400) for x in got)
     assert made == [2]
+
+
+def test_targets_of_one_place_count_once(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "SMALL_ROWS", 5)
+    monkeypatch.setattr(spatial, "_nearest_by_cells", lambda *_: pytest.fail("five places are few"))
+    targets = spark.range(1000).select((F.col("id") + 7).alias("id"), *[(F.col("id") % 5).cast("double").alias(a) for a in "xyz"])
+    rows = spark.range(50).select(F.col("id").alias("k"), *[(F.col("id") / 10).alias(a) for a in "xyz"])
+    got = {r.k: (r.near, round(r.dist, 6)) for r in spatial.nearest(rows, targets, "k").collect()}
+    for k in range(50):
+        dist, near = min((round(abs(k / 10 - p) * 3**0.5, 9), 7 + p) for p in range(5))
+        assert got[k] == (near, round(dist, 6))
