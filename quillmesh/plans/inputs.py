@@ -56,14 +56,14 @@ DETECTIONS = """detections AS (SELECT event_id AS id, event_type AS class, round
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rectangles of an image (an order) and class; scores differ within an image."""
+    """Rectangles of an image (an order) and class; scores differ within an image. They are grouped by the numbers that they are made of."""
     c = F.col
-    x0, y0 = (c("l_partkey") % 60 * 4).cast("double"), (c("l_suppkey") % 30 * 4).cast("double")
-    return table(spark, sf_dir, "lineitem").select(
-        c("l_orderkey").alias("image"), (c("l_linenumber") % 2).alias("class"), c("l_linenumber").alias("n"), c("l_partkey").alias("part"),
-        x0.alias("x0"), y0.alias("y0"), (x0 + 80 + c("l_quantity")).alias("x1"), (y0 + 60 + c("l_quantity")).alias("y1"),
+    own = table(spark, sf_dir, "lineitem").select(
+        c("l_orderkey").alias("image"), c("l_linenumber").alias("n"), c("l_partkey").alias("part"), (c("l_suppkey") % 30).cast("int").alias("s"), c("l_quantity").alias("q"),
         (c("l_discount") + c("l_tax") + 0.3).alias("score"),
-    ).groupBy("image", "class", "n", "part", "x0", "y0", "x1", "y1").agg(F.round(F.max("score"), 2).alias("score"))
+    ).groupBy("image", "n", "part", "s", "q").agg(F.round(F.max("score"), 2).alias("score"))
+    x0, y0 = (c("part") % 60 * 4).cast("double"), (c("s") * 4).cast("double")
+    return own.select("image", (c("n") % 2).alias("class"), "n", "part", x0.alias("x0"), y0.alias("y0"), (x0 + 80 + c("q")).alias("x1"), (y0 + 60 + c("q")).alias("y1"), "score")
 
 
 BOXES = """boxes AS (SELECT image, class, n, part, x0, y0, x0 + 80 + q AS x1, y0 + 60 + q AS y1, round(max(s), 2) AS score FROM (
