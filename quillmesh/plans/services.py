@@ -194,7 +194,7 @@ def api_ask(spark, sf_dir):
     below = composites.devices(spark, sf_dir).where("tag_id is not null").select(c("tag_id").alias("id"), "class").distinct().join(F.broadcast(kinds(spark)), "class").select("id", "model")
     models = tag_models(spark, sf_dir).where("id % 2 = 0").unionByName(below.where("id % 5 > 0")).distinct().join(F.broadcast(languages), "model").select(c("id").alias("tag"), "lang").distinct()
     of_tag = asked.join(models, "tag").select(c("item_id").alias("question"), "lang")
-    allowed = of_tag.join(docs.select(c("model").alias("lang"), "document"), "lang").select("question", "document")
+    allowed = of_tag.select("question", c("lang").alias("model"))
     found = fulltext.search(docs, asked, "doc_id", "item_id", 5, stemmed=True, allowed=allowed)
     passages = found.join(docs.select(c("doc_id").alias("chunk"), "document", "model", "section", "text"), "chunk")
     link = F.concat(F.lit("/documents/"), "document", F.lit("/file#page=1"))
