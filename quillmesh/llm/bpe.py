@@ -4,7 +4,7 @@ A piece's bytes are the leaves of a segment tree. A leaf holds rank * width + po
 (no live pair: a value above all others), an inner node the minimum of its children, so the root is the leftmost pair of
 the lowest rank. A merge changes at most three leaves (the merged part, the part it swallows, the live part before it),
 each with a logarithmic walk to the root. Many short pieces of one width are merged together, a step of each at a time,
-with numpy; a long piece has a tree of its own.
+with numpy, which takes all minima of a level anew at once; a long piece has a tree of its own, and walks.
 
 Cases: a null or empty text has no ids and decodes to nothing; lone surrogates become U+FFFD as the library does; ties of
 rank go to the leftmost pair; repeated rows give repeated results; an empty table gives an empty result. `encoded` reads no
@@ -34,7 +34,10 @@ MEMO = 24 << 20
 TOGETHER = 1 << 20
 #: A space beside other white space: there a text cannot be cut at its spaces.
 _UNEVEN_SPACE = re.compile(r" \s|\s ")
+#: A word of common letters, and what ends it without being part of it.
+_WORD, _STOPS = re.compile(" ?[A-Za-zªµºÀ-ÖØ-öø-ˁ]+"), ".,;:!?"
 NONE = np.int64(1) << 62
+FAR = np.int32(2**31 - 1)
 
 
 class Vocabulary:
@@ -51,14 +54,39 @@ class Vocabulary:
             for cut in range(1, len(token))
             if (left := self.ranks.get(token[:cut])) is not None and (right := self.ranks.get(token[cut:])) is not None
         }
-        self.pair_keys = np.array(sorted(self.pairs), np.int64)
-        self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys.tolist()], np.int64)
+        self._fill(np.array(list(self.pairs), np.int64), np.array(list(self.pairs.values()), np.int32))
+
+    def _fill(self, keys: np.ndarray, ranks: np.ndarray) -> None:
+        """The pairs in a table of four places each or more; a pair whose place is taken goes to the next free one."""
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.pair_keys, self.pair_ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        at = self._places(keys)
+        while len(keys):
+            _, one = np.unique(at, return_index=True)
+            one = one[self.pair_keys[at[one]] < 0]
+            self.pair_keys[at[one]], self.pair_ranks[at[one]] = keys[one], ranks[one]
+            keys, ranks, at = np.delete(keys, one), np.delete(ranks, one), self._next(np.delete(at, one))
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def _next(self, at: np.ndarray) -> np.ndarray:
+        return (at + 1) & ((1 << self.bits) - 1)
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair's concatenation, or -1. An id below 0 has no pair."""
-        key = (left << 32) | right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where((self.pair_keys[at] == key) & (left >= 0) & (right >= 0), self.pair_ranks[at], -1)
+        keys = ((left.astype(np.int64) << 32) | right).ravel()
+        at = self._places(keys)
+        there = self.pair_keys.take(at)
+        out = np.where(there == keys, self.pair_ranks.take(at), np.int32(-1))
+        on = np.flatnonzero((there != keys) & (there >= 0))
+        while len(on):
+            at[on] = self._next(at[on])
+            there = self.pair_keys.take(at[on])
+            hit = there == keys[on]
+            out[on[hit]] = self.pair_ranks.take(at[on[hit]])
+            on = on[~hit & (there >= 0)]
+        return out.reshape(left.shape)
 
 
 @lru_cache(maxsize=2)
@@ -67,52 +95,56 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def merge_group(pieces: list[bytes], width: int, v: Vocabulary) -> list[bytes]:
-    """Ids of pieces of at most `width` bytes, a power of two, as little-endian 32-bit integers."""
-    m = len(pieces)
-    size = np.array([len(p) for p in pieces])
-    raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(m, width)
-    alive = np.arange(width)[None, :] < size[:, None]
-    part = np.full((m, width + 1), -1, np.int64)  # the last column stands for "no neighbour"
-    part[:, :width][alive] = v.byte_ids[raw[alive]]
-    after = np.minimum(np.arange(1, width + 1)[None, :].repeat(m, 0), size[:, None])
-    after[after == size[:, None]] = width
-    before = np.arange(-1, width)[None, :].repeat(m, 0)  # -1 is the last column as well
-    tree = np.full((m, 2 * width), NONE, np.int64)
-    rank = v.merged(part[:, :width], part[:, 1 : width + 1])
-    tree[:, width:] = np.where(rank >= 0, rank * width + np.arange(width), NONE)
-    for node in range(width - 1, 0, -1):
-        tree[:, node] = np.minimum(tree[:, 2 * node], tree[:, 2 * node + 1])
-    rows = np.flatnonzero(tree[:, 1] < NONE)
-    while len(rows):
-        top = tree[rows, 1]
-        at, rank = top % width, top // width
-        gone = after[rows, at]
-        part[rows, at], part[rows, gone] = rank, -1
-        right = after[rows, gone] if width > 1 else gone
-        after[rows, at] = right
-        inner = right < width
-        before[rows[inner], right[inner]] = at[inner]
-        left = before[rows, at]
-        new_right = v.merged(part[rows, at], part[rows, right])
-        new_left = v.merged(part[rows, left], part[rows, at])
-        has_left = left >= 0
-        _update(tree, rows, at, np.where(new_right >= 0, new_right * width + at, NONE), width)
-        _update(tree, rows, gone, np.full(len(rows), NONE), width)
-        r, x = rows[has_left], left[has_left]
-        _update(tree, r, x, np.where(new_left[has_left] >= 0, new_left[has_left] * width + x, NONE), width)
-        rows = rows[tree[rows, 1] < NONE]
-    live = part[:, :width] >= 0
-    flat, ends = part[:, :width][live].astype("<u4").tobytes(), 4 * np.cumsum(live.sum(1))
-    return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-
+    """Ids of pieces of at most `width` bytes, a power of two, as little-endian 32-bit integers.
 
-def _update(tree: np.ndarray, rows: np.ndarray, leaf: np.ndarray, value: np.ndarray, width: int) -> None:
-    node = leaf + width
-    tree[rows, node] = value
-    while width > 1:
-        node = node >> 1
-        tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
-        width >>= 1
+    Row k of an array holds node, or position, k of every piece, so a level of all trees is the minimum of two blocks of rows.
+    The row after the last position stands for "no neighbour"; pieces that are done are left out when half are.
+    """
+    m, shift = len(pieces), width.bit_length() - 1
+    size = np.array([len(p) for p in pieces], np.int32)
+    raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(m, width).T
+    place = np.arange(width, dtype=np.int32)[:, None]
+    part = np.full((width + 1, m), -1, np.int32)
+    part[:width] = np.where(place < size, v.byte_ids[raw], -1)
+    after = np.where(place + 1 < size, place + 1, np.int32(width))
+    before = np.repeat(np.arange(-1, width, dtype=np.int32)[:, None], m, 1)  # the last row is never read
+    before[0] = width
+    tree = np.full((2 * width + 1, m), FAR, np.int32)
+    rank = v.merged(part[:width], part[1:])
+    tree[width : 2 * width] = np.where(rank >= 0, rank * np.int32(width) + place, FAR)
+    done, own = np.full((m, width), -1, np.int32), np.arange(m)
+    while True:
+        half = width
+        while half > 1:
+            half >>= 1
+            np.minimum(tree[2 * half : 4 * half : 2], tree[2 * half + 1 : 4 * half : 2], out=tree[half : 2 * half])
+        column = np.flatnonzero(tree[1] < FAR)
+        if 2 * len(column) <= len(own):
+            done[own] = part[:width].T
+            if not len(column):
+                break
+            own, part, after, before, tree = own[column], *(x.take(column, 1) for x in (part, after, before, tree))
+            column = np.arange(len(own))
+        n, top = len(own), tree[1, column]
+        flat_part, flat_after, flat_before, flat_tree = part.reshape(-1), after.reshape(-1), before.reshape(-1), tree.reshape(-1)
+        rank, at = top >> shift, (top & np.int32(width - 1)) * n + column
+        gone = flat_after[at] * n + column
+        flat_part[at], flat_part[gone] = rank, -1
+        right = flat_after[gone]
+        flat_after[at] = right
+        right = right * n + column
+        flat_before[right] = at // n
+        left = flat_before[at]
+        left_at = left * n + column
+        new = v.merged(np.concatenate([rank, flat_part[left_at]]), np.concatenate([flat_part[right], rank]))
+        new_right, new_left = new[: len(column)], new[len(column) :]
+        leaf = width * n
+        flat_tree[gone + leaf] = FAR
+        flat_tree[at + leaf] = np.where(new_right >= 0, new_right * np.int32(width) + (top & np.int32(width - 1)), FAR)
+        flat_tree[left_at + leaf] = np.where(new_left >= 0, new_left * np.int32(width) + left, FAR)
+    live = done >= 0
+    flat, ends = done[live].astype("<u4").tobytes(), 4 * np.cumsum(live.sum(1))
+    return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 def merge_one(piece: bytes, v: Vocabulary) -> bytes:
@@ -121,7 +153,7 @@ def merge_one(piece: bytes, v: Vocabulary) -> bytes:
     width = 1 << max(1, (n - 1).bit_length())
     none, pairs = int(NONE), v.pairs
     ids = v.byte_ids[np.frombuffer(piece, np.uint8)]
-    rank = v.merged(ids[:-1], ids[1:])
+    rank = v.merged(ids[:-1], ids[1:]).astype(np.int64)
     filled = np.full(2 * width, NONE, np.int64)
     filled[width : width + n - 1] = np.where(rank >= 0, rank * width + np.arange(n - 1), NONE)
     half = width
@@ -164,7 +196,9 @@ class Encoder:
     """Texts to ids (little-endian 32-bit integers) and back."""
 
     def __init__(self, path: str, pattern: str, memo: int = MEMO):
-        self.v, self.pattern, self.memo, self.held, self.most = vocabulary(path), regex.compile(pattern), {}, 0, memo
+        self.v, self.pattern, self.most = vocabulary(path), regex.compile(pattern), memo
+        #: Chunks asked for since the last time that it was full, and those of the time before; bytes of the former and of both.
+        self.memo, self.older, self.young, self.held = {}, {}, 0, 0
         self.own_pattern = pattern == public_tokenizers.PATTERN
 
     def chunks(self, text: str) -> list[str]:
@@ -178,24 +212,57 @@ class Encoder:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
+    def word(self, chunk: str) -> str:
+        """The usual word that a chunk is, but for stops after it; both are pieces of the usual pattern. Empty: the pattern has to cut it."""
+        word = chunk.rstrip(_STOPS) if self.own_pattern else ""
+        return word if _WORD.fullmatch(word) else ""
+
     def learn(self, chunks: set[str]) -> None:
-        cut = {c: [p.encode("utf-8", "surrogatepass") for p in self.pattern.findall(c)] for c in chunks}
-        done: dict[bytes, bytes] = {}
-        groups: dict[int, list[bytes]] = {}
-        for piece in {p for pieces in cut.values() for p in pieces}:
+        words: dict[str, str] = {}
+        cut: dict[str, list[str]] = {}
+        new: set[str] = set()
+        for c in chunks:  # no list for a chunk that is a word: there are very many
+            word = self.word(c)
+            if not word:
+                cut[c] = self.pattern.findall(c)
+                new.update(cut[c])
+            else:
+                new.add(word)
+                if len(word) < len(c):
+                    words[c] = word
+                    new.add(c[len(word) :])
+        done: dict[str, bytes] = {}
+        groups: dict[int, list[str]] = {}
+        for text in new:
+            known = self.own_pattern and (self.memo.get(text) or self.older.get(text))
+            if known:  # a piece is a chunk as well
+                done[text] = known
+                continue
+            piece = text.encode("utf-8", "surrogatepass")
             whole = self.v.ranks.get(piece)
             if whole is not None:
-                done[piece] = whole.to_bytes(4, "little")
+                done[text] = whole.to_bytes(4, "little")
             elif len(piece) > GROUP_BYTES:
-                done[piece] = merge_one(piece, self.v)
+                done[text] = merge_one(piece, self.v)
+            else:
+                groups.setdefault(1 << (len(piece) - 1).bit_length(), []).append(text)
+        for width, texts in groups.items():
+            for i in range(0, len(texts), 8192):
+                part = texts[i : i + 8192]
+                done.update(zip(part, merge_group([t.encode("utf-8", "surrogatepass") for t in part], width, self.v), strict=True))
+        for c in chunks:
+            if c in cut:
+                self.remember(c, b"".join([done[p] for p in cut[c]]))
+            elif c in words:
+                self.remember(c, done[words[c]] + done[c[len(words[c]) :]])
             else:
-                groups.setdefault(1 << (len(piece) - 1).bit_length(), []).append(piece)
-        for width, pieces in groups.items():
-            for i in range(0, len(pieces), 8192):
-                done.update(zip(pieces[i : i + 8192], merge_group(pieces[i : i + 8192], width, self.v), strict=True))
-        for c, pieces in cut.items():
-            self.memo[c] = ids = b"".join([done[p] for p in pieces])
-            self.held += getsizeof(c) + getsizeof(ids) + 100
+                self.remember(c, done[c])
+
+    def remember(self, chunk: str, ids: bytes) -> None:
+        size = getsizeof(chunk) + getsizeof(ids) + 100
+        self.memo[chunk] = ids
+        self.young += size
+        self.held += size
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; a few texts at a time, so that few chunks live at once."""
@@ -214,12 +281,17 @@ class Encoder:
             if not text.isascii():
                 text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
             out.append(self.chunks(text))
-        new = set().union(*out) if out else set()
-        if missing := {c for c in new if c not in self.memo}:
+        missing = set().union(*out).difference(self.memo) if out else set()
+        if back := missing.intersection(self.older):
+            for c in back:
+                self.remember(c, self.older[c])
+            missing -= back
+        if missing:
             self.learn(missing)
         coded = [b"".join(map(self.memo.__getitem__, chunks)) for chunks in out]
-        if self.held > self.most:
-            self.memo, self.held = {}, 0
+        if self.young > self.most // 2 or self.held > self.most:  # what was asked for since the last time stays, the rest goes
+            self.older, self.held = (self.memo, self.young) if self.young <= self.most else ({}, 0)
+            self.memo, self.young = {}, 0
         return coded
 
     def decode(self, ids: bytes) -> bytes:

@@ -81,6 +81,27 @@ def test_bpe_of_a_very_long_piece(encoder, library):
     assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
 
 
+def test_bpe_plain_words_are_the_patterns_pieces(encoder):
+    r = random.Random(4)
+    letters = regex.compile(r"\p{L}")
+    assert all(bool(bpe._WORD.fullmatch(c)) <= bool(letters.fullmatch(c)) for c in map(chr, range(0x110000)))
+    words = ["".join(r.choice(" aébZßʰ.,;:!?'0-\n中\u0301") for _ in range(r.randint(1, 7))) for _ in range(20_000)]
+    plain = [(w, p) for w in words if (p := encoder.word(w))]
+    assert len(plain) > 500 and all([x for x in (p, w[len(p) :]) if x] == encoder.pattern.findall(w) for w, p in plain)
+
+
+def test_bpe_merges_a_usual_words_pieces_once(monkeypatch):
+    """A word is merged once, whatever stops follow it, and is still known after many words that occur once."""
+    encoder, merged, plain = bpe.Encoder(PATH, public_tokenizers.PATTERN, memo=40_000), [], bpe.merge_group
+    monkeypatch.setattr(bpe, "merge_group", lambda pieces, width, v: merged.extend(pieces) or plain(pieces, width, v))
+    fresh = bpe.Encoder(PATH, public_tokenizers.PATTERN)
+    for k in range(30):
+        text = "a zqusualxword zqusualxword" + ".,;:!?"[k % 6] + "".join(f" q{chr(97 + k % 26)}{chr(97 + j % 26)}zx{chr(97 + j // 26)}{chr(97 + k // 26)}" for j in range(60))
+        assert encoder.encode([text]) == fresh.encode([text])
+        assert encoder.held <= 40_000
+    assert merged.count(b" zqusualxword") <= 2  # once by either encoder
+
+
 def test_bpe_forgets_without_changing(sf):
     small = bpe.Encoder(PATH, public_tokenizers.PATTERN, memo=50)
     texts = documents(sf)["text"][:40]
