@@ -35,8 +35,8 @@ KINDS = ("email", "ip", "card", "phone")
 LENGTH, STRIDE, TRAINED = 1024, 960, 96
 #: Least log-odds of a predicted span, transitions included, over leaving its characters outside.
 LEAST_ODDS = 3.0
-#: Windows that are run together.
-BATCH = 256
+#: Windows that are run together, and steps whose states are held.
+BATCH, STEPS = 256, 32
 
 # A match that fails at the start of a run of its characters fails in all of the run, so runs are taken whole: an address
 # begins where a run does, or where the last match ended.
@@ -224,28 +224,34 @@ class Tagger:
         turns = np.ascontiguousarray((self.p["u"] * scale).reshape(2, h, 4, h).transpose(2, 0, 1, 3))
         both = (np.stack([x.T, x.T[::-1]], 1).astype(np.intp) + np.array([0, N_CLASSES])[:, None]).reshape(length, 2 * n)
         cell, lit = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
-        states, z, turned = np.empty((length, 2, n, h), np.float32), np.empty((4, 2, n, h), np.float32), np.empty((4, 2, n, h), np.float32)
+        # states of few steps are held: they go into the scores while they are near
+        states, z, turned = np.zeros((STEPS + 1, 2, n, h), np.float32), np.empty((4, 2, n, h), np.float32), np.empty((4, 2, n, h), np.float32)
         flat, (i, f, o, new) = z.reshape(4, 2 * n, h), z
+        v, out = np.ascontiguousarray(self.p["v"].transpose(0, 2, 1)), np.empty((length, TAGS, n), np.float32)
+        out[:] = self.p["b"][:, None]
         with np.errstate(over="ignore"):
-            for t in range(length):
-                np.take(inputs, both[t], axis=1, out=flat, mode="clip")
-                if t:
-                    np.matmul(states[t - 1], turns, out=turned)
+            for start in range(0, length, STEPS):
+                m = min(STEPS, length - start)
+                for k in range(m):
+                    inputs.take(both[start + k], axis=1, out=flat, mode="clip")
+                    np.matmul(states[k], turns, out=turned)
                     z += turned
-                np.exp(z, out=z)
-                z += 1
-                cell /= f
-                np.divide(-4, new, out=new)
-                new += 2
-                new /= i
-                cell += new
-                np.exp(cell, out=lit)
-                lit += 1
-                np.divide(2, lit, out=lit)
-                lit -= 1
-                np.divide(lit, o, out=states[t])
-        v = self.p["v"]
-        return states[:, 0] @ v[0] + states[::-1, 1] @ v[1] + self.p["b"]
+                    np.exp(z, out=z)
+                    z += 1
+                    cell /= f
+                    np.divide(-4, new, out=new)
+                    new += 2
+                    new /= i
+                    cell += new
+                    np.exp(cell, out=lit)
+                    lit += 1
+                    np.divide(2, lit, out=lit)
+                    lit -= 1
+                    np.divide(lit, o, out=states[k + 1])
+                out[start : start + m] += v[0] @ states[1 : m + 1, 0].transpose(0, 2, 1)
+                out[length - start - m : length - start] += (v[1] @ states[1 : m + 1, 1].transpose(0, 2, 1))[::-1]
+                states[0] = states[m]
+        return out.transpose(0, 2, 1)
 
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood a character, and its gradients."""
@@ -288,22 +294,35 @@ class Tagger:
             d_state, d_cell = np.matmul(dz, self.p["u"].transpose(0, 2, 1)), dc * f
         return float((log_z - gold) / size), g
 
-    def most_gain(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What the best span of each window (time, batch, tags) can gain over "outside", at most: a whole one, and one that goes on at its end."""
+    def most_gain(self, scores: np.ndarray, sizes: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """What the best span of each window (time, batch, tags) can gain over "outside", at most: a whole one, and one that goes on at its end.
+
+        Windows that are shorter than the batch end at their sizes; nothing is a span beyond.
+        """
         t, begin, inside = self.p["t"] - self.p["t"][0, 0], np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
-        over = np.ascontiguousarray((scores[:, :, 1:] - scores[:, :, :1]).transpose(0, 2, 1)).reshape(len(scores), len(KINDS), 2, -1)
-        enter = t[:, begin].max(0)[:, None]
-        stay = np.maximum(t[begin, inside], t[inside, inside])[:, None]
+        length, n, _ = scores.shape
+        own = scores.transpose(0, 2, 1)
+        enter = t[:, begin].max(0)
+        stay = np.maximum(t[begin, inside], t[inside, inside])
         outside = np.r_[0, begin]
         leave = np.maximum(t[begin][:, outside].max(1), t[inside][:, outside].max(1))[:, None]
-        begins, stays = over[:, :, 0] + enter, over[:, :, 1] + stay
-        gain = begins[0].copy()
-        most = gain.copy()
-        for k in range(1, len(scores)):
-            gain += stays[k]
-            np.maximum(gain, begins[k], out=gain)
-            np.maximum(most, gain, out=most)
-        return (most + leave).max(0), gain.max(0)
+        over = own[:, 1:] - own[:, :1]
+        over += np.stack([enter, stay], 1).reshape(-1, 1)
+        ends: dict[int, list[int]] = {}
+        for k, size in enumerate([length] * n if sizes is None else sizes):
+            ends.setdefault(size, []).append(k)
+            over[size:, :, k] = -1e4
+        over = over.reshape(length, len(KINDS), 2, n)
+        begins, stays = over[:, :, 0], over[:, :, 1]
+        gain, most, cut = begins[0].copy(), begins[0].copy(), np.empty(n, np.float32)
+        for k in range(length):
+            if k:
+                gain += stays[k]
+                np.maximum(gain, begins[k], out=gain)
+                np.maximum(most, gain, out=most)
+            if k + 1 in ends:
+                cut[ends[k + 1]] = gain[:, ends[k + 1]].max(0)
+        return (most + leave).max(0), cut
 
     def viterbi(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best tags of each window (batch, time), and each character's log-odds over "outside", with the step to it."""
@@ -419,7 +438,7 @@ def predicted(texts: list[str], model: Tagger) -> list[list[tuple[int, int, str]
                 c = coded[n][a : a + LENGTH]
                 x[k, : len(c)] = c
             scores = model.scores(x)
-            whole, cut = model.most_gain(scores)
+            whole, cut = model.most_gain(scores, [min(LENGTH, len(coded[n]) - a) for n, a in part])
             held += [(*part[k], scores[: len(coded[part[k][0]]) - part[k][1], k].copy()) for k in np.flatnonzero((whole >= least) | (cut >= least / 2)).tolist()]
             if len(held) >= BATCH:
                 decode(held)

@@ -552,6 +552,19 @@ def test_every_window_is_run(monkeypatch):
     assert sum(int((x != pii.PAD).sum()) for x in seen) >= sum(map(len, texts))
 
 
+def test_nothing_beyond_a_short_window_is_decoded(monkeypatch):
+    """What the network makes of the padding of a shorter window is no reason to decode it, and a span at its own end is one."""
+    model, decoded, plain = pii.tagger(), [], pii.Tagger.viterbi
+    words = "the words of an ordinary line go on and on " * 24
+    texts = [words[:n] for n in range(40, 1000, 5)]
+    monkeypatch.setattr(pii.Tagger, "viterbi", lambda self, scores: decoded.append(scores.shape[1]) or plain(self, scores))
+    assert pii.predicted(texts, model) == [[]] * len(texts) and sum(decoded) <= len(texts) // 20, sum(decoded)
+    ends = [words[:n] + tail for n in range(40, 1000, 9) for tail in (" (202) 555-0143", " 4111.1111.1111.1111", " anna at mail dot com")]
+    found = pii.predicted(ends, model)
+    monkeypatch.setattr(pii.Tagger, "most_gain", lambda self, scores, *_: (np.full(scores.shape[1], np.inf),) * 2)
+    assert sum(map(bool, found)) > 200 and found == pii.predicted(ends, model)  # as when every window is decoded
+
+
 def test_scores_and_bounds_of_the_network():
     model, (text, _) = pii.tagger(), pii.labelled_text(5, 400)
     c = pii.classes(text)
