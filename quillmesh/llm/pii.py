@@ -23,6 +23,7 @@ import os
 import random
 import re
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,8 +36,8 @@ KINDS = ("email", "ip", "card", "phone")
 LENGTH, STRIDE, TRAINED = 1024, 960, 96
 #: Least log-odds of a predicted span, transitions included, over leaving its characters outside.
 LEAST_ODDS = 3.0
-#: Windows that are run together, and steps whose states are held.
-BATCH, STEPS = 256, 32
+#: Rows of windows that are run together, windows that are decoded together, and steps whose states are held.
+ROWS, BATCH, STEPS = 768, 256, 16
 
 # A match that fails at the start of a run of its characters fails in all of the run, so runs are taken whole: an address
 # begins where a run does, or where the last match ended.
@@ -52,6 +53,7 @@ _OWN = "abcdefghijklmnopqrstuvwxyz @.+-()/:=\"',_[]#\n"
 _CLASS = {c: i + 4 for i, c in enumerate(_OWN)}
 PAD, DIGIT, LETTER, OTHER = range(4)
 N_CLASSES = len(_OWN) + 4
+_SMALLER = (0x212A,)  # the sign of Kelvin: beyond ASCII, it alone has a small form in it
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 
 
@@ -85,11 +87,11 @@ def ordered(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 @lru_cache(maxsize=1)
 def _class_table() -> np.ndarray:
     """The class of every code point; a letter has that of its small form."""
-    def one(c: str) -> int:
-        low = c.lower()
-        return _CLASS.get(low) or (DIGIT if "0" <= c <= "9" else LETTER if c.isalpha() else OTHER)
-
-    return np.array([one(chr(i)) for i in range(0x110000)], np.uint8)
+    out = np.where(np.char.isalpha(np.arange(0x110000, dtype="<u4").view("<U1")), LETTER, OTHER).astype(np.uint8)
+    out[ord("0") : ord("9") + 1] = DIGIT
+    for c, k in _CLASS.items():
+        out[[i for i in (ord(c), ord(c.upper()), *_SMALLER) if chr(i).lower() == c]] = k
+    return out
 
 
 def classes(text: str) -> np.ndarray:
@@ -177,6 +179,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def _aligned(*shape: int) -> np.ndarray:
+    """Zeros from the start of a cache line on, for arrays that every step goes through."""
+    size = 4 * int(np.prod(shape))
+    raw = np.zeros(size + 64, np.uint8)
+    at = -raw.ctypes.data % 64
+    return raw[at : at + size].view(np.float32).reshape(shape)
+
+
 class Tagger:
     """Both directions run as one batch: axis 0 of the recurrent weights is the direction."""
 
@@ -216,24 +226,27 @@ class Tagger:
 
         With e = exp(-x), a sigmoid is 1 / (1 + e), and with e = exp(-2 x), tanh is 2 / (1 + e) - 1; where e is infinite, both
         are at their limits. Gates stay as their denominators 1 + e, and cells are kept times -2, as their exp needs them.
+        A padding takes nothing in and forgets all: it leaves the states from which windows start, in both directions, so
+        windows with one between them may share a row, and what fills a row up has no part in them. It is outside.
         """
         h, (n, length) = self.h, x.shape
         scale = np.full(4 * h, -1, np.float32)
         scale[3 * h :] = -2
         inputs = np.ascontiguousarray((self.p["x"] * scale).reshape(2 * N_CLASSES, 4, h).transpose(1, 0, 2))
+        inputs[:2, [PAD, N_CLASSES + PAD]] = np.inf
         turns = np.ascontiguousarray((self.p["u"] * scale).reshape(2, h, 4, h).transpose(2, 0, 1, 3))
-        both = (np.stack([x.T, x.T[::-1]], 1).astype(np.intp) + np.array([0, N_CLASSES])[:, None]).reshape(length, 2 * n)
-        cell, lit = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
+        both = np.stack([x.T, x.T[::-1] + np.uint8(N_CLASSES)], 1).reshape(length, 2 * n)
+        cell, lit = _aligned(2, n, h), _aligned(2, n, h)
         # states of few steps are held: they go into the scores while they are near
-        states, z, turned = np.zeros((STEPS + 1, 2, n, h), np.float32), np.empty((4, 2, n, h), np.float32), np.empty((4, 2, n, h), np.float32)
+        states, z, turned = _aligned(STEPS + 1, 2, n, h), _aligned(4, 2, n, h), _aligned(4, 2, n, h)
         flat, (i, f, o, new) = z.reshape(4, 2 * n, h), z
         v, out = np.ascontiguousarray(self.p["v"].transpose(0, 2, 1)), np.empty((length, TAGS, n), np.float32)
         out[:] = self.p["b"][:, None]
         with np.errstate(over="ignore"):
             for start in range(0, length, STEPS):
-                m = min(STEPS, length - start)
+                m, rows = min(STEPS, length - start), both[start : start + STEPS].astype(np.intp)
                 for k in range(m):
-                    inputs.take(both[start + k], axis=1, out=flat, mode="clip")
+                    inputs.take(rows[k], axis=1, out=flat, mode="clip")
                     np.matmul(states[k], turns, out=turned)
                     z += turned
                     np.exp(z, out=z)
@@ -251,7 +264,9 @@ class Tagger:
                 out[start : start + m] += v[0] @ states[1 : m + 1, 0].transpose(0, 2, 1)
                 out[length - start - m : length - start] += (v[1] @ states[1 : m + 1, 1].transpose(0, 2, 1))[::-1]
                 states[0] = states[m]
-        return out.transpose(0, 2, 1)
+        out = out.transpose(0, 2, 1)
+        out[x.T == PAD] = [0] + [-1e4] * (TAGS - 1)
+        return out
 
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood a character, and its gradients."""
@@ -294,11 +309,8 @@ class Tagger:
             d_state, d_cell = np.matmul(dz, self.p["u"].transpose(0, 2, 1)), dc * f
         return float((log_z - gold) / size), g
 
-    def most_gain(self, scores: np.ndarray, sizes: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """What the best span of each window (time, batch, tags) can gain over "outside", at most: a whole one, and one that goes on at its end.
-
-        Windows that are shorter than the batch end at their sizes; nothing is a span beyond.
-        """
+    def most_gain(self, scores: np.ndarray, ends: list[list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """What the best span of each row (time, row, tags) can gain over "outside", at most: a whole one, and one that goes on at the end of a window."""
         t, begin, inside = self.p["t"] - self.p["t"][0, 0], np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
         length, n, _ = scores.shape
         own = scores.transpose(0, 2, 1)
@@ -306,22 +318,22 @@ class Tagger:
         stay = np.maximum(t[begin, inside], t[inside, inside])
         outside = np.r_[0, begin]
         leave = np.maximum(t[begin][:, outside].max(1), t[inside][:, outside].max(1))[:, None]
-        over = own[:, 1:] - own[:, :1]
-        over += np.stack([enter, stay], 1).reshape(-1, 1)
-        ends: dict[int, list[int]] = {}
-        for k, size in enumerate([length] * n if sizes is None else sizes):
-            ends.setdefault(size, []).append(k)
-            over[size:, :, k] = -1e4
-        over = over.reshape(length, len(KINDS), 2, n)
-        begins, stays = over[:, :, 0], over[:, :, 1]
-        gain, most, cut = begins[0].copy(), begins[0].copy(), np.empty(n, np.float32)
-        for k in range(length):
-            if k:
-                gain += stays[k]
-                np.maximum(gain, begins[k], out=gain)
+        step = np.stack([enter, stay], 1).reshape(-1, 1)
+        at: dict[int, list[int]] = {}
+        for row, its in enumerate([[length]] * n if ends is None else ends):
+            for end in its:
+                at.setdefault(end, []).append(row)
+        gain, most, cut = (np.full((*shape, n), -np.inf, np.float32) for shape in ((len(KINDS),), (len(KINDS),), ()))
+        for start in range(0, length, STEPS):
+            over = own[start : start + STEPS, 1:] - own[start : start + STEPS, :1]
+            over += step
+            over = over.reshape(-1, len(KINDS), 2, n)
+            for k, (begins, stays) in enumerate(zip(over[:, :, 0], over[:, :, 1], strict=True), start + 1):
+                gain += stays
+                np.maximum(gain, begins, out=gain)
                 np.maximum(most, gain, out=most)
-            if k + 1 in ends:
-                cut[ends[k + 1]] = gain[:, ends[k + 1]].max(0)
+                if k in at:
+                    cut[at[k]] = np.maximum(cut[at[k]], gain[:, at[k]].max(0))
         return (most + leave).max(0), cut
 
     def viterbi(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -412,44 +424,79 @@ def reconcile(spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int,
     return out[::-1]
 
 
+def in_rows(sizes: list[int]) -> list[list[int]]:
+    """Windows of these sizes in rows of about one length, with a padding between two: the largest that is left, and the smallest beside it.
+
+    A row is no longer than need be for ROWS of them, as each of its characters is a step.
+    """
+    order, rows = sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True), []
+    room = max(sizes[order[0]], min(LENGTH, sum(sizes) // ROWS + 1)) if order else 0
+    first, last = 0, len(order)
+    while first < last:
+        row, left = [order[first]], room - sizes[order[first]]
+        first += 1
+        while first < last and (need := sizes[order[last - 1]] + 1) <= left:
+            last, left = last - 1, left - need
+            row.append(order[last])
+        rows.append(row)
+    return rows
+
+
 def predicted(texts: list[str], model: Tagger) -> list[list[tuple[int, int, str]]]:
     """Spans that the network finds in whole texts."""
     coded = [classes(t) for t in texts]
     parts: dict[tuple[int, int], list[tuple[int, int, int, float, bool, bool]]] = {}
 
+    def beside(held: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
+        """Scores of windows as one array. After a short window comes outside, whichever windows it is with; a whole one may go on."""
+        scores = np.full((min(LENGTH, max(len(s) for *_, s in held) + 1), len(held), TAGS), -1e4, np.float32)
+        scores[:, :, 0] = 0
+        for k, (*_, s) in enumerate(held):
+            scores[: len(s), k] = s
+        return scores
+
     def decode(held: list[tuple[int, int, np.ndarray]]) -> None:
-        if held:
-            scores = np.full((max(len(s) for *_, s in held), len(held), TAGS), -1e4, np.float32)
-            scores[:, :, 0] = 0
-            for k, (*_, s) in enumerate(held):
-                scores[: len(s), k] = s
-            for (n, a, _), tags, over in zip(held, *model.viterbi(scores), strict=True):
+        for i in range(0, len(held), BATCH):
+            some = held[i : i + BATCH]
+            for (n, a, _), tags, over in zip(some, *model.viterbi(beside(some)), strict=True):
                 parts[n, a] = tagged_spans(tags, over, a, len(coded[n]))
-            held.clear()
 
     def look(where: list[tuple[int, int]], least: float) -> None:
         """Windows in which no span can gain `least` over "outside", nor half of it by the end, are not decoded: they have no spans."""
-        where.sort(key=lambda w: min(LENGTH, len(coded[w[0]]) - w[1]))  # windows of one length run together
-        held: list[tuple[int, int, np.ndarray]] = []
-        for i in range(0, len(where), BATCH):
-            part = where[i : i + BATCH]
-            x = np.full((len(part), min(LENGTH, len(coded[part[-1][0]]) - part[-1][1])), PAD, np.uint8)
-            for k, (n, a) in enumerate(part):
-                c = coded[n][a : a + LENGTH]
-                x[k, : len(c)] = c
+
+        def likely(scores: np.ndarray, ends: list[list[int]]) -> list[int]:
+            whole, cut = model.most_gain(scores, ends)
+            return np.flatnonzero((whole >= least) | (cut >= least / 2)).tolist()
+
+        windows = [coded[n][a : a + LENGTH] for n, a in where]
+        rows, held, shared = in_rows([len(w) for w in windows]), [], []
+        size = -(-len(rows) // max(1, -(-len(rows) // ROWS)))  # batches of about one size
+        for i in range(0, len(rows), size or 1):
+            part = rows[i : i + size]
+            ends = [list(accumulate((len(windows[w]) for w in row), lambda end, n: end + 1 + n)) for row in part]
+            x = np.full((len(part), max(e[-1] for e in ends)), PAD, np.uint8)
+            for k, row in enumerate(part):
+                for w, end in zip(row, ends[k], strict=True):
+                    x[k, end - len(windows[w]) : end] = windows[w]
             scores = model.scores(x)
-            whole, cut = model.most_gain(scores, [min(LENGTH, len(coded[n]) - a) for n, a in part])
-            held += [(*part[k], scores[: len(coded[part[k][0]]) - part[k][1], k].copy()) for k in np.flatnonzero((whole >= least) | (cut >= least / 2)).tolist()]
-            if len(held) >= BATCH:
+            for k in likely(scores, ends):
+                (held if len(part[k]) == 1 else shared).extend((*where[w], scores[end - len(windows[w]) : end, k].copy()) for w, end in zip(part[k], ends[k], strict=True))
+            del scores  # before the next ones
+            for j in range(0, len(shared), BATCH):  # which of the windows of a row it is
+                some = shared[j : j + BATCH]
+                held += [some[k] for k in likely(beside(some), [[len(s)] for *_, s in some])]
+            shared.clear()
+            if len(held) >= BATCH or i + size >= len(rows):
+                held.sort(key=lambda w: len(w[2]))
                 decode(held)
-        decode(held)
+                held.clear()
 
     look([(n, a) for n, c in enumerate(coded) for a in window_starts(len(c))], LEAST_ODDS)
     # a span that goes on beyond a window has shown there all characters that two windows share; the next window sees its end
-    beside = {(n, a + STRIDE) for (n, a), found in parts.items() for p in found if p[5]}
-    while beside := [w for w in beside if w not in parts]:
-        look(list(beside), -np.inf)
-        beside = {(n, a + STRIDE) for n, a in beside for p in parts[n, a] if p[5]}
+    after = {(n, a + STRIDE) for (n, a), found in parts.items() for p in found if p[5]}
+    while after := [w for w in after if w not in parts]:
+        look(after, -np.inf)
+        after = {(n, a + STRIDE) for n, a in after for p in parts[n, a] if p[5]}
     raw: dict[int, list] = {}
     for n, a in sorted(parts):
         raw.setdefault(n, []).extend(parts[n, a])

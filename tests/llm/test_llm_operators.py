@@ -592,6 +592,28 @@ def test_gates_need_no_tanh(monkeypatch):
         assert np.isfinite(scores).all() and (times > 1 or np.allclose(scores, plain, atol=1e-3)) and (scores.argmax(2) == plain.argmax(2)).mean() > 0.99
 
 
+def test_windows_share_rows(monkeypatch):
+    """Nearly every step is a character of a window, whatever the windows' lengths, and what stands beside a window is nothing to it."""
+    model, text = pii.tagger(), pii.labelled_text(8, 400)[0]
+    sizes = [1 + 37 * k % pii.LENGTH for k in range(900)]
+    rows = pii.in_rows(sizes)
+    assert sorted(k for row in rows for k in row) == list(range(900)) and max(sum(sizes[k] + 1 for k in row) - 1 for row in rows) == max(sizes)
+    assert pii.in_rows([]) == [] and pii.in_rows([5]) == [[0]]
+    a, b = pii.classes(text[:300]), pii.classes(text[300:350])
+    x = np.full((2, 400), pii.PAD, np.uint8)
+    x[0, :300], x[0, 301:351], x[1, :50] = a, b, b
+    got = model.scores(x)
+    for w, its in ((a, got[:300, 0]), (b, got[301:351, 0]), (b, got[:50, 1])):
+        assert np.allclose(its, model.run(w[None])[:, 0], atol=1e-3)
+    assert (got[[300, 351, 399], 0, 1:] <= -1e4).all() and (got[[300, 351, 399], 0, 0] == 0).all()
+    steps, plain = [], pii.Tagger.scores
+    texts = [text[k : k + n] for k, n in enumerate(sizes)]
+    alone = [pii.predicted([t], model)[0] for t in texts[:60]]
+    monkeypatch.setattr(pii.Tagger, "scores", lambda self, x: steps.append(x.size) or plain(self, x))
+    assert pii.predicted(texts, model)[:60] == alone and any(alone)
+    assert sum(steps) <= 1.1 * sum(sizes), sum(steps) / sum(sizes)
+
+
 @pytest.mark.parametrize("shift", [930, 955, 1000, 1020, 1950])
 def test_spans_across_windows(shift):
     model = pii.tagger()
